@@ -11,12 +11,19 @@ from tallyforge.operators.roles import parse_datetime_text
 
 # Nanosecond clocks of 64 bits end in 1677 and 2262; numbers beyond do not read as a time.
 _LIMIT_MICROS = 9_223_372_036_854_775
-_UNITS = (("s", 1_000_000.0), ("ms", 1_000.0), ("us", 1.0), ("ns", 0.001))
-
-
-def _epoch(number: Column, micros_per_unit: float) -> Column:
-    micros = number.cast("double") * F.lit(micros_per_unit)
-    sane = F.abs(micros) < F.lit(float(_LIMIT_MICROS))
+_UNITS = ("s", "ms", "us", "ns")
+_MICROS = {"s": 1_000_000, "ms": 1_000, "us": 1}
+
+
+def _epoch(name: str, unit: str) -> Column:
+    number = F.col(name)
+    if unit == "ns":
+        size = number.cast("double") / F.lit(1000.0)
+        micros = F.expr(f"cast(`{name}` as decimal(38, 0)) div 1000")
+    else:
+        size = number.cast("double") * F.lit(float(_MICROS[unit]))
+        micros = number.cast("decimal(28, 6)") * F.lit(_MICROS[unit])
+    sane = F.abs(size) < F.lit(float(_LIMIT_MICROS))
     return F.when(sane, F.timestamp_micros(micros.cast("bigint"))).cast("timestamp_ntz")
 
 
@@ -29,8 +36,7 @@ def readings(df: DataFrame, column: str) -> dict[str, Column]:
         return {"direct": parse_datetime_text(F.col(column))}
     if kind in ("integer", "float"):
         # a bare number is read as nanoseconds first
-        direct = _epoch(F.col(column), 0.001)
-        return {"direct": direct, **{u: _epoch(F.col(column), m) for u, m in _UNITS}}
+        return {"direct": _epoch(column, "ns"), **{u: _epoch(column, u) for u in _UNITS}}
     return {"direct": F.lit(None).cast("timestamp_ntz")}
 
 

@@ -110,7 +110,7 @@ def is_transactional(t):
 
 
 @query("parse_timestamp", """
-SELECT event_id, make_timestamp(cast(trunc(epoch_ms(ts) * 0.001::double) as bigint)) AS parsed FROM events""")
+SELECT event_id, make_timestamp(epoch_us(ts) // 1000 // 1000) AS parsed FROM events""")
 def parse_timestamp(t):
     """A clock in milliseconds: every unit reads, so the first one, nanoseconds, is kept."""
     millis = F.unix_millis(F.col("ts").cast("timestamp"))
@@ -144,7 +144,7 @@ def timestamp_quality(t):
 
 def _number_facts(c: str, p: int) -> str:
     # the first unit with the most readable values is nanoseconds, in which all of them are in range
-    moment = f"make_timestamp(cast(trunc({c}::double * 0.001::double) as bigint))"
+    moment = f"make_timestamp(cast(trunc({c}) as bigint) // 1000)"
     return (f"SELECT '{c}', {p}, count(*), count({c}), count(DISTINCT {moment}), min({moment}), "
             f"max({moment}), count_if(year({moment}) = 1970) FROM events")
 
@@ -162,7 +162,7 @@ _HINT = " OR ".join(f"contains(c, '{w}')" for w in vocab.TIME_TOKENS)
 
 
 @query("detect_time_axis", f"""
-WITH {_quality('events', _AXIS_FACTS.replace(_TS_FACTS, _TS_FACTS))},
+WITH {_quality('events', _AXIS_FACTS)},
 o AS (SELECT *, cast({_HINT} as int) AS hint,
   CASE c WHEN 'event_id' THEN 0 WHEN 'ts' THEN 1 WHEN 'user_id' THEN 2 WHEN 'event_type' THEN 3 WHEN 'value' THEN 4 ELSE 5 END AS p FROM g)
 SELECT {_GRADES}, hint AS name_hint, round(quality + 0.10::double * hint, 6) AS score FROM o
