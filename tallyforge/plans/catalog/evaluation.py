@@ -3,8 +3,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import scalar_row
-from tallyforge.operators import decisions, metrics, profile
-from tallyforge.plans.catalog.base import SCORED_EVENTS, query, scored_events
+from tallyforge.operators import decisions, metrics, profile, splits
+from tallyforge.plans.catalog.base import SCORED_EVENTS, query, scored_events, sql_bucket
 
 # -- classes: the order status (three classes) guessed from the price ---------------------------
 
@@ -229,16 +229,19 @@ def error_histogram(t):
     return profile.histogram(e, "e", 35).select("bin", "n")
 
 
+_SPLIT = sql_bucket("event_id", 42, 1_000_000) + " < 200000"
+
+
 @query("overfit_gap", f"""
-WITH x AS {SCORED_EVENTS}, a AS (SELECT event_type AS model, avg(cast(label = prediction as double)) FILTER (user_id % 2 = 0) AS tr,
-  avg(cast(label = prediction as double)) FILTER (user_id % 2 = 1) AS te FROM x GROUP BY event_type)
+WITH x AS {SCORED_EVENTS}, a AS (SELECT event_type AS model, avg(cast(label = prediction as double)) FILTER (NOT ({_SPLIT})) AS tr,
+  avg(cast(label = prediction as double)) FILTER ({_SPLIT}) AS te FROM x GROUP BY event_type)
 SELECT model, round(tr, 6) AS train_score, round(te, 6) AS test_score, round(tr - te, 6) AS gap,
   CASE WHEN tr - te > 0.10 THEN 'HIGH' WHEN tr - te > 0.05 THEN 'MODERATE' ELSE 'GOOD' END AS overfit FROM a""")
 def overfit_gap(t):
-    """Accuracy per event type as the model name, on even users as training rows and odd as test."""
+    """Accuracy per event type as the model name, on the training and the test events."""
     hit = (F.col("label") == F.col("prediction")).cast("double")
-    even = F.col("user_id") % 2 == 0
-    scores = scored_events(t).groupBy(F.col("event_type").alias("model")).agg(
-        F.avg(F.when(even, hit)).alias("train_score"), F.avg(F.when(~even, hit)).alias("test_score"))
+    test = F.col("is_test") == 1
+    scores = splits.random_split(scored_events(t), "event_id").groupBy(F.col("event_type").alias("model")).agg(
+        F.avg(F.when(~test, hit)).alias("train_score"), F.avg(F.when(test, hit)).alias("test_score"))
     out = metrics.overfit_gap(scores)
     return out.select("model", *[F.round(c, 6).alias(c) for c in ("train_score", "test_score", "gap")], "overfit")
