@@ -109,12 +109,26 @@ def score_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     return running_sums(counts, [F.desc("score")], {"pos": "tp", "neg": "fp"})
 
 
-def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Exact area under the ROC curve; tied scores count half."""
+def ranking_metrics(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Exact area under the ROC curve (tied scores count half) and average precision.
+
+    Average precision is the sum over scores of the recall gained times the precision there.
+    """
     curve = score_curve(df, label, score)
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
     size = F.sum("pos").cast("double") * F.sum("neg")
-    return curve.agg(F.try_divide(area, size).alias("roc_auc"))
+    step = F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")).cast("double"))
+    return curve.agg(
+        F.try_divide(area, size).alias("roc_auc"),
+        F.try_divide(F.sum(step), F.sum("pos")).alias("average_precision"))
+
+
+def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
+    return ranking_metrics(df, label, score).select("roc_auc")
+
+
+def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
+    return ranking_metrics(df, label, score).select("average_precision")
 
 
 def roc_auc_multiclass(df: DataFrame, label: str, scores: dict[str, str]) -> DataFrame:
@@ -137,13 +151,6 @@ def roc_auc_multiclass(df: DataFrame, label: str, scores: dict[str, str]) -> Dat
     return areas.agg(F.try_divide(F.sum(auc * F.col("p")), F.sum("p")).alias("roc_auc"))
 
 
-def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Sum over scores of the recall gained times the precision there."""
-    curve = score_curve(df, label, score)
-    step = F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")).cast("double"))
-    return curve.agg(F.try_divide(F.sum(step), F.sum("pos")).alias("average_precision"))
-
-
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """False and true positive rate at each distinct score."""
     curve = score_curve(df, label, score)
