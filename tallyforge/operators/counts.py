@@ -9,19 +9,39 @@ value that fills a third of a column costs one row per task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from tallyforge.functions.columns import scalar_columns
+from tallyforge.functions.columns import families, scalar_columns
+
+# Columns are counted in their own type; text is made of the distinct values only.
+_COMMON = {"integer": "bigint", "float": "double", "string": "string", "boolean": "boolean",
+           "datetime": "timestamp_ntz"}
+
+
+def _typed_counts(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
+    """Rows ``(column, value, n)`` per type family, missing values kept as null."""
+    kind = families(df)
+    out = []
+    for family, common in _COMMON.items():
+        names = [c for c in columns if kind[c] == family]
+        if names:
+            typed = df.select([F.col(c).cast(common).alias(c) for c in names])
+            long = typed.unpivot([], names, "column", "value")
+            out.append(long.groupBy("column", "value").agg(F.count("*").alias("n")))
+    return out
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows ``(column, value, n)``; values as strings, missing values kept as null."""
+    """Rows ``(column, value, n)`` of all columns, values as strings."""
     columns = list(columns or scalar_columns(df))
-    text = df.select([F.col(c).cast("string").alias(c) for c in columns])
-    long = text.unpivot([], columns, "column", "value")
-    return long.groupBy("column", "value").agg(F.count("*").alias("n"))
+    parts = [
+        part.select("column", F.col("value").cast("string").alias("value"), "n")
+        for part in _typed_counts(df, columns)
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -29,11 +49,11 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
     The mode is the most frequent value and the smallest one on a tie.
     """
+    columns = list(columns or scalar_columns(df))
     present = F.col("value").isNotNull()
     ranked = F.when(present, F.struct((-F.col("n")).alias("neg"), F.col("value").alias("value")))
-    return (
-        value_counts(df, columns)
-        .groupBy("column")
+    parts = [
+        counts.groupBy("column")
         .agg(
             F.sum("n").alias("n_rows"),
             F.sum(F.when(present, F.lit(0)).otherwise(F.col("n"))).alias("n_missing"),
@@ -42,15 +62,19 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         )
         .select(
             "column", "n_rows", "n_missing", "nunique",
-            F.col("_top.value").alias("mode"),
+            F.col("_top.value").cast("string").alias("mode"),
             F.coalesce(-F.col("_top.neg"), F.lit(0)).cast("bigint").alias("mode_count"),
         )
-    )
+        for counts in _typed_counts(df, columns)
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def collect_facts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, Row]:
     """The facts by column name; one row per column, so as small as the schema."""
-    columns = list(columns or scalar_columns(df))
+    columns = list(columns if columns is not None else scalar_columns(df))
+    if not columns:
+        return {}
     found = {row["column"]: row for row in column_facts(df, columns).collect()}
     empty = Row("column", "n_rows", "n_missing", "nunique", "mode", "mode_count")
     return {c: found.get(c, empty(c, 0, 0, 0, None, 0)) for c in columns}

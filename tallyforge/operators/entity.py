@@ -79,21 +79,22 @@ def aggregate_entities(
     df: DataFrame, target: str | None = None, entity: str | None = None,
 ) -> EntityResult:
     """Finds the entity key and, if it repeats, aggregates every usable column per entity."""
-    if entity is None:
-        entity = roles.detect_entity_column(df, target)
-    elif entity not in df.columns:
+    if entity is not None and entity not in df.columns:
         raise ValueError(f"no column {entity!r}")
-    if entity is None or not roles.transactional(df, entity).first().is_transactional:
+    facts = collect_facts(df)  # the one pass over all columns that every decision below uses
+    dates = roles.detect_datetime_columns(df, exclude=[c for c in (entity, target) if c])
+    if entity is None:
+        entity = roles.detect_entity_column(df, target, facts, dates)
+    if entity is None or facts[entity].n_rows < vocab.ENTITY_MIN_ROWS * max(1, facts[entity].nunique):
         return EntityResult(df, entity, False)
 
     fixed = [c for c in (entity, target) if c]
-    dates = roles.detect_datetime_columns(df, exclude=fixed)
+    dates = [c for c in dates if c not in fixed]
     df = roles.coerce_datetimes(df, dates)
     kind = families(df)
     others = [c for c in df.columns if c not in fixed and c not in dates]
     numeric = [c for c in others if kind[c] in ("integer", "float", "boolean")]
     strings = [c for c in others if kind[c] == "string"]
-    facts = collect_facts(df, strings + ([target] if target else []))
     categories = [c for c in strings if facts[c].nunique <= vocab.CATEGORY_LIMIT]
     skipped = [c for c in others if c not in numeric and c not in categories]
 

@@ -328,7 +328,7 @@ def build(name: str, task: str, rows: int, classes: int = 2, **p):
 
     if name == "random_forest":
         kind = RandomForestRegressor if regression else RandomForestClassifier
-        return kind(numTrees=trees, maxDepth=depth or FOREST_DEPTH, seed=SEED, **weight)
+        return kind(numTrees=trees, maxDepth=depth or FOREST_DEPTH, seed=SEED, maxMemoryInMB=1024, **weight)
     if name == "gradient_boosting":
         return boosted(depth or 3, step)
     if name in _BOOSTED:

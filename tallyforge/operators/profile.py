@@ -75,23 +75,34 @@ def cardinality(df: DataFrame, top: int = 15, approximate: bool = False) -> Data
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns, each over its complete rows."""
+    """Pearson correlation of every pair of numeric columns, each over its complete rows.
+
+    Columns without gaps share their means, so their pairs need plain sums of centred products,
+    which stay in generated code; only pairs with a gap use one correlation aggregate each.
+    """
     columns = list(columns or numeric_columns(df))
     if len(columns) < 2:
         raise ValueError("need at least two numeric columns")
+    x = {c: F.col(c).cast("double") for c in columns}
+    facts = scalar_row(df.agg(
+        F.count("*").alias("n"), *[F.count(x[c]).alias(f"k{i}") for i, c in enumerate(columns)],
+        *[F.avg(x[c]).alias(f"m{i}") for i, c in enumerate(columns)]))
+    full = [c for i, c in enumerate(columns) if facts[f"k{i}"] == facts.n]
+    centred = {c: x[c] - F.lit(facts[f"m{i}"]) for i, c in enumerate(columns) if c in full}
     pairs = list(combinations(columns, 2))
-    names = [f"c{i}" for i in range(len(pairs))]
-    wide = df.agg(*[
-        F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(n)
-        for n, (a, b) in zip(names, pairs)
-    ])
-    entries = F.array(*[
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(n).alias("r"))
-        for n, (a, b) in zip(names, pairs)
-    ])
-    return wide.select(F.inline(entries)).select(
-        "column_a", "column_b", F.round("r", 4).alias("correlation")
-    )
+    aggs = [F.sum(centred[c] * centred[c]).alias(f"s_{c}") for c in full]
+    for i, (a, b) in enumerate(pairs):
+        both = a in centred and b in centred
+        aggs.append((F.sum(centred[a] * centred[b]) if both else F.corr(x[a], x[b])).alias(f"p{i}"))
+    wide = df.agg(*aggs)
+    entries = []
+    for i, (a, b) in enumerate(pairs):
+        r = F.col(f"p{i}")
+        if a in centred and b in centred:
+            r = F.try_divide(r, F.sqrt(F.col(f"s_{a}")) * F.sqrt(F.col(f"s_{b}")))
+        entries.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), r.alias("r")))
+    return wide.select(F.inline(F.array(*entries))).select(
+        "column_a", "column_b", F.round("r", 4).alias("correlation"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:

@@ -36,6 +36,7 @@ def quantiles(
                              F.col("_q").alias("quantile"))
         return rough.select(*groups, F.inline(pairs).alias("prob", "quantile"))
 
+    probs = sorted(probs)
     low = [max(0.0, p - MARGIN) for p in probs]
     high = [min(1.0, p + MARGIN) for p in probs]
     rough = values.groupBy(*groups).agg(
@@ -43,55 +44,52 @@ def quantiles(
         F.percentile_approx("_x", low + high, ACCURACY).alias("_cut"),
     )
     small = F.col("_n") < SMALL_GROUP
-    brackets = F.array(*[
-        F.struct(
-            F.lit(p).alias("prob"),
-            F.when(small, F.col("_min")).otherwise(F.col("_cut")[i]).alias("lo"),
-            F.when(small, F.col("_max")).otherwise(F.col("_cut")[i + len(probs)]).alias("hi"),
-        )
-        for i, p in enumerate(probs)
-    ])
-    bounds = rough.select(*groups, "_n", brackets.alias("_brackets"))
-    joined = values.join(bounds, groups) if groups else _with_row(values, bounds)
-    tagged = (
-        joined.select(*groups, "_x", "_n", F.explode("_brackets").alias("_b"))
-        .filter(F.col("_x") <= F.col("_b.hi"))
-        .select(*groups, "_n", F.col("_b.prob").alias("prob"),
-                (F.col("_x") >= F.col("_b.lo")).alias("_in"),
-                F.greatest("_x", "_b.lo").alias("_x"))
-        .groupBy(*groups, "prob", "_x", "_in")
-        .agg(F.first("_n").alias("_n"), F.count("*").alias("_c"))
+    names = [(f"_lo{i}", f"_hi{i}") for i in range(len(probs))]
+    bounds = {"_n": F.col("_n")}
+    for i, (lo, hi) in enumerate(names):
+        bounds[lo] = F.when(small, F.col("_min")).otherwise(F.col("_cut")[i])
+        bounds[hi] = F.when(small, F.col("_max")).otherwise(F.col("_cut")[i + len(probs)])
+    rough = rough.select(*groups, *[c.alias(n) for n, c in bounds.items()])
+    joined = values.join(rough, groups) if groups else _with_row(values, rough)
+    # a value in a bracket stays; one between brackets is lifted to the next bracket and only counts
+    x = F.col("_x")
+    inside = F.lit(False)
+    lifted = F.lit(None).cast("double")
+    for lo, hi in reversed(names):
+        inside = inside | ((x >= F.col(lo)) & (x <= F.col(hi)))
+        lifted = F.when(x < F.col(lo), F.col(lo)).otherwise(lifted)
+    spot_value = F.when(inside, x).otherwise(lifted)
+    counts = (
+        joined.select(*groups, "_n", spot_value.alias("_x"), inside.alias("_in"))
+        .filter("_x IS NOT NULL")
+        .groupBy(*groups, "_x", "_in").agg(F.first("_n").alias("_n"), F.count("*").alias("_c"))
     )
-    # values below a bracket were lifted to its lower end; False sorts before True
-    keys = [*groups, "prob", "_x", "_in"]
-    ranked = running_sums(tagged, keys, {"_c": "_upto"})
-    start = ranked.groupBy(*groups, "prob").agg(F.min(F.col("_upto") - F.col("_c")).alias("_base"))
-    spot = F.col("prob") * (F.col("_n") - 1)
+    # lifted values rank below the bracket they were lifted to; False sorts before True
+    ranked = running_sums(counts, [*groups, "_x", "_in"], {"_c": "_upto"})
+    start = ranked.groupBy(*groups).agg(F.min(F.col("_upto") - F.col("_c")).alias("_base"))
+    placed = ranked.join(start, groups) if groups else _with_row(ranked, start)
     begin = F.col("_upto") - F.col("_c") - F.col("_base")
     end = F.col("_upto") - F.col("_base")
-
-    def at(position):
-        return F.max(F.when((begin <= position) & (position < end), F.col("_x")))
-
-    picked = ranked.join(start, [*groups, "prob"]).groupBy(*groups, "prob").agg(
-        at(F.floor(spot)).alias("_lo"), at(F.ceil(spot)).alias("_hi"),
-        F.first(spot - F.floor(spot)).alias("_f"),
-    )
-    return picked.select(
-        *groups, "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"))
-        .alias("quantile"))
+    spots = [F.lit(p) * (F.col("_n") - 1) for p in probs]
+    cover = lambda spot: (begin <= spot) & (spot < end)
+    aggs = [F.first("_n").alias("_n")]
+    for i, spot in enumerate(spots):
+        aggs.append(F.max(F.when(cover(F.floor(spot)), x)).alias(f"_lo{i}"))
+        aggs.append(F.max(F.when(cover(F.ceil(spot)), x)).alias(f"_hi{i}"))
+    picked = placed.groupBy(*groups).agg(*aggs)
+    entries = F.array(*[
+        F.struct(
+            F.lit(p).alias("prob"),
+            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (spot - F.floor(spot))).alias("quantile"))
+        for i, (p, spot) in enumerate(zip(probs, spots))])
+    return picked.select(*groups, F.inline(entries))
 
 
 def _with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Adds the columns of a one-row table as literals."""
     row = one_row.first()
-    if row is None:
-        return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in one_row.schema.fields})
-    brackets = F.array(*[
-        F.struct(F.lit(b.prob).alias("prob"), F.lit(b.lo).alias("lo"), F.lit(b.hi).alias("hi"))
-        for b in row["_brackets"]
-    ])
-    return df.withColumns({"_n": F.lit(row["_n"]), "_brackets": brackets})
+    kinds = {f.name: f.dataType for f in one_row.schema.fields}
+    return df.withColumns({n: F.lit(row[n] if row else None).cast(k) for n, k in kinds.items()})
 
 
 def column_quantiles(

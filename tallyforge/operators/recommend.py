@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import vocab
+from tallyforge.operators.ordering import positions
 
 # Items considered per user, in text order; part of the definition of the support counts.
 BASKET_LIMIT = 80
@@ -32,24 +33,24 @@ def item_counts(basket: DataFrame) -> DataFrame:
 def cooccurrence(basket: DataFrame, min_support: int = 2) -> DataFrame:
     """Neighbours ``(item, neighbour, support, confidence)`` in both directions.
 
-    Items bought by fewer than ``min_support`` users cannot be in any pair that counts and are
-    left out before the pairs are made. A basket is one array of at most the basket limit, so the
-    pairs of one user are bounded; they are summed before the shuffle.
+    Items of fewer than ``min_support`` users cannot be in any pair that counts and are left out
+    before the pairs are made; the rest are numbered so that pairs are two integers. A basket is
+    one array of at most the basket limit, so the pairs of one user are bounded, and they are
+    summed before the shuffle.
     """
-    counts = item_counts(basket)
-    if min_support > 1:
-        frequent = counts.filter(F.col("users") >= min_support).select("item")
-        basket = basket.join(frequent, "item", "left_semi")
-    lists = basket.groupBy("user").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    firsts = lists.select("items", F.posexplode("items").alias("at", "a"))
-    rest = F.slice("items", F.col("at") + 2, F.size("items"))
+    frequent = item_counts(basket).filter(F.col("users") >= min_support)
+    items = positions(frequent, ["item"], "code")
+    lists = basket.join(items, "item").groupBy("user").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+    firsts = lists.select("codes", F.posexplode("codes").alias("at", "a"))
+    rest = F.slice("codes", F.col("at") + 2, F.size("codes"))
     pairs = firsts.select("a", F.explode(rest).alias("b"))
     support = pairs.groupBy("a", "b").agg(F.count("*").alias("support"))
     kept = support.filter(F.col("support") >= min_support)
     both = kept.select(F.inline(F.array(
-        F.struct(F.col("a").alias("item"), F.col("b").alias("neighbour"), F.col("support").alias("support")),
-        F.struct(F.col("b").alias("item"), F.col("a").alias("neighbour"), F.col("support").alias("support")))))
-    return both.join(counts, "item").select(
+        F.struct(F.col("a").alias("code"), F.col("b").alias("other"), F.col("support").alias("support")),
+        F.struct(F.col("b").alias("code"), F.col("a").alias("other"), F.col("support").alias("support")))))
+    names = items.select(F.col("code").alias("other"), F.col("item").alias("neighbour"))
+    return both.join(items, "code").join(names, "other").select(
         "item", "neighbour", "support", (F.col("support") / F.col("users").cast("double")).alias("confidence"))
 
 

@@ -141,15 +141,20 @@ def entity_name_score(name: str) -> float:
     return float(gain - loss)
 
 
-def entity_candidates(df: DataFrame, target: str | None = None) -> list[dict]:
-    """Every column with its score as the entity key, best first."""
+def entity_candidates(df: DataFrame, target: str | None = None, facts: dict | None = None,
+                      dates: Sequence[str] | None = None) -> list[dict]:
+    """Every column with its score as the entity key, best first.
+
+    Column facts and date columns that are already known are not computed again.
+    """
     kind = families(df)
     columns = [
         c for c in scalar_columns(df)
         if c != target and c.lower().strip() not in vocab.ENTITY_SKIPPED_NAMES
     ]
-    facts = collect_facts(df, columns)
-    dates = set(detect_datetime_columns(df, exclude=[c for c in df.columns if c not in columns]))
+    facts = collect_facts(df, columns) if facts is None else facts
+    if dates is None:
+        dates = detect_datetime_columns(df, exclude=[c for c in df.columns if c not in columns])
     low, high = vocab.ENTITY_RATIO_RANGE
     out = []
     for position, c in enumerate(columns):
@@ -177,9 +182,10 @@ def entity_table(df: DataFrame, target: str | None = None) -> DataFrame:
               "unique_ratio double, name_score double, total_score double, cardinality_ok int")
 
 
-def detect_entity_column(df: DataFrame, target: str | None = None) -> str | None:
+def detect_entity_column(df: DataFrame, target: str | None = None, facts: dict | None = None,
+                         dates: Sequence[str] | None = None) -> str | None:
     """The best string or integer column that repeats, or None when no score is positive."""
-    for r in entity_candidates(df, target):
+    for r in entity_candidates(df, target, facts, dates):
         usable = r["dtype"] in ("string", "integer") and not r["is_datetime"]
         if usable and r["cardinality_ok"] and r["unique_count"] > 0:
             return r["column"] if r["total_score"] > 0 else None

@@ -8,6 +8,7 @@ from tallyforge.operators.imbalance import balanced_weights, weight_column
 from tallyforge.operators.prepare import fit_plan
 from tallyforge.plans import tuning
 from tallyforge.plans.catalog.base import labelled_documents, query, sql_bucket
+from tallyforge.session import spread
 
 _TEST = sql_bucket("{k}", 42, 1_000_000) + " < 200000"
 
@@ -42,7 +43,7 @@ def price_rows(t):
 
 def _metric_rows(t, name, task, rows, classes=2, **params):
     train, test, _ = rows(t)
-    train = train.persist()
+    train = spread(train, "key").persist()
     model = learners.build(name, task, train.count(), classes, **params).fit(train)
     found = tuning.evaluate(model.transform(test), task, classes, 1)
     train.unpersist()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import learners, metrics
 from tallyforge.operators.splits import folds
+from tallyforge.session import spread
 
 # Fits that run at the same time; Spark's scheduler shares the executors between them.
 PARALLEL = 4
@@ -65,7 +66,7 @@ def score_of(values: dict[str, float], metric: str) -> float:
 
 def cross_validate(make: Callable, df: DataFrame, task: str, metric: str, count: int, classes: int = 2) -> dict:
     """Mean and deviation of a metric over ``count`` folds, stratified for classes."""
-    folded = folds(df, "key", count, "label" if task == "classification" else None).persist()
+    folded = spread(folds(df, "key", count, "label" if task == "classification" else None), "key").persist()
 
     def one(i: int) -> float | None:
         model = make().fit(folded.filter(F.col("fold") != i))
@@ -111,7 +112,7 @@ class Trained:
 def train_all(names, train: DataFrame, test: DataFrame, task: str, metric: str, classes: int = 2,
               cv_folds: int = 0, tune: bool = False, params: dict | None = None) -> list[Trained]:
     """Fits every model on shared cached tables, best first."""
-    train, test = train.persist(), test.persist()
+    train, test = spread(train, "key").persist(), test.persist()
     rows, width = train.count(), len(train.select("features").first().features)
 
     def one(name: str) -> Trained:

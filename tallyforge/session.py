@@ -77,3 +77,14 @@ def materialise(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows spread evenly by key over all cores, for tables that are read many times.
+
+    A model fit passes over its rows once per round, so one shuffle that balances the cached
+    partitions pays for itself; a table stored in few files would otherwise use few cores.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, key)
