@@ -22,9 +22,11 @@ MICRO = 500
 
 def kmeans(df: DataFrame, k: int, init: str = "k-means||", starts: int = 10, seed: int = SEED):
     """The run with the smallest within-cluster sum out of several starts."""
-    one = lambda s: KMeans(k=k, initMode=init, seed=s).fit(df)
+    table = df.select("features").persist()
+    one = lambda s: KMeans(k=k, initMode=init, seed=s).fit(table)
     with ThreadPoolExecutor(4) as pool:
         models = list(pool.map(one, range(seed, seed + starts)))
+    table.unpersist()
     return min(models, key=lambda m: m.summary.trainingCost)
 
 

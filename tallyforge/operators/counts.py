@@ -21,14 +21,21 @@ _COMMON = {"integer": "bigint", "float": "double", "string": "string", "boolean"
            "datetime": "timestamp_ntz"}
 
 
-def _typed_counts(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
+# Longer texts are counted by their 128-bit digest where only the number of values matters.
+LONG_TEXT = 64
+
+
+def _typed_counts(df: DataFrame, columns: Sequence[str], digest: bool = False) -> list[DataFrame]:
     """Rows ``(column, value, n)`` per type family, missing values kept as null."""
     kind = families(df)
     out = []
     for family, common in _COMMON.items():
         names = [c for c in columns if kind[c] == family]
         if names:
-            typed = df.select([F.col(c).cast(common).alias(c) for c in names])
+            cells = {c: F.col(c).cast(common) for c in names}
+            if digest and family == "string":
+                cells = {c: F.when(F.length(x) > LONG_TEXT, F.md5(x)).otherwise(x) for c, x in cells.items()}
+            typed = df.select([x.alias(c) for c, x in cells.items()])
             long = typed.unpivot([], names, "column", "value")
             out.append(long.groupBy("column", "value").agg(F.count("*").alias("n")))
     return out
@@ -44,10 +51,11 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
-def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def column_facts(df: DataFrame, columns: Sequence[str] | None = None, digest: bool = True) -> DataFrame:
     """One row per column: n_rows, n_missing, nunique, mode and mode_count.
 
-    The mode is the most frequent value and the smallest one on a tie.
+    The mode is the most frequent value and the smallest one on a tie. With ``digest`` long texts
+    do not travel, and a mode that is a long text is given by its digest.
     """
     columns = list(columns or scalar_columns(df))
     present = F.col("value").isNotNull()
@@ -65,16 +73,16 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
             F.col("_top.value").cast("string").alias("mode"),
             F.coalesce(-F.col("_top.neg"), F.lit(0)).cast("bigint").alias("mode_count"),
         )
-        for counts in _typed_counts(df, columns)
+        for counts in _typed_counts(df, columns, digest)
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def collect_facts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, Row]:
+def collect_facts(df: DataFrame, columns: Sequence[str] | None = None, digest: bool = True) -> dict[str, Row]:
     """The facts by column name; one row per column, so as small as the schema."""
     columns = list(columns if columns is not None else scalar_columns(df))
     if not columns:
         return {}
-    found = {row["column"]: row for row in column_facts(df, columns).collect()}
+    found = {row["column"]: row for row in column_facts(df, columns, digest).collect()}
     empty = Row("column", "n_rows", "n_missing", "nunique", "mode", "mode_count")
     return {c: found.get(c, empty(c, 0, 0, 0, None, 0)) for c in columns}

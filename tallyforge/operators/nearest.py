@@ -24,6 +24,8 @@ from tallyforge.session import materialise
 
 MAX_PIVOTS = 1024
 BLOCK = 1024
+# Blocks of a cell that are compared by one task.
+GROUP = 8
 
 
 def distances(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
@@ -97,11 +99,21 @@ class Cells:
         return queries.withColumn("cell", F.explode(cells(F.col("x"))))
 
     def block_pairs(self, queries: DataFrame, points: DataFrame, carry: list[str]) -> DataFrame:
-        """Joins packed query blocks with packed point blocks of the same cell."""
+        """Joins packed query blocks with packed point blocks of the same cell.
+
+        A crowded cell is cut into groups of blocks on both sides, and each group of the one side
+        is sent to each group of the other, so its comparisons spread over many tasks.
+        """
         calls = {r.cell: r.n for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-        q = _pack(queries, "site", calls, [], "q")
-        p = _pack(points, "key", self.sizes, carry, "p")
-        return q.join(p, "cell")
+        plan = []
+        for cell, n in calls.items():
+            q_blocks, p_blocks = -(-n // BLOCK), -(-self.sizes[cell] // BLOCK)
+            plan.append((cell, q_blocks, p_blocks, -(-q_blocks // GROUP), -(-p_blocks // GROUP)))
+        table = F.broadcast(queries.sparkSession.createDataFrame(  # one row per pivot
+            plan, "cell int, q_blocks long, p_blocks long, q_groups long, p_groups long"))
+        q = _pack(queries.join(table, "cell"), "site", [], "q", "p")
+        p = _pack(points.join(table, "cell"), "key", carry, "p", "q")
+        return q.join(p, ["cell", "q_group", "p_group"])
 
 
 def _to_pivots(xs: pd.Series, pivots: np.ndarray, metric: str) -> np.ndarray:
@@ -112,20 +124,18 @@ def _to_pivots(xs: pd.Series, pivots: np.ndarray, metric: str) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _pack(df: DataFrame, key: str, sizes: dict, carry: list[str], name: str) -> DataFrame:
-    """Rows of a cell in blocks of about ``BLOCK`` rows, spread by the hash of the key."""
-    big = {c: -(-n // BLOCK) for c, n in sizes.items() if n > BLOCK}
-    blocks = F.lit(1)
-    if big:
-        table = df.sparkSession.createDataFrame(sorted(big.items()), "cell int, _blocks bigint")
-        df = df.join(F.broadcast(table), "cell", "left")  # at most one row per pivot
-        blocks = F.coalesce("_blocks", F.lit(1))
-    block = F.pmod(F.xxhash64(key), blocks)
+def _pack(df: DataFrame, key: str, carry: list[str], mine: str, other: str) -> DataFrame:
+    """Rows of a cell in blocks of about ``BLOCK`` rows, spread by the hash of the key, one copy
+    for each group of blocks on the other side."""
+    block = F.pmod(F.xxhash64(key), F.col(f"{mine}_blocks"))
     fields = F.collect_list(F.struct(F.col(key).alias("key"), "x", *carry))
-    packed = df.groupBy("cell", block.alias(f"{name}_block")).agg(fields.alias("_rows"))
+    packed = df.groupBy("cell", block.alias("_block")).agg(
+        fields.alias("_rows"), F.first(f"{other}_groups").alias("_copies"))
     return packed.select(
-        "cell", F.col("_rows.key").alias(f"{name}_key"), F.flatten(F.col("_rows.x")).alias(f"{name}_x"),
-        *[F.col(f"_rows.{c}").alias(f"{name}_{c}") for c in carry])
+        "cell", F.floor(F.col("_block") / GROUP).alias(f"{mine}_group"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)).alias(f"{other}_group"),
+        F.col("_rows.key").alias(f"{mine}_key"), F.flatten(F.col("_rows.x")).alias(f"{mine}_x"),
+        *[F.col(f"_rows.{c}").alias(f"{mine}_{c}") for c in carry])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], width: int, carry: list[str]):

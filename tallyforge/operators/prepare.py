@@ -21,6 +21,7 @@ from tallyforge.functions.columns import (
 from tallyforge.operators.counts import collect_facts, value_counts
 from tallyforge.operators.quantiles import column_quantiles
 from tallyforge.operators.roles import column_roles, label_mapping
+from tallyforge.session import broadcast_if_small
 
 
 def means(df: DataFrame, columns: Sequence[str]) -> dict:
@@ -34,7 +35,7 @@ def medians(df: DataFrame, columns: Sequence[str], approximate: bool = False) ->
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict:
     """Most frequent value per column, the smallest on a tie."""
-    return {c: f.mode for c, f in collect_facts(df, columns).items()} if columns else {}
+    return {c: f.mode for c, f in collect_facts(df, columns, digest=False).items()} if columns else {}
 
 
 def fill(df: DataFrame, values: dict) -> DataFrame:
@@ -127,7 +128,7 @@ def one_hot(column: str, values: Sequence[str]) -> list[Column]:
 def ordinal(df: DataFrame, column: str, out: str, fit_on: DataFrame | None = None) -> DataFrame:
     """Sorted code of each value, -1 when it was not seen; no size is assumed for the codes."""
     codes = label_mapping(fit_on if fit_on is not None else df, column)
-    codes = codes.select(F.col("value").alias(column), F.col("code").alias("_code"))
+    codes = broadcast_if_small(codes.select(F.col("value").alias(column), F.col("code").alias("_code")))
     return (
         df.join(codes, column, "left")
         .withColumn(out, F.coalesce(F.col("_code"), F.lit(-1)).cast("double")).drop("_code")
@@ -158,7 +159,7 @@ class FeaturePlan:
             parts += one_hot(c, vs)
         for c in self.high_card:
             codes = self.codes[c].select(F.col("value").alias(c), F.col("code").alias(f"_{c}_code"))
-            filled = filled.join(codes, c, "left")
+            filled = filled.join(broadcast_if_small(codes), c, "left")
             parts.append(F.coalesce(F.col(f"_{c}_code"), F.lit(-1)).cast("double"))
         with_features = filled.withColumn(out, array_to_vector(F.array(*parts)))
         return with_features.select(*df.columns, out)

@@ -14,6 +14,7 @@ from tallyforge.functions.columns import (
 from tallyforge.operators.counts import column_facts
 from tallyforge.operators.quantiles import quantiles
 from tallyforge.operators.roles import column_roles
+from tallyforge.session import broadcast_if_small, materialise
 
 
 def _missing(name: str):
@@ -23,14 +24,16 @@ def _missing(name: str):
 def overview(df: DataFrame) -> DataFrame:
     """Rows, columns, missing cells and share, fully duplicated rows.
 
-    Rows are first collapsed to their distinct values with a count, so copies travel once.
+    Copies are found by a 128-bit digest of the row, so long texts never travel.
     """
     width = len(df.columns)
     gaps = sum((F.col(c).isNull().cast("int") for c in df.columns), F.lit(0))
-    distinct = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    digest = F.md5(F.to_json(F.struct(*df.columns)))
+    distinct = df.select(digest.alias("_d"), gaps.alias("_gaps")).groupBy("_d").agg(
+        F.count("*").alias("_n"), F.sum("_gaps").alias("_gaps"))
     totals = distinct.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum(gaps * F.col("_n")), F.lit(0)).alias("missing_cells"),
+        F.coalesce(F.sum("_gaps"), F.lit(0)).alias("missing_cells"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),
     )
     share = F.try_divide(F.col("missing_cells") * 100.0, F.col("n_rows") * F.lit(float(width)))
@@ -160,8 +163,7 @@ def box_by_class(df: DataFrame, target: str, max_features: int = 8) -> DataFrame
     ])
     spread = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("x").between(F.col("q1") - spread, F.col("q3") + spread)
-    # one row per class and column on the right; the optimizer broadcasts it while it is small
-    out = long.join(q, ["class", "feature"]).groupBy("class", "feature").agg(
+    out = long.join(broadcast_if_small(materialise(q)), ["class", "feature"]).groupBy("class", "feature").agg(
         F.count("*").alias("n_rows"),
         F.min("x").alias("lowest"),
         F.first("q1").alias("q1"),

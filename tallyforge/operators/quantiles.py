@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators.ordering import running_sums
+from tallyforge.session import broadcast_if_small, materialise
 
 # Sketch error is n / ACCURACY; the bracket is wider than that on both sides.
 ACCURACY = 10_000
@@ -50,6 +51,8 @@ def quantiles(
         bounds[lo] = F.when(small, F.col("_min")).otherwise(F.col("_cut")[i])
         bounds[hi] = F.when(small, F.col("_max")).otherwise(F.col("_cut")[i + len(probs)])
     rough = rough.select(*groups, *[c.alias(n) for n, c in bounds.items()])
+    if groups:
+        rough = broadcast_if_small(materialise(rough))
     joined = values.join(rough, groups) if groups else _with_row(values, rough)
     # a value in a bracket stays; one between brackets is lifted to the next bracket and only counts
     x = F.col("_x")

@@ -14,6 +14,7 @@ from tallyforge.functions.columns import (
     categorical_columns, dtype_family, families, numeric_columns, scalar_columns, scalar_row,
 )
 from tallyforge.operators.counts import collect_facts, value_counts
+from tallyforge.session import broadcast_if_small
 
 
 @dataclass
@@ -317,5 +318,5 @@ def with_codes(df: DataFrame, target: str, out: str) -> DataFrame:
         return df.withColumn(out, F.col(target).cast("double"))
     codes = label_mapping(df, target)
     return df.join(
-        codes.select(F.col("value").alias(target), F.col("code").cast("double").alias(out)),
+        broadcast_if_small(codes.select(F.col("value").alias(target), F.col("code").cast("double").alias(out))),
         target, "left")

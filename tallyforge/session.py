@@ -79,6 +79,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Rows of a table that may be sent to every task; a few columns each, so some tens of megabytes.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The broadcast hint behind a count; a larger table keeps the shuffle join and its skew
+    handling. Meant for tables that are already materialised, so the count is cheap."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows spread evenly by key over all cores, for tables that are read many times.
 

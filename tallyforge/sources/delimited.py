@@ -37,7 +37,7 @@ def detect_separator(spark: SparkSession, path: str) -> str:
 def infer_schema(spark: SparkSession, path: str, sep: str) -> T.StructType:
     return (
         spark.read.option("header", True).option("inferSchema", True).option("sep", sep)
-        .option("preferDate", False).option("timestampType", "TIMESTAMP_NTZ").csv(path).schema
+        .option("escape", '"').option("preferDate", False).option("timestampType", "TIMESTAMP_NTZ").csv(path).schema
     )
 
 
@@ -57,7 +57,7 @@ def read_delimited(
     wide = T.StructType([*schema.fields, T.StructField(_EXTRA, T.StringType())])
     rows = (
         spark.read.schema(wide).option("header", True).option("sep", sep)
-        .option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path)
+        .option("escape", '"').option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path)
     )
     return nan_to_null(rows.filter(F.col(_EXTRA).isNull()).drop(_EXTRA))
 
@@ -74,4 +74,4 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
             df = df.select(
                 *[c for c in df.columns if c != f.name],
                 *[parts[i].alias(f"{f.name}_{i}") for i in range(width)])
-    df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("sep", sep).csv(path)
