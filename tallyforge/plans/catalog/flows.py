@@ -146,7 +146,7 @@ def dataset_fingerprint(t):
 
 def _event_model(t):
     """A stored model of the event label from value and user."""
-    events = scored_events(t).select("event_id", "value", "user_id", F.col("label").cast("double").alias("label"))
+    events = scored_events(t).select("event_id", "value", "user_id", "ts", F.col("label").cast("double").alias("label"))
     steps = Pipeline(stages=[
         VectorAssembler(inputCols=["value", "user_id"], outputCol="features"), LogisticRegression(maxIter=50)])
     store = registry.Registry(t.spark, os.path.join(shared_folder(t.spark), f"models-{uuid.uuid4().hex}"))
@@ -171,26 +171,33 @@ def score_batch(t):
     return registry.score_batch(events, train()).select("event_id", "prediction", F.round("score", 6).alias("score"))
 
 
-def _slices(t, df, key, parts):
-    """The table written as several files, as if they had arrived one after another."""
+# First day of each arriving slice of the January events.
+_ARRIVALS = ("2024-01-01", "2024-01-11", "2024-01-21", "2025-01-01")
+
+
+def _arriving(t, df):
+    """The events written slice by slice, as if they had arrived one after another."""
     folder = os.path.join(shared_folder(t.spark), f"arriving-{uuid.uuid4().hex}")
-    df.repartitionByRange(parts, key).write.parquet(folder)
+    for start, end in zip(_ARRIVALS, _ARRIVALS[1:]):
+        moment = lambda day: F.lit(day).cast("timestamp_ntz")
+        part = df.filter((F.col("ts") >= moment(start)) & (F.col("ts") < moment(end)))
+        part.drop("ts").coalesce(1).write.mode("append").parquet(folder)
     return folder
 
 
 @query("score_stream")
 def score_stream(t):
     events, _, train = _event_model(t)
-    folder = _slices(t, events, "event_id", 4)
+    folder = _arriving(t, events)
     out = f"{folder}-scored"
-    jobs.score_stream(t.spark, train(), folder, events.schema, out, f"{folder}-state", ["event_id"], files_per_batch=2)
+    jobs.score_stream(t.spark, train(), folder, events.drop("ts").schema, out, f"{folder}-state", ["event_id"], files_per_batch=2)
     return t.spark.read.parquet(out).select("event_id", "prediction", F.round("score", 6).alias("score"))
 
 
 @query("drift_stream")
 def drift_stream(t):
     """Three slices of the events against all of them."""
-    events = t.events.select("event_id", "user_id", "value")
-    folder = _slices(t, events, "event_id", 3)
-    jobs.drift_stream(t.spark, events, folder, f"{folder}-reports", f"{folder}-state")
+    events = t.events.select("event_id", "user_id", "value", "ts")
+    folder = _arriving(t, events)
+    jobs.drift_stream(t.spark, events.drop("ts"), folder, f"{folder}-reports", f"{folder}-state")
     return jobs.read_reports(t.spark, f"{folder}-reports")

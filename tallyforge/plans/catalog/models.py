@@ -108,8 +108,8 @@ def reg_linear(t):
     return t.spark.createDataFrame([row], "slope double, intercept double, r2 double")
 
 
-@query("predict_score")
-def predict_score(t):
+@query("predict_proba_or_margin")
+def predict_proba_or_margin(t):
     """The three ways to a score: probability, scaled decision value, plain prediction."""
     train, test, _ = quality_rows(t)
     model = learners.build("logistic", "classification", train.count()).fit(train)
