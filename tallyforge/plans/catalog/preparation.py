@@ -116,17 +116,21 @@ def _feature_means(df, plan, group):
     )
 
 
-def _prepared_sql(rows: str, middle: str, scale: str) -> str:
+def _prepared_sql(rows: str, middle: str, scale: str, kept: str = "true") -> str:
     return f"""
 WITH d AS {LABELLED_DOCUMENTS}, s AS (SELECT *, {rows} AS is_test FROM d),
 f AS (SELECT {middle} AS m, {scale} AS w FROM s WHERE is_test = 0),
 v AS (SELECT DISTINCT 'lang' AS c, lang AS v FROM s WHERE is_test = 0 UNION ALL SELECT DISTINCT 'source', source FROM s WHERE is_test = 0)
-SELECT is_test, 'n_chars' AS feature, round(avg((n_chars - m) / w), 4) AS mean, count(*) AS n FROM s, f GROUP BY is_test
+SELECT is_test, 'n_chars' AS feature, round(avg((n_chars - m) / w), 4) AS mean, count(*) AS n FROM s, f WHERE {kept} GROUP BY is_test
 UNION ALL SELECT is_test, c || '_' || v, round(avg(cast(CASE c WHEN 'lang' THEN lang ELSE source END = v as double)), 4), count(*)
 FROM s, v GROUP BY is_test, c, v"""
 
 
-@query("prep_general", _prepared_sql(f"cast({_TEST.format(k='doc_id')} as int)", "avg(n_chars)", "stddev_pop(n_chars)"))
+# the length is left out as an id where nearly all of its values differ
+_LENGTH_KEPT = """(SELECT count(DISTINCT n_chars) < count(*) AND (count(*) <= 50 OR count(DISTINCT n_chars) / count(*)::double <= 0.95) FROM d)"""
+
+
+@query("prep_general", _prepared_sql(f"cast({_TEST.format(k='doc_id')} as int)", "avg(n_chars)", "stddev_pop(n_chars)", _LENGTH_KEPT))
 def prep_general(t):
     df = splits.random_split(labelled_documents(t), "doc_id")
     use = prepare.usable_general(df.drop("is_test"), "quality", "doc_id")
@@ -174,12 +178,12 @@ def split_stratified(t):
 @query("drop_unseen_rows", f"""
 SELECT p_partkey FROM part WHERE {_TEST.format(k='p_partkey')}
   AND p_name IN (SELECT p_name FROM part WHERE NOT {_TEST.format(k='p_partkey')})
-  AND p_retailprice::varchar IN (SELECT p_retailprice::varchar FROM part WHERE NOT {_TEST.format(k='p_partkey')})""")
+  AND concat(p_brand, '/', p_size) IN (SELECT concat(p_brand, '/', p_size) FROM part WHERE NOT {_TEST.format(k='p_partkey')})""")
 def drop_unseen_rows(t):
     p = splits.random_split(t.part, "p_partkey").withColumn(
-        "price_label", F.col("p_retailprice").cast("string"))
+        "model", F.concat_ws("/", "p_brand", "p_size"))
     return splits.drop_unseen(p.filter("is_test = 0"), p.filter("is_test = 1"),
-                              ["p_name", "price_label"]).select("p_partkey")
+                              ["p_name", "model"]).select("p_partkey")
 
 
 def _judge_sql(c: str) -> str:
