@@ -6,8 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import blob_ledger, chat_template, content_sort, wu_manber
-from tallyforge.llm.common import table
+from tallyforge.llm import blob_ledger, chat_template, content_sort, language_bits, neighbour_quality, wu_manber
+from tallyforge.llm.common import held_out, table
+
+
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language_bits.learn_languages(docs.filter(~held_out("doc_id")))
+    rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
+    return language_bits.identify_languages(rows, model).drop("text")
 
 
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,11 +42,23 @@ def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat_template.chat_digest(chat_template.format_conversations(rows.unionByName(extra)))
 
 
+QUALITY_THRESHOLD = 0.7
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = neighbour_quality.learn_quality(docs, table(spark, folder, "labels").filter(~held_out("doc_id")))
+    rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
+    return neighbour_quality.score_quality(rows, model).select(
+        "doc_id", "held_out", "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_exact(spark: SparkSession, folder: str) -> DataFrame:
     return content_sort.exact_dedup(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op6_secrets, op7_chat, op10_exact)}
+QUERIES = {f.__name__: f for f in (
+    op1_language, op3_decontaminate, op6_secrets, op7_chat, op9_quality, op10_exact)}
 
 SQL10 = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
