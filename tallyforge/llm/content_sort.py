@@ -1,8 +1,10 @@
 """Exact dedup by content sort.
 
-Sampled splitters range-partition the texts (ties by id, so a large group of equal texts spreads
-over partitions), each partition is sorted externally, neighbours are compared in full, and runs
-that go on in the next partition are joined by one row per partition.
+Sampled splitters range-partition the texts, each partition is sorted externally, neighbours are
+compared in full, and runs that go on in the next partition are joined by one row per partition.
+The sort key is the text's first characters, then its SHA-256, then the id: the splitters that Spark
+samples stay short however long the texts are, equal texts are neighbours, and ties by id spread a
+large group of equal texts over partitions.
 
 Defined results: null text counts as empty, and all empty texts are equal; a null id sorts as the
 smallest id; of rows that repeat both id and text one is kept; an empty table gives no rows; other
@@ -12,8 +14,6 @@ module adds (``run_part``, ``run_index``, ``run_head``, ``run_sha256``).
 
 from __future__ import annotations
 
-import hashlib
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -23,6 +23,9 @@ from pyspark.sql import types as T
 
 from tallyforge.llm.common import stored
 
+#: Leading characters that take part in the sort key.
+KEY_CHARS = 32
+
 _ADDED = [T.StructField("run_part", T.IntegerType()), T.StructField("run_index", T.LongType()),
           T.StructField("run_head", T.BooleanType()), T.StructField("run_sha256", T.StringType())]
 
@@ -30,30 +33,28 @@ _ADDED = [T.StructField("run_part", T.IntegerType()), T.StructField("run_index",
 def sorted_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """All rows with the number of their run of equal texts inside their sorted partition."""
     content = F.coalesce(F.col(text_col), F.lit(""))
-    order = [content.asc(), F.col(id_col).desc()]
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    keyed = df.withColumn("run_sha256", F.sha2(content.cast("binary"), 256))
+    order = [F.substring(content, 1, KEY_CHARS).asc(), F.col("run_sha256").asc(), F.col(id_col).desc()]
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     names = [c for c in df.columns if keep_text or c != text_col]
     schema = T.StructType([df.schema[c] for c in names] + _ADDED)
 
     def runs(batches):
-        part, index, last, sha = TaskContext.get().partitionId(), -1, None, ""
+        part, index, last = TaskContext.get().partitionId(), -1, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             texts = batch.column(batch.schema.get_field_index(text_col)).fill_null("")
             same = pa.concat_arrays([pa.array([last is not None and texts[0].as_py() == last]),
                                      pc.equal(texts[1:], texts[:-1])]).to_pylist()
-            indices, shas = [], []
-            for i, equal in enumerate(same):
-                if not equal:
-                    index += 1
-                    sha = hashlib.sha256(texts[i].as_buffer()).hexdigest()
+            indices = []
+            for equal in same:
+                index += not equal
                 indices.append(index)
-                shas.append(sha)
             last = texts[len(texts) - 1].as_py()
             columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
             columns += [pa.array([part] * len(same), pa.int32()), pa.array(indices, pa.int64()),
-                        pa.array([not s for s in same]), pa.array(shas, pa.string())]
+                        pa.array([not s for s in same]), batch.column(batch.schema.get_field_index("run_sha256"))]
             yield pa.RecordBatch.from_arrays(columns, names + [f.name for f in _ADDED])
 
     return ordered.mapInArrow(runs, schema)
