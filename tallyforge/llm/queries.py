@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import blob_ledger, chat_template, content_sort, language_bits, neighbour_quality, wu_manber
+from tallyforge.llm import blob_ledger, chat_template, content_sort, language_bits, neighbour_quality, \
+    window_packing, wu_manber
 from tallyforge.llm.common import held_out, table
 
 
@@ -17,6 +18,16 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     return language_bits.identify_languages(rows, model).drop("text")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return window_packing.pack(table(spark, folder, "documents"), tokenizer_path()).drop("ids")
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return wu_manber.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -58,7 +69,7 @@ def op10_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language, op3_decontaminate, op6_secrets, op7_chat, op9_quality, op10_exact)}
+    op1_language, op2_pack, op3_decontaminate, op6_secrets, op7_chat, op9_quality, op10_exact)}
 
 SQL10 = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
