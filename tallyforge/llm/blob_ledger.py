@@ -5,8 +5,7 @@ the SHA-256 of its text. The ledger lists the (blob, rule, rule version) pairs a
 the findings table what they gave; a run scans only the pairs that the ledger lacks and joins the
 findings of all blobs back to every path and version that has them.
 
-Everything is DataFrame functions. Positions come from splitting the text at the matches: the
-lengths of the pieces and of the matches add up to code-point offsets.
+Everything is DataFrame functions.
 
 Defined results: null text counts as empty and has no findings; equal texts are one blob, scanned
 once; repeated rows and null paths are versions like others; extra columns are ignored; empty
@@ -21,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import stored
+from tallyforge.llm.spans import match_spans, no_spans
 
 
 @dataclass(frozen=True)
@@ -44,30 +44,9 @@ RULES = (
     Rule("hex", 2, r"[0-9a-f]{32,}", 0, 32),
 )
 
-FINDING = "array<struct<start:long,rank:int,kind:string,stop:long>>"
-
 
 def found_by(text: Column, rule: Rule) -> Column:
-    """Array of (start, rank, kind, stop) of a rule's matches; empty without."""
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), 0)
-    judged = F.regexp_extract_all(text, F.lit(rule.pattern), rule.group)
-    pieces = F.split(text, rule.pattern, -1)
-    sized = F.zip_with(F.zip_with(pieces, whole, lambda p, w: F.struct(
-        F.length(p).cast("long").alias("before"), F.coalesce(F.length(w), F.lit(0)).cast("long").alias("long"))),
-        judged, lambda s, j: F.struct(s["before"].alias("before"), s["long"].alias("long"),
-                                      F.coalesce(F.length(j), F.lit(0)).alias("judged")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(FINDING).alias("found"))
-
-    def step(state, m):
-        begin = state["at"] + m["before"]
-        one = F.struct(begin.alias("start"), F.lit(rule.rank).alias("rank"), F.lit(rule.kind).alias("kind"),
-                       (begin + m["long"]).alias("stop"))
-        return F.struct((begin + m["long"]).alias("at"),
-                        F.when(m["judged"] >= rule.least, F.concat(state["found"], F.array(one)))
-                        .otherwise(state["found"]).alias("found"))
-
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), F.aggregate(sized, start, step, lambda s: s["found"])) \
-        .otherwise(F.array().cast(FINDING))
+    return match_spans(text, rule.pattern, rule.kind, rule.rank, lambda m: F.length(m) >= rule.least, rule.group)
 
 
 def content_address(text: Column) -> Column:
@@ -112,13 +91,5 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, path_col: str = "pa
             .agg(F.array_sort(F.flatten(F.collect_set("findings"))).alias("findings")))
     paths = versions.select(F.col(path_col).alias("path"), content_address(F.col(text_col)).alias("blob"))
     return paths.join(hits, "blob", "left").select(
-        "path", "blob", F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
-
-
-def span_text(findings: Column) -> Column:
-    """``kind:start:end`` by start and kind, comma-joined."""
-    return F.array_join(F.transform(findings, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
-
+        "path", "blob", F.coalesce("findings", no_spans()).alias("findings"))
 
-def count_of(findings: Column, kind: str) -> Column:
-    return F.size(F.filter(findings, lambda s: s["kind"] == kind)).cast("long")

@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import blob_ledger, chat_template, content_sort, language_bits, neighbour_quality, \
-    window_packing, wu_manber
+from tallyforge.llm import blob_ledger, chat_template, content_sort, disclosure, language_bits, \
+    neighbour_quality, window_packing, wu_manber
 from tallyforge.llm.common import held_out, table
+from tallyforge.llm.spans import count_of, span_text
 
 
 def op1_language(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,8 +36,8 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = blob_ledger.findings_by_path(docs, blob_ledger.update_ledger(docs), path_col="doc_id")
-    counts = [blob_ledger.count_of(F.col("findings"), r.kind).alias(f"n_{r.kind}") for r in blob_ledger.RULES]
-    spans = blob_ledger.span_text(F.col("findings"))
+    counts = [count_of(F.col("findings"), r.kind).alias(f"n_{r.kind}") for r in blob_ledger.RULES]
+    spans = span_text(F.col("findings"))
     return found.select(
         F.col("path").alias("doc_id"), *counts,
         F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
@@ -53,6 +54,14 @@ def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat_template.chat_digest(chat_template.format_conversations(rows.unionByName(extra)))
 
 
+def op8_personal(spark: SparkSession, folder: str) -> DataFrame:
+    found = disclosure.personal_data(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", *[count_of(F.col("base"), k).alias(f"n_{k}") for k in disclosure.KINDS],
+        F.sha2(span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"))
+
+
 QUALITY_THRESHOLD = 0.7
 
 
@@ -69,7 +78,7 @@ def op10_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language, op2_pack, op3_decontaminate, op6_secrets, op7_chat, op9_quality, op10_exact)}
+    op1_language, op2_pack, op3_decontaminate, op6_secrets, op7_chat, op8_personal, op9_quality, op10_exact)}
 
 SQL10 = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
