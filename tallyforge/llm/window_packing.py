@@ -36,16 +36,22 @@ from tallyforge.session import broadcast_if_small
 
 WINDOW = 2048
 END_ID = 1
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 #: Separators that Python splits at and the tokenizer doesn't; texts with them are encoded whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Words that are cut here: printable ASCII and precomposed Latin letters, which no normalisation changes.
+_LATIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]+")
+#: Fixed by the tokenizer: its contractions, runs of letters, single digits, runs of other marks.
+_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xd6\xd8-\xf6\xf8-\u017e]+|[0-9]|[^a-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u017e]+")
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
     """Token ids of texts by a tokenizer that never joins across white space, one word at a time.
 
-    Words repeat, so their ids are remembered, up to ``CACHE_WORDS`` of them.
+    Words repeat, so their ids are remembered, up to ``CACHE_WORDS`` of them. A new word of Latin
+    characters is put together from its runs of letters, digits and marks, lowered, as the tokenizer
+    itself cuts it; those runs repeat still more often. Other words are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -54,20 +60,46 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added) or "(?!)")
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that close a run
+        for token, number in self.tokenizer.get_vocab().items():
+            self.closes[number] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of each run; many runs are encoded as one text and cut where an id closes a run."""
+        out = []
+        for i in range(0, len(runs), 1000):
+            part = runs[i:i + 1000]
+            ids = np.frombuffer(self._encode([" ".join(part)])[0], self.kind)
+            stops = np.flatnonzero(self.closes[ids]) + 1
+            if len(stops) != len(part):
+                out += self._encode(part)
+                continue
+            raw, stops = ids.tobytes(), (stops * self.kind.itemsize).tolist()
+            out += [raw[a:b] for a, b in zip([0] + stops[:-1], stops)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [[] if _ODD_SPACE.search(t) else t.split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
-        if len(self.known) + len(new) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS:
             self.known = {}
-            new = list({w for ws in words for w in ws})
-        if new:
-            self.known.update(zip(new, self._encode(new)))
+        if len(self.runs) > CACHE_WORDS:
+            self.runs = {}
+        new = {w for ws in words for w in ws if w not in self.known}
+        cut = {w: _RUNS.findall(w.lower()) for w in new if _LATIN.fullmatch(w) and not self.special.search(w)}
+        runs = list({r for rs in cut.values() for r in rs if r not in self.runs})
+        self.runs.update(zip(runs, self._encode_runs(runs)))
+        of = self.runs
+        self.known.update((w, b"".join([of[r] for r in rs])) for w, rs in cut.items())
+        rest = [w for w in new if w not in cut]
+        self.known.update(zip(rest, self._encode(rest)))
         known = self.known
         return [b"".join([known[w] for w in ws]) if ws else self._encode([t])[0] if t else b""
                 for t, ws in zip(texts, words)]
