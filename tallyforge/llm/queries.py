@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import blob_ledger, chat_template, combination_prefix, content_sort, disclosure, \
-    language_bits, neighbour_quality, window_packing, wu_manber
+    language_bits, neighbour_quality, suffix_dedup, window_packing, wu_manber
 from tallyforge.llm.common import held_out, table
 from tallyforge.llm.spans import count_of, span_text
 
@@ -37,6 +37,10 @@ def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return combination_prefix.jaccard_components(table(spark, folder, "documents"))
 
 
+def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = blob_ledger.findings_by_path(docs, blob_ledger.update_ledger(docs), path_col="doc_id")
@@ -82,7 +86,7 @@ def op10_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language, op2_pack, op3_decontaminate, op4_jaccard, op6_secrets, op7_chat, op8_personal, op9_quality, op10_exact)}
+    op1_language, op2_pack, op3_decontaminate, op4_jaccard, op5_repeats, op6_secrets, op7_chat, op8_personal, op9_quality, op10_exact)}
 
 SQL10 = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
