@@ -110,14 +110,12 @@ def revealing_terms(docs: DataFrame, found: DataFrame, text_col: str, limits: Th
         .filter(F.col("together") >= limits.support)
     together = stored(together, "term-entity")
     per_entity = contexts.groupBy("kind", "value").agg(F.count("*").alias("contexts"))
-    candidates = together.select("term").distinct()
+    # documents of every term of the corpus, added up inside the tasks first
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     held = texts.select(F.xxhash64("text").alias("text_key"),
                         F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
-    held = stored(held.join(broadcast_if_small(candidates), "term")
-                  .groupBy("term", "text_key").agg(F.count("*").alias("docs")), "term-texts")
+    spread = held.groupBy("term").agg(F.count("*").alias("docs"))
     corpus = docs.count()
-    spread = held.groupBy("term").agg(F.sum("docs").alias("docs"))
     measured = together.join(per_entity, ["kind", "value"]).join(spread, "term").select(
         "kind", "value", "term", "together", "contexts", "docs",
         F.log2(F.col("together") * F.lit(float(max(corpus, 1))) / (F.col("docs") * F.col("contexts"))).alias("bits"),
@@ -126,7 +124,8 @@ def revealing_terms(docs: DataFrame, found: DataFrame, text_col: str, limits: Th
     terms = stored(revealing.groupBy("term").agg(
         F.max("bits").alias("bits"), F.max("share").alias("share"),
         (F.max("share") >= limits.removed_share).alias("removed")), "revealing-terms")
-    holders = held.join(terms, "term").groupBy("text_key").agg(
+    # a revealing term has few documents: at most its share's inverse times those of the entity
+    holders = held.join(broadcast_if_small(terms), "term").groupBy("text_key").agg(
         F.sort_array(F.collect_set(F.struct("term", "removed"))).alias("terms"))
     return terms, holders
 
