@@ -2,10 +2,12 @@
 
 The set of a document are its distinct word shingles, as 64-bit hashes. Equal sets are one class and
 take part once. A fixed table of counters orders the tokens, rare before frequent. Two sets with
-similarity ``percent`` share a token in their prefixes; with prefixes one token longer they share a
-rare token or two frequent ones. So the index holds every rare prefix token and every pair of frequent
-prefix tokens; for sets above ``PAIRED_SIZE`` tokens, where pairs would grow with the square,
-single frequent tokens (sets near that size are indexed both ways, so no link is lost).
+similarity ``percent`` share a token in their prefixes; with prefixes k - 1 tokens longer they share k.
+Here k grows with the set (``shared_needed``). What a linked pair shares is at least one rare token or
+two frequent ones, so the index holds every rare prefix token and every pair of frequent prefix tokens;
+for sets above ``PAIRED_SIZE`` tokens, where pairs would grow with the square, single frequent tokens
+(sets near that size are indexed both ways, so no link is lost). A set whose prefix shares fewer than
+k tokens with all others together has no link and leaves, which lets others leave in turn.
 
 What shares an index entry is a candidate, but the pairs inside an entry are not listed. Each entry
 names a pivot, its most typical set, and all its sets join the pivot's family. First every member is
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -124,45 +126,79 @@ def overlap_needed(percent: int, size: int) -> int:
     return -(-percent * size // 100)
 
 
-def signatures(tokens: np.ndarray, counters: np.ndarray, frequent: int, percent: int) -> np.ndarray:
-    """Index entries of a set: rare tokens, and pairs or singles of frequent ones."""
+def shared_needed(size):
+    """Prefix tokens that a set shares with any linked set, as far as its own size goes."""
+    return 2 + size // 20
+
+
+def signatures(tokens: np.ndarray, counters: np.ndarray, frequent: int, percent: int):
+    """Index entries of a set: rare tokens; pairs or singles of frequent ones; and how many of the
+    prefix tokens are frequent."""
     n = len(tokens)
     counts = counters[_cell(tokens)]
-    order = np.lexsort((tokens, counts))[:min(n, n - overlap_needed(percent, n) + 2)]
+    order = np.lexsort((tokens, counts))[:min(n, n - overlap_needed(percent, n) + shared_needed(n))]
     tokens, hot = tokens[order], counts[order] >= frequent
-    out = [mix(tokens[~hot])]
-    many = tokens[hot]
+    many, out = tokens[hot], [np.zeros(0, np.uint64)]
     if len(many) and n * 100 > PAIRED_SIZE * percent:
         out.append(mix(many ^ np.uint64(1)))
     if len(many) > 1 and n * percent <= PAIRED_SIZE * 100:
         a, b = np.triu_indices(len(many), 1)
         low, high = np.minimum(many[a], many[b]), np.maximum(many[a], many[b])
         out.append(mix(mix(low) + high))
-    return np.unique(np.concatenate(out))
+    return mix(tokens[~hot]), np.concatenate(out), len(many)
 
 
 def index_rows(docs: DataFrame, width: int, percent: int, counters, frequent: int) -> DataFrame:
-    """``sig, key, typical`` of every class, once per task; ``typical`` is high for sets of frequent tokens."""
+    """``sig, hot, key, n, many, typical`` of every class, once per task; ``many`` is the number of
+    frequent prefix tokens, ``typical`` is high for sets of frequent tokens."""
     def run(batches):
         table, seen = counters.value, set()
         weight = np.log2(table + 1.0)
         for batch in batches:
-            sigs, keys, typical = [], [], []
+            columns = [[] for _ in range(6)]
             for _, tokens in token_sets(batch.column(1), width):
                 key = class_key(tokens)
                 if key is None or key in seen:
                     continue
                 seen.add(key)
-                own = signatures(tokens, table, frequent, percent)
-                sigs.append(own)
-                keys.append(np.full(len(own), key, np.int64))
-                typical.append(np.full(len(own), weight[_cell(tokens)].mean(), np.float32))
-            if sigs:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys)),
-                     pa.array(np.concatenate(typical))], ["sig", "key", "typical"])
+                rare, hot, many = signatures(tokens, table, frequent, percent)
+                size = len(rare) + len(hot)
+                own = (np.concatenate([rare, hot]).view(np.int64), np.arange(size) >= len(rare), np.full(size, key, np.int64),
+                       np.full(size, len(tokens), np.int32), np.full(size, many, np.int32),
+                       np.full(size, weight[_cell(tokens)].mean(), np.float32))
+                for column, values in zip(columns, own):
+                    column.append(values)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns],
+                                                 ["sig", "hot", "key", "n", "many", "typical"])
+
+    return docs.mapInArrow(run, "sig long, hot boolean, key long, n int, many int, typical float")
 
-    return docs.mapInArrow(run, "sig long, key long, typical float")
+
+def shared_entries(index: DataFrame) -> DataFrame:
+    """The index rows whose entry has several classes.
+
+    A rare token has fewer documents than ``frequent``, as its counter says, so a window over its
+    rows is small; entries of frequent tokens are added up inside the tasks and joined back.
+    """
+    entry = Window.partitionBy("sig")
+    rare = index.filter("not hot").withColumns({"low": F.min("key").over(entry), "high": F.max("key").over(entry)})
+    hot = index.filter("hot")
+    several = hot.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
+    return rare.filter("low <> high").drop("low", "high").unionByName(hot.join(several.select("sig"), "sig", "left_semi"))
+
+
+def core_entries(rows: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """Rows of classes that share enough prefix tokens to have a link at all."""
+    smaller = (F.col("n") * percent / 100).cast("int")
+    needed = 2 + F.floor(smaller / 20)
+    for _ in range(rounds):
+        enough = rows.groupBy("key").agg(F.count_if(~F.col("hot")).alias("rare"), F.max("many").alias("many"), F.max("n").alias("n")) \
+            .filter(F.col("rare") + F.col("many") >= needed).select("key")
+        rows = rows.join(enough, "key", "left_semi")
+        several = rows.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
+        rows = stored(rows.join(several.select("sig"), "sig", "left_semi"), "jaccard-core")
+    return rows
 
 
 # -- verification --------------------------------------------------------------------------------
@@ -305,12 +341,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     frequent = max(1000, int(counters.sum()) // 100_000)
     shared = spark.sparkContext.broadcast(counters)
     index = stored(index_rows(docs, width, percent, shared, frequent), "jaccard-index")
+    core = core_entries(stored(shared_entries(index), "jaccard-shared"), percent)
 
-    # entries of one class drop out; the others name their most typical class as pivot
-    entries = index.groupBy("sig").agg(
-        F.min("key").alias("low"), F.max("key").alias("high"),
-        F.max(F.struct("typical", "key")).alias("pivot")).filter("low <> high")
-    pairs = stored(index.join(entries.select("sig", F.col("pivot.key").alias("pivot")), "sig")
+    # each entry names its most typical class as pivot
+    pivots = core.groupBy("sig").agg(F.max(F.struct("typical", "key")).alias("pivot"))
+    pairs = stored(core.join(pivots.select("sig", F.col("pivot.key").alias("pivot")), "sig")
                    .filter("key <> pivot").select("pivot", "key").distinct(), "jaccard-families")
     ids = documents.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"))
     involved = pairs.select("key").union(pairs.select("pivot")).distinct()
