@@ -84,8 +84,3 @@ TIME_TOKENS = (
     "timestamp", "datetime", "event_time", "event_date", "date", "time", "created", "occurred",
 )
 SEPARATORS = (",", ";", "\t", " ")
-USER_TOKENS = ("user_id", "customer_id", "client_id", "user", "customer")
-ITEM_TOKENS = ("product_id", "item_id", "sku", "product", "item")
-PURCHASE_TOKENS = (
-    "purchased", "purchase", "converted", "conversion", "clicked", "target", "label",
-)

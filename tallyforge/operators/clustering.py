@@ -36,17 +36,8 @@ def with_kmeans(df: DataFrame, k: int, **options) -> DataFrame:
 
 
 def micro_clusters(df: DataFrame, limit: int = MICRO):
-    """Centres and weights of at most ``limit`` micro-clusters, and the rows with their number.
-
-    With few distinct places every place is its own micro-cluster and nothing is approximated.
-    """
-    places = df.groupBy(vector_to_array("features").alias("x")).agg(F.count("*").alias("w"))
-    found = places.orderBy("x").limit(limit + 1).collect()
-    if len(found) <= limit:
-        centres, weights = np.array([r.x for r in found]), np.array([r.w for r in found], dtype=float)
-        table = df.sparkSession.createDataFrame([(r.x, i) for i, r in enumerate(found)], "_x array<double>, micro int")
-        rows = df.withColumn("_x", vector_to_array("features")).join(F.broadcast(table), "_x").drop("_x")
-        return centres, weights, rows
+    """Centres and weights of at most ``limit`` micro-clusters, and the rows with their number; the
+    same k-means step at every size of the table."""
     model = KMeans(k=limit, seed=SEED, maxIter=10).fit(df)
     rows = model.transform(df).withColumnRenamed("prediction", "micro")
     sizes = {r.micro: r.n for r in rows.groupBy("micro").agg(F.count("*").alias("n")).collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.columns import numeric_columns, string_columns
+from tallyforge.functions.columns import nan_to_null, numeric_columns, string_columns
 from tallyforge.operators.counts import collect_facts
 from tallyforge.operators.roles import binary_target, with_codes
 
@@ -18,7 +18,7 @@ def churn_overview(df: DataFrame, target: str) -> DataFrame:
         F.round(F.try_divide(F.col("churned") * 100.0, F.col("total")), 4).alias("churn_rate_pct"))
 
 
-def churn_by_category(df: DataFrame, target: str, max_levels: int = 20, max_columns: int = 6) -> DataFrame:
+def churn_by_category(df: DataFrame, target: str, max_levels: int = 20, max_columns: int | None = None) -> DataFrame:
     """Churn rate per level of the small string columns; levels without churn are left out."""
     strings = string_columns(df, exclude=[target])
     facts = collect_facts(df, strings)
@@ -45,14 +45,16 @@ def _correlations(df: DataFrame, columns: list[str], y: str) -> DataFrame:
     return wide.select(F.inline(entries)).filter("correlation IS NOT NULL AND NOT isnan(correlation)")
 
 
-def _strongest(found: DataFrame, top: int) -> DataFrame:
+def _strongest(found: DataFrame, top: int | None) -> DataFrame:
     r = F.col("correlation")
-    return found.select("feature", F.round(r, 6).alias("correlation"), F.round(F.abs(r), 6).alias("strength")).orderBy(
-        F.desc("strength"), "feature").limit(top)
+    out = found.select("feature", F.round(r, 6).alias("correlation"), F.round(F.abs(r), 6).alias("strength")).orderBy(
+        F.desc("strength"), "feature")
+    return out if top is None else out.limit(top)
 
 
-def churn_correlations(df: DataFrame, target: str, top: int = 20) -> DataFrame:
+def churn_correlations(df: DataFrame, target: str, top: int | None = None) -> DataFrame:
     """Pearson correlation with the 0/1 label; categories as their sorted codes."""
+    df = nan_to_null(df)
     y = binary_target(df, target)
     coded = df.withColumn("_y", y)
     strings = string_columns(df, exclude=[target])
@@ -63,8 +65,9 @@ def churn_correlations(df: DataFrame, target: str, top: int = 20) -> DataFrame:
     return _strongest(_correlations(coded, columns, "_y"), top)
 
 
-def top_correlations(df: DataFrame, target: str, top: int = 10) -> DataFrame:
+def top_correlations(df: DataFrame, target: str, top: int | None = None) -> DataFrame:
     """Numeric columns most correlated with the target, over at least 8 complete pairs."""
+    df = nan_to_null(df)
     coded = with_codes(df, target, "_y")
     columns = numeric_columns(df, exclude=[target])
     return _strongest(_correlations(coded, columns, "_y").filter("n >= 8"), top)

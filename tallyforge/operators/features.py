@@ -10,14 +10,15 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.columns import numeric_columns, scalar_row, seconds_between
+from tallyforge.functions.columns import nan_to_null, numeric_columns, scalar_row, seconds_between
 from tallyforge.operators.counts import collect_facts
 from tallyforge.operators.ordering import neighbourhood
 from tallyforge.operators.prepare import impute_robust
 
 
-def judge_numeric(df: DataFrame, exclude: Sequence[str] = (), limit: int = 50) -> list[dict]:
+def judge_numeric(df: DataFrame, exclude: Sequence[str] = (), limit: int | None = None) -> list[dict]:
     """Why each numeric column is kept or dropped; kept ones ranked by population variance."""
+    df = nan_to_null(df)
     columns = numeric_columns(df, exclude)
     facts = collect_facts(df, columns)
     spread = scalar_row(df.agg(
@@ -28,48 +29,42 @@ def judge_numeric(df: DataFrame, exclude: Sequence[str] = (), limit: int = 50) -
         present = f.n_rows - f.n_missing
         unique = f.nunique / max(1, present)
         common = f.mode_count / max(1, present)
-        if present == 0:
-            status = "all_missing"
-        elif unique > 0.995 and f.nunique > min(100, max(20, present // 5)):
-            status = "id_like"
-        elif f.nunique <= 1:
-            status = "constant"
-        elif common >= 0.995:
-            status = "near_constant"
-        else:
-            status = "kept"
+        rules = {  # the first that holds gives the reason
+            "all_missing": present == 0,
+            "id_like": unique > 0.995 and f.nunique > min(100, max(20, present // 5)),
+            "constant": f.nunique <= 1,
+            "near_constant": common >= 0.995,
+        }
+        status = next((reason for reason, holds in rules.items() if holds), "kept")
         out.append({"column": c, "status": status, "variance": spread[c], "position": position})
     kept = sorted((r for r in out if r["status"] == "kept"),
                   key=lambda r: (-r["variance"], r["position"]))
     for rank, r in enumerate(kept):
         r["rank"] = rank
-        if rank >= limit:
+        if limit is not None and rank >= limit:
             r["status"] = "over_budget"
     return out
 
 
-def select_numeric(df: DataFrame, exclude: Sequence[str] = (), limit: int = 50) -> list[str]:
+def select_numeric(df: DataFrame, exclude: Sequence[str] = (), limit: int | None = None) -> list[str]:
     kept = [r for r in judge_numeric(df, exclude, limit) if r["status"] == "kept"]
     return [r["column"] for r in sorted(kept, key=lambda r: r["rank"])]
 
 
-def judgement_table(df: DataFrame, exclude: Sequence[str] = (), limit: int = 50) -> DataFrame:
+def judgement_table(df: DataFrame, exclude: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     rows = [(r["column"], r["status"], None if r["variance"] is None else float(r["variance"]),
              r.get("rank", -1)) for r in judge_numeric(df, exclude, limit)]
     return df.sparkSession.createDataFrame(
         rows, "column string, status string, variance double, rank int")
 
 
-ROW_STATS = ("row_mean", "row_std", "row_min", "row_max", "row_abs_mean", "row_l2_norm")
-
-
-def row_statistics(columns: Sequence[str], budget: int = 50) -> dict[str, Column]:
-    """Statistics across the columns of one row, as many as the feature budget leaves room for."""
+def row_statistics(columns: Sequence[str]) -> dict[str, Column]:
+    """Statistics across the columns of one row."""
     xs = [F.col(c).cast("double") for c in columns]
     n = F.lit(float(len(xs)))
     total = lambda parts: sum(parts[1:], parts[0])
     mean = total(xs) / n
-    stats = {
+    return {
         "row_mean": mean,
         "row_std": F.sqrt(total([(x - mean) * (x - mean) for x in xs]) / n),
         "row_min": F.least(*xs) if len(xs) > 1 else xs[0],
@@ -77,23 +72,22 @@ def row_statistics(columns: Sequence[str], budget: int = 50) -> dict[str, Column
         "row_abs_mean": total([F.abs(x) for x in xs]) / n,
         "row_l2_norm": F.sqrt(total([x * x for x in xs])),
     }
-    room = max(0, budget - len(xs))
-    return {name: stats[name] for name in ROW_STATS[:room]}
 
 
-def tabular_features(df: DataFrame, columns: Sequence[str], budget: int = 50) -> DataFrame:
+def tabular_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Imputed columns with their row statistics."""
-    columns = list(columns)[:budget]
-    return impute_robust(df, columns).withColumns(row_statistics(columns, budget))
+    columns = list(columns)
+    return impute_robust(df, columns).withColumns(row_statistics(columns))
 
 
 def timeseries_features(df: DataFrame, time: str, key: str, columns: Sequence[str],
-                        window: int = 12, budget: int = 50) -> tuple[DataFrame, list[str]]:
+                        window: int = 12) -> tuple[DataFrame, list[str]]:
     """Lag, difference and rolling moments along the time axis (no imputation yet).
 
-    The axis runs over the whole table; equal times are ordered by the key.
+    The axis runs over the whole table; equal times are ordered by the key. Rows without a time have
+    no place on it and are not returned.
     """
-    base = list(columns)[:max(1, min(len(columns), budget // 5))]
+    base = list(columns)
     timed = df.filter(F.col(time).isNotNull())
     made: dict = {}
     for c in base:

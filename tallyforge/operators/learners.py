@@ -231,14 +231,20 @@ def scale_gamma(df: DataFrame) -> float:
 class KernelMachine:
     """Support vectors with an rbf kernel, as a linear machine over random cosine features."""
 
-    def __init__(self, task: str, c: float = 1.0, kernel: str = "rbf", classes: int = 2):
-        self.task, self.c, self.kernel, self.classes = task, c, kernel, classes
+    def __init__(self, task: str, c: float = 1.0, kernel: str = "rbf", classes: int = 2, gamma: str | float = "scale"):
+        self.task, self.c, self.kernel, self.classes, self.gamma = task, c, kernel, classes, gamma
+
+    def width(self, df: DataFrame) -> float:
+        """The kernel's gamma: a number, ``auto`` (1 / features) or ``scale`` (also by the variance)."""
+        if self.gamma == "auto":
+            return 1.0 / len(df.select("features").first().features)
+        return scale_gamma(df) if self.gamma == "scale" else float(self.gamma)
 
     def fit(self, df: DataFrame) -> "KernelMachineModel":
         n = df.count()
         lift = None
         if self.kernel == "rbf":
-            lift = FourierFeatures(len(df.select("features").first().features), scale_gamma(df))
+            lift = FourierFeatures(len(df.select("features").first().features), self.width(df))
             df = lift.transform(df, "_lifted")
         else:
             df = df.withColumn("_lifted", F.col("features"))
@@ -320,11 +326,11 @@ def build(name: str, task: str, rows: int, classes: int = 2, **p):
     step = float(p.get("learning_rate", 0.1))
     regression = task == "regression"
 
-    def boosted(depth, step):
+    def boosted(depth, step, bins=32):
         if regression:
-            return GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=step, seed=SEED)
-        one = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, seed=SEED, **weight)
-        return one if classes <= 2 else OneVsRest(classifier=one)
+            return GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=step, maxBins=bins, seed=SEED)
+        one = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, maxBins=bins, seed=SEED, **weight)
+        return one if classes <= 2 else OneVsRest(classifier=one, **weight)
 
     if name == "random_forest":
         kind = RandomForestRegressor if regression else RandomForestClassifier
@@ -333,7 +339,7 @@ def build(name: str, task: str, rows: int, classes: int = 2, **p):
         return boosted(depth or 3, step)
     if name in _BOOSTED:
         preset_depth, preset_step = _BOOSTED[name]
-        return boosted(depth or preset_depth, float(p.get("learning_rate", preset_step)))
+        return boosted(depth or preset_depth, float(p.get("learning_rate", preset_step)), 256)
     if name == "decision_tree":
         kind = DecisionTreeRegressor if regression else DecisionTreeClassifier
         return kind(maxDepth=depth or TREE_DEPTH, seed=SEED, **least, **weight)
@@ -341,7 +347,7 @@ def build(name: str, task: str, rows: int, classes: int = 2, **p):
         rate = float(p.get("learning_rate", 1.0))
         return AdaBoostRegressor(trees, rate) if regression else AdaBoost(trees, rate, classes)
     if name == "svm":
-        return KernelMachine(task, float(p.get("C", 1.0)), p.get("kernel", "rbf"), classes)
+        return KernelMachine(task, float(p.get("C", 1.0)), p.get("kernel", "rbf"), classes, p.get("gamma", "scale"))
     if name == "knn":
         return Neighbours(task, int(p.get("n_neighbors", 5)), p.get("weights", "uniform"))
     if name == "linear" and regression:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import vocab
 from tallyforge.functions.columns import (
-    categorical_columns, families, numeric_columns, scalar_row,
+    categorical_columns, families, nan_to_null, numeric_columns, scalar_row,
 )
 from tallyforge.operators.counts import collect_facts, value_counts
 from tallyforge.operators.quantiles import column_quantiles
@@ -25,12 +25,13 @@ from tallyforge.session import broadcast_if_small
 
 
 def means(df: DataFrame, columns: Sequence[str]) -> dict:
+    df = nan_to_null(df)
     row = scalar_row(df.agg(F.count("*"), *[F.avg(F.col(c).cast("double")).alias(c) for c in columns]))
     return {c: row[c] for c in columns}
 
 
 def medians(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> dict:
-    return {c: q[0] for c, q in column_quantiles(df, columns, [0.5], approximate).items()}
+    return {c: q[0] for c, q in column_quantiles(nan_to_null(df), columns, [0.5], approximate).items()}
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict:
@@ -39,8 +40,8 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict:
 
 
 def fill(df: DataFrame, values: dict) -> DataFrame:
-    """Replaces nulls by one value per column; numbers become doubles."""
-    out = {}
+    """Replaces nulls and NaN by one value per column; numbers become doubles."""
+    df, out = nan_to_null(df), {}
     for c, v in values.items():
         if isinstance(v, (int, float)) and not isinstance(v, bool):
             out[c] = F.coalesce(F.col(c).cast("double"), F.lit(float(v)))
@@ -70,7 +71,7 @@ def choose_scaler(df: DataFrame, columns: Sequence[str]) -> str:
     """Standard when the largest sample variance exceeds 1, min-max otherwise."""
     if not columns:
         return "standard"
-    row = scalar_row(df.agg(*[F.var_samp(F.col(c).cast("double")).alias(c) for c in columns]))
+    row = scalar_row(nan_to_null(df).agg(*[F.var_samp(F.col(c).cast("double")).alias(c) for c in columns]))
     largest = max((row[c] for c in columns if row[c] is not None), default=0.0)
     return "standard" if largest > 1 else "minmax"
 
@@ -95,7 +96,7 @@ class Scaler:
                 aggs += [F.avg(x).alias(f"a_{c}"), F.stddev_pop(x).alias(f"b_{c}")]
             else:
                 aggs += [F.min(x).alias(f"a_{c}"), (F.max(x) - F.min(x)).alias(f"b_{c}")]
-        row = scalar_row(df.agg(*aggs))
+        row = scalar_row(nan_to_null(df).agg(*aggs))
         return cls(kind, {c: row[f"a_{c}"] or 0.0 for c in columns},
                    {c: row[f"b_{c}"] or 1.0 for c in columns})
 

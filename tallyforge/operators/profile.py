@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import (
-    dtype_family, numeric_columns, scalar_columns, scalar_row,
+    dtype_family, nan_to_null, numeric_columns, scalar_columns, scalar_row,
 )
 from tallyforge.operators.counts import column_facts
 from tallyforge.operators.quantiles import quantiles
@@ -21,15 +21,26 @@ def _missing(name: str):
     return F.count_if(F.col(name).isNull())
 
 
+def row_digest(df: DataFrame):
+    """256-bit digest of a row's values in their own types; nulls and field borders are marked, and
+    times keep their microseconds."""
+    parts = []
+    for f in df.schema.fields:
+        kind = dtype_family(f.dataType)
+        text = F.to_json(F.struct(F.col(f.name))) if kind == "other" else F.col(f.name).cast("string")
+        parts += [F.coalesce(F.length(text), F.lit(-1)).cast("string"), F.coalesce(text, F.lit(""))]
+    return F.sha2(F.concat_ws(":", *parts), 256)
+
+
 def overview(df: DataFrame) -> DataFrame:
     """Rows, columns, missing cells and share, fully duplicated rows.
 
-    Copies are found by a 128-bit digest of the row, so long texts never travel.
+    Copies are found by a digest of the row, so long texts never travel.
     """
+    df = nan_to_null(df)
     width = len(df.columns)
     gaps = sum((F.col(c).isNull().cast("int") for c in df.columns), F.lit(0))
-    digest = F.md5(F.to_json(F.struct(*df.columns)))
-    distinct = df.select(digest.alias("_d"), gaps.alias("_gaps")).groupBy("_d").agg(
+    distinct = df.select(row_digest(df).alias("_d"), gaps.alias("_gaps")).groupBy("_d").agg(
         F.count("*").alias("_n"), F.sum("_gaps").alias("_gaps"))
     totals = distinct.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
@@ -47,7 +58,8 @@ def overview(df: DataFrame) -> DataFrame:
 
 
 def missing_by_column(df: DataFrame, only_gaps: bool = True) -> DataFrame:
-    """Missing count and share per column, largest first."""
+    """Missing count and share per column, largest first; NaN is missing."""
+    df = nan_to_null(df)
     counts = df.agg(F.count("*").alias("_rows"), *[_missing(c).alias(c) for c in df.columns])
     long = counts.unpivot(["_rows"], list(df.columns), "column", "missing")
     out = long.select(
@@ -60,7 +72,7 @@ def missing_by_column(df: DataFrame, only_gaps: bool = True) -> DataFrame:
     return out.orderBy(F.desc("missing"), "column")
 
 
-def cardinality(df: DataFrame, top: int = 15, approximate: bool = False) -> DataFrame:
+def cardinality(df: DataFrame, top: int | None = None, approximate: bool = False) -> DataFrame:
     """Distinct values per column, largest first. ``approximate`` trades exactness for one pass."""
     columns = scalar_columns(df)
     kinds = {c: dtype_family(df.schema[c].dataType) for c in columns}
@@ -70,11 +82,8 @@ def cardinality(df: DataFrame, top: int = 15, approximate: bool = False) -> Data
     else:
         counts = column_facts(df, columns).select("column", "nunique")
     kind = F.coalesce(*[F.when(F.col("column") == c, F.lit(k)) for c, k in kinds.items()])
-    return (
-        counts.select("column", kind.alias("dtype"), "nunique")
-        .orderBy(F.desc("nunique"), "column")
-        .limit(top)
-    )
+    out = counts.select("column", kind.alias("dtype"), "nunique").orderBy(F.desc("nunique"), "column")
+    return out if top is None else out.limit(top)
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -83,6 +92,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     Columns without gaps share their means, so their pairs need plain sums of centred products,
     which stay in generated code; only pairs with a gap use one correlation aggregate each.
     """
+    df = nan_to_null(df)
     columns = list(columns or numeric_columns(df))
     if len(columns) < 2:
         raise ValueError("need at least two numeric columns")
@@ -110,7 +120,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Equal-width bins between the smallest and the largest value; empty bins included."""
-    values = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL")
+    values = nan_to_null(df.select(F.col(column).cast("double").alias("x"))).filter("x IS NOT NULL")
     edges = scalar_row(values.agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
     spark = df.sparkSession
     if edges.lo is None:
@@ -144,14 +154,14 @@ def top_values(df: DataFrame, column: str, top: int = 20) -> DataFrame:
     )
 
 
-def box_by_class(df: DataFrame, target: str, max_features: int = 8) -> DataFrame:
+def box_by_class(df: DataFrame, target: str, max_features: int | None = None) -> DataFrame:
     """Box-plot numbers of each numeric column per class.
 
     Whiskers are the most extreme values within 1.5 interquartile ranges of the box.
     """
     columns = numeric_columns(df, exclude=[target])[:max_features]
     long = (
-        df.select(F.col(target).cast("string").alias("class"),
+        nan_to_null(df).select(F.col(target).cast("string").alias("class"),
                   *[F.col(c).cast("double").alias(c) for c in columns])
         .unpivot(["class"], columns, "feature", "x")
         .filter("x IS NOT NULL AND class IS NOT NULL")

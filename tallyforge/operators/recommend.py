@@ -10,18 +10,16 @@ from pyspark.sql import functions as F
 from tallyforge.functions import vocab
 from tallyforge.operators.ordering import positions
 
-# Items considered per user, in text order; part of the definition of the support counts.
-BASKET_LIMIT = 80
+# Items of one user that are paired in one row; a longer basket is cut into blocks of about so many.
+BASKET_BLOCK = 256
 
 
-def baskets(df: DataFrame, user: str, item: str, limit: int = BASKET_LIMIT) -> DataFrame:
-    """Distinct items per user, compared as text, the first ``limit`` in order.
-
-    The rank filter becomes a group limit before the shuffle, so a user with a third of all rows
-    sends at most ``limit`` items per task.
-    """
+def baskets(df: DataFrame, user: str, item: str, limit: int | None = None) -> DataFrame:
+    """Distinct items per user, compared as text; with ``limit``, the first so many in order."""
     pairs = df.select(F.col(user).cast("string").alias("user"), F.col(item).cast("string").alias("item"))
     distinct = pairs.filter("user IS NOT NULL AND item IS NOT NULL").distinct()
+    if limit is None:
+        return distinct
     place = F.row_number().over(Window.partitionBy("user").orderBy("item"))
     return distinct.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
 
@@ -34,16 +32,21 @@ def cooccurrence(basket: DataFrame, min_support: int = 2) -> DataFrame:
     """Neighbours ``(item, neighbour, support, confidence)`` in both directions.
 
     Items of fewer than ``min_support`` users cannot be in any pair that counts and are left out
-    before the pairs are made; the rest are numbered so that pairs are two integers. A basket is
-    one array of at most the basket limit, so the pairs of one user are bounded, and they are
+    before the pairs are made; the rest are numbered so that pairs are two integers. A basket is cut
+    into blocks that meet block by block, so no row holds a whole long basket, and the pairs are
     summed before the shuffle.
     """
     frequent = item_counts(basket).filter(F.col("users") >= min_support)
     items = positions(frequent, ["item"], "code")
-    lists = basket.join(items, "item").groupBy("user").agg(F.sort_array(F.collect_list("code")).alias("codes"))
-    firsts = lists.select("codes", F.posexplode("codes").alias("at", "a"))
-    rest = F.slice("codes", F.col("at") + 2, F.size("codes"))
-    pairs = firsts.select("a", F.explode(rest).alias("b"))
+    coded = basket.join(items, "item")
+    blocks = coded.groupBy("user").agg(F.ceil(F.count("*") / BASKET_BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int")
+    lists = coded.join(blocks, "user").groupBy("user", block.alias("i")).agg(F.collect_list("code").alias("xs"))
+    others = lists.select(F.col("user").alias("_user"), F.col("i").alias("j"), F.col("xs").alias("ys"))
+    met = lists.join(others, (F.col("user") == F.col("_user")) & (F.col("i") <= F.col("j")))
+    both = met.select("i", "j", "ys", F.explode("xs").alias("x")).select("i", "j", "x", F.explode("ys").alias("y"))
+    both = both.filter((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    pairs = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     support = pairs.groupBy("a", "b").agg(F.count("*").alias("support"))
     kept = support.filter(F.col("support") >= min_support)
     both = kept.select(F.inline(F.array(
@@ -72,13 +75,13 @@ def summary(df: DataFrame, user: str, item: str, basket: DataFrame, pairs: DataF
 
 
 def ranking_columns(columns: list[str]) -> list[str]:
-    """The first two columns that name a key."""
-    return [c for c in columns if re.search(vocab.ID_NAME_RANKING, c, re.IGNORECASE)][:2]
+    """The columns that name a key."""
+    return [c for c in columns if re.search(vocab.ID_NAME_RANKING, c, re.IGNORECASE)]
 
 
 def rank_by_score(df: DataFrame, score: str, key: str, target: str | None = None, top: int = 50) -> DataFrame:
-    """The ``top`` (at most 500) rows by probability with the 0.5 decision, key columns first."""
+    """The ``top`` rows by probability with the 0.5 decision, key columns first."""
     flagged = df.withColumn("predicted", (F.col(score) >= 0.5).cast("int"))
     shown = ranking_columns([c for c in df.columns if c not in (score, target)])
     shown += [c for c in (key, target, score, "predicted") if c and c not in shown]
-    return flagged.select(*shown).orderBy(F.desc(score), key).limit(min(500, top))
+    return flagged.select(*shown).orderBy(F.desc(score), key).limit(top)

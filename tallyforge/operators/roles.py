@@ -93,15 +93,17 @@ def target_scores(df: DataFrame) -> DataFrame:
     rows = []
     for position, c in enumerate(facts):
         name, f = c.lower(), facts[c]
-        present = max(1, f.n_rows - f.n_missing)
-        ratio = max(1, f.nunique) / present
-        score = 4.0 if any(token in name for token in vocab.TARGET_TOKENS) else 0.0
-        score += 2.5 if ratio <= 0.25 else 1.0 if ratio <= 0.6 else 0.0
-        score -= 4.0 if ratio >= 0.95 and f.n_rows > 80 else 0.0
-        score += 0.4 if kind[c] in ("integer", "float", "boolean") else 0.0
-        score -= 3.0 if re.search(vocab.ID_NAME_SHORT, name) else 0.0
-        score -= 2.0 * (f.n_missing / f.n_rows if f.n_rows else 0.0)
-        rows.append((c, position, f.nunique, score))
+        ratio = max(1, f.nunique) / max(1, f.n_rows - f.n_missing)
+        points = (  # fixed values: what counts for and against a column
+            (any(token in name for token in vocab.TARGET_TOKENS), 4.0),
+            (ratio <= 0.25, 2.5),
+            (0.25 < ratio <= 0.6, 1.0),
+            (ratio >= 0.95 and f.n_rows > 80, -4.0),
+            (kind[c] in ("integer", "float", "boolean"), 0.4),
+            (bool(re.search(vocab.ID_NAME_SHORT, name)), -3.0),
+        )
+        gaps = f.n_missing / f.n_rows if f.n_rows else 0.0
+        rows.append((c, position, f.nunique, sum(p for holds, p in points if holds) - 2.0 * gaps))
     best = max(rows, key=lambda r: (r[3], -r[1]))[0]
     return df.sparkSession.createDataFrame(
         [(c, n, round(s, 4), int(c == best)) for c, _, n, s in rows],
@@ -112,16 +114,19 @@ def detect_target(df: DataFrame) -> str:
     return target_scores(df).filter("is_best = 1").first()["column"]
 
 
+def _churn_name_rank(position: int, name: str) -> tuple | None:
+    """Sort key of a name that speaks of churn: whole names first, in the order of the fixed lists."""
+    plain = name.lower().replace(" ", "_")
+    ranks = [(0, i) for i, word in enumerate(vocab.CHURN_NAMES) if plain == word]
+    ranks += [(1, i) for i, part in enumerate(vocab.CHURN_NAME_PARTS) if part in plain]
+    return (*ranks[0], position) if ranks else None
+
+
 def detect_churn_column(df: DataFrame) -> str | None:
-    """Target column of a churn table: by exact name, by part of a name, by its two values."""
-    named = {c.lower().replace(" ", "_"): c for c in df.columns}
-    for word in vocab.CHURN_NAMES:
-        if word in named:
-            return named[word]
-    for part in vocab.CHURN_NAME_PARTS:
-        for low, original in named.items():
-            if part in low:
-                return original
+    """Target column of a churn table: the best name, else the first column with a known pair of values."""
+    ranked = [(r, c) for i, c in enumerate(df.columns) if (r := _churn_name_rank(i, c))]
+    if ranked:
+        return min(ranked)[1]
     columns = scalar_columns(df)
     two_valued = (
         value_counts(df, columns).filter("value IS NOT NULL")

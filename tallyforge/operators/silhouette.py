@@ -1,4 +1,8 @@
-"""Silhouette values."""
+"""Silhouette values on squared distances.
+
+The average squared distance of a row to a cluster follows exactly from the cluster's sums, so the
+value takes one pass over the rows and is the same definition at every size.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +13,8 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.nearest import distances
-
-# The pairwise form sends all rows to every task; it is used up to this many numbers (16 MB).
-EXACT_NUMBERS = 2_000_000
+# Numbers (clusters times columns) that every task holds; more clusters than that are refused.
+CLUSTER_NUMBERS = 20_000_000
 
 
 def _arrays(df: DataFrame, cluster: str, features: str) -> DataFrame:
@@ -21,45 +23,20 @@ def _arrays(df: DataFrame, cluster: str, features: str) -> DataFrame:
     return df.withColumn("_x", x).withColumn("_c", F.col(cluster).cast("string"))
 
 
-def silhouette_samples(df: DataFrame, cluster: str, features: str = "features", method: str = "auto") -> DataFrame:
-    """Adds ``silhouette`` and the ``definition`` used.
-
-    ``euclidean`` averages plain distances, which needs every pair of rows; it is taken while the
-    table is provably small. ``squared`` uses squared distances, whose averages follow exactly
-    from the sums of each cluster, so it takes one pass at any size.
-    """
+def silhouette_samples(df: DataFrame, cluster: str, features: str = "features") -> DataFrame:
+    """Adds ``silhouette``: (b - a) / max(a, b) of the mean squared distances to the row's own and
+    to the nearest other cluster; 0 for a row that is alone in its cluster."""
     ready = _arrays(df, cluster, features)
-    sizes = {r["_c"]: r["n"] for r in ready.groupBy("_c").agg(F.count("*").alias("n")).collect()}
+    first = ready.select("_x").first()
+    width = len(first["_x"]) if first else 0
+    found = ready.groupBy("_c").agg(F.count("*").alias("n")).limit(CLUSTER_NUMBERS // max(width, 1) + 1).collect()
+    sizes = {r["_c"]: r["n"] for r in found}
     if len(sizes) < 2:
         raise ValueError("a silhouette needs at least two clusters")
-    width = len(ready.select("_x").first()["_x"])
-    small = sum(sizes.values()) * width <= EXACT_NUMBERS
-    if method == "auto":
-        method = "euclidean" if small else "squared"
-    if method == "euclidean" and not small:
-        raise ValueError("too many rows for plain distances; use method='squared'")
+    if len(sizes) * width > CLUSTER_NUMBERS:
+        raise ValueError(f"more than {CLUSTER_NUMBERS // width} clusters")
     names = sorted(sizes)
-    score = _euclidean(ready, names) if method == "euclidean" else _squared(ready, names, sizes, width)
-    return ready.withColumns({"silhouette": score, "definition": F.lit(method)}).drop("_x", "_c")
-
-
-def _euclidean(ready: DataFrame, names: list[str]):
-    rows = ready.select("_x", "_c").collect()  # at most EXACT_NUMBERS numbers
-    points = np.array([r["_x"] for r in rows])
-    member = np.array([[r["_c"] == n for n in names] for r in rows], dtype=float)
-    held, place = member.sum(axis=0), {n: i for i, n in enumerate(names)}
-
-    @F.pandas_udf("double")
-    def score(xs: pd.Series, cs: pd.Series) -> pd.Series:
-        x = np.vstack(xs.to_numpy())
-        mine = cs.map(place).to_numpy()
-        out = np.zeros(len(x))
-        for i in range(0, len(x), 512):
-            total = distances(x[i:i + 512], points, "euclidean") @ member
-            out[i:i + 512] = _score(total, mine[i:i + 512], held)
-        return pd.Series(out)
-
-    return score(F.col("_x"), F.col("_c"))
+    return ready.withColumn("silhouette", _squared(ready, names, sizes, width)).drop("_x", "_c")
 
 
 def _squared(ready: DataFrame, names: list[str], sizes: dict, width: int):
@@ -82,7 +59,6 @@ def _squared(ready: DataFrame, names: list[str], sizes: dict, width: int):
 
 
 def _score(total: np.ndarray, mine: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """(b - a) / max(a, b) from the summed distances to each cluster; 0 for a lone row."""
     row = np.arange(len(mine))
     a = total[row, mine] / np.maximum(held[mine] - 1, 1)
     other = total / held
@@ -94,5 +70,5 @@ def _score(total: np.ndarray, mine: np.ndarray, held: np.ndarray) -> np.ndarray:
     return out
 
 
-def silhouette(df: DataFrame, cluster: str, features: str = "features", method: str = "auto") -> float:
-    return silhouette_samples(df, cluster, features, method).agg(F.avg("silhouette").alias("s")).first().s
+def silhouette(df: DataFrame, cluster: str, features: str = "features") -> float:
+    return silhouette_samples(df, cluster, features).agg(F.avg("silhouette").alias("s")).first().s

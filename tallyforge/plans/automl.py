@@ -26,6 +26,8 @@ class Settings:
 
 def default_settings(task: str) -> Settings:
     """Defaults of the automatic mode."""
+    if task == "clustering":
+        raise ValueError("clustering has its own run: flows.automl_cluster")
     if task == "classification":
         return Settings(["boosted_lgbm", "boosted_xgb", "random_forest", "logistic"], "roc_auc", params={"n_estimators": 200})
     return Settings(["boosted_lgbm", "boosted_xgb", "random_forest", "linear"], "r2", params={"n_estimators": 200})
@@ -55,7 +57,7 @@ def _finish(spark, df, key, target, task, classes, plan, done, settings, test, r
     rows = df.join(scored.select(F.col("key").alias(key), *kept), key)
     return Result(
         task, best.name, tuning.leaderboard(spark, done, task, settings.metric), tuning.metric_table(spark, done),
-        rows, plan.summary(spark, removed), learners.importance(best.model, plan.names)[:20], classes)
+        rows, plan.summary(spark, removed), learners.importance(best.model, plan.names), classes)
 
 
 def _folds(settings: Settings, task: str, train: DataFrame) -> int:

@@ -10,7 +10,7 @@ from tallyforge.plans.catalog.profiling import _NUMERIC
 # -- recommendation: who bought which part -------------------------------------------------------
 
 _BASKET = """u AS (SELECT DISTINCT o_custkey::varchar AS "user", l_partkey::varchar AS item FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
-b AS (SELECT "user", item FROM u QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY item) <= 80),
+b AS (SELECT "user", item FROM u),
 n AS (SELECT item, count(*) AS users FROM b GROUP BY item)"""
 _PAIRS = _BASKET + """, s AS (SELECT x.item AS a, y.item AS b, count(*) AS support FROM b x JOIN b y ON x."user" = y."user" AND x.item < y.item GROUP BY ALL HAVING count(*) >= 2),
 p AS (SELECT s.a AS item, s.b AS neighbour, support, support / users::double AS confidence FROM s JOIN n ON n.item = s.a

@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from tallyforge.functions.hashing import hash_bucket
 from tallyforge.operators import clustering, isolation, registry
 from tallyforge.operators.prepare import Scaler
 from tallyforge.plans import automl, flows, tuning
@@ -69,9 +70,17 @@ def clu_leaderboard(t):
     return flows.cluster_leaderboard(customer_vectors(t), ["kmeans", "dbscan", "hierarchical"], k=4, eps=0.1, starts=2)
 
 
-@query("segment_flow")
-def segment_flow(t):
-    return flows.segment_flow(t.events.drop("event_id"), k=4, starts=2).profile.select(
+@query("automl_cluster", "SELECT count(*) AS n_rows, 1 AS chosen_once, 1 AS useful FROM customer")
+def automl_cluster(t):
+    """Every customer in one cluster, one number of clusters, and a silhouette above zero."""
+    out = flows.automl_cluster(t.customer.select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("nation")), "c_custkey")
+    return out.agg(F.count("cluster").alias("n_rows"), F.count_distinct("k").cast("int").alias("chosen_once"),
+                   (F.max("silhouette") > 0).cast("int").alias("useful"))
+
+
+@query("segment_pipeline")
+def segment_pipeline(t):
+    return flows.segment_pipeline(t.events.drop("event_id"), k=4, starts=2).profile.select(
         "segment", "segment_size", "segment_share_pct", "value_mean", "value_count")
 
 
@@ -95,15 +104,15 @@ def iforest_score(t):
     return forest.score(rows).select("l_orderkey", "l_linenumber", F.round("anomaly_score", 6).alias("anomaly_score"))
 
 
-@query("anomaly_flow")
-def anomaly_flow(t):
-    found = flows.anomaly_flow(t.events, "event_id", trees=50)
+@query("anomaly_pipeline")
+def anomaly_pipeline(t):
+    found = flows.anomaly_pipeline(t.events, "event_id", trees=50)
     return found.rows.select("event_id", "value", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly")
 
 
-@query("anomaly_flow_tabular")
-def anomaly_flow_tabular(t):
-    found = flows.anomaly_flow(t.part.select("p_partkey", "p_size", "p_retailprice"), "p_partkey", mode="Tabular", method="local_outlier_factor")
+@query("anomaly_pipeline_tabular")
+def anomaly_pipeline_tabular(t):
+    found = flows.anomaly_pipeline(t.part.select("p_partkey", "p_size", "p_retailprice"), "p_partkey", mode="Tabular", method="local_outlier_factor")
     return found.importance.withColumn("importance", F.round("importance", 6))
 
 
@@ -121,15 +130,15 @@ def automl_churn(t):
     return automl.automl_churn(labelled_documents(t, "toxic"), "toxic", "doc_id", _quick(["random_forest", "logistic"], imbalance="smote")).leaderboard
 
 
-@query("upsell_flow")
-def upsell_flow(t):
-    out = flows.upsell_flow(labelled_documents(t, "toxic"), "toxic", "doc_id", settings=_quick(["logistic"], imbalance="class_weight"))
+@query("upsell_pipeline")
+def upsell_pipeline(t):
+    out = flows.upsell_pipeline(labelled_documents(t, "toxic"), "toxic", "doc_id", settings=_quick(["logistic"], imbalance="class_weight"))
     return out.withColumn("score", F.round("score", 6))
 
 
-@query("propensity_flow")
-def propensity_flow(t):
-    out = flows.propensity_flow(labelled_documents(t), "quality", "doc_id", settings=_quick(["logistic"]))
+@query("propensity_pipeline")
+def propensity_pipeline(t):
+    out = flows.propensity_pipeline(labelled_documents(t), "quality", "doc_id", settings=_quick(["logistic"]))
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -171,17 +180,14 @@ def score_batch(t):
     return registry.score_batch(events, train()).select("event_id", "prediction", F.round("score", 6).alias("score"))
 
 
-# First day of each arriving slice of the January events.
-_ARRIVALS = ("2024-01-01", "2024-01-11", "2024-01-21", "2025-01-01")
+SLICES = 3
 
 
 def _arriving(t, df):
-    """The events written slice by slice, as if they had arrived one after another."""
+    """All events written slice by slice, as if they had arrived one after another."""
     folder = os.path.join(shared_folder(t.spark), f"arriving-{uuid.uuid4().hex}")
-    for start, end in zip(_ARRIVALS, _ARRIVALS[1:]):
-        moment = lambda day: F.lit(day).cast("timestamp_ntz")
-        part = df.filter((F.col("ts") >= moment(start)) & (F.col("ts") < moment(end)))
-        part.drop("ts").coalesce(1).write.mode("append").parquet(folder)
+    for i in range(SLICES):
+        df.filter(hash_bucket("event_id", 11, SLICES) == i).drop("ts").write.mode("append").parquet(folder)
     return folder
 
 

@@ -83,17 +83,16 @@ for _key, (_name, _params) in _REGRESSORS.items():
     _register(_key, _name, "regression", price_rows, _params)
 
 
-_NB = "embedding[1]::double AS x1, embedding[2]::double AS x2, embedding[3]::double AS x3, embedding[4]::double AS x4"
-_NB_TERM = " - ".join([""] + [f"(ln(2 * pi() * (v{i} + e)) / 2 + (x{i} - m{i}) * (x{i} - m{i}) / (2 * (v{i} + e)))" for i in range(1, 5)])
-
-
-@query("cls_gaussian_nb", f"""WITH v AS (SELECT vec_id, label, {_NB} FROM embeddings), tr AS (SELECT * FROM v WHERE NOT {_TEST.format(k='vec_id')}),
-c AS (SELECT label, ln(count(*) / (SELECT count(*) FROM tr)::double) AS p, {', '.join(f'avg(x{i}) AS m{i}, var_pop(x{i}) AS v{i}' for i in range(1, 5))} FROM tr GROUP BY label),
-e AS (SELECT 1e-9::double * greatest(var_pop(x1), var_pop(x2), var_pop(x3), var_pop(x4)) AS e FROM tr),
-s AS (SELECT vec_id, c.label, p {_NB_TERM} AS s FROM v, c, e WHERE {_TEST.format(k='vec_id')})
+@query("cls_gaussian_nb", f"""WITH v AS (SELECT vec_id, label, unnest(embedding)::double AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+tr AS (SELECT * FROM v WHERE NOT {_TEST.format(k='vec_id')}),
+p AS (SELECT label, ln(count(*) / (SELECT count(*) FROM tr)::double) AS p FROM tr GROUP BY label),
+c AS (SELECT label, i, avg(x) AS m, var_pop(x) AS v FROM tr GROUP BY label, i),
+e AS (SELECT 1e-9::double * max(v) AS e FROM (SELECT var_pop(x) AS v FROM tr GROUP BY i)),
+s AS (SELECT v.vec_id, c.label, any_value(p.p) - sum(ln(2 * pi() * (c.v + e)) / 2 + (x - m) * (x - m) / (2 * (c.v + e))) AS s
+  FROM v JOIN c ON v.i = c.i JOIN p ON p.label = c.label, e WHERE {_TEST.format(k='vec_id')} GROUP BY v.vec_id, c.label)
 SELECT vec_id AS "key", label::double AS prediction FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) = 1""")
 def cls_gaussian_nb(t):
-    x = F.slice(F.col("embedding").cast("array<double>"), 1, 4)
+    x = F.col("embedding").cast("array<double>")
     v = splits.random_split(t.embeddings.select(F.col("vec_id").alias("key"), F.col("label").cast("double").alias("label"), array_to_vector(x).alias("features")), "key")
     model = learners.GaussianBayes().fit(v.filter("is_test = 0"))
     return model.transform(v.filter("is_test = 1")).select("key", "prediction")
@@ -166,5 +165,5 @@ def feature_importance(t):
     parts = []
     for name, params in (("random_forest", {"n_estimators": 20}), ("logistic", {})):
         model = learners.build(name, "classification", rows, **params).fit(train)
-        parts += [(name, f, round(v, 6)) for f, v in learners.importance(model, names)[:15]]
+        parts += [(name, f, round(v, 6)) for f, v in learners.importance(model, names)]
     return t.spark.createDataFrame(parts, "model string, feature string, importance double")

@@ -81,29 +81,27 @@ def clu_dbscan(t):
     return density.dbscan(customers(t), eps=_EPS, min_samples=_MIN)
 
 
-_SIL = f"""{_V}, d AS (SELECT p.k, p.label AS mine, q.label AS theirs, sum({_L2.format(a='p.x', b='q.x')}) AS s, count(*) AS n FROM v p JOIN v q ON p.k <> q.k GROUP BY ALL),
+# mean squared distances of every pair of rows
+_SIL = f"""{_V}, d AS (SELECT p.k, p.label AS mine, q.label AS theirs, sum({_L2.format(a='p.x', b='q.x')} ** 2) AS s, count(*) AS n FROM v p JOIN v q ON p.k <> q.k GROUP BY ALL),
 ab AS (SELECT k, mine, max(s / n) FILTER (mine = theirs) AS a, min(s / n) FILTER (mine <> theirs) AS b FROM d GROUP BY k, mine),
 s AS (SELECT k, mine, CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END AS silhouette FROM ab)"""
 
 
 @query("silhouette_samples", f'WITH {_SIL} SELECT k AS "key", mine AS label, round(silhouette, 6) AS silhouette FROM s')
 def silhouette_samples(t):
-    out = silhouette.silhouette_samples(_vectors(t), "label", method="euclidean")
+    out = silhouette.silhouette_samples(_vectors(t), "label")
     return out.select("key", "label", F.round("silhouette", 6).alias("silhouette"))
 
 
 @query("m_silhouette", f"WITH {_SIL} SELECT round(avg(silhouette), 6) AS silhouette FROM s")
 def m_silhouette(t):
-    value = silhouette.silhouette(_vectors(t), "label", method="euclidean")
+    value = silhouette.silhouette(_vectors(t), "label")
     return t.spark.createDataFrame([(round(value, 6),)], "silhouette double")
 
 
-_SIL2 = _SIL.replace("list_distance(p.x, q.x)", "list_distance(p.x, q.x) ** 2")
-
-
-@query("m_silhouette_squared", f"WITH {_SIL2} SELECT round(avg(silhouette), 6) AS silhouette FROM s")
+@query("m_silhouette_squared", f"WITH {_SIL} SELECT round(avg(silhouette), 6) AS silhouette FROM s")
 def m_silhouette_squared(t):
-    value = silhouette.silhouette(_vectors(t), "label", method="squared")
+    value = silhouette.silhouette(_vectors(t), "label")
     return t.spark.createDataFrame([(round(value, 6),)], "silhouette double")
 
 

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from tallyforge.operators import (
     anomaly, clustering, density, entity, features, isolation, prepare, recommend, segments, timeaxis,
 )
+from tallyforge.operators.ordering import positions
+from tallyforge.operators.profile import row_digest
 from tallyforge.operators.silhouette import silhouette
 from tallyforge.plans import automl
+from tallyforge.session import materialise
 
 
 # -- clustering ------------------------------------------------------------------------------------
@@ -99,6 +102,28 @@ def elbow(df: DataFrame, largest: int = 6, starts: int = 3) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
+def automl_cluster(df: DataFrame, key: str, numeric: list[str] | None = None, largest: int = 10) -> DataFrame:
+    """The automatic clustering run: numeric columns imputed and scaled, every number of clusters from
+    2 to ``largest`` tried by k-means, the one of the best silhouette taken.
+
+    Returns the rows with ``cluster`` and, on each, the chosen ``k`` and its ``silhouette``.
+    """
+    numeric = numeric or features.select_numeric(df, [key])
+    filled = prepare.impute_robust(df, numeric)
+    scaled = prepare.Scaler.fit(filled, numeric).transform(filled)
+    ready = materialise(scaled.select(F.col(key).alias("key"), array_to_vector(F.array(*numeric)).alias("features")))
+    distinct = ready.select("features").distinct().limit(largest + 1).count()
+    tried = []
+    for k in range(2, min(largest, distinct - 1) + 1):
+        labelled = materialise(cluster(ready, "kmeans", k=k))
+        found = labelled.select("cluster").distinct().count()
+        tried.append((silhouette(labelled, "cluster") if found > 1 else -1.0, -k, labelled))
+    if not tried:
+        raise ValueError("fewer than three different rows")
+    value, k, best = max(tried, key=lambda t: t[:2])
+    return best.select(F.col("key").alias(key), "cluster", F.lit(-k).alias("k"), F.lit(value).alias("silhouette"))
+
+
 @dataclass
 class Segments:
     rows: DataFrame
@@ -107,7 +132,7 @@ class Segments:
     entity: str | None
 
 
-def segment_flow(df: DataFrame, k: int = 4, target: str | None = None, entity_col: str | None = None,
+def segment_pipeline(df: DataFrame, k: int = 4, target: str | None = None, entity_col: str | None = None,
                  model: str = "kmeans", **params) -> Segments:
     """One row per entity, clustered, described and projected to two dimensions."""
     if target:
@@ -116,9 +141,9 @@ def segment_flow(df: DataFrame, k: int = 4, target: str | None = None, entity_co
     exclude = [found.entity] if found.entity else []
     plan = prepare.clustering_plan(found.table, exclude)
     ready = plan.transform(found.table)
-    # rows are keyed by the entity; a hash stands in for a key that is not a whole number
-    key = F.col(found.entity).cast("string") if found.entity else F.to_json(F.struct(*found.table.columns))
-    ready = ready.withColumn("key", F.xxhash64(key)).persist()
+    # rows are numbered in the order of the entity or of their digest, so equal rows stay two rows
+    order = F.col(found.entity) if found.entity else row_digest(found.table)
+    ready = materialise(positions(ready.withColumn("_order", order), ["_order"], "key").drop("_order"))
     rows = cluster(ready, model, k=k, **params).withColumnRenamed("cluster", "segment")
     projection, shares = features.project(rows, k=2)
     return Segments(
@@ -135,12 +160,17 @@ class Anomalies:
     rows: DataFrame
     importance: DataFrame
     summary: DataFrame
+    projection: DataFrame
     features: list[str]
 
 
-def anomaly_flow(df: DataFrame, key: str, mode: str = "Auto", method: str = "isolation_forest",
-                 contamination: float = 0.05, window: int = 12, budget: int = 50, trees: int = 100) -> Anomalies:
-    """Picks a time-series or tabular reading of the table, builds features, scores and explains."""
+def anomaly_pipeline(df: DataFrame, key: str, mode: str = "Auto", method: str = "isolation_forest",
+                 contamination: float = 0.05, window: int = 12, budget: int | None = None, trees: int = 100) -> Anomalies:
+    """Picks a time-series or tabular reading of the table, builds features, scores and explains.
+
+    With ``budget``, only so many features of the largest variance are scored. Rows without a time
+    have no place in a series: they come back with a null score and ``is_anomaly`` 0.
+    """
     resolved = timeaxis.resolve_mode(df, mode)
     exclude = [c for c in (resolved["column"], key) if c]
     numeric = features.select_numeric(df, exclude, budget)
@@ -148,13 +178,14 @@ def anomaly_flow(df: DataFrame, key: str, mode: str = "Auto", method: str = "iso
         raise ValueError("no usable numeric columns")
     if resolved["resolved"] == "Time-series":
         timed = timeaxis.parse_timestamp(df, resolved["column"], "_time")
-        table, names = features.timeseries_features(timed, "_time", key, numeric, window, budget)
+        table, names = features.timeseries_features(timed, "_time", key, numeric, window)
         table = prepare.impute_robust(table, names)
-        if len(names) > budget:
-            names = features.widest(table, names, budget)
+        unplaced = timed.filter("_time IS NULL")
     else:
-        table = features.tabular_features(df, numeric, budget)
-        names = numeric + list(features.row_statistics(numeric, budget))
+        table, unplaced = features.tabular_features(df, numeric), None
+        names = numeric + list(features.row_statistics(numeric))
+    if budget is not None and len(names) > budget:
+        names = features.widest(table, names, budget)
     scaler = prepare.Scaler.fit(table, names)
     scaled_names = [f"_z_{i}" for i in range(len(names))]
     scaled = table.withColumns({z: scaler.expression(c) for z, c in zip(scaled_names, names)})
@@ -167,19 +198,30 @@ def anomaly_flow(df: DataFrame, key: str, mode: str = "Auto", method: str = "iso
         scored = scaled.join(factor, key)
     else:
         raise ValueError(f"no method {method!r}")
-    scored = anomaly.label_by_share(scored.drop(*scaled_names), "anomaly_score", contamination)
-    return Anomalies(resolved, scored, anomaly.importance(scored, names), anomaly.summary(scored), names)
+    # scored once: the quantile, the explanation and the output read the stored rows
+    scored = materialise(scored)
+    flagged = anomaly.label_by_share(scored, "anomaly_score", contamination)
+    vectors = flagged.select(key, "anomaly_score", "is_anomaly", array_to_vector(F.array(*scaled_names)).alias("features"))
+    projection, shares = features.project(vectors, k=2)
+    flagged = flagged.drop(*scaled_names)
+    rows = flagged
+    if unplaced is not None:
+        rows = flagged.unionByName(unplaced.withColumn("is_anomaly", F.lit(0)), allowMissingColumns=True)
+    return Anomalies(
+        resolved, rows, anomaly.importance(flagged, names), anomaly.summary(flagged),
+        projection.select(key, "anomaly_score", "is_anomaly", "component_1", "component_2", F.lit(sum(shares)).alias("explained")),
+        names)
 
 
 # -- ranking ---------------------------------------------------------------------------------------
 
-def upsell_flow(df: DataFrame, target: str, key: str, top: int = 50, settings: automl.Settings | None = None) -> DataFrame:
+def upsell_pipeline(df: DataFrame, target: str, key: str, top: int = 50, settings: automl.Settings | None = None) -> DataFrame:
     """Test rows by the probability of the best churn-style model."""
     result = automl.automl_churn(df, target, key, settings)
     return recommend.rank_by_score(result.scored.drop("label", "prediction"), "score", key, target, top)
 
 
-def propensity_flow(df: DataFrame, target: str, key: str, top: int = 50, settings: automl.Settings | None = None) -> DataFrame:
+def propensity_pipeline(df: DataFrame, target: str, key: str, top: int = 50, settings: automl.Settings | None = None) -> DataFrame:
     """Test rows by purchase propensity, from the general preparation."""
     from tallyforge.operators.roles import binary_target
 

@@ -34,30 +34,32 @@ def detect_separator(spark: SparkSession, path: str) -> str:
     return max(vocab.SEPARATORS, key=lambda s: (head.count(s), -vocab.SEPARATORS.index(s)))
 
 
-def infer_schema(spark: SparkSession, path: str, sep: str) -> T.StructType:
+def infer_schema(spark: SparkSession, path: str, sep: str, multiline: bool = True) -> T.StructType:
     return (
         spark.read.option("header", True).option("inferSchema", True).option("sep", sep)
-        .option("escape", '"').option("preferDate", False).option("timestampType", "TIMESTAMP_NTZ").csv(path).schema
+        .option("multiLine", multiline).option("escape", '"').option("preferDate", False).option("timestampType", "TIMESTAMP_NTZ").csv(path).schema
     )
 
 
 def read_delimited(
     spark: SparkSession, path: str, sep: str | None = ",", schema: T.StructType | None = None,
+    multiline: bool = True,
 ) -> DataFrame:
     """Reads a header file; rows with too many fields are skipped, short rows are filled.
 
     ``sep=None`` detects the separator. One more column than the header catches the surplus of
     over-long rows, which is how they are told apart without dropping short ones. Pass ``schema``
-    to save the inference pass over large inputs.
+    to save the inference pass over large inputs. Quoted fields may hold line breaks, so a file is read
+    by one task; ``multiline=False`` lets Spark split files of which it is known that they hold none.
     """
     sep = sep or detect_separator(spark, path)
-    schema = schema or infer_schema(spark, path, sep)
+    schema = schema or infer_schema(spark, path, sep, multiline)
     if not schema.fields:
         raise ValueError(f"{path} is empty")
     wide = T.StructType([*schema.fields, T.StructField(_EXTRA, T.StringType())])
     rows = (
         spark.read.schema(wide).option("header", True).option("sep", sep)
-        .option("escape", '"').option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path)
+        .option("multiLine", multiline).option("escape", '"').option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path)
     )
     return nan_to_null(rows.filter(F.col(_EXTRA).isNull()).drop(_EXTRA))
 

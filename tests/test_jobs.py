@@ -81,10 +81,10 @@ def test_drift_stream_equals_batch(spark, tables, tmp_path):
 
 
 def test_segment_and_anomaly_flows(tables):
-    found = flows.segment_flow(tables.events.drop("event_id"), k=3, starts=1)
+    found = flows.segment_pipeline(tables.events.drop("event_id"), k=3, starts=1)
     assert found.entity == "user_id"
     assert found.profile.agg(F.sum("segment_size")).first()[0] == tables.events.select("user_id").distinct().count()
-    odd = flows.anomaly_flow(tables.events, "event_id", trees=20, contamination=0.1)
+    odd = flows.anomaly_pipeline(tables.events, "event_id", trees=20, contamination=0.1)
     assert odd.mode["resolved"] == "Time-series" and odd.mode["column"] == "ts"
     row = odd.summary.first()
     assert row.total == tables.events.count() and 0.08 * row.total <= row.anomalies <= 0.1 * row.total
