@@ -6,21 +6,22 @@ can repeat is sorted:
 
 1. Of equal texts only the one with the smallest id takes part; the others are covered whole.
 2. Anchors: the smallest hash of the ``gram``-byte strings in each window of ``length`` bytes. Equal
-   windows have equal anchors. Tasks send each anchor once, and one shuffle by anchor finds those
-   that occur in more than one document.
-3. Around each such anchor a document cuts the segment of all windows that contain it. Equal
-   segments are counted together with their smallest id before they are moved, so a passage of a
-   million documents is one row of its shard.
-4. A shard sorts the suffixes of its segments by induction; permuted common prefixes mark the
+   windows have equal anchors. Stored parts of the texts send each of their anchors once, and one
+   shuffle by anchor finds those that occur in more than one document and names one of these, the
+   anchor's head.
+3. A document cuts the regions around such anchors, all windows that contain them, and sends each to
+   the shard of the anchors' head. Near copies share the head all along, so a region is long and
+   moved once; all documents with a window meet in the same shard.
+4. A shard sorts the suffixes of its regions by induction; permuted common prefixes mark the
    suffixes that agree on ``length`` bytes with the one before; each such run has a smallest id.
-5. The windows with a smaller id than their document's are joined back and removed from the text.
+5. The windows with a smaller id than their document's are removed from the text.
 
 The texts are written once, bucketed by row, so no later join moves them again.
 
 Defined results: null counts as empty; texts shorter than ``length`` lose nothing; rows with the same
 id never remove anything from each other; a null id is larger than every other; extra columns are
 ignored; an empty table gives no rows. Ids are integers. Memory follows the longest text and the
-segments of one anchor.
+regions that one head gathers.
 """
 
 from __future__ import annotations
@@ -92,191 +93,240 @@ def text_anchors(data, offsets, length, gram):
     return owner[once], anchors[once]
 
 
-def anchor_blobs(texts: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
-    """Anchors of every stored part of the texts by shard, arrays as bytes.
+def _part_anchors(batches, length, gram):
+    """(part, anchors, numbers) of every stored part, sorted by anchor and number; a large part comes
+    in several pieces."""
+    part, numbers, anchors, size = None, [], [], 0
+
+    def gathered():
+        number, anchor = np.concatenate(numbers), np.concatenate(anchors)
+        order = np.lexsort((number, anchor))
+        return part, anchor[order], number[order]
+
+    for batch in batches:
+        parts, own = (np.array(batch.column(k).to_pylist(), np.int64) for k in (0, 1))
+        data, offsets = flat(batch.column(2))
+        turns = np.flatnonzero(np.diff(parts)) + 1
+        pieces = [(a + i, a + j) for a, b in zip([0, *turns], [*turns, len(parts)])
+                  for i, j in blocks(offsets[a:b + 1])]
+        for i, j in pieces:
+            if size and (size > FLUSH or parts[i] != part):
+                yield gathered()
+                numbers, anchors, size = [], [], 0
+            part = int(parts[i])
+            owner, found = text_anchors(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], length, gram)
+            numbers.append(own[i:j][owner])
+            anchors.append(found)
+            size += len(found)
+    if size:
+        yield gathered()
+
+
+def _low(anchors):
+    return (anchors & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+
+
+def _high(anchors):
+    return (anchors >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def _joined(low: bytes, high: bytes) -> np.ndarray:
+    return np.frombuffer(low, "<u4").astype(np.uint64) | np.frombuffer(high, "<u2").astype(np.uint64) << np.uint64(32)
+
 
-    An anchor of several documents of a part is known to repeat: it is sent once without a document
-    (number -1), and its documents get their answer through rows marked ``known``.
-    """
+def _heads(anchors):
+    """Where each anchor of a sorted array begins, and how often it stands there."""
+    first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+    return first, np.diff(np.append(first, len(anchors)))
+
+
+def anchor_blobs(texts: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
+    """``shard, part, low, high, numbers``: every anchor of a part once, with its first document
+    there; where the part has more of them, the number is -1 - number."""
     def run(batches):
-        part, numbers, anchors, size = None, [], [], 0
-
-        def flush():
-            if not size:
-                return
-            number, anchor = np.concatenate(numbers), np.concatenate(anchors)
-            order = np.lexsort((number, anchor))
-            number, anchor = number[order], anchor[order]
-            first = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-            count = np.diff(np.append(np.flatnonzero(first), len(anchor)))
-            several = np.repeat(count > 1, count)
-            rows = []
-            known = np.flatnonzero(several)
-            for i in range(0, len(known), 200_000):
-                cut = known[i:i + 200_000]
-                # any shard passes these on; spread them
-                rows.append((int(anchor[cut[0]] % np.uint64(shards)), True, anchor[cut], number[cut]))
-            anchor, number = anchor[first], np.where(several, -1, number)[first]
+        for part, anchor, number in _part_anchors(batches, length, gram):
+            first, count = _heads(anchor)
+            anchor, number = anchor[first], np.where(count > 1, -1 - number[first], number[first])
             shard = (anchor % np.uint64(shards)).astype(np.int64)
             by_shard = np.argsort(shard, kind="stable")
             bounds = np.searchsorted(shard[by_shard], np.arange(shards + 1))
-            for s in range(shards):
-                cut = by_shard[bounds[s]:bounds[s + 1]]
-                if len(cut):
-                    rows.append((s, False, anchor[cut], number[cut]))
+            cuts = [(s, by_shard[bounds[s]:bounds[s + 1]]) for s in range(shards) if bounds[s] < bounds[s + 1]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()),
-                 pa.array([r[1] for r in rows]),
-                 pa.array([(r[2] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for r in rows], pa.binary()),
-                 pa.array([(r[2] >> np.uint64(32)).astype("<u2").tobytes() for r in rows], pa.binary()),
-                 pa.array([r[3].astype("<i4").tobytes() for r in rows], pa.binary())],
-                ["shard", "part", "known", "low", "high", "numbers"])
-
-        for batch in batches:
-            parts, own = (np.array(batch.column(k).to_pylist(), np.int64) for k in (0, 1))
-            data, offsets = flat(batch.column(2))
-            turns = np.flatnonzero(np.diff(parts)) + 1
-            pieces = [(a + i, a + j) for a, b in zip([0, *turns], [*turns, len(parts)])
-                      for i, j in blocks(offsets[a:b + 1])]
-            for i, j in pieces:
-                if size > FLUSH or parts[i] != part:
-                    yield from flush()
-                    part, numbers, anchors, size = int(parts[i]), [], [], 0
-                owner, found = text_anchors(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], length, gram)
-                numbers.append(own[i:j][owner])
-                anchors.append(found)
-                size += len(found)
-        yield from flush()
+                [pa.array([s for s, _ in cuts], pa.int32()), pa.array([part] * len(cuts), pa.int32()),
+                 pa.array([_low(anchor[c]) for _, c in cuts], pa.binary()),
+                 pa.array([_high(anchor[c]) for _, c in cuts], pa.binary()),
+                 pa.array([number[c].astype("<i4").tobytes() for _, c in cuts], pa.binary())],
+                ["shard", "part", "low", "high", "numbers"])
 
     return texts.select("part", "number", "text").mapInArrow(
-        run, "shard int, part int, known boolean, low binary, high binary, numbers binary")
+        run, "shard int, part int, low binary, high binary, numbers binary")
 
 
-def repeated_anchors(blobs: DataFrame, shards: int) -> DataFrame:
-    """``part, number, anchors``: for each document the anchors that another document has too."""
-    def answer(part, number, anchor):
-        order = np.lexsort((number, part))
-        part, number, anchor = part[order], number[order], anchor[order]
-        first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (number[1:] != number[:-1])]))
-        ends = np.append(first[1:], len(part)).tolist()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(part[first].astype(np.int32)), pa.array(number[first]),
-             pa.array([anchor[a:b].tobytes() for a, b in zip(first.tolist(), ends)], pa.binary())],
-            ["part", "number", "anchors"])
+def local_repeats(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """``part, anchors, numbers``: the anchors that several documents of a part have, with all of these."""
+    def run(batches):
+        for part, anchor, number in _part_anchors(batches, length, gram):
+            _, count = _heads(anchor)
+            several = np.repeat(count > 1, count)
+            if several.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([anchor[several].tobytes()], pa.binary()),
+                     pa.array([number[several].tobytes()], pa.binary())], ["part", "anchors", "numbers"])
+
+    return texts.select("part", "number", "text").mapInArrow(run, "part int, anchors binary, numbers binary")
+
+
+_ANSWER = "part int, number long, anchors binary, heads binary"
 
+
+def _answers(part, number, anchor, head):
+    """One row for each document, with its anchors and their heads."""
+    order = np.lexsort((anchor, number, part))
+    part, number, anchor, head = part[order], number[order], anchor[order], head[order]
+    first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (number[1:] != number[:-1])]))
+    cuts = list(zip(first.tolist(), np.append(first[1:], len(part)).tolist()))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[first].astype(np.int32)), pa.array(number[first]),
+         pa.array([anchor[a:b].tobytes() for a, b in cuts], pa.binary()),
+         pa.array([head[a:b].tobytes() for a, b in cuts], pa.binary())], ["part", "number", "anchors", "heads"])
+
+
+def repeated_anchors(blobs: DataFrame, shards: int) -> DataFrame:
+    """The anchors that more than one document has, by part and document; number -1 stands for all
+    documents of the part that have the anchor."""
     def run(batches):
         gathered = []
         for batch in batches:
-            _, parts, known, low, high, numbers = (c.to_pylist() for c in batch.columns)
-            for part, direct, a, b, n in zip(parts, known, low, high, numbers):
+            _, parts, low, high, numbers = (c.to_pylist() for c in batch.columns)
+            for part, a, b, n in zip(parts, low, high, numbers):
                 n = np.frombuffer(n, "<i4").astype(np.int64)
-                anchor = np.frombuffer(a, "<u4").astype(np.uint64) | np.frombuffer(b, "<u2").astype(np.uint64) << np.uint64(32)
-                p = np.full(len(n), part, np.int64)
-                if direct:
-                    yield answer(p, n, anchor)
-                else:
-                    gathered.append((p, n, anchor))
+                gathered.append((np.full(len(n), part, np.int64), n, _joined(a, b)))
         if not gathered:
             return
         part, number, anchor = (np.concatenate(x) for x in zip(*gathered))
-        order = np.argsort(anchor, kind="stable")
-        part, number, anchor = part[order], number[order], anchor[order]
-        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        count = np.diff(np.append(first, len(anchor)))
-        wanted = np.repeat(count > 1, count) & (number >= 0)
+        place = part << 32 | np.where(number < 0, -1 - number, number)
+        order = np.lexsort((place, anchor))
+        part, number, anchor, place = part[order], number[order], anchor[order], place[order]
+        first, count = _heads(anchor)
+        head = np.repeat(place[first], count)
+        wanted = np.repeat(count > 1, count) | (number < 0)
         if wanted.any():
-            yield answer(part[wanted], number[wanted], anchor[wanted])
+            yield _answers(part[wanted], np.maximum(number[wanted], -1), anchor[wanted], head[wanted])
 
-    return blobs.repartition(shards, "shard").mapInArrow(run, "part int, number long, anchors binary")
+    return blobs.repartition(shards, "shard").mapInArrow(run, _ANSWER)
 
 
-# -- segments ------------------------------------------------------------------------------------
+def spread_answers(answers: DataFrame, local: DataFrame) -> DataFrame:
+    """The answers for all documents of a part, dealt out to these."""
+    general = answers.filter("number = -1").groupBy("part").agg(
+        F.collect_list(F.struct("anchors", "heads")).alias("known"))
+
+    def run(batches):
+        for batch in batches:
+            for part, anchors, numbers, known in zip(*(c.to_pylist() for c in batch.columns)):
+                anchor, number = np.frombuffer(anchors, np.uint64), np.frombuffer(numbers, np.int64)
+                keys = np.concatenate([np.frombuffer(k["anchors"], np.uint64) for k in known])
+                heads = np.concatenate([np.frombuffer(k["heads"], np.int64) for k in known])
+                order = np.argsort(keys, kind="stable")
+                at = order[np.searchsorted(keys, anchor, sorter=order)]
+                yield _answers(np.full(len(anchor), part, np.int64), number, anchor, heads[at])
+
+    dealt = local.join(general, "part").select("part", "anchors", "numbers", "known").mapInArrow(run, _ANSWER)
+    return answers.filter("number >= 0").unionByName(dealt)
+
+
+# -- regions -------------------------------------------------------------------------------------
+
+def regions(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """``head, ord, row, start, region`` of rows ``row, ord, text, wanted`` (lists of anchors and heads)."""
+    reach = length - gram
+
+    def cut(text, wanted):
+        anchors = np.concatenate([np.frombuffer(w["anchors"], np.uint64) for w in wanted])
+        heads = np.concatenate([np.frombuffer(w["heads"], np.int64) for w in wanted])
+        order = np.argsort(anchors, kind="stable")
+        anchors, heads = anchors[order], heads[order]
+        hashes, least, _ = window_anchors(text, np.array([0, len(text)]), length, gram)
+        if not len(least):
+            return []
+        # the largest of the minima of the windows around a gram equals it where it is one of them
+        padded = np.concatenate([np.zeros(reach, np.uint64), least, np.zeros(reach, np.uint64)])
+        at = np.flatnonzero(_sliding(padded, reach + 1, np.maximum)[:len(hashes)] == hashes)
+        found = np.minimum(np.searchsorted(anchors, hashes[at]), len(anchors) - 1)
+        hit = anchors[found] == hashes[at]
+        at, head = at[hit], heads[found[hit]]
+        if not len(at):
+            return []
+        order = np.lexsort((at, head))
+        at, head = at[order], head[order]
+        begin, stop = np.maximum(at - reach, 0), np.minimum(at + length, len(text))
+        new = np.concatenate([[True], (head[1:] != head[:-1]) | (begin[1:] > stop[:-1])])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        return zip(head[first].tolist(), begin[first].tolist(), stop[last].tolist())
 
-def segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``anchor, segment, ord, row, start`` of rows ``row, ord, text, wanted`` (lists of anchors)."""
     def run(batches):
         for batch in batches:
             rows, ords = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             data, offsets = flat(batch.column(2))
-            wanted = batch.column(3).to_pylist()
-            out = []
+            wanted, out = batch.column(3), []
             for i in range(len(rows)):
                 text = data[offsets[i]:offsets[i + 1]]
-                anchors = np.unique(np.concatenate([np.frombuffer(w, np.uint64) for w in wanted[i]]))
-                hashes, least, _ = window_anchors(text, np.array([0, len(text)]), length, gram)
-                if not len(least):
-                    continue
-                reach = length - gram
-                # the largest of the minima of the windows around a gram equals it where it is one of them
-                padded = np.concatenate([np.zeros(reach, np.uint64), least, np.zeros(reach, np.uint64)])
-                chosen = _sliding(padded, reach + 1, np.maximum)[:len(hashes)] == hashes
-                at = np.flatnonzero(chosen)
-                at = at[np.isin(hashes[at], anchors)]
-                raw = text.tobytes()
-                for p, h in zip(at.tolist(), hashes[at].tolist()):
-                    start = max(0, p + gram - length)
-                    out.append((h, raw[start:p + length], ords[i], rows[i], start))
-            for i in range(0, len(out), 20_000):
-                part = out[i:i + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[k] for x in part], kind) for k, kind in enumerate(
-                        (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))],
-                    ["anchor", "segment", "ord", "row", "start"])
+                out += [(h, ords[i], rows[i], a, text[a:b].tobytes()) for h, a, b in cut(text, wanted[i].as_py())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[k] for x in out], kind) for k, kind in enumerate(
+                    (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                ["head", "ord", "row", "start", "region"])
 
-    return texts.mapInArrow(run, "anchor long, segment binary, ord long, row long, start long")
+    return texts.mapInArrow(run, "head long, ord long, row long, start long, region binary")
 
 
-def window_owners(shards: DataFrame, length: int) -> DataFrame:
-    """``anchor, segment_key, begin, stop, owner``: runs of windows of a segment whose smallest id is
-    ``owner``. ``shards``: ``anchor, segment_key, segment, owner``, sorted by anchor in each partition."""
+def repeated_windows(shards: DataFrame, length: int) -> DataFrame:
+    """``row, ord, begin, stop``: runs of windows that a document with a smaller id has too, of rows
+    ``head, ord, row, start, region`` that are sorted by head in each partition."""
     def solve(rows):
-        lengths = np.array([len(r[2]) for r in rows])
-        # byte values move up by two: 1 ends a segment, 0 the text
-        joined = np.frombuffer(b"\x00".join(r[2] for r in rows) + b"\x00", np.uint8).astype(np.int64) + 2
-        begins = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-        joined[begins + lengths] = 1
+        sizes = np.array([len(r[4]) for r in rows])
+        ords = np.array([r[1] for r in rows], np.int64)
+        # byte values move up by two: 1 ends a region, 0 the text
+        joined = np.frombuffer(b"\x00".join(r[4] for r in rows) + b"\x00", np.uint8).astype(np.int64) + 2
+        begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        joined[begins + sizes] = 1
         text = np.append(joined, 0)
         order = suffix_array(text, length)
         shared = shares_prefix(text, order, length)
-        segment = np.minimum(np.searchsorted(begins, np.arange(len(text)), "right") - 1, len(rows) - 1)
-        fits = np.arange(len(text)) + length <= (begins + lengths)[segment]
-        owners = np.where(fits, np.array([r[3] for r in rows], np.int64)[segment], LAST)
+        region = np.repeat(np.arange(len(rows)), sizes + 1)
+        region = np.append(region, len(rows) - 1)
+        fits = np.arange(len(text)) + length <= (begins + sizes)[region]
+        owners = np.where(fits, ords[region], LAST)
         heads = np.flatnonzero(~(shared & fits)[order])
         least = np.minimum.reduceat(owners[order], heads)
         best = np.empty(len(text), np.int64)
         best[order] = np.repeat(least, np.diff(np.append(heads, len(order))))
-        at = np.flatnonzero(fits)
-        owner, place, of = best[at], at - begins[segment[at]], segment[at]
-        turn = np.ones(len(at), bool)
-        turn[1:] = (of[1:] != of[:-1]) | (owner[1:] != owner[:-1])
-        first = np.flatnonzero(turn)
+        at = np.flatnonzero(fits & (best < owners))
+        if not len(at):
+            return
+        new = np.concatenate([[True], (np.diff(at) > 1) | (region[at[1:]] != region[at[:-1]])])
+        first = np.flatnonzero(new)
         last = np.append(first[1:], len(at)) - 1
-        alone = np.array([r[4] for r in rows])[of[first]] & (owner[first] == np.array([r[3] for r in rows])[of[first]])
-        first, last = first[~alone], last[~alone]
-        if len(first):
-            chosen = of[first].tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([rows[i][0] for i in chosen], pa.int64()), pa.array([rows[i][1] for i in chosen], pa.int64()),
-                 pa.array(place[first]), pa.array(place[last] + length), pa.array(owner[first])],
-                ["anchor", "segment_key", "begin", "stop", "owner"])
+        of = region[at[first]]
+        shift = np.array([r[3] for r in rows], np.int64)[of] - begins[of]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.array([r[2] for r in rows], np.int64)[of]), pa.array(ords[of]),
+             pa.array(at[first] + shift), pa.array(at[last] + length + shift)], ["row", "ord", "begin", "stop"])
 
     def run(batches):
-        rows, group, size = [], [], 0
+        rows, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and group[-1][0] != row[0]:
-                    if size > SHARD_BYTES:
-                        yield from solve(rows + group)
-                        rows, size = [], 0
-                    else:
-                        rows += group
-                    group = []
-                group.append(row)
-                size += len(row[2]) + 1
-        if rows or group:
-            yield from solve(rows + group)
+                if size > SHARD_BYTES and rows[-1][0] != row[0]:
+                    yield from solve(rows)
+                    rows, size = [], 0
+                rows.append(row)
+                size += len(row[4]) + 1
+        if rows:
+            yield from solve(rows)
 
-    return shards.mapInArrow(run, "anchor long, segment_key long, begin long, stop long, owner long")
+    return shards.mapInArrow(run, "row long, ord long, begin long, stop long")
 
 
 # -- the whole -----------------------------------------------------------------------------------
@@ -351,20 +401,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = _bucketed(_numbered(base.join(owners.select("row").distinct(), "row", "left_semi")
                                 .select("row", "ord", "text")), "row", shards, "repeat_texts")
 
-    blobs = anchor_blobs(texts, shards, length, gram)
-    answers = repeated_anchors(blobs, shards)
-    wanted = answers.join(texts.select("part", "number", "row"), ["part", "number"]) \
-        .groupBy("row").agg(F.collect_list("anchors").alias("wanted"))
-    cut = stored(segments(texts.join(wanted, "row").select("row", "ord", "text", "wanted"), length, gram)
-                 .withColumn("segment_key", F.xxhash64("segment")), "repeat-segments")
-    distinct = cut.groupBy("anchor", "segment_key", "segment").agg(F.min("ord").alias("owner"), F.count("*").alias("c"))
-    shard_rows = distinct.select("anchor", "segment_key", "segment", "owner", (F.col("c") == 1).alias("alone")) \
-        .repartition(shards, "anchor").sortWithinPartitions("anchor")
-    found = window_owners(shard_rows, length)
-    cuts = cut.select("anchor", "segment_key", "ord", "row", "start").join(found, ["anchor", "segment_key"]) \
-        .filter("owner < ord").select("row", F.struct(
-            "ord", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("stop")).alias("stop")).alias("cut"))
-    cuts = cuts.groupBy("row").agg(F.collect_set("cut").alias("cuts"))
+    answers = stored(repeated_anchors(anchor_blobs(texts, shards, length, gram), shards), "repeat-anchors")
+    dealt = spread_answers(answers, local_repeats(texts, length, gram))
+    wanted = dealt.join(texts.select("part", "number", "row"), ["part", "number"]) \
+        .groupBy("row").agg(F.collect_list(F.struct("anchors", "heads")).alias("wanted"))
+    cut = regions(texts.join(wanted, "row").select("row", "ord", "text", "wanted"), length, gram)
+    found = repeated_windows(cut.repartition(shards, "head").sortWithinPartitions("head"), length)
+    cuts = found.groupBy("row").agg(F.collect_set(F.struct("ord", "begin", "stop")).alias("cuts"))
     parts = _remove(texts.join(cuts, "row", "left").select("ord", "text", "cuts"), length)
 
     copies = digests.join(owners.select("sha", "first_ord"), "sha").filter("ord > first_ord")
