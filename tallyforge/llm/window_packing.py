@@ -36,22 +36,21 @@ from tallyforge.session import broadcast_if_small
 
 WINDOW = 2048
 END_ID = 1
-CACHE_WORDS = 400_000
-#: Separators that Python splits at and the tokenizer doesn't; texts with them are encoded whole.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Words that are cut here: printable ASCII and precomposed Latin letters, which no normalisation changes.
-_LATIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]+")
+CACHE_RUNS = 150_000
+#: Anything but white space, printable ASCII and precomposed Latin letters; texts without it are cut
+#: into runs here, as no normalisation changes them but lowering.
+_OTHER = re.compile("[^\t-\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]")
 #: Fixed by the tokenizer: its contractions, runs of letters, single digits, runs of other marks.
-_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xd6\xd8-\xf6\xf8-\u017e]+|[0-9]|[^a-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u017e]+")
+_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xd6\xd8-\xf6\xf8-\u017e]+|[0-9]|"
+                   "[^\\sa-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u017e]+")
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Token ids of texts by a tokenizer that never joins across white space, one word at a time.
+    """Token ids of texts by a tokenizer that encodes runs of letters, digits and marks one by one.
 
-    Words repeat, so their ids are remembered, up to ``CACHE_WORDS`` of them. A new word of Latin
-    characters is put together from its runs of letters, digits and marks, lowered, as the tokenizer
-    itself cuts it; those runs repeat still more often. Other words are encoded as they are.
+    Runs repeat, so their ids are remembered, up to about ``CACHE_RUNS`` of them, and new ones are
+    encoded many at once. Texts with other characters or special tokens are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -65,7 +64,6 @@ class WordEncoder:
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that close a run
         for token, number in self.tokenizer.get_vocab().items():
             self.closes[number] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -87,22 +85,14 @@ class WordEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [[] if _ODD_SPACE.search(t) else t.split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        if len(self.runs) > CACHE_WORDS:
+        if len(self.runs) > CACHE_RUNS:
             self.runs = {}
-        new = {w for ws in words for w in ws if w not in self.known}
-        cut = {w: _RUNS.findall(w.lower()) for w in new if _LATIN.fullmatch(w) and not self.special.search(w)}
-        runs = list({r for rs in cut.values() for r in rs if r not in self.runs})
-        self.runs.update(zip(runs, self._encode_runs(runs)))
-        of = self.runs
-        self.known.update((w, b"".join([of[r] for r in rs])) for w, rs in cut.items())
-        rest = [w for w in new if w not in cut]
-        self.known.update(zip(rest, self._encode(rest)))
-        known = self.known
-        return [b"".join([known[w] for w in ws]) if ws else self._encode([t])[0] if t else b""
-                for t, ws in zip(texts, words)]
+        plain = [(not _OTHER.search(t)) and not self.special.search(t) for t in texts]
+        cut = [_RUNS.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
+        new = list(set().union(*cut) - self.runs.keys())
+        self.runs.update(zip(new, self._encode_runs(new)))
+        known = self.runs
+        return [b"".join([known[r] for r in rs]) if p else self._encode([t])[0] for t, p, rs in zip(texts, plain, cut)]
 
 
 def encoder(path: str) -> WordEncoder:
