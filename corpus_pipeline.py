@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import combination_prefix, content_sort, neighbour_quality, window_packing, wu_manber
-from tallyforge.llm.common import held_out, stored, table
+from tallyforge.llm.common import held_out, short_batches, stored, table
 from tallyforge.llm.queries import QUALITY_THRESHOLD, tokenizer_path
 
 
@@ -26,6 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id."""
+    short_batches(spark)
     return content_sort.distinct_texts(docs)
 
 
@@ -34,6 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words and documents without an id are in no group and stay.
     """
+    short_batches(spark)
     groups = combination_prefix.jaccard_components(docs)
     dropped = groups.filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
@@ -46,6 +48,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, placed in sequences."""
+    short_batches(spark)
     return window_packing.pack(docs, tokenizer_path())
 
 

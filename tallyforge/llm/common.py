@@ -20,7 +20,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that Spark hands to a Python worker at once; ten thousand long texts would fill its memory.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder, for jobs over long texts."""
+    short_batches(spark)
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 

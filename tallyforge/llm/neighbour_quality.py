@@ -68,11 +68,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def feature_blocks(column: pa.Array):
-    """(first text, features) of at most about a thousand texts at a time."""
+    """(first text, features) of at most 256 texts at a time, some megabytes."""
     data, offsets = flat(column)
     for i, j in blocks(offsets):
-        for a in range(i, j, 1000):
-            b = min(a + 1000, j)
+        for a in range(i, j, 256):
+            b = min(a + 256, j)
             yield a, features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
 
 
