@@ -131,6 +131,11 @@ def shared_needed(size):
     return 2 + size // 20
 
 
+def shared_needed_of(size):
+    """``shared_needed`` of a column."""
+    return 2 + F.floor(size / 20)
+
+
 def signatures(tokens: np.ndarray, counters: np.ndarray, frequent: int, percent: int):
     """Index entries of a set: rare tokens; pairs or singles of frequent ones; and how many of the
     prefix tokens are frequent."""
@@ -188,17 +193,23 @@ def shared_entries(index: DataFrame) -> DataFrame:
     return rare.filter("low <> high").drop("low", "high").unionByName(hot.join(several.select("sig"), "sig", "left_semi"))
 
 
-def core_entries(rows: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+def core_entries(rows: DataFrame, percent: int) -> DataFrame:
     """Rows of classes that share enough prefix tokens to have a link at all."""
     smaller = (F.col("n") * percent / 100).cast("int")
-    needed = 2 + F.floor(smaller / 20)
-    for _ in range(rounds):
-        enough = rows.groupBy("key").agg(F.count_if(~F.col("hot")).alias("rare"), F.max("many").alias("many"), F.max("n").alias("n")) \
-            .filter(F.col("rare") + F.col("many") >= needed).select("key")
-        rows = rows.join(enough, "key", "left_semi")
-        several = rows.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
-        rows = stored(rows.join(several.select("sig"), "sig", "left_semi"), "jaccard-core")
-    return rows
+    enough = rows.groupBy("key").agg(F.count_if(~F.col("hot")).alias("rare"), F.max("many").alias("many"), F.max("n").alias("n")) \
+        .filter(F.col("rare") + F.col("many") >= shared_needed_of(smaller)).select("key")
+    return rows.join(broadcast_if_small(stored(enough, "jaccard-core")), "key", "left_semi")
+
+
+def family_pairs(rows: DataFrame) -> DataFrame:
+    """``pivot, key``: every class with the most typical class of each of its entries."""
+    best = F.max(F.struct("typical", "key"))
+    slim = rows.select("sig", "hot", "key", "typical")
+    rare = slim.filter("not hot").withColumn("pivot", best.over(Window.partitionBy("sig")))
+    hot = slim.filter("hot")
+    named = hot.join(hot.groupBy("sig").agg(best.alias("pivot")), "sig")
+    pairs = rare.select("key", "pivot").unionByName(named.select("key", "pivot"))
+    return pairs.select(F.col("pivot.key").alias("pivot"), "key").filter("key <> pivot").distinct()
 
 
 # -- verification --------------------------------------------------------------------------------
@@ -343,10 +354,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     index = stored(index_rows(docs, width, percent, shared, frequent), "jaccard-index")
     core = core_entries(stored(shared_entries(index), "jaccard-shared"), percent)
 
-    # each entry names its most typical class as pivot
-    pivots = core.groupBy("sig").agg(F.max(F.struct("typical", "key")).alias("pivot"))
-    pairs = stored(core.join(pivots.select("sig", F.col("pivot.key").alias("pivot")), "sig")
-                   .filter("key <> pivot").select("pivot", "key").distinct(), "jaccard-families")
+    pairs = stored(family_pairs(core), "jaccard-families")
     ids = documents.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"))
     involved = pairs.select("key").union(pairs.select("pivot")).distinct()
     wanted = stored(ids.join(involved, "key"), "jaccard-involved")
