@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.columns import numeric_columns
+from tallyforge.functions.columns import nan_to_null, numeric_columns
 from tallyforge.operators.ordering import running_sums
+from tallyforge.session import materialise
 
 BINS = 10
 _EPS = 1e-8
@@ -17,21 +18,30 @@ def shared_numeric(reference: DataFrame, new: DataFrame) -> list[str]:
     return [c for c in numeric_columns(reference) if c in theirs]
 
 
+def value_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Counts of every value of every column, ``(feature, x, n)``: all that a later comparison needs
+    to know of a reference, so it can be stored once."""
+    columns = columns or numeric_columns(df)
+    part = nan_to_null(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    return part.unpivot([], columns, "feature", "x").filter("x IS NOT NULL").groupBy("feature", "x").agg(
+        F.count("*").alias("n"))
+
+
+def paired_profiles(reference: DataFrame, new: DataFrame) -> DataFrame:
+    """Two profiles side by side: ``(feature, x, ref, cur)`` of the features that both have."""
+    sides = [p.select("feature", "x", (F.col("n") * flag).alias("ref"), (F.col("n") * (1 - flag)).alias("cur"))
+             for p, flag in ((reference, 1), (new, 0))]
+    return sides[0].unionByName(sides[1]).groupBy("feature", "x").agg(
+        F.sum("ref").cast("bigint").alias("ref"), F.sum("cur").cast("bigint").alias("cur"))
+
+
 def paired_counts(reference: DataFrame, new: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Counts of every value of every shared column on both sides: ``(feature, x, ref, cur)``.
 
     Both drift statistics are read from this one table.
     """
     columns = columns or shared_numeric(reference, new)
-    sides = []
-    for df, flag in ((reference, 1), (new, 0)):
-        part = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-        sides.append(part.unpivot([], columns, "feature", "x").withColumn("is_ref", F.lit(flag)))
-    return (
-        sides[0].unionByName(sides[1]).filter("x IS NOT NULL").groupBy("feature", "x").agg(
-            F.sum("is_ref").cast("bigint").alias("ref"),
-            F.sum(1 - F.col("is_ref")).cast("bigint").alias("cur"))
-    )
+    return paired_profiles(value_profile(reference, columns), value_profile(new, columns))
 
 
 def _totals(counts: DataFrame) -> DataFrame:
@@ -93,7 +103,12 @@ def ks(counts: DataFrame) -> DataFrame:
 
 def drift_report(reference: DataFrame, new: DataFrame) -> DataFrame:
     """PSI, KS and the drift level of every shared column with at least 5 values on each side."""
-    counts = paired_counts(reference, new)
+    return report_of(paired_counts(reference, new))
+
+
+def report_of(counts: DataFrame) -> DataFrame:
+    """The report from the counts of both sides, which are made once for all statistics."""
+    counts = materialise(counts)
     both = ks(counts).join(psi(counts), "feature").filter("n_ref >= 5 AND n_cur >= 5")
     level = (
         F.when((F.col("psi") > 0.2) | (F.col("ks_stat") > 0.3), "Major")

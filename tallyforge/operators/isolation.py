@@ -94,6 +94,21 @@ class IsolationForest:
             nodes.append({n: part[n].to_numpy() for n in ("feature", "cut", "left", "right", "path")})
         return cls(columns, used, nodes)
 
+    def save(self, spark, path: str) -> None:
+        """Nodes and columns as one Parquet table."""
+        rows = [(i, j, *[(int if n in ("feature", "left", "right") else float)(tree[n][j])
+                         for n in ("feature", "cut", "left", "right", "path")], self.subsample, self.columns)
+                for i, tree in enumerate(self.nodes) for j in range(len(tree["feature"]))]
+        spark.createDataFrame(rows, "tree int, node int, feature int, cut double, left int, right int, path double, "
+                                    "subsample long, columns array<string>").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> "IsolationForest":
+        rows = spark.read.parquet(path).orderBy("tree", "node").toPandas()  # bounded by trees and subsample
+        nodes = [{n: part[n].to_numpy() for n in ("feature", "cut", "left", "right", "path")}
+                 for _, part in rows.groupby("tree", sort=True)]
+        return cls(list(rows["columns"].iloc[0]), int(rows["subsample"].iloc[0]), nodes)
+
     def score(self, df: DataFrame, out: str = "anomaly_score") -> DataFrame:
         """2 ** (-mean path / expected path): near 1 for rows that are easy to isolate."""
         nodes, scale = self.nodes, float(average_path([self.subsample])[0])

@@ -21,7 +21,7 @@ from tallyforge.functions.columns import (
 from tallyforge.operators.counts import collect_facts, value_counts
 from tallyforge.operators.quantiles import column_quantiles
 from tallyforge.operators.roles import column_roles, label_mapping
-from tallyforge.session import broadcast_if_small
+from tallyforge.session import broadcast_if_small, materialise
 
 
 def means(df: DataFrame, columns: Sequence[str]) -> dict:
@@ -108,13 +108,20 @@ class Scaler:
         return df.withColumns({c: self.expression(c) for c in self.shift})
 
 
+# Levels of a category that become columns of their own; a larger one is encoded by codes.
+MAX_LEVELS = 10_000
+
+
 def levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted distinct values of small categories (their number is checked by the caller)."""
+    """Sorted distinct values of small categories; more than ``MAX_LEVELS`` are refused."""
     if not columns:
         return {}
+    counts = materialise(value_counts(df, columns).filter("value IS NOT NULL"))
+    many = counts.groupBy("column").agg(F.count("*").alias("k")).filter(F.col("k") > MAX_LEVELS).first()
+    if many:
+        raise ValueError(f"{many['column']} has {many['k']} levels, more than {MAX_LEVELS}: encode it by codes")
     rows = (
-        value_counts(df, columns).filter("value IS NOT NULL")
-        .groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("v")).collect()
+        counts.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("v")).collect()
     )
     found = {r["column"]: list(r["v"]) for r in rows}
     return {c: found.get(c, []) for c in columns}

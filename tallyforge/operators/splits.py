@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.hashing import hash_bucket
+from tallyforge.session import broadcast_if_small, materialise
 
 _FINE = 1_000_000
 _WORDS = 2 ** 32
@@ -120,9 +121,15 @@ def fold_count(option: str | int, task: str, n_rows: int, smallest_class: int,
 
 
 def drop_unseen(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Test rows whose non-null categories all occur in the training rows."""
+    """Test rows whose non-null categories all occur in the training rows; the known values are
+    broadcast where they are small, so the test rows stay where they are."""
+    columns = list(columns)
+    if not columns:
+        return test
+    known = materialise(train.select(*[F.col(c).cast("string").alias(c) for c in columns])
+                        .unpivot([], columns, "column", "value").filter("value IS NOT NULL").distinct())
     for c in columns:
-        known = train.select(F.col(c).alias("_known")).filter("_known IS NOT NULL").distinct()
-        joined = test.join(known, test[c] == known["_known"], "left")
+        own = broadcast_if_small(known.filter(F.col("column") == c).select(F.col("value").alias("_known")))
+        joined = test.join(own, F.col(c).cast("string") == F.col("_known"), "left")
         test = joined.filter(F.col("_known").isNotNull() | F.col(c).isNull()).drop("_known")
     return test

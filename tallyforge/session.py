@@ -80,16 +80,28 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# Rows of a table that may be sent to every task; a few columns each, so some tens of megabytes.
+# Rows and bytes of a table that may be sent to every task.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The broadcast hint behind a count; a larger table keeps the shuffle join and its skew
-    handling. Meant for tables that are already materialised, so the count is cheap."""
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The broadcast hint behind a count of rows and bytes; a larger table keeps the shuffle join and
+    its skew handling. Meant for tables that are already materialised, so the count is cheap."""
     from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    from pyspark.sql import types as T
+
+    def width(field):
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+        return F.lit(16)
+
+    size = sum((width(f) for f in df.schema.fields), F.lit(16)).cast("long")
+    found = df.limit(max_rows + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found["rows"] <= max_rows and found["bytes"] <= max_bytes else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyforge.operators.drift import drift_report
+from tallyforge.operators.drift import paired_profiles, report_of, shared_numeric, value_profile
 from tallyforge.operators.registry import Bundle, check_columns
 from tallyforge.operators.learners import with_score
+from tallyforge.session import materialise
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
@@ -23,13 +24,16 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, files_per_
 
 def drift_stream(spark: SparkSession, reference: DataFrame, folder: str, out: str, checkpoint: str,
                  files_per_batch: int = 1) -> None:
-    """Compares every arriving batch with the reference table.
+    """Compares every arriving batch with the reference table, whose profile is counted once.
 
     Each batch writes its report to its own folder, so a batch that is run again after a failure
     replaces its report.
     """
+    profile = materialise(value_profile(reference))
+
     def report(batch: DataFrame, number: int) -> None:
-        found = drift_report(reference, batch).withColumn("batch", F.lit(number))
+        arrived = value_profile(batch, shared_numeric(reference, batch))
+        found = report_of(paired_profiles(profile, arrived)).withColumn("batch", F.lit(number))
         found.coalesce(1).write.mode("overwrite").parquet(os.path.join(out, f"report-{number}"))
 
     stream = file_stream(spark, folder, reference.schema, files_per_batch)
