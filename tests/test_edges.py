@@ -149,3 +149,37 @@ def test_churn_names(spark):
     empty = lambda *names: spark.createDataFrame([], ", ".join(f"`{n}` int" for n in names))
     assert roles.detect_churn_column(empty("a", "Is Churned", "churn")) == "churn"
     assert roles.detect_churn_column(empty("a", "my_churn_flag")) == "my_churn_flag"
+
+
+def test_broadcast_is_checked_by_bytes(spark):
+    from tallyforge.session import broadcast_if_small
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    small = spark.range(100).select(F.repeat(F.lit("x"), 10).alias("s"))
+    large = spark.range(100).select(F.repeat(F.lit("x"), 1_000_000).alias("s"))
+    assert "strategy=broadcast" in plan(broadcast_if_small(small)) and "strategy=broadcast" not in plan(broadcast_if_small(large))
+
+
+def test_a_stored_forest_scores_alike(spark, blobs, tmp_path):
+    from tallyforge.operators.isolation import IsolationForest
+    df = blobs.select("key", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
+    forest = IsolationForest.fit(df, ["a", "b"], "key", trees=10)
+    forest.save(spark, str(tmp_path / "forest"))
+    again = IsolationForest.load(spark, str(tmp_path / "forest"))
+    one = {r.key: r.anomaly_score for r in forest.score(df).collect()}
+    assert one == {r.key: r.anomaly_score for r in again.score(df).collect()}
+
+
+def test_a_stored_profile_gives_the_same_drift(tables):
+    from tallyforge.operators import drift
+    events = tables.events.select("user_id", "value")
+    new = events.filter("value > 40")
+    direct = drift.drift_report(events, new).collect()
+    stored = drift.report_of(drift.paired_profiles(drift.value_profile(events), drift.value_profile(new))).collect()
+    assert direct == stored
+
+
+def test_too_many_levels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(prepare, "MAX_LEVELS", 5)
+    df = spark.range(20).select(F.col("id").cast("string").alias("c"))
+    with pytest.raises(ValueError):
+        prepare.levels(df, ["c"])

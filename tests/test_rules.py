@@ -6,6 +6,12 @@ import re
 import pytest
 
 SOURCES = sorted(pathlib.Path(__file__).parent.parent.joinpath("tallyforge").rglob("*.py"))
+# Modules that bring rows to the driver, and how often: statistics of columns, classes, clusters,
+# slices, pivots, tree nodes; a file's head.
+COLLECTS = {
+    "flows.py": 1, "metrics.py": 1, "counts.py": 1, "silhouette.py": 2, "clustering.py": 2, "splits.py": 3, "learners.py": 1,
+    "quantiles.py": 1, "prepare.py": 1, "roles.py": 1, "nearest.py": 3, "ordering.py": 1, "segments.py": 2, "delimited.py": 1,
+}
 OPERATORS = [p for p in SOURCES if "catalog" not in p.parts]
 
 
@@ -26,3 +32,11 @@ def test_queries_run_over_whole_tables():
     catalog = [p for p in SOURCES if "catalog" in p.parts]
     for p in catalog:
         assert not re.search(r"\.sample\(|TABLESAMPLE|randomSplit", p.read_text()), p.name
+
+
+def test_collects_are_the_known_ones():
+    found = {}
+    for p in OPERATORS:
+        if "llm" not in p.parts and (n := p.read_text().count(".collect()")):
+            found[p.name] = n
+    assert found == COLLECTS
