@@ -120,6 +120,52 @@ s AS (SELECT doc_id, {counts}, array_to_string(list_transform(list_sort({joined}
 SELECT doc_id, {', '.join('n_' + r.kind for r in blob_ledger.RULES)}, sha256(spans) AS base_sha256, spans FROM s"""
 
 
+def _disclosure_sql(limits: disclosure.Thresholds = disclosure.Thresholds()) -> str:
+    octet = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
+    digits = "regexp_replace(s['value'], '[^0-9]', '', 'g')"
+    luhn = (f"list_sum(list_transform(range(length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN cast(substr(reverse({digits}), i + 1, 1) AS int) "
+            f"ELSE (cast(substr(reverse({digits}), i + 1, 1) AS int) * 2) // 10 + (cast(substr(reverse({digits}), i + 1, 1) AS int) * 2) % 10 END)) % 10 = 0")
+    rules = {  # kind: pattern, what a match must fulfil
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", rf"regexp_full_match(s['value'], '{octet}(?:\.{octet}){{3}}')"),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) BETWEEN 14 AND 19 AND {luhn}"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 10 AND 15"),
+    }
+    matches = ", ".join(f"regexp_extract_all(text, '{p}') AS whole_{k}, regexp_split_to_array(text, '{p}') AS pieces_{k}"
+                        for k, (p, _) in rules.items())
+    found = ", ".join(f"""list_filter(list_transform(list_zip(pieces_{k}, whole_{k}, range(1, len(whole_{k}) + 1)), lambda z: {{
+      'start': cast(list_sum(list_transform(pieces_{k}[1:z[3]], lambda p: length(p)))
+        + coalesce(list_sum(list_transform(whole_{k}[1:z[3] - 1], lambda p: length(p))), 0) AS bigint),
+      'rank': {i}, 'kind': '{k}', 'long': length(z[2]), 'value': z[2]}}), lambda s: s['value'] IS NOT NULL AND ({ok})) AS found_{k}"""
+                      for i, (k, (_, ok)) in enumerate(rules.items()))
+    joined = " || ".join(f"found_{k}" for k in rules)
+    counts = ", ".join(f"len(found_{k}) AS n_{k}" for k in rules)
+    words = r"list_distinct(list_filter(regexp_split_to_array({0}, '[^\pL\pN]+'), lambda w: length(w) > 2))"
+    text_of = "array_to_string(list_transform({0}, lambda s: concat_ws(':', s['kind'], s['start'], s['start'] + s['long'])), ',')"
+    around = f"""substr(text, greatest(s['start'] - {disclosure.CONTEXT_CHARS}, 0) + 1, s['start'] - greatest(s['start'] - {disclosure.CONTEXT_CHARS}, 0))
+      || ' ' || substr(text, s['start'] + s['long'] + 1, {disclosure.CONTEXT_CHARS})"""
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, text, {matches} FROM t),
+l AS (SELECT doc_id, text, {found} FROM m),
+b AS (SELECT doc_id, text, {counts}, list_sort({joined}) AS base FROM l),
+contexts AS (SELECT DISTINCT s['kind'] AS kind, CASE s['kind'] WHEN 'email' THEN lower(s['value']) ELSE {digits} END AS value, {around} AS around
+  FROM (SELECT text, unnest(base) AS s FROM b)),
+together AS (SELECT kind, value, term, count(*) AS together FROM (
+  SELECT kind, value, unnest({words.format('around')}) AS term FROM contexts) GROUP BY ALL HAVING count(*) >= {limits.support}),
+entity AS (SELECT kind, value, count(*) AS contexts FROM contexts GROUP BY ALL),
+spread AS (SELECT term, count(*) AS docs FROM (SELECT unnest({words.format('text')}) AS term FROM t) GROUP BY term),
+terms AS (SELECT DISTINCT term FROM together JOIN entity USING (kind, value) JOIN spread USING (term)
+  WHERE log2(together * (SELECT count(*) FROM t)::double / (docs * contexts)) >= {limits.bits} AND together / docs::double >= {limits.share}),
+w AS (SELECT doc_id, regexp_extract_all(text, '[\\pL\\pN]+') AS words, regexp_split_to_array(text, '[\\pL\\pN]+') AS gaps FROM t),
+p AS (SELECT doc_id, words, gaps, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS term FROM w),
+a AS (SELECT doc_id, list({{'start': cast(list_sum(list_transform(gaps[1:i], lambda g: length(g)))
+    + coalesce(list_sum(list_transform(words[1:i - 1], lambda g: length(g))), 0) AS bigint),
+  'rank': {len(rules)}, 'kind': '{disclosure.TERM}', 'long': length(term), 'value': term}}) AS added
+  FROM p SEMI JOIN terms ON p.term = terms.term GROUP BY doc_id)
+SELECT b.doc_id, {', '.join('n_' + k for k in rules)}, sha256({text_of.format('base')}) AS base_sha256,
+  {text_of.format('list_sort(base || coalesce(added, []))')} AS spans FROM b LEFT JOIN a ON a.doc_id = b.doc_id"""
+
+
 def _words(source: str) -> str:
     return (f"regexp_extract_all(translate({source}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
             r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
@@ -155,4 +201,4 @@ o AS (SELECT conv_id, count(*) AS n_turns,
 SELECT conv_id, n_turns, sha256(listing) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   cast(formatted_chars AS bigint) AS formatted_chars, regexp_full_match(machine, 's?(ua)+') AS valid FROM o"""
 
-ORACLES = {"op3_decontaminate": SQL3, "op6_secrets": _ledger_sql(), "op7_chat": SQL7, "op10_exact": SQL10}
+ORACLES = {"op3_decontaminate": SQL3, "op6_secrets": _ledger_sql(), "op7_chat": SQL7, "op8_personal": _disclosure_sql(), "op10_exact": SQL10}
