@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,19 @@ def test_stages_on_odd_documents(spark, stage):
     out = dict(corpus_pipeline.STAGES)[stage](spark, docs, FOLDER)
     assert out.columns == docs.columns and out.filter("doc_id is null").count() >= 1
     assert dict(corpus_pipeline.STAGES)[stage](spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_disclosure_sql_finds_the_same_terms(spark, tmp_path):
+    """The test tables hold no revealing term, so the SQL of operator 8 is also held to planted ones."""
+    import numpy as np
+    rng = np.random.default_rng(0)
+    filler = ["lorem", "ipsum", "dolor", "sit", "amet", "elit", "sed", "quia"]
+    rows = [(i, " ".join(rng.choice(filler, 30))) for i in range(900)]
+    rows += [(1000 + i, f"{' '.join(rng.choice(filler, 4))} Zaphöd writes to z@hart.org {' '.join(rng.choice(filler, 4))}") for i in range(4)]
+    rows += [(2000, "Ask Zaphöd, not Zaphödia; Zaphöd!"), (2001, "4111 1111 1111 1111 or 1.2.3.400"), (2002, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    out = QUERIES["op8_personal"](spark, str(tmp_path))
+    assert out.filter("spans LIKE '%term:%'").count() == 5
+    assert compare(out, con, ORACLES["op8_personal"]) == ""
