@@ -81,7 +81,9 @@ def test_pipeline(spark, tables):
 def test_stages_on_odd_documents(spark, stage):
     docs = spark.createDataFrame(cases.documents(), cases.SCHEMA)
     out = dict(corpus_pipeline.STAGES)[stage](spark, docs, FOLDER)
-    assert out.columns == docs.columns and out.filter("doc_id is null").count() >= 1
+    assert out.columns == docs.columns
+    # the rows without an id are copies of others, so only the exact stage drops them
+    assert out.filter("doc_id is null").count() == (0 if stage == "exact_dedup" else 2)
     assert dict(corpus_pipeline.STAGES)[stage](spark, docs.limit(0), FOLDER).count() == 0
 
 
