@@ -25,6 +25,8 @@ ignored; an empty table gives no rows. Memory follows the longest text and ``BLO
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,7 +39,8 @@ from tallyforge.llm.common import stored
 from tallyforge.operators.components import connected_components
 from tallyforge.session import broadcast_if_small
 
-COUNTERS = 1 << 20  # of the table that orders tokens; its size does not depend on the input
+COUNTER_BITS = 22
+COUNTERS = 1 << COUNTER_BITS  # of the table that orders tokens (16 MB); its size does not depend on the input
 _CHUNK = 1 << 14
 PAIRED_SIZE = 256
 BLOCK = 256  # sets of a family that one task compares with as many others
@@ -62,60 +65,67 @@ def class_key(tokens: np.ndarray) -> int | None:
 
 
 def _cell(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(44)).astype(np.int64)
+    return (tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
 # -- first pass: classes and the counters --------------------------------------------------------
 
 def classes_and_counters(docs: DataFrame, width: int) -> DataFrame:
-    """Rows ``id, n, key`` of documents, and rows ``chunk, cells, counts`` of each task's counters."""
+    """Rows ``id, n, key`` of documents, and rows ``chunk, counts`` of each task's counters, packed."""
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType)] + T._parse_datatype_string(
-        "n long, key long, chunk int, cells binary, counts binary").fields)
+        "n long, key long, chunk int, counts binary").fields)
     id_type = to_arrow_type(docs.schema["id"].dataType)
 
     def run(batches):
-        counters = np.zeros(COUNTERS, np.int64)
+        counters = np.zeros(COUNTERS, np.int32)
         for batch in batches:
             sizes, keys = [], []
             for _, tokens in token_sets(batch.column(1), width):
                 sizes.append(len(tokens))
                 keys.append(class_key(tokens))
                 np.add.at(counters, _cell(tokens), 1)
-            none = pa.nulls(len(sizes), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
-                 pa.nulls(len(sizes), pa.int32()), none, none], schema.fieldNames())
+                 pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], schema.fieldNames())
         rows = []
         for chunk in range(COUNTERS // _CHUNK):
             part = counters[chunk * _CHUNK:(chunk + 1) * _CHUNK]
-            cells = np.flatnonzero(part)
-            if len(cells):
-                rows.append((chunk, cells.astype(np.uint16).tobytes(), part[cells].tobytes()))
+            if part.any():
+                rows.append((chunk, _packed(part)))
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(len(rows), id_type), pa.nulls(len(rows), pa.int64()),
              pa.nulls(len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
-             pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
+             pa.array([r[1] for r in rows], pa.binary())],
             schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters in the smallest width that holds them, compressed."""
+    width = next(w for w in (1, 2, 4) if counts.max() < 256 ** w)
+    return bytes([width]) + zlib.compress(counts.astype(f"<u{width}").tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw[1:]), f"<u{raw[0]}").astype(np.int64)
+
+
 def total_counters(parts: DataFrame) -> np.ndarray:
     """The counters of all tasks added up; the driver gets one fixed-size table."""
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, cells, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                part = sums.setdefault(chunk, np.zeros(_CHUNK, np.int64))
-                part[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.int64)
+            for chunk, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                sums[chunk] = sums.get(chunk, 0) + _unpacked(counts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
+            [pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, 2**31 - 1).astype(np.int32).tobytes() for v in sums.values()], pa.binary())],
             ["chunk", "counts"])
 
-    out = np.zeros(COUNTERS, np.int64)
-    chunks = parts.filter("chunk is not null").select("chunk", "cells", "counts").repartition("chunk")
+    out = np.zeros(COUNTERS, np.int32)
+    chunks = parts.filter("chunk is not null").select("chunk", "counts").repartition("chunk")
     for r in chunks.mapInArrow(add, "chunk int, counts binary").collect():
-        out[r["chunk"] * _CHUNK:(r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["counts"], np.int64)
+        out[r["chunk"] * _CHUNK:(r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["counts"], np.int32)
     return out
 
 
@@ -158,7 +168,6 @@ def index_rows(docs: DataFrame, width: int, percent: int, counters, frequent: in
     frequent prefix tokens, ``typical`` is high for sets of frequent tokens."""
     def run(batches):
         table, seen = counters.value, set()
-        weight = np.log2(table + 1.0)
         for batch in batches:
             columns = [[] for _ in range(6)]
             for _, tokens in token_sets(batch.column(1), width):
@@ -170,7 +179,7 @@ def index_rows(docs: DataFrame, width: int, percent: int, counters, frequent: in
                 size = len(rare) + len(hot)
                 own = (np.concatenate([rare, hot]).view(np.int64), np.arange(size) >= len(rare), np.full(size, key, np.int64),
                        np.full(size, len(tokens), np.int32), np.full(size, many, np.int32),
-                       np.full(size, weight[_cell(tokens)].mean(), np.float32))
+                       np.full(size, np.log2(table[_cell(tokens)] + 1.0).mean(), np.float32))
                 for column, values in zip(columns, own):
                     column.append(values)
             if columns[0]:
@@ -349,7 +358,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = stored(classes_and_counters(docs, width), "jaccard-classes")
     documents = first.filter("chunk is null").select("id", "n", "key")
     counters = total_counters(first)
-    frequent = max(1000, int(counters.sum()) // 100_000)
+    frequent = max(1000, int(counters.sum(dtype=np.int64)) // 100_000)
     shared = spark.sparkContext.broadcast(counters)
     index = stored(index_rows(docs, width, percent, shared, frequent), "jaccard-index")
     core = core_entries(stored(shared_entries(index), "jaccard-shared"), percent)
