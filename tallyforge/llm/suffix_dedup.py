@@ -177,23 +177,26 @@ def local_repeats(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 _ANSWER = "part int, number long, anchors binary, heads binary"
+#: What a part gathers: anchors of single documents, anchors of all its documents that have them, and
+#: which documents these are.
+_DIRECT, _GENERAL, _LOCAL = 0, 1, 2
+_GATHERED = "part int, kind int, numbers binary, anchors binary, heads binary"
 
 
 def _answers(part, number, anchor, head):
-    """One row for each document, with its anchors and their heads."""
-    order = np.lexsort((anchor, number, part))
-    part, number, anchor, head = part[order], number[order], anchor[order], head[order]
-    first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (number[1:] != number[:-1])]))
-    cuts = list(zip(first.tolist(), np.append(first[1:], len(part)).tolist()))
+    """One row for each document of a part, with its anchors and their heads."""
+    order = np.lexsort((anchor, number))
+    number, anchor, head = number[order], anchor[order], head[order]
+    first, count = _heads(number)
+    cuts = list(zip(first.tolist(), (first + count).tolist()))
     return pa.RecordBatch.from_arrays(
-        [pa.array(part[first].astype(np.int32)), pa.array(number[first]),
+        [pa.array([part] * len(cuts), pa.int32()), pa.array(number[first]),
          pa.array([anchor[a:b].tobytes() for a, b in cuts], pa.binary()),
          pa.array([head[a:b].tobytes() for a, b in cuts], pa.binary())], ["part", "number", "anchors", "heads"])
 
 
 def repeated_anchors(blobs: DataFrame, shards: int) -> DataFrame:
-    """The anchors that more than one document has, by part and document; number -1 stands for all
-    documents of the part that have the anchor."""
+    """The anchors that more than one document has, with their heads: one row for each part and kind."""
     def run(batches):
         gathered = []
         for batch in batches:
@@ -209,30 +212,55 @@ def repeated_anchors(blobs: DataFrame, shards: int) -> DataFrame:
         part, number, anchor, place = part[order], number[order], anchor[order], place[order]
         first, count = _heads(anchor)
         head = np.repeat(place[first], count)
-        wanted = np.repeat(count > 1, count) | (number < 0)
-        if wanted.any():
-            yield _answers(part[wanted], np.maximum(number[wanted], -1), anchor[wanted], head[wanted])
-
-    return blobs.repartition(shards, "shard").mapInArrow(run, _ANSWER)
-
-
-def spread_answers(answers: DataFrame, local: DataFrame) -> DataFrame:
-    """The answers for all documents of a part, dealt out to these."""
-    general = answers.filter("number = -1").groupBy("part").agg(
-        F.collect_list(F.struct("anchors", "heads")).alias("known"))
+        wanted = np.flatnonzero(np.repeat(count > 1, count) | (number < 0))
+        if not len(wanted):
+            return
+        kind = np.where(number[wanted] < 0, _GENERAL, _DIRECT)
+        order = np.lexsort((kind, part[wanted]))
+        wanted, kind = wanted[order], kind[order]
+        first, count = _heads(part[wanted] * 2 + kind)
+        cuts = [wanted[a:a + n] for a, n in zip(first.tolist(), count.tolist())]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part[wanted[first]].astype(np.int32)), pa.array(kind[first].astype(np.int32)),
+             pa.array([number[c].tobytes() for c in cuts], pa.binary()),
+             pa.array([anchor[c].tobytes() for c in cuts], pa.binary()),
+             pa.array([head[c].tobytes() for c in cuts], pa.binary())], ["part", "kind", "numbers", "anchors", "heads"])
+
+    return blobs.repartition(shards, "shard").mapInArrow(run, _GATHERED)
+
+
+def spread_answers(answers: DataFrame, local: DataFrame, shards: int) -> DataFrame:
+    """The answers of every part, dealt out to its documents."""
+    tagged = local.select("part", F.lit(_LOCAL).alias("kind"), "numbers", "anchors", F.lit(None).cast("binary").alias("heads"))
+
+    def deal(part, rows):
+        held = {k: [r for r in rows if r[0] == k] for k in (_DIRECT, _GENERAL, _LOCAL)}
+        column = lambda k, i, kind: np.concatenate([np.frombuffer(r[i], kind) for r in held[k]] or [np.zeros(0, kind)])
+        number, anchor, head = (column(_DIRECT, i, t) for i, t in ((1, np.int64), (2, np.uint64), (3, np.int64)))
+        if held[_GENERAL]:
+            keys, heads = column(_GENERAL, 2, np.uint64), column(_GENERAL, 3, np.int64)
+            order = np.argsort(keys, kind="stable")
+            several = column(_LOCAL, 2, np.uint64)
+            at = order[np.searchsorted(keys, several, sorter=order)]
+            number = np.concatenate([number, column(_LOCAL, 1, np.int64)])
+            anchor, head = np.concatenate([anchor, several]), np.concatenate([head, heads[at]])
+        if len(number):
+            yield _answers(part, number, anchor, head)
 
     def run(batches):
+        part, rows = None, []
         for batch in batches:
-            for part, anchors, numbers, known in zip(*(c.to_pylist() for c in batch.columns)):
-                anchor, number = np.frombuffer(anchors, np.uint64), np.frombuffer(numbers, np.int64)
-                keys = np.concatenate([np.frombuffer(k["anchors"], np.uint64) for k in known])
-                heads = np.concatenate([np.frombuffer(k["heads"], np.int64) for k in known])
-                order = np.argsort(keys, kind="stable")
-                at = order[np.searchsorted(keys, anchor, sorter=order)]
-                yield _answers(np.full(len(anchor), part, np.int64), number, anchor, heads[at])
+            for own, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != part:
+                    if rows:
+                        yield from deal(part, rows)
+                    part, rows = own, []
+                rows.append(row)
+        if rows:
+            yield from deal(part, rows)
 
-    dealt = local.join(general, "part").select("part", "anchors", "numbers", "known").mapInArrow(run, _ANSWER)
-    return answers.filter("number >= 0").unionByName(dealt)
+    everything = answers.unionByName(tagged).repartition(shards, "part").sortWithinPartitions("part")
+    return everything.mapInArrow(run, _ANSWER)
 
 
 # -- regions -------------------------------------------------------------------------------------
@@ -401,8 +429,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = _bucketed(_numbered(base.join(owners.select("row").distinct(), "row", "left_semi")
                                 .select("row", "ord", "text")), "row", shards, "repeat_texts")
 
-    answers = stored(repeated_anchors(anchor_blobs(texts, shards, length, gram), shards), "repeat-anchors")
-    dealt = spread_answers(answers, local_repeats(texts, length, gram))
+    answers = repeated_anchors(anchor_blobs(texts, shards, length, gram), shards)
+    dealt = spread_answers(answers, local_repeats(texts, length, gram), shards)
     wanted = dealt.join(texts.select("part", "number", "row"), ["part", "number"]) \
         .groupBy("row").agg(F.collect_list(F.struct("anchors", "heads")).alias("wanted"))
     cut = regions(texts.join(wanted, "row").select("row", "ord", "text", "wanted"), length, gram)
