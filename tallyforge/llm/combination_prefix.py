@@ -325,26 +325,27 @@ def family_blocks(members: DataFrame, percent: int) -> DataFrame:
     """The blocks of every family that still has unconnected members.
 
     ``members``: ``pivot, key, label, pivot_label, distance`` with the pivot itself. Probes are the
-    members outside the pivot's component; targets are all of them, but those inside that component
-    only for probes near enough to the pivot to reach one.
+    members outside the pivot's component; targets are all of them, but of those inside that component
+    only the ones whose distance from the pivot is within the reach of some probe's. Members can be
+    inside through other families, so they may lie at any distance from the pivot.
     """
+    reach = 1 - percent / 100 + 1e-9
+    outside = F.col("label") != F.col("pivot_label")
     sizes = members.groupBy("pivot").agg(
-        F.count("*").alias("m"), F.sum((F.col("label") != F.col("pivot_label")).cast("long")).alias("u")).filter("u > 0")
+        F.count("*").alias("m"), F.count_if(outside).alias("u"),
+        F.min(F.when(outside, F.col("distance"))).alias("nearest"),
+        F.max(F.when(outside, F.col("distance"))).alias("farthest")).filter("u > 0")
     sizes = sizes.select("pivot", F.ceil(F.col("m") / BLOCK).cast("int").alias("target_blocks"),
-                         F.ceil(F.col("u") / BLOCK).cast("int").alias("probe_blocks"))
-    # the far probes (beyond twice the reach) meet only each other
-    reach = 2 * (1 - percent / 100)
+                         F.ceil(F.col("u") / BLOCK).cast("int").alias("probe_blocks"), "nearest", "farthest")
     open_members = members.join(sizes, "pivot").withColumns({
-        "outside": F.col("label") != F.col("pivot_label"),
+        "outside": outside,
         "target_block": F.pmod(F.xxhash64("key"), F.col("target_blocks")).cast("int"),
         "probe_block": F.pmod(F.xxhash64("key", F.lit(1)), F.col("probe_blocks")).cast("int")})
-    some_near = members.filter((F.col("label") != F.col("pivot_label")) & (F.col("distance") <= reach)) \
-        .select(F.col("pivot").alias("near_pivot")).distinct()
-    open_members = open_members.join(some_near, F.col("pivot") == F.col("near_pivot"), "left")
     columns = ["pivot", "probe_block", "target_block", "probe", "key", "label", "distance"]
     probes = open_members.filter("outside").withColumn("probe", F.lit(True)).withColumn(
         "target_block", F.explode(F.sequence(F.lit(0), F.col("target_blocks") - 1)))
-    targets = open_members.filter(F.col("outside") | F.col("near_pivot").isNotNull()).withColumn(
+    in_reach = F.col("distance").between(F.col("nearest") - reach, F.col("farthest") + reach)
+    targets = open_members.filter(F.col("outside") | in_reach).withColumn(
         "probe", F.lit(False)).withColumn(
         "probe_block", F.explode(F.sequence(F.lit(0), F.col("probe_blocks") - 1)))
     return probes.select(*columns).unionByName(targets.select(*columns))

@@ -100,6 +100,32 @@ def test_jaccard_chains_and_frequent_passages(spark, monkeypatch):
     assert collected(out, "doc_id", "n_shingles", "component_id") == cases.ordered(cases.components(rows))
 
 
+def test_jaccard_links_at_twice_the_reach(spark):
+    """Header, body and footer: the whole text is linked with both parts, which are 0.6 alike; the
+    boilerplate is common, so the three meet only under the part that has the footer."""
+    head, body, foot = ([f"{name}{i}" for i in range(n)] for name, n in (("h", 20), ("b", 64), ("f", 20)))
+    texts = [body + foot, head + body + foot, head + body]
+    texts += [head + body[:8] + [f"x{k}y{i}" for i in range(200)] for k in range(3)]
+    texts += [body[-8:] + foot + [f"z{k}y{i}" for i in range(200)] for k in range(40)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    out = combination_prefix.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert collected(out, "doc_id", "n_shingles", "component_id") == cases.ordered(cases.components(rows))
+
+
+def test_family_members_linked_through_another_family(spark):
+    """The second set is inside the pivot's component through a set of another family and lies 0.36 from
+    the pivot; the third is linked with the second only, 0.5 from the pivot."""
+    sets = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 22, 33)]
+    distances = [1 - len(np.intersect1d(sets[0], s)) / len(np.union1d(sets[0], s)) for s in sets]
+    members = spark.createDataFrame([(0, k, (0, 0, 2)[k], 0, distances[k]) for k in range(3)],
+                                    "pivot long, key long, label long, pivot_label long, distance double")
+    tokens = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "key long, tokens binary")
+    rows = combination_prefix.family_blocks(members, 80).join(tokens, "key").select(
+        "pivot", "probe_block", "target_block", "probe", "key", "label", "distance", "tokens") \
+        .repartition("pivot", "probe_block", "target_block").sortWithinPartitions("pivot", "probe_block", "target_block")
+    assert {tuple(sorted(r)) for r in combination_prefix.family_links(rows, 80).collect()} == {(1, 2)}
+
+
 def test_token_pairs_lose_no_link():
     """Whatever counts as frequent, linked sets share an index entry."""
     rng = np.random.default_rng(1)
