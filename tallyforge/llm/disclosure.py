@@ -2,14 +2,14 @@
 
 Protected entities are found by fixed rules (mail addresses, network addresses, payment cards,
 phone numbers). Around every mention lies a context of neighbouring words. Over the whole corpus it
-is counted in how many different contexts of an entity a term stands, and in how many documents it
-occurs at all. The pointwise mutual information of term and entity, in bits, and the share of the
+is counted in how many different contexts of an entity a term stands, and in how many different texts
+it occurs at all. The pointwise mutual information of term and entity, in bits, and the share of the
 term's documents that lie in the entity's contexts say how strongly the term reveals the entity. A
 term above both thresholds is itself personal data wherever it occurs: it is generalised, or removed
 when it gives away almost everything.
 
-Everything is DataFrame functions. Contexts that are copies of each other count once, so a document
-repeated a thousand times makes no term revealing.
+Everything is DataFrame functions. Contexts and texts that are copies of each other count once, so a
+document repeated a thousand times makes no term revealing and hides none.
 
 Defined results: null text counts as empty and has no spans; repeated rows and null ids are documents
 like others; extra columns are ignored; an empty table gives no rows. Texts are read whole.
@@ -102,6 +102,15 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         F.transform("spans", mention).alias("mentions"))
 
 
+def different_texts(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
+    """``text_key, text`` of every text once; only texts that occur several times are moved."""
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    copied = stored(found.groupBy("text_key").agg(F.count("*").alias("n")).filter("n > 1").select("text_key"), "copied-texts")
+    single = texts.join(broadcast_if_small(copied), "text_key", "left_anti")
+    several = texts.join(broadcast_if_small(copied), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    return single.select("text_key", "text").unionByName(several)
+
+
 def revealing_terms(docs: DataFrame, found: DataFrame, text_col: str, limits: Thresholds):
     """(terms, holders): the revealing terms with their measures, and the texts that hold them."""
     contexts = found.select(F.explode("mentions").alias("m")).select("m.kind", "m.value", "m.around").distinct()
@@ -110,12 +119,11 @@ def revealing_terms(docs: DataFrame, found: DataFrame, text_col: str, limits: Th
         .filter(F.col("together") >= limits.support)
     together = stored(together, "term-entity")
     per_entity = contexts.groupBy("kind", "value").agg(F.count("*").alias("contexts"))
-    # documents of every term of the corpus, added up inside the tasks first
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    held = texts.select(F.xxhash64("text").alias("text_key"),
-                        F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
+    # texts of every term of the corpus, added up inside the tasks first
+    held = different_texts(docs, found, text_col).select(
+        "text_key", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
     spread = held.groupBy("term").agg(F.count("*").alias("docs"))
-    corpus = docs.count()
+    corpus = found.select("text_key").distinct().count()
     measured = together.join(per_entity, ["kind", "value"]).join(spread, "term").select(
         "kind", "value", "term", "together", "contexts", "docs",
         F.log2(F.col("together") * F.lit(float(max(corpus, 1))) / (F.col("docs") * F.col("contexts"))).alias("bits"),
@@ -124,7 +132,7 @@ def revealing_terms(docs: DataFrame, found: DataFrame, text_col: str, limits: Th
     terms = stored(revealing.groupBy("term").agg(
         F.max("bits").alias("bits"), F.max("share").alias("share"),
         (F.max("share") >= limits.removed_share).alias("removed")), "revealing-terms")
-    # a revealing term has few documents: at most its share's inverse times those of the entity
+    # a revealing term has few texts: at most its share's inverse times those of the entity
     holders = held.join(broadcast_if_small(terms), "term").groupBy("text_key").agg(
         F.sort_array(F.collect_set(F.struct("term", "removed"))).alias("terms"))
     return terms, holders

@@ -369,3 +369,14 @@ def test_terms_that_reveal_an_entity(spark):
     clean = out.join(docs, "doc_id").filter("doc_id = 3000").select(
         disclosure.sanitise(F.col("text"), F.col("spans"))).first()[0]
     assert clean == "Ask [TERM], not Zaphodia."
+
+
+def test_copies_hide_no_revealing_term(spark):
+    """A thousand copies of one of the three texts that hold the term count as one text."""
+    filler = [(i, f"lorem ipsum dolor sit amet number{i}") for i in range(600)]
+    holders = [(1000 + i, f"word{i} Quillon writes to q@hart.org other{i}") for i in range(3)]
+    copies = [(2000 + i, holders[0][1]) for i in range(1000)]
+    docs = spark.createDataFrame(filler + holders + copies, "doc_id long, text string")
+    out = disclosure.personal_data(docs).select("doc_id", F.expr("filter(spans, s -> s.kind = 'term')").alias("found"), "base")
+    assert out.filter("doc_id >= 1000 and size(found) >= 1").count() == len(holders) + len(copies)
+    assert out.filter("doc_id < 1000 and size(found) > 0").count() == 0
