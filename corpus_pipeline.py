@@ -33,12 +33,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by shingle similarity, the one with the smallest id.
 
-    Documents without words and documents without an id are in no group and stay.
+    Documents without words and documents without an id are in no group and stay. An id may stand at
+    different texts, so rows are known by id and text.
     """
     short_batches(spark)
-    groups = combination_prefix.jaccard_components(docs)
-    dropped = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    row = F.when(docs["doc_id"].isNotNull(), F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("text_key")))
+    groups = combination_prefix.jaccard_components(docs.select(row.alias("row"), "text"), id_col="row")
+    dropped = groups.filter("component_id.doc_id <> row.doc_id").select(F.col("row").alias("dropped_row")).distinct()
+    return docs.join(dropped, row == dropped["dropped_row"], "left_anti").select(*[docs[c] for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

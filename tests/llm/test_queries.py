@@ -101,3 +101,13 @@ def test_disclosure_sql_finds_the_same_terms(spark, tmp_path):
     out = QUERIES["op8_personal"](spark, str(tmp_path))
     assert out.filter("spans LIKE '%term:%'").count() == 5
     assert compare(out, con, ORACLES["op8_personal"]) == ""
+
+
+def test_near_dedup_keeps_the_other_text_of_an_id(spark):
+    """One text of id 7 is a near copy of id 1; the other one is like nothing else and stays."""
+    words = [f"word{i}" for i in range(60)]
+    clean = " ".join(f"clean{i}" for i in range(30))
+    rows = [(1, " ".join(words)), (7, " ".join(words + ["more"])), (7, clean), (None, " ".join(words + ["less"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
