@@ -43,3 +43,19 @@ def held_out(key: str | Column) -> Column:
 def copies_of(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Only the named columns; a name that the table has in another case is not confused with them."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+#: A group with more than this share of all rows is met by broadcast, so there are fewer than its inverse.
+HOT_SHARE = 1 / 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with the row of their group, whatever the share of one group.
+
+    ``size`` counts a group's rows and ``total`` is at least their sum, so fewer than 1000 groups
+    exceed ``HOT_SHARE``; those are broadcast and their rows stay where they are. The others are
+    joined by shuffle, none of them large. ``groups`` is read twice and should be stored.
+    """
+    border = max(1.0, total * HOT_SHARE)
+    hot, rest = groups.filter(F.col(size) > border), groups.filter(F.col(size) <= border)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(rest, key))

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import blob_ledger, chat_template, combination_prefix, content_sort, disclosure, \
-    language_bits, neighbour_quality, suffix_dedup, window_packing, wu_manber
+from tallyforge.llm import blob_ledger, chat_template, circulant_minhash, combination_prefix, content_sort, disclosure, \
+    embedding_whitening, filter_audit, language_bits, neighbour_quality, suffix_dedup, window_packing, wu_manber
 from tallyforge.llm.common import held_out, table
 from tallyforge.llm.spans import count_of, span_text
 
@@ -85,8 +85,23 @@ def op10_exact(spark: SparkSession, folder: str) -> DataFrame:
     return content_sort.exact_dedup(table(spark, folder, "documents"))
 
 
+def op11_audit(spark: SparkSession, folder: str) -> DataFrame:
+    counts = filter_audit.failed_sets(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return filter_audit.audit(counts, tuple("ABCDE"))
+
+
+def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return circulant_minhash.near_components(table(spark, folder, "documents"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = embedding_whitening.whiten(table(spark, folder, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_language, op2_pack, op3_decontaminate, op4_jaccard, op5_repeats, op6_secrets, op7_chat, op8_personal, op9_quality, op10_exact)}
+    op1_language, op2_pack, op3_decontaminate, op4_jaccard, op5_repeats, op6_secrets, op7_chat, op8_personal, op9_quality, op10_exact,
+    op11_audit, op12_minhash, op13_whitening)}
 
 SQL10 = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
@@ -201,4 +216,31 @@ o AS (SELECT conv_id, count(*) AS n_turns,
 SELECT conv_id, n_turns, sha256(listing) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   cast(formatted_chars AS bigint) AS formatted_chars, regexp_full_match(machine, 's?(ua)+') AS valid FROM o"""
 
-ORACLES = {"op3_decontaminate": SQL3, "op6_secrets": _ledger_sql(), "op7_chat": SQL7, "op8_personal": _disclosure_sql(), "op10_exact": SQL10}
+SQL11 = """WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+  min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN w.doc_id > least THEN 16 ELSE 0 END AS failed
+  FROM w LEFT JOIN marks ON w.doc_id = marks.doc_id),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, cast(step AS int) AS step, bits[step] AS bit, cast(coalesce(list_sum(bits[1:step - 1]), 0) AS int) AS before
+  FROM o, unnest(range(1, 6)) AS r(step)),
+g AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+r AS (SELECT part, filter_order, step, bit,
+  sum(CASE WHEN failed & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN failed & before = 0 AND failed & bit > 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN failed & before > 0 AND failed & bit > 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN failed = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN failed & before = 0 AND failed & bit > 0 THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN failed & before = 0 AND failed & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM g, s GROUP BY ALL)
+SELECT part, filter_order, step, cast(kept AS bigint) AS kept, cast(removed AS bigint) AS removed,
+  cast(redundant AS bigint) AS redundant, cast(unique_fails AS bigint) AS unique_fails, cast(good_lost AS bigint) AS good_lost,
+  cast(toxic_lost AS bigint) AS toxic_lost, cast(sum(removed) OVER (PARTITION BY part, bit) AS bigint) AS shapley FROM r"""
+
+ORACLES = {"op11_audit": SQL11, "op3_decontaminate": SQL3, "op6_secrets": _ledger_sql(), "op7_chat": SQL7, "op8_personal": _disclosure_sql(), "op10_exact": SQL10}

@@ -47,9 +47,9 @@ def shingles(text, width=5):
     return frozenset(tuple(w[i:i + width]) for i in range(len(w) - width + 1))
 
 
-def components(rows):
+def components(rows, width=5, percent=80):
     """(id, set size, smallest linked id) per row, by comparing all pairs."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, width) for _, t in rows]
     group = list(range(len(rows)))
 
     def find(x):
@@ -60,7 +60,7 @@ def components(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 group[find(i)] = find(j)
     ids = collections.defaultdict(list)
     for i, (d, _) in enumerate(rows):
