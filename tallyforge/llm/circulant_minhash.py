@@ -8,9 +8,10 @@ candidates. At the least similarity that links (85 %), a pair misses all bands o
 
 What shares a band is a bucket, but the pairs inside it are not listed. Each bucket names its smallest
 node as pivot and every member is verified against it on the whole sets. Members that this leaves
-outside the pivot's component are compared with the rest of the bucket, block against block inside a
-task: first signatures of a byte a coordinate (a pair at the least similarity expects 136 of 160 equal
-bytes and has fewer than 96 once in 10**14), then whole sets of what is left. Texts are moved, not sets:
+outside the pivot's component are compared with the rest of the pivot's family, block against block
+inside a task: first signatures of a byte a coordinate (a pair at the least similarity expects 136 of 160 equal
+bytes and has fewer than 96 once in 10**14), then whole sets of what is left; of the links found there
+those are sent on that join components. Texts are moved, not sets:
 they are shorter, and only those of texts that some bucket holds.
 
 Equal texts are one node. Inside a task they are found by comparison with its own digests, over tasks
@@ -20,7 +21,7 @@ Defined results: null and empty texts and texts without words have empty sets an
 text of fewer words than a shingle has its whole sequence as the only member; repeated rows are one
 node; null ids take part, ``component_id`` is the smallest other id or null, and a row with a null id
 is kept only if nothing else in its component has an id; extra columns are ignored; an empty table
-gives no rows. Memory follows the longest text and ``BLOCK`` texts.
+gives no rows. Memory follows the longest text, ``SIGNATURES`` and ``TOKENS``.
 """
 
 from __future__ import annotations
@@ -39,7 +40,9 @@ from tallyforge.session import broadcast_if_small
 
 ROWS, BANDS = 5, 32
 COORDINATES = ROWS * BANDS
-BLOCK = 128  # texts of a bucket that one task compares with as many others
+BLOCK = 128  # members of a family that are sent to one copy of their pivot
+SIGNATURES = 2048  # signatures that one task compares with as many others
+TOKENS = 500_000  # and members of sets
 _FIRST = np.uint64(0xA24BAED4963EE407)  # what the first permutation adds before it mixes
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25)  # odd factors of the second
 _CHUNK = 1 << 13  # members whose places are computed at once, so that they stay in the cache
@@ -244,22 +247,34 @@ def _links(pairs) -> pa.RecordBatch:
     return _batch(pairs, "a long, b long")
 
 
-def open_blocks(members: DataFrame) -> DataFrame:
-    """The block pairs of every family that still has members outside its pivot's component.
+def open_members(members: DataFrame) -> DataFrame:
+    """``pivot, probe, node, label``: the families that still have members outside their pivot's
+    component; those are the probes, and all members are targets.
 
-    ``members``: ``pivot, node, label, pivot_label`` with the pivot itself. Probes are the members
-    outside, targets are all. Columns: ``pivot, probe_block, target_block, probe, node, label``.
+    ``members``: ``pivot, node, label, pivot_label`` with the pivot itself.
     """
     outside = F.col("label") != F.col("pivot_label")
-    sizes = members.groupBy("pivot").agg(F.count("*").alias("m"), F.count_if(outside).alias("u")).filter("u > 0")
-    rows = members.join(broadcast_if_small(stored(sizes, "minhash-open")), "pivot").withColumns({
-        "probe_block": blocks_of("node", "u", 1), "target_block": blocks_of("node", "m", 0)})
-    probes = rows.filter(outside).withColumn("probe", F.lit(True)).withColumn(
-        "target_block", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("m") / BLOCK) - 1).cast("int"))))
-    targets = rows.withColumn("probe", F.lit(False)).withColumn(
-        "probe_block", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("u") / BLOCK) - 1).cast("int"))))
-    columns = ["pivot", "probe_block", "target_block", "probe", "node", "label"]
-    return probes.select(*columns).unionByName(targets.select(*columns))
+    sizes = stored(members.groupBy("pivot").agg(F.count("*").alias("m"), F.count_if(outside).alias("u")).filter("u > 0"), "minhash-open")
+    total = sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    sides = F.when(outside, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    return join_groups(members, sizes, "pivot", "m", total).select("pivot", F.explode(sides).alias("probe"), "node", "label")
+
+
+def block_pairs(rows: DataFrame, weight, limit: int) -> DataFrame:
+    """``rows`` (``pivot, probe, ...``) once for every block of their family's other side; a block's
+    weights sum up to about ``limit``. Adds ``probe_block, target_block``; one block each is the rule."""
+    weight = weight.cast("double")
+    sizes = stored(rows.groupBy("pivot").agg(
+        F.count("*").alias("rows"), *[F.greatest(F.lit(1), F.ceil(F.sum(F.when(side, weight).otherwise(0)) / limit)).cast("int").alias(name)
+                                      for side, name in ((F.col("probe"), "probes"), (~F.col("probe"), "targets"))]), "minhash-blocks")
+    total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    own = F.pmod(F.xxhash64("node", "probe"), F.when(F.col("probe"), F.col("probes")).otherwise(F.col("targets"))).cast("int")
+    others = F.when(F.col("probe"), F.col("targets")).otherwise(F.col("probes"))
+    dealt = join_groups(rows, sizes, "pivot", "rows", total).withColumns(
+        {"own": own, "other": F.explode(F.sequence(F.lit(0), others - 1))})
+    return dealt.select("pivot", F.when(F.col("probe"), F.col("own")).otherwise(F.col("other")).alias("probe_block"),
+                        F.when(F.col("probe"), F.col("other")).otherwise(F.col("own")).alias("target_block"),
+                        *[c for c in rows.columns if c != "pivot"])
 
 
 def sorted_blocks(rows: DataFrame) -> DataFrame:
@@ -268,41 +283,72 @@ def sorted_blocks(rows: DataFrame) -> DataFrame:
 
 
 def alike_members(rows: DataFrame, percent: int) -> DataFrame:
-    """The members of ``open_blocks`` (with ``n`` and ``bytes``) that have a partner of another label
-    in their block pair whose signature is alike."""
+    """``pivot, probe, node, label, n`` of the members that have a partner of another label in a block
+    pair whose size and signature leave a link possible.
+
+    ``rows``: ``pivot, probe_block, target_block, probe, node, label, n, bytes``.
+    """
     least = alike_least(percent)
 
     def compare(key, group):
         probes, targets = [r for r in group if r[0]], [r for r in group if not r[0]]
         if not probes or not targets:
             return
-        left, right = (np.frombuffer(b"".join(r[4] for r in side), np.uint8).reshape(-1, COORDINATES) for side in (probes, targets))
-        other = np.array([r[2] for r in probes])[:, None] != np.array([r[2] for r in targets])[None]
-        other &= alike_sizes(*np.meshgrid(*(np.array([r[3] for r in side]) for side in (probes, targets)), indexing="ij"), percent)
-        alike = np.stack([(right == row).sum(axis=1) for row in left]) >= least
-        for side, axis in ((probes, 1), (targets, 0)):
-            for i in np.flatnonzero((alike & other).any(axis=axis)):
-                yield (*key, side[i][0], side[i][1], side[i][2])
-
-    schema = "pivot long, probe_block int, target_block int, probe boolean, node long, label long"
-    return grouped_run(sorted_blocks(rows), 3, compare, schema)
+        right = np.frombuffer(b"".join(r[4] for r in targets), np.uint8).reshape(-1, COORDINATES)
+        labels, sizes = (np.array([r[k] for r in targets]) for k in (2, 3))
+        wanted = np.zeros(len(targets), bool)
+        for row in probes:
+            near = (labels != row[2]) & alike_sizes(sizes, row[3], percent)
+            near[near] = (right[near] == np.frombuffer(row[4], np.uint8)).sum(axis=1) >= least
+            wanted |= near
+            if near.any():
+                yield (key[0], *row[:4])
+        for i in np.flatnonzero(wanted):
+            yield (key[0], *targets[i][:4])
+
+    found = grouped_run(sorted_blocks(rows), 3, compare, "pivot long, probe boolean, node long, label long, n long")
+    return found.distinct()
 
 
 def block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links ``a, b`` between probes and targets (with ``text``) of every block pair, on whole sets."""
+    """Links ``a, b`` that join all labels which links between the probes and targets of a block pair
+    join, on whole sets; not every such link, so dense groups give few rows.
+
+    ``rows``: ``pivot, probe_block, target_block, probe, node, label, n, text``.
+    """
     def sets(side):
-        return [m for _, m in shingle_sets(pa.array([r[3] for r in side], pa.large_string()), width)]
+        return [m for _, m in shingle_sets(pa.array([r[4] for r in side], pa.large_string()), width)]
 
     def compare(_, group):
         probes, targets = [r for r in group if r[0]], [r for r in group if not r[0]]
         if not probes or not targets:
             return
         others = sets(targets)
+        sizes = np.array([len(m) for m in others])
+        tokens, owner = np.concatenate(others), np.repeat(np.arange(len(others)), sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        merged: dict[int, int] = {}
+
+        def root(label):
+            while label in merged:
+                label = merged[label]
+            return label
+
+        labels = np.array([r[2] for r in targets])
         for probe, mine in zip(probes, sets(probes)):
-            for target, members in zip(targets, others):
-                if probe[2] != target[2] and alike_sizes(len(mine), len(members), percent) and linked(
-                        len(np.intersect1d(mine, members, assume_unique=True)), len(mine), len(members), percent):
-                    yield probe[1], target[1]
+            low, high = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
+            counts = high - low
+            places = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+            overlap = np.bincount(owner[places], minlength=len(others))
+            label, near = root(probe[2]), linked(overlap, len(mine), sizes, percent) & (overlap > 0)
+            while (apart := near & (labels != label)).any():
+                target = int(np.argmax(apart))
+                yield probe[1], targets[target][1]
+                other = int(labels[target])
+                merged[label] = other
+                labels[labels == label] = other
+                label = other
 
     return grouped_run(sorted_blocks(rows), 3, compare, "a long, b long")
 
@@ -341,9 +387,10 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = members.join(own, "node", "left").withColumn("label", F.coalesce("label", "node"))
     members = members.join(own.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), "pivot", "left") \
         .withColumn("pivot_label", F.coalesce("pivot_label", "pivot"))
-    unsettled = open_blocks(stored(members, "minhash-members")).join(broadcast_if_small(held), "node").select(
+    unsettled = block_pairs(stored(open_members(stored(members, "minhash-members")), "minhash-unsettled"), F.lit(1), SIGNATURES)
+    signed = unsettled.join(broadcast_if_small(held), "node").select(
         "pivot", "probe_block", "target_block", "probe", "node", "label", "n", "bytes")
-    alike = stored(alike_members(unsettled, percent), "minhash-alike")
+    alike = block_pairs(stored(alike_members(signed, percent), "minhash-alike"), F.col("n"), TOKENS)
     more = stored(block_links(with_texts(alike, docs, named), width, percent), "minhash-more")
     if not more.isEmpty():
         labels = stored(connected_components(links.unionByName(more)), "minhash-labels")

@@ -136,6 +136,8 @@ def chain(rng, length, size=120, step=9):
 def test_links_beside_the_pivot(spark, monkeypatch):
     """Chains and families whose members link with each other but not with the pivot, in small blocks."""
     monkeypatch.setattr(circulant_minhash, "BLOCK", 4)
+    monkeypatch.setattr(circulant_minhash, "SIGNATURES", 5)
+    monkeypatch.setattr(circulant_minhash, "TOKENS", 700)
     rng = np.random.default_rng(8)
     texts = []
     for i in range(6):
