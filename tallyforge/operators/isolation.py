@@ -7,10 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.hashing import hash_bucket, hash_unit
+from tallyforge.operators.persistence import StoredModel
+from tallyforge.operators.quantiles import column_quantiles
 
 TREES = 100
 SUBSAMPLE = 256
@@ -71,13 +74,21 @@ def grow(rows: pd.DataFrame, columns: list[str], key: str, seed: int) -> pd.Data
 NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, path double"
 
 
-@dataclass
-class IsolationForest:
-    """A fitted forest: a few hundred nodes per tree, held as arrays."""
+@dataclass(eq=False)
+class IsolationForest(StoredModel):
+    """A fitted forest: a few hundred nodes per tree, held as arrays.
+
+    As a stage it adds ``anomaly_score`` and, where a threshold was fitted, ``prediction``: -1 for
+    anomalies, 1 for the rest.
+    """
 
     columns: list[str]
     subsample: int
     nodes: list[dict]
+    threshold: float | None = None
+
+    def __post_init__(self):
+        super().__init__()
 
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str], key: str, trees: int = TREES,
@@ -94,20 +105,26 @@ class IsolationForest:
             nodes.append({n: part[n].to_numpy() for n in ("feature", "cut", "left", "right", "path")})
         return cls(columns, used, nodes)
 
-    def save(self, spark, path: str) -> None:
-        """Nodes and columns as one Parquet table."""
+    def contents(self, spark):
         rows = [(i, j, *[(int if n in ("feature", "left", "right") else float)(tree[n][j])
-                         for n in ("feature", "cut", "left", "right", "path")], self.subsample, self.columns)
+                         for n in ("feature", "cut", "left", "right", "path")])
                 for i, tree in enumerate(self.nodes) for j in range(len(tree["feature"]))]
-        spark.createDataFrame(rows, "tree int, node int, feature int, cut double, left int, right int, path double, "
-                                    "subsample long, columns array<string>").write.mode("overwrite").parquet(path)
+        facts = {"columns": self.columns, "subsample": int(self.subsample), "threshold": self.threshold}
+        return facts, {"nodes": spark.createDataFrame(rows, NODE_SCHEMA)}, {}
 
     @classmethod
-    def load(cls, spark, path: str) -> "IsolationForest":
-        rows = spark.read.parquet(path).orderBy("tree", "node").toPandas()  # bounded by trees and subsample
+    def restored(cls, facts, tables, models):
+        rows = tables["nodes"].orderBy("tree", "node").toPandas()  # bounded by trees and subsample
         nodes = [{n: part[n].to_numpy() for n in ("feature", "cut", "left", "right", "path")}
                  for _, part in rows.groupby("tree", sort=True)]
-        return cls(list(rows["columns"].iloc[0]), int(rows["subsample"].iloc[0]), nodes)
+        return cls(facts["columns"], facts["subsample"], nodes, facts["threshold"])
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        scored = self.score(df)
+        if self.threshold is None:
+            return scored
+        odd = F.col("anomaly_score") > self.threshold
+        return scored.withColumn("prediction", F.when(odd, F.lit(-1.0)).otherwise(F.lit(1.0)))
 
     def score(self, df: DataFrame, out: str = "anomaly_score") -> DataFrame:
         """2 ** (-mean path / expected path): near 1 for rows that are easy to isolate."""
@@ -115,7 +132,9 @@ class IsolationForest:
 
         @F.pandas_udf("double")
         def depth(xs: pd.Series) -> pd.Series:
-            x = np.vstack(xs.to_numpy()) if len(xs) else np.zeros((0, 1))
+            if not len(xs):
+                return pd.Series([], dtype=float)
+            x = np.vstack(xs.to_numpy())
             row, total = np.arange(len(x)), np.zeros(len(x))
             for tree in nodes:
                 at = np.zeros(len(x), dtype=np.int64)
@@ -130,3 +149,20 @@ class IsolationForest:
             return pd.Series(2.0 ** (-(total / len(nodes)) / scale))
 
         return df.withColumn(out, depth(F.array(*[F.col(c).cast("double") for c in self.columns])))
+
+
+class Isolation(Estimator):
+    """The forest as a pipeline stage. The threshold leaves the share ``contamination`` of the training
+    rows above it (rows at the threshold are no anomalies)."""
+
+    def __init__(self, columns: list[str], key: str, trees: int = TREES, subsample: int = SUBSAMPLE, contamination: float = 0.1):
+        super().__init__()
+        self.columns, self.key, self.trees, self.subsample, self.contamination = list(columns), key, trees, subsample, contamination
+
+    def _fit(self, df: DataFrame) -> IsolationForest:
+        forest = IsolationForest.fit(df, self.columns, self.key, self.trees, self.subsample)
+        scores = forest.score(df).select("anomaly_score").persist()
+        found = column_quantiles(scores, ["anomaly_score"], [1.0 - self.contamination])["anomaly_score"][0]
+        scores.unpersist()
+        forest.threshold = None if found is None else float(found)
+        return forest

@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Estimator
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
     RandomForestClassifier,
@@ -19,10 +20,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
 )
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.boosting import AdaBoost, AdaBoostRegressor
 from tallyforge.operators.density import neighbour_mean, neighbour_vote
+from tallyforge.operators.persistence import StoredModel, array_table, arrays_of
 
 SEED = 42
 # Depth that stands in for "unlimited"; Spark rejects more than 30 and doubles memory per level.
@@ -30,188 +34,70 @@ TREE_DEPTH = 20
 FOREST_DEPTH = 12
 
 
-# -- expressions of small fitted trees -------------------------------------------------------------
+class GaussianBayes(Estimator):
+    """Normal densities per class and feature: one vector aggregate to fit, Arrow batches to apply."""
 
-def tree_expression(model, x: Column) -> Column:
-    """The prediction of a small fitted tree as a CASE expression over the feature array."""
-
-    def walk(node) -> Column:
-        if node.subtreeDepth() == 0:
-            return F.lit(float(node.prediction()))
-        split = node.split()
-        left = x[int(split.featureIndex())] <= F.lit(float(split.threshold()))
-        return F.when(left, walk(node.leftChild())).otherwise(walk(node.rightChild()))
-
-    return walk(model._java_obj.rootNode())
-
-
-def _argmax(scores: dict[float, Column]) -> Column:
-    """The class with the highest score, the smallest class on a tie."""
-    ranked = F.array(*[F.struct((-s).alias("s"), F.lit(c).alias("c")) for c, s in scores.items()])
-    return F.array_min(ranked)["c"]
+    SMOOTHING = 1e-9
 
+    def _fit(self, df: DataFrame) -> "GaussianBayesModel":
+        found = Summarizer.metrics("count", "mean", "variance").summary(F.col("features")).alias("s")
+        rows = df.groupBy("label").agg(found).orderBy("label").collect()  # one row a class
+        whole = df.agg(found).first().s
+        counts = np.array([r.s["count"] for r in rows], float)
+        means = np.array([r.s["mean"].toArray() for r in rows])
+        spreads = np.array([r.s["variance"].toArray() for r in rows]) * np.maximum(0.0, (counts - 1) / counts)[:, None]
+        extra = self.SMOOTHING * (whole["variance"].toArray() * (whole["count"] - 1) / whole["count"]).max()
+        return GaussianBayesModel(np.array([float(r.label) for r in rows]), np.log(counts / counts.sum()), means, spreads + extra)
 
-def _softmax(scores: list[Column]) -> Column:
-    peak = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    parts = [F.exp(s - peak) for s in scores]
-    total = sum(parts[1:], parts[0])
-    return array_to_vector(F.array(*[p / total for p in parts]))
 
+class GaussianBayesModel(StoredModel):
+    def __init__(self, classes: np.ndarray, priors: np.ndarray, means: np.ndarray, variances: np.ndarray):
+        super().__init__()
+        self.classes, self.priors, self.means, self.variances = classes, priors, means, variances
 
-class AdaBoost:
-    """Boosted stumps (SAMME).
+    def _transform(self, df: DataFrame) -> DataFrame:
+        classes, means, variances = self.classes, self.means, self.variances
+        constants = self.priors - 0.5 * np.log(2 * math.pi * variances).sum(axis=1)
 
-    A stump is one comparison, so the row weights after any number of rounds are one expression
-    over the features: nothing is carried from round to round and the lineage stays flat.
-    """
+        @F.pandas_udf("prediction double, probability array<double>")
+        def classify(xs: pd.Series) -> pd.DataFrame:
+            if not len(xs):
+                return pd.DataFrame({"prediction": [], "probability": []})
+            x = np.vstack(xs.to_numpy())
+            scores = np.stack([c - ((x - m) ** 2 / (2.0 * v)).sum(axis=1) for c, m, v in zip(constants, means, variances)], axis=1)
+            parts = np.exp(scores - scores.max(axis=1, keepdims=True))
+            return pd.DataFrame({"prediction": classes[scores.argmax(axis=1)], "probability": list(parts / parts.sum(axis=1, keepdims=True))})
 
-    def __init__(self, rounds: int = 50, rate: float = 1.0, classes: int = 2):
-        self.rounds, self.rate, self.classes = rounds, rate, classes
-
-    def fit(self, df: DataFrame) -> "AdaBoostModel":
-        weight = F.col("weight") if "weight" in df.columns else F.lit(1.0)
-        base = df.select("features", "label", weight.alias("_w0"), vector_to_array("features").alias("_x")).persist()
-        stages: list[tuple] = []
-        self.errors: list[float] = []
-        log_weight = F.lit(0.0)
-        for _ in range(self.rounds):
-            weighted = base.withColumn("_w", F.col("_w0") * F.exp(log_weight))
-            tree = DecisionTreeClassifier(maxDepth=1, weightCol="_w", seed=SEED).fit(weighted)
-            miss = tree_expression(tree, F.col("_x")) != F.col("label")
-            sums = weighted.agg(F.sum("_w").alias("w"), F.sum(F.when(miss, F.col("_w"))).alias("bad")).first()
-            error = (sums.bad or 0.0) / sums.w
-            self.errors.append(error)
-            if error >= 1.0 - 1.0 / self.classes:
-                break
-            if error <= 0.0:
-                stages.append((tree, 1.0))
-                break
-            alpha = self.rate * (math.log((1.0 - error) / error) + math.log(self.classes - 1.0))
-            stages.append((tree, alpha))
-            log_weight = log_weight + F.when(miss, F.lit(alpha)).otherwise(F.lit(0.0))
-        base.unpersist()
-        return AdaBoostModel(stages or [(tree, 1.0)], self.classes)
-
-
-class AdaBoostModel:
-    def __init__(self, stages, classes):
-        self.stages, self.classes = stages, classes
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        ready = df.withColumn("_x", vector_to_array("features"))
-        votes = F.array(*[
-            F.struct(tree_expression(t, F.col("_x")).alias("c"), F.lit(a).alias("a")) for t, a in self.stages])
-        ready = ready.withColumn("_votes", votes)
-        total = sum(a for _, a in self.stages)
-
-        def share(c: float) -> Column:
-            votes_for = F.aggregate("_votes", F.lit(0.0), lambda s, v: s + F.when(v["c"] == c, v["a"]).otherwise(0.0))
-            return votes_for / F.lit(total)
-
-        scores = {float(c): share(float(c)) for c in range(self.classes)}
-        probability = _softmax([(s * self.classes - 1.0) / F.lit(float(max(1, self.classes - 1)) ** 2) for s in scores.values()])
-        return ready.withColumns({"prediction": _argmax(scores), "probability": probability}).drop("_x", "_votes")
-
-    @property
-    def importances(self) -> np.ndarray:
-        total = sum(a for _, a in self.stages)
-        return sum(a * t.featureImportances.toArray() for t, a in self.stages) / total
-
-
-class AdaBoostRegressor:
-    """AdaBoost.R2 with depth-3 trees; weights take the place of resampling."""
-
-    def __init__(self, rounds: int = 50, rate: float = 1.0, depth: int = 3):
-        self.rounds, self.rate, self.depth = rounds, rate, depth
-
-    def fit(self, df: DataFrame) -> "AdaBoostRegressorModel":
-        base = df.select("features", "label", vector_to_array("features").alias("_x")).persist()
-        stages: list[tuple] = []
-        log_weight = F.lit(0.0)
-        for _ in range(self.rounds):
-            weighted = base.withColumn("_w", F.exp(log_weight))
-            tree = DecisionTreeRegressor(maxDepth=self.depth, weightCol="_w", seed=SEED).fit(weighted)
-            gap = F.abs(tree_expression(tree, F.col("_x")) - F.col("label"))
-            sums = weighted.agg(F.max(gap).alias("top"), F.sum("_w").alias("w"), F.sum(F.col("_w") * gap).alias("g")).first()
-            if not sums.top:
-                stages.append((tree, 1.0))
-                break
-            loss = sums.g / (sums.w * sums.top)
-            if loss >= 0.5:
-                break
-            beta = loss / (1.0 - loss)
-            stages.append((tree, self.rate * math.log(1.0 / beta)))
-            log_weight = log_weight + (1.0 - gap / F.lit(sums.top)) * F.lit(self.rate * math.log(beta))
-        base.unpersist()
-        return AdaBoostRegressorModel(stages or [(tree, 1.0)])
-
-
-class AdaBoostRegressorModel:
-    def __init__(self, stages):
-        self.stages = stages
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Weighted median of the trees: the first prediction that reaches half of the weight."""
-        ready = df.withColumn("_x", vector_to_array("features"))
-        votes = F.array(*[
-            F.struct(tree_expression(t, F.col("_x")).alias("p"), F.lit(a).alias("a")) for t, a in self.stages])
-        half = F.lit(sum(a for _, a in self.stages) / 2.0)
-        start = F.struct(F.lit(0.0).alias("w"), F.lit(None).cast("double").alias("p"))
-        step = lambda s, v: F.struct(
-            (s["w"] + v["a"]).alias("w"),
-            F.when(s["p"].isNotNull(), s["p"]).when(s["w"] + v["a"] >= half, v["p"]).alias("p"))
-        median = F.aggregate(F.array_sort(votes), start, step)["p"]
-        return ready.withColumn("prediction", median).drop("_x")
-
-
-class GaussianBayes:
-    """Normal densities per class and feature: one grouped aggregate to fit, expressions to apply."""
+        found = df.withColumn("_found", classify(vector_to_array("features")))
+        return found.withColumns({"prediction": F.col("_found.prediction"),
+                                  "probability": array_to_vector(F.col("_found.probability"))}).drop("_found")
 
-    SMOOTHING = 1e-9
+    def contents(self, spark):
+        return {}, {"densities": array_table(spark, classes=self.classes, priors=self.priors, means=self.means, variances=self.variances)}, {}
 
-    def fit(self, df: DataFrame) -> "GaussianBayesModel":
-        width = len(df.select("features").first().features)
-        x = vector_to_array("features")
-        flat = df.select("label", *[x[i].alias(f"x{i}") for i in range(width)])
-        stats = [f(f"x{i}").alias(f"{n}{i}") for i in range(width) for n, f in (("m", F.avg), ("v", F.var_pop))]
-        rows = flat.groupBy("label").agg(F.count("*").alias("n"), *stats).orderBy("label").collect()
-        top = flat.agg(*[F.var_pop(f"x{i}").alias(f"v{i}") for i in range(width)]).first()
-        return GaussianBayesModel(rows, width, self.SMOOTHING * max(top))
-
-
-class GaussianBayesModel:
-    def __init__(self, rows, width, extra):
-        total = sum(r.n for r in rows)
-        self.classes = [
-            (float(r.label), math.log(r.n / total),
-             [(r[f"m{i}"], r[f"v{i}"] + extra) for i in range(width)]) for r in rows]
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        ready = df.withColumn("_x", vector_to_array("features"))
-        x, scores = F.col("_x"), {}
-        for c, prior, stats in self.classes:
-            constant = prior - 0.5 * sum(math.log(2 * math.pi * v) for _, v in stats)
-            terms = [(x[i] - F.lit(m)) * (x[i] - F.lit(m)) / F.lit(2.0 * v) for i, (m, v) in enumerate(stats)]
-            scores[c] = F.lit(constant) - sum(terms[1:], terms[0])
-        ready = ready.withColumns({f"_s{i}": s for i, s in enumerate(scores.values())})
-        named = {c: F.col(f"_s{i}") for i, c in enumerate(scores)}
-        return ready.withColumns({
-            "prediction": _argmax(named), "probability": _softmax(list(named.values()))}).drop("_x", *[f"_s{i}" for i in range(len(named))])
+    @classmethod
+    def restored(cls, facts, tables, models):
+        return cls(**arrays_of(tables["densities"]))
 
 
 class FourierFeatures:
     """Random cosine features whose inner products approximate the rbf kernel."""
 
-    def __init__(self, width: int, gamma: float, count: int = 128, seed: int = SEED):
+    def __init__(self, w: np.ndarray, b: np.ndarray):
+        self.w, self.b = w, b
+
+    @classmethod
+    def drawn(cls, width: int, gamma: float, count: int = 128, seed: int = SEED) -> "FourierFeatures":
         rng = np.random.default_rng(seed)
-        self.w = rng.normal(scale=math.sqrt(2.0 * gamma), size=(width, count))
-        self.b = rng.uniform(0.0, 2.0 * math.pi, size=count)
+        return cls(rng.normal(scale=math.sqrt(2.0 * gamma), size=(width, count)), rng.uniform(0.0, 2.0 * math.pi, size=count))
 
     def transform(self, df: DataFrame, out: str) -> DataFrame:
         w, b = self.w, self.b
 
         @F.pandas_udf("array<double>")
         def cosines(xs: pd.Series) -> pd.Series:
+            if not len(xs):
+                return pd.Series([], dtype=object)
             z = math.sqrt(2.0 / len(b)) * np.cos(np.vstack(xs.to_numpy()) @ w + b)
             return pd.Series(list(z))
 
@@ -228,10 +114,11 @@ def scale_gamma(df: DataFrame) -> float:
     return 1.0 / (row.d * variance) if variance > 0 else 1.0
 
 
-class KernelMachine:
+class KernelMachine(Estimator):
     """Support vectors with an rbf kernel, as a linear machine over random cosine features."""
 
     def __init__(self, task: str, c: float = 1.0, kernel: str = "rbf", classes: int = 2, gamma: str | float = "scale"):
+        super().__init__()
         self.task, self.c, self.kernel, self.classes, self.gamma = task, c, kernel, classes, gamma
 
     def width(self, df: DataFrame) -> float:
@@ -240,11 +127,11 @@ class KernelMachine:
             return 1.0 / len(df.select("features").first().features)
         return scale_gamma(df) if self.gamma == "scale" else float(self.gamma)
 
-    def fit(self, df: DataFrame) -> "KernelMachineModel":
+    def _fit(self, df: DataFrame) -> "KernelMachineModel":
         n = df.count()
         lift = None
         if self.kernel == "rbf":
-            lift = FourierFeatures(len(df.select("features").first().features), self.width(df))
+            lift = FourierFeatures.drawn(len(df.select("features").first().features), self.width(df))
             df = lift.transform(df, "_lifted")
         else:
             df = df.withColumn("_lifted", F.col("features"))
@@ -268,11 +155,21 @@ def _margin(raw: str) -> Column:
     return array_to_vector(F.array(vector_to_array(raw)[1])).alias("_margin")
 
 
-class KernelMachineModel:
+class KernelMachineModel(StoredModel):
     def __init__(self, lift, model, platt):
+        super().__init__()
         self.lift, self.model, self.platt = lift, model, platt
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def contents(self, spark):
+        tables = {"lift": array_table(spark, w=self.lift.w, b=self.lift.b)} if self.lift else {}
+        return {}, tables, {"model": self.model, **({"platt": self.platt} if self.platt else {})}
+
+    @classmethod
+    def restored(cls, facts, tables, models):
+        lift = FourierFeatures(**arrays_of(tables["lift"])) if "lift" in tables else None
+        return cls(lift, models["model"], models.get("platt"))
+
+    def _transform(self, df: DataFrame) -> DataFrame:
         lifted = self.lift.transform(df, "_lifted") if self.lift else df.withColumn("_lifted", F.col("features"))
         out = self.model.transform(lifted)
         if self.platt is None:
@@ -283,17 +180,25 @@ class KernelMachineModel:
         return scored.withColumnRenamed("_side", "prediction").drop("_lifted", "_raw", "_margin")
 
 
-class Neighbours:
+class Neighbours(Estimator):
     """Nearest-neighbour classifier or regressor; needs the ``key`` column."""
 
     def __init__(self, task: str, k: int = 5, weights: str = "uniform"):
+        super().__init__()
         self.task, self.k, self.weights = task, k, weights
 
-    def fit(self, df: DataFrame) -> "Neighbours":
-        self.train = df.select("key", vector_to_array("features").alias("x"), "label")
-        return self
+    def _fit(self, df: DataFrame) -> "NeighboursModel":
+        return NeighboursModel(df.select("key", vector_to_array("features").alias("x"), "label"), self.task, self.k, self.weights)
+
+
+class NeighboursModel(StoredModel):
+    whole_tables = True
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def __init__(self, train: DataFrame, task: str, k: int, weights: str):
+        super().__init__()
+        self.train, self.task, self.k, self.weights = train, task, k, weights
+
+    def _transform(self, df: DataFrame) -> DataFrame:
         asked = df.select("key", vector_to_array("features").alias("x"))
         if self.task == "regression":
             found = neighbour_mean(self.train, asked, "label", self.k, features="x", weights=self.weights)
@@ -302,6 +207,31 @@ class Neighbours:
         one = F.when(F.col("prediction") == 1, F.col("confidence")).otherwise(1.0 - F.col("confidence"))
         return df.join(found, "key").withColumn("probability", array_to_vector(F.array(1.0 - one, one))).drop("confidence")
 
+    def contents(self, spark):
+        return {"task": self.task, "k": self.k, "weights": self.weights}, {"train": self.train}, {}
+
+    @classmethod
+    def restored(cls, facts, tables, models):
+        return cls(tables["train"], **facts)
+
+
+class KeyColumn(StoredModel):
+    """The row key under the name ``key`` that the learners use."""
+
+    def __init__(self, name: str):
+        super().__init__()
+        self.name = name
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("key", F.col(self.name).cast("bigint"))
+
+    def contents(self, spark):
+        return {"name": self.name}, {}, {}
+
+    @classmethod
+    def restored(cls, facts, tables, models):
+        return cls(facts["name"])
+
 
 # -- the register ----------------------------------------------------------------------------------
 
@@ -360,15 +290,55 @@ def build(name: str, task: str, rows: int, classes: int = 2, **p):
     raise ValueError(f"no {task} model named {name!r}")
 
 
-def with_score(predicted: DataFrame, out: str = "score") -> DataFrame:
-    """Probability of class 1; else the decision value scaled to 0..1; else the prediction."""
-    if "probability" in predicted.columns:
-        return predicted.withColumn(out, vector_to_array("probability")[1])
-    if "rawPrediction" in predicted.columns:
+class ScoreScale(StoredModel):
+    """How predictions become a score, fixed when the model was trained.
+
+    ``probability``: of class 1. ``anomaly``: the anomaly score. ``margin``: the decision value between
+    the ends it had over the training rows, values beyond them cut to 0 or 1. ``prediction``: itself.
+    """
+
+    def __init__(self, kind: str, low: float = 0.0, high: float = 1.0, out: str = "score"):
+        super().__init__()
+        self.kind, self.low, self.high, self.out = kind, low, high, out
+
+    @classmethod
+    def fit(cls, predicted: DataFrame) -> "ScoreScale":
+        """The scale of a model, from its predictions over the training rows."""
+        if "probability" in predicted.columns:
+            return cls("probability")
+        if "anomaly_score" in predicted.columns:
+            return cls("anomaly")
+        if "rawPrediction" not in predicted.columns:
+            return cls("prediction")
+        if predicted.isStreaming:
+            raise ValueError("a margin has no score without the scale of its training rows")
         raw = vector_to_array("rawPrediction")[1]
-        ends = predicted.agg(F.min(raw).alias("lo"), F.max(raw).alias("hi")).first()
-        return predicted.withColumn(out, (raw - F.lit(ends.lo)) / F.lit(ends.hi - ends.lo + 1e-9))
-    return predicted.withColumn(out, F.col("prediction").cast("double"))
+        ends = predicted.agg(F.min(raw).alias("low"), F.max(raw).alias("high")).first()
+        return cls("margin", float(ends.low or 0.0), float(ends.high or 0.0))
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        if self.kind == "probability":
+            score = vector_to_array("probability")[1]
+        elif self.kind == "margin":
+            place = (vector_to_array("rawPrediction")[1] - F.lit(self.low)) / F.lit(self.high - self.low + 1e-9)
+            score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), place))
+        else:
+            score = F.col("anomaly_score" if self.kind == "anomaly" else "prediction").cast("double")
+        return df.withColumn(self.out, score)
+
+    def contents(self, spark):
+        return {"kind": self.kind, "low": self.low, "high": self.high, "out": self.out}, {}, {}
+
+    @classmethod
+    def restored(cls, facts, tables, models):
+        return cls(**facts)
+
+
+def with_score(predicted: DataFrame, out: str = "score", scale: ScoreScale | None = None) -> DataFrame:
+    """Adds the score by a fitted scale; without one, margins are scaled by the rows at hand, which
+    keeps their order only (enough for curves and ranks of one table)."""
+    scale = scale or ScoreScale.fit(predicted)
+    return ScoreScale(scale.kind, scale.low, scale.high, out).transform(predicted)
 
 
 def importance(model, names: list[str]) -> list[tuple[str, float]]:

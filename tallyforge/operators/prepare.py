@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml import Estimator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from tallyforge.functions.columns import (
     categorical_columns, families, nan_to_null, numeric_columns, scalar_row,
 )
 from tallyforge.operators.counts import collect_facts, value_counts
+from tallyforge.operators.persistence import StoredModel
 from tallyforge.operators.quantiles import column_quantiles
 from tallyforge.operators.roles import column_roles, label_mapping
 from tallyforge.session import broadcast_if_small, materialise
@@ -143,9 +145,12 @@ def ordinal(df: DataFrame, column: str, out: str, fit_on: DataFrame | None = Non
     )
 
 
-@dataclass
-class FeaturePlan:
-    """A fitted preparation: which columns become which features, with the fitted numbers."""
+@dataclass(eq=False)
+class FeaturePlan(StoredModel):
+    """A fitted preparation: which columns become which features, with the fitted numbers.
+
+    A stage like any fitted model, so that it is stored with the model it prepares for.
+    """
 
     numeric: list[str]
     low_card: dict[str, list[str]]
@@ -155,6 +160,25 @@ class FeaturePlan:
     dropped: list[str]
     codes: dict = field(default_factory=dict)
 
+    def __post_init__(self):
+        super().__init__()
+
+    def contents(self, spark):
+        facts = {"numeric": self.numeric, "low_card": self.low_card, "high_card": self.high_card, "fills": self.fills,
+                 "dropped": self.dropped, "kind": self.scaler.kind, "shift": self.scaler.shift, "scale": self.scaler.scale}
+        return facts, {f"codes_{i}": self.codes[c] for i, c in enumerate(self.high_card)}, {}
+
+    @classmethod
+    def restored(cls, facts, tables, models):
+        scaler = Scaler(facts["kind"], facts["shift"], facts["scale"])
+        codes = {c: tables[f"codes_{i}"] for i, c in enumerate(facts["high_card"])}
+        return cls(facts["numeric"], facts["low_card"], facts["high_card"], facts["fills"], scaler, facts["dropped"], codes)
+
+    @property
+    def inputs(self) -> list[str]:
+        """The columns it reads."""
+        return [*self.numeric, *self.low_card, *self.high_card]
+
     @property
     def names(self) -> list[str]:
         hot = [f"{c}_{v}" for c, vs in self.low_card.items() for v in vs]
@@ -172,6 +196,9 @@ class FeaturePlan:
         with_features = filled.withColumn(out, array_to_vector(F.array(*parts)))
         return with_features.select(*df.columns, out)
 
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return self.transform(df)
+
     def summary(self, spark, removed: int = 0) -> DataFrame:
         rows = [
             ("dropped", len(self.dropped), ", ".join(self.dropped)),
@@ -202,6 +229,18 @@ def fit_plan(train: DataFrame, numeric: Sequence[str], low_card: Sequence[str],
     )
 
 
+class Preparation(Estimator):
+    """``fit_plan`` as a pipeline stage: learns the plan from the rows that the pipeline is fitted on."""
+
+    def __init__(self, numeric: Sequence[str], low_card: Sequence[str] = (), high_card: Sequence[str] = (),
+                 center: str = "mean", scaler: str | None = None):
+        super().__init__()
+        self.numeric, self.low_card, self.high_card, self.center, self.scaler = numeric, low_card, high_card, center, scaler
+
+    def _fit(self, df: DataFrame) -> FeaturePlan:
+        return fit_plan(df, self.numeric, self.low_card, self.high_card, center=self.center, scaler=self.scaler)
+
+
 def usable_general(df: DataFrame, target: str, key: str | None = None):
     """Column roles without ids, for the general preparation."""
     exclude = [c for c in (target, key) if c]

@@ -12,7 +12,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators.learners import with_score
+from tallyforge.operators.learners import ScoreScale, with_score
 
 REGISTRY_SCHEMA = (
     "signature string, name string, task string, path string, features string, metrics string, "
@@ -56,6 +56,7 @@ class Registry:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self.table = os.path.join(folder, "registry")
+        self.fitted: dict = {}  # models that this object has trained, by path
 
     def entries(self) -> DataFrame:
         return self.spark.read.schema(REGISTRY_SCHEMA).option("recursiveFileLookup", "true").parquet(self.table)
@@ -83,9 +84,18 @@ class Registry:
         if known:
             return known
         model = pipeline.fit(df)
+        return self.put(model, df, sign, name, task, features, config, evaluate)
+
+    def put(self, model, df: DataFrame, sign: str, name: str, task: str, features: list[str], config: dict, evaluate=None) -> Bundle:
+        """Stores a fitted model together with the scale of its scores over the training rows ``df``."""
+        stages = model.stages if isinstance(model, PipelineModel) else [model]
+        if not any(isinstance(s, ScoreScale) for s in stages):
+            scored = PipelineModel(stages).transform(df)
+            model = PipelineModel([*stages, ScoreScale.fit(scored)])
         found = evaluate(model.transform(df)) if evaluate else {}
         path = os.path.join(self.folder, "models", f"{sign[:16]}-{time.time_ns()}")
         model.write().overwrite().save(path)
+        self.fitted[path] = model
         bundle = Bundle(sign, name, task, path, list(features), found, config)
         row = [(sign, name, task, path, json.dumps(bundle.features), json.dumps(found), json.dumps(config, default=str))]
         self.spark.createDataFrame(
@@ -100,8 +110,14 @@ def check_columns(df: DataFrame, bundle: Bundle) -> None:
         raise ValueError(f"missing feature columns: {missing}")
 
 
+def scored_by(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Predictions with the score of the stored scale."""
+    out = model.transform(df)
+    return out if any(isinstance(s, ScoreScale) for s in model.stages) else with_score(out)
+
+
 def score_batch(df: DataFrame, bundle: Bundle) -> DataFrame:
-    """Predictions of a stored model with the score; partitioning does the chunking."""
+    """Predictions of a stored model with the score; partitioning does the chunking. The score of a row
+    does not depend on the rows beside it."""
     check_columns(df, bundle)
-    return with_score(bundle.load().transform(df))
-
+    return scored_by(bundle.load(), df)

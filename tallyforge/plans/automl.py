@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import families
 from tallyforge.operators import imbalance, learners, prepare, roles, splits
+from tallyforge.operators.registry import Bundle, Registry, fingerprint, signature
 from tallyforge.plans import tuning
 
 
@@ -48,16 +50,26 @@ class Result:
     summary: DataFrame
     importance: list
     classes: list
+    model: PipelineModel | None = None  # key, preparation, best model and score scale, from raw rows
+    features: list = field(default_factory=list)  # the raw columns it reads
 
+    def store(self, registry: Registry, df: DataFrame, config: dict | None = None) -> Bundle:
+        """Puts the best model with its preparation into a registry. ``df`` are the rows of the run."""
+        config = {**(config or {}), "classes": self.classes}
+        sign = signature(fingerprint(df), self.task, self.best, config)
+        return registry.put(self.model, df, sign, self.best, self.task, self.features, config)
 
-def _finish(spark, df, key, target, task, classes, plan, done, settings, test, removed) -> Result:
+
+def _finish(spark, df, key, target, task, classes, plan, done, settings, train, test, removed) -> Result:
     best = done[0]
-    scored = learners.with_score(best.model.transform(test)) if task == "classification" else best.model.transform(test)
+    scale = learners.ScoreScale.fit(best.model.transform(train))
+    scored = learners.with_score(best.model.transform(test), scale=scale) if task == "classification" else best.model.transform(test)
     kept = [c for c in ("label", "prediction", "score") if c in scored.columns]
     rows = df.join(scored.select(F.col("key").alias(key), *kept), key)
     return Result(
         task, best.name, tuning.leaderboard(spark, done, task, settings.metric), tuning.metric_table(spark, done),
-        rows, plan.summary(spark, removed), learners.importance(best.model, plan.names), classes)
+        rows, plan.summary(spark, removed), learners.importance(best.model, plan.names), classes,
+        PipelineModel([learners.KeyColumn(key), plan, best.model, scale]), [key, *plan.inputs])
 
 
 def _folds(settings: Settings, task: str, train: DataFrame) -> int:
@@ -98,7 +110,7 @@ def automl_supervised(df: DataFrame, target: str, key: str, settings: Settings |
     done = tuning.train_all(
         settings.models, train, test, task, settings.metric, max(2, len(classes)), _folds(settings, task, train),
         settings.tune, settings.params)
-    return _finish(spark, df, key, target, task, classes, plan, done, settings, test, removed)
+    return _finish(spark, df, key, target, task, classes, plan, done, settings, train, test, removed)
 
 
 def automl_churn(df: DataFrame, target: str, key: str, settings: Settings | None = None) -> Result:
@@ -124,4 +136,4 @@ def automl_churn(df: DataFrame, target: str, key: str, settings: Settings | None
         train = train.unionByName(new)
     done = tuning.train_all(settings.models, train, test, "classification", settings.metric, 2,
                             _folds(settings, "classification", train), settings.tune, params)
-    return _finish(spark, df, key, target, "classification", [0, 1], plan, done, settings, test, 0)
+    return _finish(spark, df, key, target, "classification", [0, 1], plan, done, settings, train, test, 0)

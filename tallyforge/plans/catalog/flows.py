@@ -4,16 +4,16 @@ import os
 import uuid
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tallyforge.functions.hashing import hash_bucket
-from tallyforge.operators import clustering, isolation, registry
-from tallyforge.operators.prepare import Scaler
-from tallyforge.plans import automl, flows, tuning
-from tallyforge.plans.catalog.base import labelled_documents, query, scored_events
+from tallyforge.operators import clustering, isolation, learners, registry
+from tallyforge.operators.prepare import Preparation, Scaler
+from tallyforge.plans import automl, flows
+from tallyforge.plans.catalog.base import SCORED_EVENTS, labelled_documents, query, scored_events
 from tallyforge.session import shared_folder, spread
 from tallyforge.streaming import jobs
 
@@ -154,31 +154,73 @@ def dataset_fingerprint(t):
     return t.spark.createDataFrame([(int(first == moved), int(first != edited))], "same_when_shuffled int, differs_after_edit int")
 
 
-def _event_model(t):
-    """A stored model of the event label from value and user."""
-    events = scored_events(t).select("event_id", "value", "user_id", "ts", F.col("label").cast("double").alias("label"))
-    steps = Pipeline(stages=[
-        VectorAssembler(inputCols=["value", "user_id"], outputCol="features"), LogisticRegression(maxIter=50)])
+def _event_models(t) -> dict:
+    """A pipeline of every kind that a registry has to store: Spark's own stages, a fitted preparation
+    with a model of this library, a margin model, a kernel machine, neighbours' training rows, a forest."""
+    assembled = VectorAssembler(inputCols=["value", "user_id"], outputCol="features")
+    prepared = Preparation(["value", "user_id"], ["event_type"], scaler="standard")
+    return {
+        "logistic": ("classification", [assembled, LogisticRegression(maxIter=50)]),
+        "gaussian_nb": ("classification", [prepared, learners.GaussianBayes()]),
+        "adaboost": ("classification", [prepared, learners.AdaBoost(5)]),
+        "linear_svc": ("classification", [prepared, LinearSVC(maxIter=30)]),
+        "isolation_forest": ("anomaly", [isolation.Isolation(["value", "user_id"], "event_id", trees=20)]),
+    }
+
+
+def _trainer(t, name: str):
+    """All events, a registry, and a function that trains the named model or finds it there."""
+    events = scored_events(t).select("event_id", "value", "user_id", "event_type", "ts", F.col("label").cast("double").alias("label"))
+    task, stages = _event_models(t)[name]
     store = registry.Registry(t.spark, os.path.join(shared_folder(t.spark), f"models-{uuid.uuid4().hex}"))
-    train = lambda: store.train(
-        events, steps, "logistic", "classification", ["value", "user_id"], {"maxIter": 50},
-        evaluate=lambda p: tuning.evaluate(p, "classification"))
+    train = lambda: store.train(events, Pipeline(stages=stages), name, task, ["value", "user_id", "event_type"], {"name": name})
     return events, store, train
 
 
-@query("model_bundle")
+@query("model_bundle", """SELECT name, task, count(*) AS n_rows, 0::bigint AS n_differ, 1 AS reused, 1 AS same_path, 1::bigint AS entries
+  FROM events, (VALUES ('logistic', 'classification'), ('gaussian_nb', 'classification'), ('adaboost', 'classification'),
+    ('linear_svc', 'classification'), ('isolation_forest', 'anomaly')) AS m(name, task) GROUP BY name, task""")
 def model_bundle(t):
-    _, store, train = _event_model(t)
-    first, again = train(), train()
+    """Every kind of model stored, found again for the same data and settings, reloaded, and its scores
+    over all rows compared with those of the model as it was fitted."""
+    rows = []
+    for name, (task, _) in _event_models(t).items():
+        events, store, train = _trainer(t, name)
+        first, again = train(), train()
+        fitted = store.fitted[first.path]
+        pairs = registry.scored_by(fitted, events).select("event_id", F.col("score").alias("a")).join(
+            registry.score_batch(events, again).select("event_id", F.col("score").alias("b")), "event_id")
+        found = pairs.agg(F.count("*").alias("n"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differ")).first()
+        rows.append((name, task, found.n, found.differ, int(again.reused), int(again.path == first.path), store.entries().count()))
     return t.spark.createDataFrame(
-        [(first.name, round(first.metrics["roc_auc"], 6), int(again.reused), int(again.path == first.path), store.entries().count())],
-        "name string, roc_auc double, reused int, same_path int, entries bigint")
+        rows, "name string, task string, n_rows bigint, n_differ bigint, reused int, same_path int, entries bigint")
 
 
-@query("score_batch", "SELECT event_id, 1 AS in_range FROM events")
+# scores of the stored preparation and normal densities, stated in full
+_STORED_SCORES = f"""WITH e AS (SELECT event_id, label, event_type, (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS value,
+  (user_id - avg(user_id::double) OVER ()) / stddev_pop(user_id::double) OVER () AS user_id FROM {SCORED_EVENTS}),
+k AS (SELECT DISTINCT event_type AS kind FROM events),
+v AS (SELECT event_id, label, '0' AS f, value AS x FROM e UNION ALL SELECT event_id, label, '1', user_id FROM e
+  UNION ALL SELECT event_id, label, 'kind ' || kind, (event_type = kind)::int::double FROM e, k),
+p AS (SELECT label, ln(count(*) / (SELECT count(*) FROM e)::double) AS p FROM e GROUP BY label),
+c AS (SELECT label, f, avg(x) AS m, var_pop(x) + (SELECT 1e-9::double * max(w) FROM (SELECT var_pop(x) AS w FROM v GROUP BY f)) AS w FROM v GROUP BY label, f),
+s AS (SELECT v.event_id, c.label, any_value(p.p) - sum(ln(2 * pi() * c.w) / 2 + (x - m) * (x - m) / (2 * c.w)) AS s
+  FROM v JOIN c ON v.f = c.f JOIN p ON p.label = c.label GROUP BY v.event_id, c.label),
+d AS (SELECT event_id, max(s) FILTER (label = 1) - max(s) FILTER (label = 0) AS d FROM s GROUP BY event_id)
+SELECT event_id, (d > 0)::int::double AS prediction, round(1 / (1 + exp(-d)), 6) AS score FROM d"""
+
+
+@query("score_batch", _STORED_SCORES)
 def score_batch(t):
-    events, _, train = _event_model(t)
-    return registry.score_batch(events, train()).select("event_id", F.col("score").between(0.0, 1.0).cast("int").alias("in_range"))
+    events, _, train = _trainer(t, "gaussian_nb")
+    return registry.score_batch(events, train()).select("event_id", "prediction", F.round("score", 6).alias("score"))
+
+
+@query("score_anomaly")
+def score_anomaly(t):
+    """Scores and labels of a stored forest."""
+    events, _, train = _trainer(t, "isolation_forest")
+    return registry.score_batch(events, train()).select("event_id", F.col("prediction").cast("int").alias("prediction"), F.round("score", 6).alias("score"))
 
 
 SLICES = 3
@@ -192,16 +234,28 @@ def _arriving(t, df):
     return folder
 
 
-@query("score_stream", "SELECT event_id, 1 AS same_as_batch FROM events")
-def score_stream(t):
-    events, _, train = _event_model(t)
+def _streamed(t, events, bundle):
     folder = _arriving(t, events)
     out = f"{folder}-scored"
-    bundle = train()
     jobs.score_stream(t.spark, bundle, folder, events.drop("ts").schema, out, f"{folder}-state", ["event_id"], files_per_batch=2)
-    batch = registry.score_batch(events, bundle).select("event_id", F.col("score").alias("batch_score"))
-    return t.spark.read.parquet(out).join(batch, "event_id", "left").select(
-        "event_id", (F.abs(F.col("score") - F.col("batch_score")) < 1e-9).cast("int").alias("same_as_batch"))
+    return t.spark.read.parquet(out)
+
+
+@query("score_stream", _STORED_SCORES)
+def score_stream(t):
+    events, _, train = _trainer(t, "gaussian_nb")
+    return _streamed(t, events, train()).select("event_id", "prediction", F.round("score", 6).alias("score"))
+
+
+@query("score_margin")
+def score_margin(t):
+    """A stored margin model: the score of every row alike in the batch, in the stream and in a part."""
+    events, _, train = _trainer(t, "linear_svc")
+    bundle = train()
+    batch = registry.score_batch(events, bundle).select("event_id", F.round("score", 9).alias("batch_score"))
+    stream = _streamed(t, events, bundle).select("event_id", F.round("score", 9).alias("stream_score"))
+    part = registry.score_batch(events.filter("event_type = 'click'"), bundle).select("event_id", F.round("score", 9).alias("part_score"))
+    return batch.join(stream, "event_id").join(part, "event_id", "left")
 
 
 @query("drift_stream")

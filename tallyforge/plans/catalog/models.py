@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -43,24 +41,21 @@ def price_rows(t):
     return ready.filter("is_test = 0").drop("is_test"), ready.filter("is_test = 1").drop("is_test"), plan.names
 
 
-def _metric_rows(t, name, task, rows, classes=2, **params):
+def fitted(t, name, task, rows, classes=2, **params):
+    """A model and its predictions over the test rows."""
     train, test, _ = rows(t)
     train = spread(train, "key").persist()
     model = learners.build(name, task, train.count(), classes, **params).fit(train)
-    scored = model.transform(test)
-    found = tuning.evaluate(scored, task, classes, 1)
-    both = train.count() + test.count()
-    if task == "regression":
-        holds = found["r2"] > -0.25
-    else:  # the features say little of the label: a model must not fall far below the largest class
-        most = test.groupBy("label").count().agg(F.max("count")).first()[0]
-        holds = found["accuracy"] > most / test.count() - 0.25
     train.unpersist()
-    finite = all(v is None or math.isfinite(v) for v in found.values())
-    return t.spark.createDataFrame([(name, both, int(holds), int(finite))], "model string, n_rows long, holds_baseline int, finite int")
+    return model, model.transform(test)
 
 
-_FROM = {quality_rows: "documents JOIN labels USING (doc_id)", status_rows: "orders", price_rows: "lineitem"}
+def _metric_rows(t, name, task, rows, classes=2, **params):
+    """Every metric over the test rows."""
+    _, scored = fitted(t, name, task, rows, classes, **params)
+    found = tuning.evaluate(scored, task, classes, 1)
+    return t.spark.createDataFrame(
+        [(name, k, None if v is None else round(float(v), 6)) for k, v in found.items()], "model string, metric string, value double")
 
 
 # The ensembles run with 20 rounds here; the library default is 100.
@@ -84,7 +79,7 @@ _REGRESSORS = {
 
 
 def _register(key, name, task, rows, params):
-    @query(key, f"SELECT '{name}' AS model, count(*) AS n_rows, 1 AS holds_baseline, 1 AS finite FROM {_FROM[rows]}")
+    @query(key)
     def run(t):
         return _metric_rows(t, name, task, rows, **params)
 
@@ -125,8 +120,11 @@ def predict_proba_or_margin(t):
     train, test, _ = quality_rows(t)
     model = learners.build("logistic", "classification", train.count()).fit(train)
     out = model.transform(test)
-    parts = {"probability": out, "decision": out.drop("probability"), "prediction": out.drop("probability", "rawPrediction")}
-    scored = [learners.with_score(df).select(F.lit(n).alias("way"), "key", F.round("score", 6).alias("score")) for n, df in parts.items()]
+    ways = {"probability": [], "decision": ["probability"], "prediction": ["probability", "rawPrediction"]}
+    scored = []
+    for way, without in ways.items():
+        scale = learners.ScoreScale.fit(model.transform(train).drop(*without))
+        scored.append(scale.transform(out.drop(*without)).select(F.lit(way).alias("way"), "key", F.round("score", 6).alias("score")))
     return scored[0].unionByName(scored[1]).unionByName(scored[2])
 
 

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyforge.operators.drift import paired_profiles, report_of, shared_numeric, value_profile
-from tallyforge.operators.registry import Bundle, check_columns
-from tallyforge.operators.learners import with_score
+from tallyforge.operators.registry import Bundle, check_columns, scored_by
 from tallyforge.session import materialise
 
 
@@ -47,11 +46,23 @@ def read_reports(spark: SparkSession, out: str) -> DataFrame:
 
 def score_stream(spark: SparkSession, bundle: Bundle, folder: str, schema: StructType, out: str,
                  checkpoint: str, keep: list[str], files_per_batch: int = 1) -> None:
-    """Scores arriving files with a stored model and appends the scored rows."""
+    """Scores arriving files with a stored model and appends the scored rows.
+
+    A model that scores row by row is part of the stream, and the file sink writes each row once. One
+    that needs tables (neighbours) scores every micro-batch as a table; a repeated batch replaces what
+    it had written.
+    """
     stream = file_stream(spark, folder, schema, files_per_batch)
     check_columns(stream, bundle)
-    scored = with_score(bundle.load().transform(stream)).select(*keep, "prediction", "score")
-    query = (
-        scored.writeStream.format("parquet").outputMode("append").option("path", out)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    model = bundle.load()
+    columns = [*keep, "prediction", "score"]
+    if any(getattr(s, "whole_tables", False) for s in model.stages):
+        def score(batch: DataFrame, number: int) -> None:
+            rows = scored_by(model, batch).select(*columns)
+            rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+        writer = stream.writeStream.foreachBatch(score)
+    else:
+        writer = scored_by(model, stream).select(*columns).writeStream.format("parquet").outputMode("append").option("path", out)
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

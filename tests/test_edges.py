@@ -163,8 +163,8 @@ def test_a_stored_forest_scores_alike(spark, blobs, tmp_path):
     from tallyforge.operators.isolation import IsolationForest
     df = blobs.select("key", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
     forest = IsolationForest.fit(df, ["a", "b"], "key", trees=10)
-    forest.save(spark, str(tmp_path / "forest"))
-    again = IsolationForest.load(spark, str(tmp_path / "forest"))
+    forest.write().overwrite().save(str(tmp_path / "forest"))
+    again = IsolationForest.load(str(tmp_path / "forest"))
     one = {r.key: r.anomaly_score for r in forest.score(df).collect()}
     assert one == {r.key: r.anomaly_score for r in again.score(df).collect()}
 
