@@ -54,7 +54,10 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _columns(batch: pa.RecordBatch, width: int):
-    codes = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, width)
+    column = batch.column(0)
+    _, offsets, data = column.buffers()  # all values have the same width and none is null
+    start = int(np.frombuffer(offsets, np.int32)[column.offset]) if batch.num_rows else 0
+    codes = np.frombuffer(data or b"", np.uint8)[start:start + batch.num_rows * width].reshape(-1, width)
     return codes, batch.column(1).to_numpy(), batch.column(2).to_numpy()
 
 

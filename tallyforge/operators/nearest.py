@@ -2,11 +2,17 @@
 
 1. Points at the same place are collapsed first, so a group of copies is one place however large
    it is; at most the ``k + 1`` smallest keys of a place can ever be among the nearest.
-2. A bounded sample of places serves as pivots. Every point belongs to the cell of its nearest
-   pivot. By the triangle inequality a query only has to visit the cells whose nearest possible
-   point is not farther than a bound known from the cell sizes.
-3. Points and visiting queries of a cell are packed into blocks of bounded size, and a numpy
-   kernel compares block with block, so no task holds a cell and no pair list is ever produced.
+2. A sample of places serves as pivots of a tree of two levels: about the square root of them are tops,
+   and every other pivot hangs on its nearest top. Every point belongs to the cell of the nearest pivot
+   of its nearest top, so cells stay small while the table grows (up to ``PIVOT_BYTES`` of pivots).
+3. A nearest search first compares every query with its own cell, which bounds the distance of its
+   k-th neighbour; by the triangle inequality it then has to visit only the cells whose nearest possible
+   point is within that bound, tops first. What a task reports are its k best within the bound, so the
+   rows that are shuffled stay near the number of results.
+4. Points and visiting queries of a cell are packed into blocks of bounded size, and a numpy
+   kernel compares block with block, so no task holds a cell and no pair list is ever produced. Where
+   most cells have to be visited anyway (many dimensions), the tops serve as cells, so that a query is
+   not copied more often than it helps.
 """
 
 from __future__ import annotations
@@ -22,7 +28,11 @@ from pyspark.sql import functions as F
 
 from tallyforge.session import materialise
 
-MAX_PIVOTS = 1024
+# Points a cell is meant for, and the most that all pivots together may take.
+CELL_ROWS = 128
+PIVOT_BYTES = 32_000_000
+# Share of all cells beyond which the tops serve as cells.
+COARSE_SHARE = 0.25
 BLOCK = 1024
 # Blocks of a cell that are compared by one task.
 GROUP = 8
@@ -49,79 +59,158 @@ class Cells:
     def __init__(self, places: DataFrame, metric: str, weight: str | None = None):
         self.metric = metric
         n = places.count()
-        m = max(1, min(MAX_PIVOTS, math.isqrt(n) + 1))
-        rows = places.select("x").orderBy(F.xxhash64("x"), "x").limit(m).collect()
-        self.pivots = np.array([r.x for r in rows], dtype=float).reshape(len(rows), -1)
-        self.width = self.pivots.shape[1]
+        first = places.select(F.size("x").alias("width")).first()
+        self.width = first.width if first else 0
+        m = max(1, min(-(-n // CELL_ROWS), PIVOT_BYTES // (8 * max(1, self.width))))
+        rows = places.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(m).collect()
+        self._tree(np.array([r.x for r in rows], dtype=float).reshape(len(rows), self.width))
         self.places = places.withColumn("_near", self._assign()(F.col("x"))).select(
-            *places.columns, F.col("_near.cell").alias("cell"), F.col("_near.away").alias("away"))
+            *places.columns, F.col("_near.cell").alias("cell"), F.col("_near.top").alias("top"),
+            F.col("_near.away").alias("away"), F.col("_near.away_top").alias("away_top"))
         held = F.sum(weight) if weight else F.count("*")
         facts = self.places.groupBy("cell").agg(
-            held.alias("held"), F.count("*").alias("n"), F.max("away").alias("reach")).collect()
-        self.sizes = {r.cell: r.n for r in facts}
-        self.held = np.zeros(len(self.pivots))
-        self.reach = np.full(len(self.pivots), -np.inf)
+            held.alias("held"), F.count("*").alias("n"), F.max("away").alias("reach"), F.max("away_top").alias("reach_top")).collect()
+        cells, tops = len(self.pivots), len(self.tops)
+        self.rows, self.held, self.reach = np.zeros(cells, np.int64), np.zeros(cells), np.full(cells, -np.inf)
+        self.reach_top = np.full(tops, -np.inf)
         for r in facts:
-            self.held[r.cell], self.reach[r.cell] = r.held, r.reach
+            self.rows[r.cell], self.held[r.cell], self.reach[r.cell] = r.n, r.held, r.reach
+            self.reach_top[self.owner[r.cell]] = max(self.reach_top[self.owner[r.cell]], r.reach_top)
+        self.coarse = False
+
+    def _tree(self, pivots: np.ndarray) -> None:
+        """The first pivots are tops; all of them are ordered by their nearest top."""
+        self.tops = pivots[:math.isqrt(len(pivots)) + 1]
+        nearest_top = [distances(pivots[i:i + BLOCK], self.tops, self.metric).argmin(axis=1) for i in range(0, len(pivots), BLOCK)]
+        used, owner = np.unique(np.concatenate(nearest_top) if nearest_top else np.zeros(0, np.int64), return_inverse=True)
+        self.tops = self.tops[used]  # 0.0 and -0.0 are two pivots at one place
+        order = np.argsort(owner, kind="stable")
+        self.pivots, self.owner = pivots[order], owner[order]
+        self.ends = np.searchsorted(self.owner, np.arange(len(self.tops) + 1))
 
     def _assign(self):
-        pivots, metric = self.pivots, self.metric
+        tree = (self.tops, self.pivots, self.ends, self.metric)
 
-        @F.pandas_udf("cell int, away double")
+        @F.pandas_udf("cell int, top int, away double, away_top double")
         def assign(xs: pd.Series) -> pd.DataFrame:
-            away = _to_pivots(xs, pivots, metric)
-            cell = away.argmin(axis=1) if len(xs) else np.zeros(0, int)
-            return pd.DataFrame({"cell": cell, "away": away[np.arange(len(xs)), cell]})
+            return pd.DataFrame(dict(zip(("cell", "top", "away", "away_top"), _descend(_rows(xs), *tree)[:4])))
 
         return assign
 
-    def visits(self, queries: DataFrame, k: int | None = None, radius: float | None = None) -> DataFrame:
-        """One row per query and cell to visit."""
-        pivots, metric, held, reach = self.pivots, self.metric, self.held, self.reach
-        slack = 1e-9 * (1.0 + np.abs(pivots).max())
+    def _bounds(self, k: int):
+        """Own cell of a query and a distance within which there are ``k`` points for certain."""
+        tree, held, reach, reach_top = (self.tops, self.pivots, self.ends, self.metric), self.held, self.reach, self.reach_top
+        held_top = np.add.reduceat(held, self.ends[:-1]) if len(held) else np.zeros(0)
+
+        @F.pandas_udf("cell int, top int, bound double")
+        def bounds(xs: pd.Series) -> pd.DataFrame:
+            x = _rows(xs)
+            cell, top, _, _, tops = _descend(x, *tree)
+            bound = _enough(tops + reach_top, held_top, k)
+            for t in np.unique(top):
+                mine, cells = top == t, slice(tree[2][t], tree[2][t + 1])
+                far = distances(x[mine], tree[1][cells], tree[3]) + reach[cells]
+                bound[mine] = np.minimum(bound[mine], _enough(far, held[cells], k))
+            return pd.DataFrame({"cell": cell, "top": top, "bound": bound})
+
+        return bounds
+
+    def _visited(self):
+        """The cells that a query has to visit within its bound."""
+        tops, pivots, ends, metric = self.tops, self.pivots, self.ends, self.metric
+        reach, reach_top, coarse = self.reach, self.reach_top, self.coarse
+        slack = 1e-9 * (1.0 + np.abs(pivots).max(initial=0.0))
+
+        def lists(xs: pd.Series, bounds: pd.Series, coarse: bool):
+            x, bound = _rows(xs), bounds.to_numpy(float)[:, None] + slack
+            with np.errstate(invalid="ignore"):
+                open_tops = np.concatenate([distances(x[i:i + BLOCK], tops, metric) for i in range(0, len(x), BLOCK)] or [np.zeros((0, len(tops)))])
+                open_tops = (open_tops - reach_top <= bound) & np.isfinite(reach_top)
+                if coarse:
+                    return np.nonzero(open_tops)
+                row, cell = [], []
+                for t in np.flatnonzero(open_tops.any(axis=0)):
+                    asked, cells = np.flatnonzero(open_tops[:, t]), slice(ends[t], ends[t + 1])
+                    near = (distances(x[asked], pivots[cells], metric) - reach[cells] <= bound[asked]) & np.isfinite(reach[cells])
+                    i, j = np.nonzero(near)
+                    row.append(asked[i])
+                    cell.append(j + ends[t])
+            return np.concatenate(row or [np.zeros(0, int)]), np.concatenate(cell or [np.zeros(0, int)])
 
         @F.pandas_udf("array<int>")
-        def cells(xs: pd.Series) -> pd.Series:
-            away = _to_pivots(xs, pivots, metric)
-            if radius is None:
-                farthest = away + reach  # every point of the cell is within this
-                order = np.argsort(farthest, axis=1)
-                enough = (np.cumsum(held[order], axis=1) >= k).argmax(axis=1)
-                total_short = held.sum() < k
-                row = np.arange(len(xs))
-                bound = np.full(len(xs), np.inf) if total_short else farthest[row, order[row, enough]]
-            else:
-                bound = np.full(len(xs), radius)
-            with np.errstate(invalid="ignore"):
-                visit = (away - reach <= bound[:, None] + slack) & np.isfinite(reach)
-            return pd.Series([np.flatnonzero(v).astype(np.int32) for v in visit])
+        def visited(xs: pd.Series, bounds: pd.Series) -> pd.Series:
+            row, cell = lists(xs, bounds, coarse)
+            order = np.argsort(row, kind="stable")
+            cuts = np.searchsorted(row[order], np.arange(1, len(xs)))
+            return pd.Series([c.astype(np.int32) for c in np.split(cell[order], cuts)][:len(xs)])
+
+        @F.pandas_udf("long")
+        def number(xs: pd.Series, bounds: pd.Series) -> pd.Series:
+            return pd.Series(np.bincount(lists(xs, bounds, False)[0], minlength=len(xs)))
+
+        return visited, number
+
+    def visits(self, queries: DataFrame) -> DataFrame:
+        """One row per query (``site, x, bound``) and cell to visit. The size of the cells, not the
+        result, follows from how many of them are visited."""
+        number = queries.agg(F.avg(self._visited()[1]("x", "bound")).alias("mean")).first().mean
+        self.coarse = (number or 0.0) > COARSE_SHARE * len(self.pivots)
+        return queries.withColumn("cell", F.explode(self._visited()[0]("x", "bound")))
 
-        return queries.withColumn("cell", F.explode(cells(F.col("x"))))
+    def points(self) -> DataFrame:
+        """The places with the cells that ``visits`` has chosen."""
+        return self.places.withColumn("cell", F.col("top")) if self.coarse else self.places
 
-    def block_pairs(self, queries: DataFrame, points: DataFrame, carry: list[str]) -> DataFrame:
-        """Joins packed query blocks with packed point blocks of the same cell.
+    def sizes(self) -> np.ndarray:
+        return np.add.reduceat(self.rows, self.ends[:-1]) if self.coarse else self.rows
+
+    def block_pairs(self, queries: DataFrame, carry: list[str]) -> DataFrame:
+        """Joins packed query blocks (``site, x, cell, bound``) with packed point blocks of their cell.
 
         A crowded cell is cut into groups of blocks on both sides, and each group of the one side
         is sent to each group of the other, so its comparisons spread over many tasks.
         """
+        sizes = self.sizes()
         calls = {r.cell: r.n for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}
         plan = []
         for cell, n in calls.items():
-            q_blocks, p_blocks = -(-n // BLOCK), -(-self.sizes[cell] // BLOCK)
+            q_blocks, p_blocks = -(-n // BLOCK), -(-int(sizes[cell]) // BLOCK)
             plan.append((cell, q_blocks, p_blocks, -(-q_blocks // GROUP), -(-p_blocks // GROUP)))
-        table = F.broadcast(queries.sparkSession.createDataFrame(  # one row per pivot
+        table = F.broadcast(queries.sparkSession.createDataFrame(  # one row per cell, no more than pivots
             plan, "cell int, q_blocks long, p_blocks long, q_groups long, p_groups long"))
-        q = _pack(queries.join(table, "cell"), "site", [], "q", "p")
-        p = _pack(points.join(table, "cell"), "key", carry, "p", "q")
+        q = _pack(queries.join(table, "cell"), "site", ["bound"], "q", "p")
+        p = _pack(self.points().join(table, "cell"), "key", carry, "p", "q")
         return q.join(p, ["cell", "q_group", "p_group"])
 
 
-def _to_pivots(xs: pd.Series, pivots: np.ndarray, metric: str) -> np.ndarray:
-    if not len(xs):
-        return np.zeros((0, len(pivots)))
-    x = np.vstack(xs.to_numpy()).astype(float)
-    parts = [distances(x[i:i + BLOCK], pivots, metric) for i in range(0, len(x), BLOCK)]
-    return np.concatenate(parts)
+def _rows(xs: pd.Series) -> np.ndarray:
+    return np.vstack(xs.to_numpy()).astype(float) if len(xs) else np.zeros((0, 0))
+
+
+def _descend(x, tops, pivots, ends, metric):
+    """Cell, top and the distances to their pivots; and the distances to all tops."""
+    if not len(x):
+        none = np.zeros(0)
+        return none.astype(int), none.astype(int), none, none, np.zeros((0, len(tops)))
+    away_tops = np.concatenate([distances(x[i:i + BLOCK], tops, metric) for i in range(0, len(x), BLOCK)])
+    top = away_tops.argmin(axis=1)
+    cell, away = np.zeros(len(x), int), np.zeros(len(x))
+    for t in np.unique(top):
+        mine = np.flatnonzero(top == t)
+        gaps = distances(x[mine], pivots[ends[t]:ends[t + 1]], metric)
+        best = gaps.argmin(axis=1)
+        cell[mine], away[mine] = best + ends[t], gaps[np.arange(len(mine)), best]
+    return cell, top, away, away_tops[np.arange(len(x)), top], away_tops
+
+
+def _enough(far: np.ndarray, held: np.ndarray, k: int) -> np.ndarray:
+    """Per row the smallest entry of ``far`` such that the cells up to it hold ``k`` points."""
+    if held.sum() < k:
+        return np.full(len(far), np.inf)
+    order = np.argsort(far, axis=1)
+    place = (np.cumsum(held[order], axis=1) >= k).argmax(axis=1)
+    row = np.arange(len(far))
+    return far[row, order[row, place]]
 
 
 def _pack(df: DataFrame, key: str, carry: list[str], mine: str, other: str) -> DataFrame:
@@ -143,7 +232,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int, carry: list[str]):
         columns = {n: batch.column(n) for n in batch.schema.names}
         for i in range(batch.num_rows):
             value = lambda n: columns[n][i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
-            yield (value("q_key"), value("q_x").reshape(-1, width),
+            yield (value("q_key"), value("q_x").reshape(-1, width), value("q_bound"),
                    value("p_key"), value("p_x").reshape(-1, width), *[value(f"p_{c}") for c in carry])
 
 
@@ -165,17 +254,35 @@ def nearest(points: DataFrame, k: int, queries: DataFrame | None = None, key: st
         F.col(key).cast("bigint").alias("key"), shape(F.col(features).cast("array<double>")).alias("x"))
     copies = Window.partitionBy("x").orderBy("key")
     kept = materialise(pts.withColumn("_n", F.row_number().over(copies)).filter(F.col("_n") <= take).drop("_n"))
-    cells = Cells(kept, straight)
     sites = materialise(asks.groupBy("x").agg(F.min("key").alias("site"), F.count("*").alias("_n")))
-    visits = cells.visits(sites.select("site", "x"), k=take)
-    pairs = cells.block_pairs(visits, cells.places, [])
+    found = _candidates(kept, sites.select("site", "x"), take, straight)
+    best = Window.partitionBy("site").orderBy("distance", "neighbour")
+    by_site = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= take)
+    if metric == "cosine":
+        by_site = by_site.withColumn("distance", F.col("distance") * F.col("distance") / 2.0)
+    shared = sites.filter("_n > 1")
+    alone = sites.filter("_n = 1").select(F.col("site").alias("query"), "site")
+    # only places with copies need the way back from the place to its rows
+    many = asks.join(shared.select("x", "site"), "x").select(F.col("key").alias("query"), "site")
+    out = alone.unionByName(many).join(by_site, "site").drop("site")
+    if skip_self:
+        mine = Window.partitionBy("query").orderBy("distance", "neighbour")
+        out = out.filter("query <> neighbour").withColumn("rank", F.row_number().over(mine)).filter(F.col("rank") <= k)
+    return out.select("query", "neighbour", "distance", "rank")
+
+
+def _candidates(places: DataFrame, sites: DataFrame, take: int, metric: str) -> DataFrame:
+    """``site, neighbour, distance``: the ``take`` best of every block that a query meets, as far as
+    they are within its bound."""
+    cells = Cells(places, metric)
+    pairs = cells.block_pairs(cells.visits(_bounded(cells, sites, take)), [])
     width = cells.width
 
     def kernel(batches):
-        for q_key, q, p_key, p in _blocks(batches, width, []):
-            d = distances(q, p, straight)
+        for q_key, q, bound, p_key, p in _blocks(batches, width, []):
+            d = distances(q, p, metric)
             m = min(take, len(p_key))
-            border = np.partition(d, m - 1, axis=1)[:, m - 1]
+            border = np.minimum(np.partition(d, m - 1, axis=1)[:, m - 1], bound)
             row, col = np.nonzero(d <= border[:, None])
             order = np.lexsort((p_key[col], d[row, col], row))
             row, col = row[order], col[order]
@@ -186,20 +293,25 @@ def nearest(points: DataFrame, k: int, queries: DataFrame | None = None, key: st
             yield pa.RecordBatch.from_pydict(
                 {"site": q_key[row], "neighbour": p_key[col], "distance": d[row, col]})
 
-    found = pairs.mapInArrow(kernel, "site bigint, neighbour bigint, distance double")
-    best = Window.partitionBy("site").orderBy("distance", "neighbour")
-    by_site = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= take)
-    if metric == "cosine":
-        by_site = by_site.withColumn("distance", F.col("distance") * F.col("distance") / 2.0)
-    shared = sites.filter("_n > 1")
-    alone = sites.filter("_n = 1").select(F.col("site").alias("query"), "site")
-    # only places with copies need the way back from the place to its rows
-    many = asks.join(shared.select("x", "site"), "x").select(F.col("key").alias("query"), "site")
-    out = alone.unionByName(many).join(by_site, "site").drop("site")
-    if skip_self:
-        mine = Window.partitionBy("query").orderBy("distance", "neighbour")
-        out = out.filter("query <> neighbour").withColumn("rank", F.row_number().over(mine)).filter(F.col("rank") <= k)
-    return out.select("query", "neighbour", "distance", "rank")
+    return pairs.mapInArrow(kernel, "site bigint, neighbour bigint, distance double")
+
+
+def _bounded(cells: Cells, sites: DataFrame, k: int) -> DataFrame:
+    """``site, x, bound``: a distance within which every query has ``k`` points, from a comparison with
+    its own cell: the k-th best of any block that has as many."""
+    home = materialise(sites.withColumn("_home", cells._bounds(k)("x")).select(
+        "site", "x", F.col("_home.cell").alias("cell"), F.col("_home.bound").alias("bound")))
+    width, metric = cells.width, cells.metric
+
+    def kernel(batches):
+        for q_key, q, bound, p_key, p in _blocks(batches, width, []):
+            if len(p_key) >= k:
+                kth = np.partition(distances(q, p, metric), k - 1, axis=1)[:, k - 1]
+                yield pa.RecordBatch.from_pydict({"site": q_key, "kth": np.minimum(kth, bound)})
+
+    found = cells.block_pairs(home, []).mapInArrow(kernel, "site bigint, kth double")
+    best = found.groupBy("site").agg(F.min("kth").alias("kth"))
+    return materialise(home.join(best, "site", "left").select("site", "x", F.least("bound", F.coalesce("kth", "bound")).alias("bound")))
 
 
 def within(points: DataFrame, queries: DataFrame, radius: float, measure: str, column: str,
@@ -209,11 +321,11 @@ def within(points: DataFrame, queries: DataFrame, radius: float, measure: str, c
     Both sides hold distinct places: points ``(key, x, column)`` and queries ``(site, x)``.
     """
     cells = Cells(points, metric)
-    pairs = cells.block_pairs(cells.visits(queries, radius=radius), cells.places, [column])
+    pairs = cells.block_pairs(cells.visits(queries.withColumn("bound", F.lit(float(radius)))), [column])
     width = cells.width
 
     def kernel(batches):
-        for q_key, q, _, p, value in _blocks(batches, width, [column]):
+        for q_key, q, _, _, p, value in _blocks(batches, width, [column]):
             near = distances(q, p, metric) <= radius
             hit = near.any(axis=1)
             if measure == "sum":
@@ -236,11 +348,11 @@ def links_within(points: DataFrame, radius: float, metric: str = "euclidean") ->
     """
     cells = Cells(points, metric)
     queries = points.select(F.col("key").alias("site"), "x")
-    pairs = cells.block_pairs(cells.visits(queries, radius=radius), cells.places, [])
+    pairs = cells.block_pairs(cells.visits(queries.withColumn("bound", F.lit(float(radius)))), [])
     width = cells.width
 
     def kernel(batches):
-        for q_key, q, p_key, p in _blocks(batches, width, []):
+        for q_key, q, _, p_key, p in _blocks(batches, width, []):
             near = distances(q, p, metric) <= radius
             big = np.iinfo(np.int64).max
             q_label, p_label = q_key.astype(np.int64), p_key.astype(np.int64)

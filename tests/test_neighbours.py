@@ -30,6 +30,34 @@ def test_nearest_equals_brute_force(spark, d, copies, metric):
         assert found[i] == [(int(j), float(full[i, j])) for j in order]
 
 
+@pytest.mark.parametrize("coarse", [0.25, 0.0])
+def test_small_cells_of_both_levels(spark, monkeypatch, coarse):
+    """Sixty cells below eight tops, or the tops as cells; clusters, ties and far queries."""
+    monkeypatch.setattr(nearest, "CELL_ROWS", 10)
+    monkeypatch.setattr(nearest, "BLOCK", 16)
+    monkeypatch.setattr(nearest, "GROUP", 2)
+    monkeypatch.setattr(nearest, "COARSE_SHARE", coarse)
+    x = np.concatenate([points(300, 2), points(300, 2, seed=2) * 0.2 + 9]).round(1)
+    asked = np.concatenate([x[::7] + 0.05, [[50.0, -50.0], [4.5, 4.5]]])
+    d = nearest.distances(asked, x, "euclidean")
+    queries = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(asked)], "key long, features array<double>")
+    found = {}
+    for r in nearest.nearest(frame(spark, x), 6, queries).orderBy("query", "rank").collect():
+        found.setdefault(r["query"], []).append((r.neighbour, r.distance))
+    for i in range(len(asked)):
+        assert found[i] == [(int(j), float(d[i, j])) for j in np.lexsort((np.arange(len(x)), d[i]))[:6]]
+
+
+def test_reported_rows_stay_near_the_results(spark):
+    """What tasks report grows with the rows, not with the cells that are visited."""
+    for n in (2000, 8000):
+        x = points(n, 2, digits=6)
+        sites = frame(spark, x).select(F.col("key").alias("site"), F.col("features").alias("x"))
+        places = frame(spark, x).select("key", F.col("features").alias("x"))
+        assert nearest.Cells(places, "euclidean").pivots.shape[0] == -(-n // nearest.CELL_ROWS)
+        assert nearest._candidates(places, sites, 6, "euclidean").count() <= 2.5 * 6 * n
+
+
 def test_cosine_distance(spark):
     x = points(200, 4)
     unit = x / np.linalg.norm(x, axis=1)[:, None]

@@ -17,6 +17,7 @@ from tallyforge.operators.registry import Registry, score_batch
 from tallyforge.plans import automl
 from tallyforge.plans.catalog import ORACLES, QUERIES
 from tallyforge.plans.catalog.models import fitted, price_rows, quality_rows
+from tallyforge.session import Tables
 from tallyforge.streaming import jobs
 from tests.conftest import FOLDER
 from tests.parity import compare, connect
@@ -226,13 +227,16 @@ def test_margin_query(spark, tables):
 
 
 @pytest.mark.parametrize("name,task,rows,params", [
-    ("decision_tree", "classification", quality_rows, {"max_depth": 5}), ("adaboost", "classification", quality_rows, {"n_estimators": 10}),
-    ("adaboost", "regression", price_rows, {"n_estimators": 5})])
-def test_models_are_no_worse_than_a_constant(tables, name, task, rows, params):
-    model, scored = fitted(tables, name, task, rows, **params)
+    ("decision_tree", "classification", quality_rows, {"max_depth": 5}), ("adaboost", "classification", quality_rows, {"n_estimators": 5}),
+    ("decision_tree", "regression", price_rows, {"max_depth": 5}), ("adaboost", "regression", price_rows, {"n_estimators": 3})])
+def test_models_are_no_worse_than_a_constant(spark, name, task, rows, params):
+    """Regression beats the mean; classes reach the share of the largest, but for one row in a hundred
+    (the features say little of the label)."""
+    folder = "/root/testdata/sf0.1" if task == "classification" else FOLDER
+    _, scored = fitted(Tables(spark, folder), name, task, rows, **params)
     right = scored.select(F.avg((F.col("prediction") == F.col("label")).cast("double")), F.avg(F.col("label")),
                           F.avg((F.col("prediction") - F.col("label")) ** 2), F.var_pop("label")).first()
     if task == "regression":
-        assert right[2] < right[3]
+        assert right[2] < 0.5 * right[3]
     else:
-        assert right[0] >= max(right[1], 1 - right[1]) - 0.05
+        assert right[0] >= max(right[1], 1 - right[1]) - 0.01
