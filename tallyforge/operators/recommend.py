@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import vocab
 from tallyforge.operators.ordering import positions
+from tallyforge.session import materialise
 
 # Items of one user that are paired in one row; a longer basket is cut into blocks of about so many.
 BASKET_BLOCK = 256
@@ -33,18 +34,13 @@ def cooccurrence(basket: DataFrame, min_support: int = 2) -> DataFrame:
 
     Items of fewer than ``min_support`` users cannot be in any pair that counts and are left out
     before the pairs are made; the rest are numbered so that pairs are two integers. A basket is cut
-    into blocks that meet block by block, so no row holds a whole long basket, and the pairs are
-    summed before the shuffle.
+    into blocks that meet block by block, each meeting in a row of its own, so neither a row nor a task
+    holds a whole long basket; the pairs are summed before the shuffle.
     """
     frequent = item_counts(basket).filter(F.col("users") >= min_support)
     items = positions(frequent, ["item"], "code")
     coded = basket.join(items, "item")
-    blocks = coded.groupBy("user").agg(F.ceil(F.count("*") / BASKET_BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int")
-    lists = coded.join(blocks, "user").groupBy("user", block.alias("i")).agg(F.collect_list("code").alias("xs"))
-    others = lists.select(F.col("user").alias("_user"), F.col("i").alias("j"), F.col("xs").alias("ys"))
-    met = lists.join(others, (F.col("user") == F.col("_user")) & (F.col("i") <= F.col("j")))
-    both = met.select("i", "j", "ys", F.explode("xs").alias("x")).select("i", "j", "x", F.explode("ys").alias("y"))
+    both = _met_blocks(coded).select("i", "j", "ys", F.explode("xs").alias("x")).select("i", "j", "x", F.explode("ys").alias("y"))
     both = both.filter((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
     pairs = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     support = pairs.groupBy("a", "b").agg(F.count("*").alias("support"))
@@ -57,6 +53,22 @@ def cooccurrence(basket: DataFrame, min_support: int = 2) -> DataFrame:
         "item", "neighbour", "support", (F.col("support") / F.col("users").cast("double")).alias("confidence"))
 
 
+def _met_blocks(coded: DataFrame) -> DataFrame:
+    """``i, j, xs, ys``: every pair of blocks of a basket once, ``i`` not above ``j``.
+
+    A basket of one block meets itself where it is. The blocks of a longer one are copied to the key
+    (user, lower block, upper block), so the meetings of one user spread over tasks.
+    """
+    blocks = coded.groupBy("user").agg(F.ceil(F.count("*") / BASKET_BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int")
+    lists = materialise(coded.join(blocks, "user").groupBy("user", "blocks", block.alias("own")).agg(F.collect_list("code").alias("codes")))
+    alone = lists.filter("blocks = 1").select(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("codes").alias("xs"), F.col("codes").alias("ys"))
+    long = lists.filter("blocks > 1")
+    lower = long.select("user", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("codes").alias("xs"))
+    upper = long.select("user", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("codes").alias("ys"))
+    return alone.unionByName(lower.join(upper, ["user", "i", "j"]).select("i", "j", "xs", "ys"))
+
+
 def top_neighbours(pairs: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` best neighbours per item by support, then confidence, then name."""
     order = Window.partitionBy("item").orderBy(F.desc("support"), F.desc("confidence"), "neighbour")

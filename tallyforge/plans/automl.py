@@ -113,6 +113,29 @@ def automl_supervised(df: DataFrame, target: str, key: str, settings: Settings |
     return _finish(spark, df, key, target, task, classes, plan, done, settings, train, test, removed)
 
 
+def balancer(way: str):
+    """A function that balances prepared rows ``key, label, features`` for training; None for none.
+
+    It is given the rows that a model may learn from and nothing else. A class of a single row has no
+    neighbour to make rows with, and then the rows stay as they are.
+    """
+    if way == "class_weight":
+        return lambda rows: rows.withColumn("weight", imbalance.weight_column(imbalance.balanced_weights(rows, "label"), "label"))
+    if way == "undersample":
+        return lambda rows: imbalance.undersample(rows, "key", "label")
+    if way not in ("smote", "adasyn"):
+        return None
+
+    def oversampled(rows: DataFrame) -> DataFrame:
+        if min(splits.class_counts(rows, "label").values()) < 2:
+            return rows
+        made = getattr(imbalance, way)(rows.withColumn("features", vector_to_array("features")))
+        return rows.unionByName(made.select(
+            F.xxhash64("source", "copy").alias("key"), "label", array_to_vector("features").alias("features")))
+
+    return oversampled
+
+
 def automl_churn(df: DataFrame, target: str, key: str, settings: Settings | None = None) -> Result:
     """A yes/no target: encoded, split per class, balanced on the training rows only."""
     spark, settings = df.sparkSession, settings or churn_settings()
@@ -125,15 +148,7 @@ def automl_churn(df: DataFrame, target: str, key: str, settings: Settings | None
     train, test = ready.filter("is_test = 0").drop("is_test"), ready.filter("is_test = 1").drop("is_test")
     params = dict(settings.params)
     if settings.imbalance == "class_weight":
-        train = train.withColumn("weight", imbalance.weight_column(imbalance.balanced_weights(train, "label"), "label"))
         params["weight_col"] = "weight"
-    elif settings.imbalance == "undersample":
-        train = imbalance.undersample(train, "key", "label")
-    elif settings.imbalance in ("smote", "adasyn"):
-        arrays = train.withColumn("features", vector_to_array("features"))
-        made = getattr(imbalance, settings.imbalance)(arrays)
-        new = made.select(F.xxhash64("source", "copy").alias("key"), "label", array_to_vector("features").alias("features"))
-        train = train.unionByName(new)
     done = tuning.train_all(settings.models, train, test, "classification", settings.metric, 2,
-                            _folds(settings, "classification", train), settings.tune, params)
+                            _folds(settings, "classification", train), settings.tune, params, balancer(settings.imbalance))
     return _finish(spark, df, key, target, "classification", [0, 1], plan, done, settings, train, test, 0)

@@ -96,12 +96,17 @@ def score_of(values: dict[str, float], metric: str) -> float:
     return -v if metric in metrics.SMALLER_IS_BETTER else v
 
 
-def cross_validate(make: Callable, df: DataFrame, task: str, metric: str, count: int, classes: int = 2) -> dict:
-    """Mean and deviation of a metric over ``count`` folds, stratified for classes."""
+def cross_validate(make: Callable, df: DataFrame, task: str, metric: str, count: int, classes: int = 2,
+                   resample: Callable | None = None) -> dict:
+    """Mean and deviation of a metric over ``count`` folds, stratified for classes.
+
+    ``resample`` balances rows for training; it sees the training part of one fold at a time, so no
+    row that it makes or weighs knows anything of the rows that the fold is measured on.
+    """
     metric = metric_name(metric, task, classes)
     folded = with_folds(df, task, count)
     try:
-        return _over_folds(make, folded, task, metric, count, classes)
+        return _over_folds(make, folded, task, metric, count, classes, resample)
     finally:
         folded.unpersist()
 
@@ -110,11 +115,13 @@ def with_folds(df: DataFrame, task: str, count: int) -> DataFrame:
     return spread(folds(df, "key", count, "label" if task == "classification" else None), "key").persist()
 
 
-def _over_folds(make: Callable, folded: DataFrame, task: str, metric: str, count: int, classes: int) -> dict:
+def _over_folds(make: Callable, folded: DataFrame, task: str, metric: str, count: int, classes: int,
+                resample: Callable | None = None) -> dict:
     width = len(folded.select("features").first().features)
 
     def one(i: int) -> float | None:
-        model = make().fit(folded.filter(F.col("fold") != i).drop("fold"))
+        rest = folded.filter(F.col("fold") != i).drop("fold")
+        model = make().fit(resample(rest) if resample else rest)
         return evaluate(model.transform(folded.filter(F.col("fold") == i)), task, classes, width).get(metric)
 
     with ThreadPoolExecutor(PARALLEL) as pool:
@@ -125,7 +132,7 @@ def _over_folds(make: Callable, folded: DataFrame, task: str, metric: str, count
 
 
 def grid_search(name: str, df: DataFrame, task: str, metric: str, count: int = 3, classes: int = 2,
-                grid: dict | None = None, base: dict | None = None) -> tuple[dict, list[dict]]:
+                grid: dict | None = None, base: dict | None = None, resample: Callable | None = None) -> tuple[dict, list[dict]]:
     """Best parameters of a grid by cross-validation; the defaults when every candidate fails."""
     grid = GRIDS.get(name, {}) if grid is None else grid
     metric = metric_name(metric, task, classes)
@@ -136,7 +143,7 @@ def grid_search(name: str, df: DataFrame, task: str, metric: str, count: int = 3
         params = dict(zip(grid, values))
         make = lambda: learners.build(name, task, rows, classes, **{**(base or {}), **params})  # noqa: B023, E731
         try:
-            result = _over_folds(make, folded, task, metric, count, classes)
+            result = _over_folds(make, folded, task, metric, count, classes, resample)
         except Exception as error:  # one failing candidate must not end the search
             tried.append({"params": params, "mean": None, "error": str(error)[:200]})
             continue
@@ -159,27 +166,33 @@ class Trained:
 
 
 def train_all(names, train: DataFrame, test: DataFrame, task: str, metric: str, classes: int = 2,
-              cv_folds: int = 0, tune: bool = False, params: dict | None = None) -> list[Trained]:
-    """Fits every model on shared cached tables, best first."""
+              cv_folds: int = 0, tune: bool = False, params: dict | None = None, resample: Callable | None = None) -> list[Trained]:
+    """Fits every model on shared cached tables, best first.
+
+    ``resample`` balances what a model learns from: all training rows for the final fit, the training
+    part of each fold in cross-validation and search. Metrics are taken over rows as they are.
+    """
     metric = metric_name(metric, task, classes)
     train, test = spread(train, "key").persist(), test.persist()
     rows, width = train.count(), len(train.select("features").first().features)
+    learned = resample(train).persist() if resample else train
 
     def one(name: str) -> Trained:
         chosen = dict(params or {})
         if tune:
-            chosen.update(grid_search(name, train, task, metric, max(3, min(cv_folds or 3, 5)), classes, base=params)[0])
+            chosen.update(grid_search(name, train, task, metric, max(3, min(cv_folds or 3, 5)), classes, base=params, resample=resample)[0])
         make = lambda: learners.build(name, task, rows, classes, **chosen)
-        model = make().fit(train)
+        model = make().fit(learned)
         fitted = Trained(
             name, model, evaluate(model.transform(test), task, classes, width),
             evaluate(model.transform(train), task, classes, width), chosen)
         if cv_folds >= 2:
-            fitted.cv = cross_validate(make, train, task, metric, cv_folds, classes)
+            fitted.cv = cross_validate(make, train, task, metric, cv_folds, classes, resample)
         return fitted
 
     with ThreadPoolExecutor(PARALLEL) as pool:
         done = list(pool.map(one, names))
+    learned.unpersist()
     train.unpersist()
     test.unpersist()
     return sorted(done, key=lambda t: (-score_of(t.test, metric), t.name))
