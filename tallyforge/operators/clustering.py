@@ -6,14 +6,15 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, PowerIterationClustering
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.hashing import hash_unit
 from tallyforge.operators.nearest import distances, nearest
 from tallyforge.operators.ordering import positions
-from tallyforge.session import materialise
+from tallyforge.session import BROADCAST_BYTES, BROADCAST_ROWS, materialise
 
 SEED = 42
 # Micro-clusters handed to the quadratic methods.
@@ -157,16 +158,108 @@ def mean_shift(df: DataFrame, bandwidth: float | None = None, limit: int = MICRO
 
 
 def spectral(df: DataFrame, k: int, key: str = "key", neighbours: int = 10, gamma: float = 1.0,
-             rounds: int = 30) -> DataFrame:
-    """Power iteration on the rbf affinities of each row's nearest neighbours."""
-    pts = df.select(key, vector_to_array("features").alias("x"))
+             rounds: int = 8, precision: float = 5e-4) -> DataFrame:
+    """k-means on the leading ``k`` eigenvectors of the normalised nearest-neighbour affinities."""
+    pts = df.select(F.col(key).cast("bigint").alias(key), vector_to_array("features").alias("x"))
     near = nearest(pts, neighbours, key=key, features="x")
-    weight = F.exp(-F.lit(gamma) * F.col("distance") * F.col("distance"))
-    edges = materialise(near.select(
-        F.least("query", "neighbour").alias("src"), F.greatest("query", "neighbour").alias("dst"),
-        F.greatest(weight, F.lit(1e-12)).alias("weight")).distinct())
-    found = PowerIterationClustering(k=k, maxIter=rounds, initMode="degree", weightCol="weight").assignClusters(edges)
-    return df.join(found.select(F.col("id").alias(key), F.col("cluster")), key)
+    weight = F.greatest(F.exp(-F.lit(gamma) * F.col("distance") * F.col("distance")), F.lit(1e-12))
+    one = near.select(F.least("query", "neighbour").alias("a"), F.greatest("query", "neighbour").alias("b"), weight.alias("w"))
+    one = one.groupBy("a", "b").agg(F.max("w").alias("w"))
+    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    vectors = leading_vectors(both, k, rounds, precision)
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v))
+    rows = vectors.select(F.col("node").alias(key), array_to_vector(
+        F.transform("v", lambda v: F.when(length > 0, v / length).otherwise(0.0))).alias("features"))
+    found = with_kmeans(rows.withColumnRenamed(key, "key"), k, starts=8)
+    return df.join(found.select(F.col("key").alias(key), "cluster"), key)
+
+
+def leading_vectors(edges: DataFrame, k: int, rounds: int = 8, precision: float = 5e-4, degree: int = 16) -> DataFrame:
+    """``node, v``: the ``k`` eigenvectors of the largest eigenvalues of the symmetric affinities
+    ``(a, b, w)``, scaled by the roots of the degrees; both directions of an edge are given.
+
+    Some vectors more than asked for are iterated together. Each round multiplies them ``degree`` times
+    in a Chebyshev recurrence that damps all eigenvalues below the smallest one found so far, makes
+    them orthogonal by the small matrix of their products, and stops when no wanted vector changes by
+    more than ``precision`` under one more multiplication. A multiplication is a join and one sum by
+    node; only the matrices of products come to the driver.
+    """
+    held = materialise(edges.groupBy("a").agg(F.sum("w").alias("d")))
+    scaled = edges.join(held, "a").join(held.select(F.col("a").alias("b"), F.col("d").alias("e")), "b")
+    graph = materialise(scaled.select("a", "b", (F.col("w") / F.sqrt(F.col("d") * F.col("e"))).alias("w")))
+    nodes = held.count()
+    width = min(k + 2, max(1, nodes))
+    # the vectors are sent to the edges where they are small enough, and shuffled to them elsewhere
+    send = F.broadcast if nodes <= BROADCAST_ROWS and nodes * (width + 2) * 8 <= BROADCAST_BYTES else (lambda df: df)
+    start = [F.sqrt("d")] + [hash_unit("a", f"vector{i}") - 0.5 for i in range(1, width)]
+    state = held.select(F.col("a").alias("node"), F.array(*start).alias("v"))
+    for turn in range(rounds):
+        image = materialise(_step(graph, state, send, width, 0.0, 1.0))
+        values, mix, error = _ritz(_products(image, width), min(k, width))
+        state = materialise(_combined(image, mix))
+        width = mix.shape[1]
+        if error <= precision or turn == rounds - 1:
+            break
+        low = float(np.clip(values[-1], 0.0, 0.999))
+        centre, half = (low - 1.0) / 2.0, (low + 1.0) / 2.0
+        for step in range(degree):
+            made = _step(graph, state, send, width, centre, (1.0 if step == 0 else 2.0) / half)
+            state = materialise(made.select("node", F.col("u").alias("v"), F.col("v").alias("p")))
+        state = state.select("node", "v")
+    return state.select("node", F.slice("v", 1, min(k, width)).alias("v"))
+
+
+def _step(graph: DataFrame, state: DataFrame, send, width: int, centre: float, factor: float) -> DataFrame:
+    """``node, v, u``: with ``u`` the vectors times (graph - centre) * factor, less the vectors ``p``
+    before them where the state has such."""
+    sent = send(state.select(F.col("node").alias("b"), "v"))
+    met = graph.join(sent, "b").select(F.col("a").alias("node"), F.transform("v", lambda v: v * F.col("w") * factor).alias("s"),
+                                       F.lit(None).cast("array<double>").alias("v"))
+    less = F.transform("v", lambda v: v * (-centre * factor))
+    if "p" in state.columns:
+        less = F.zip_with(less, "p", lambda a, p: a - p)
+    sums = F.array(*[F.sum(F.col("s")[i]) for i in range(width)])
+    return met.unionByName(state.select("node", less.alias("s"), "v")).groupBy("node").agg(
+        F.first("v", ignorenulls=True).alias("v"), sums.alias("u"))
+
+
+def _products(image: DataFrame, width: int) -> np.ndarray:
+    """The three matrices of products v'v, v'u and u'u, added up inside the tasks."""
+    def run(batches):
+        total = np.zeros((3, width, width))
+        for pdf in batches:
+            if len(pdf):
+                v, u = np.vstack(pdf["v"].to_numpy()), np.vstack(pdf["u"].to_numpy())
+                total += np.stack([v.T @ v, v.T @ u, u.T @ u])
+        yield pd.DataFrame({"place": np.arange(total.size), "part": total.ravel()})
+
+    parts = image.select("v", "u").mapInPandas(run, "place int, part double").groupBy("place").agg(F.sum("part").alias("part"))
+    out = np.zeros(3 * width * width)
+    for r in parts.collect():  # entries of three small matrices
+        out[r.place] = r.part
+    return out.reshape(3, width, width)
+
+
+def _ritz(products: np.ndarray, k: int):
+    """Falling eigenvalues within the span of the vectors, the combinations that give the eigenvectors,
+    and how far the first ``k`` are from being eigenvectors."""
+    vv, vu, uu = products
+    size, axes = np.linalg.eigh((vv + vv.T) / 2)
+    kept = size > 1e-12 * size.max()
+    basis = axes[:, kept] / np.sqrt(size[kept])
+    values, turn = np.linalg.eigh(basis.T @ (vu + vu.T) @ basis / 2)
+    order = np.argsort(-values)
+    values, mix = values[order], basis @ turn[:, order]
+    rest = np.einsum("ij,jk,ki->i", mix.T, uu, mix) - values ** 2
+    return values, mix, float(np.sqrt(np.maximum(rest[:k], 0.0)).max())
+
+
+def _combined(image: DataFrame, mix: np.ndarray) -> DataFrame:
+    @F.pandas_udf("array<double>")
+    def combine(vs: pd.Series) -> pd.Series:
+        return pd.Series(list(np.vstack(vs.to_numpy()) @ mix) if len(vs) else [], dtype=object)
+
+    return image.select("node", combine("v").alias("v"))
 
 
 def renumber(df: DataFrame, key: str = "key") -> DataFrame:

@@ -9,7 +9,7 @@ SOURCES = sorted(pathlib.Path(__file__).parent.parent.joinpath("tallyforge").rgl
 # Modules that bring rows to the driver, and how often: statistics of columns, classes, clusters,
 # slices, pivots, tree nodes; a file's head.
 COLLECTS = {
-    "flows.py": 1, "metrics.py": 1, "counts.py": 1, "silhouette.py": 2, "clustering.py": 2, "splits.py": 3, "learners.py": 1,
+    "flows.py": 1, "metrics.py": 1, "counts.py": 1, "silhouette.py": 2, "clustering.py": 3, "splits.py": 3, "learners.py": 1,
     "quantiles.py": 1, "prepare.py": 1, "roles.py": 1, "nearest.py": 3, "ordering.py": 1, "segments.py": 2, "delimited.py": 1,
     "boosting.py": 2, "persistence.py": 1,
 }
