@@ -20,8 +20,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     raw table that are not held out."""
     labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id"))
     model = neighbour_quality.learn_quality(table(spark, sf_dir, "documents"), labels)
-    scored = neighbour_quality.score_quality(docs, model, score_col="stage_score")
-    return scored.filter(F.col("stage_score") >= QUALITY_THRESHOLD).drop("stage_score")
+    name = "stage_score"
+    while name in {c.lower() for c in docs.columns}:  # a column of the documents stays what it is
+        name += "_"
+    scored = neighbour_quality.score_quality(docs, model, score_col=name)
+    return scored.filter(F.col(name) >= QUALITY_THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +37,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by shingle similarity, the one with the smallest id.
 
     Documents without words and documents without an id are in no group and stay. An id may stand at
-    different texts, so rows are known by id and text.
+    different texts, so rows are known by id and text; of near copies that share the smallest id, the
+    text with the smallest hash stays.
     """
     short_batches(spark)
     row = F.when(docs["doc_id"].isNotNull(), F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("text_key")))
     groups = combination_prefix.jaccard_components(docs.select(row.alias("row"), "text"), id_col="row")
-    dropped = groups.filter("component_id.doc_id <> row.doc_id").select(F.col("row").alias("dropped_row")).distinct()
+    dropped = groups.filter("component_id <> row").select(F.col("row").alias("dropped_row")).distinct()
     return docs.join(dropped, row == dropped["dropped_row"], "left_anti").select(*[docs[c] for c in docs.columns])
 
 
