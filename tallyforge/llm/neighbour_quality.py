@@ -99,13 +99,23 @@ class NeighbourVote:
         empty = ~rows.any(axis=1)
         cosines = np.maximum(self.latent(rows) @ self.vectors.T, 0)
         k = min(self.neighbours, len(self.labels))
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        near = nearest_columns(cosines, k)
         votes = np.take_along_axis(cosines, near, axis=1).astype(np.float64) ** self.power
         total = votes.sum(axis=1)
         score = (votes * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-300)
         return np.clip(np.where(empty | (total <= 0), self.prior, score), 0.0, 1.0)
 
 
+def nearest_columns(cosines: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` columns of the largest cosines of every row; of equal ones at the border, the first."""
+    border = np.partition(cosines, -k, axis=1)[:, [-k]]
+    above, level = cosines > border, cosines == border
+    missing = k - above.sum(axis=1, keepdims=True)
+    tied = np.flatnonzero(level.sum(axis=1, keepdims=True) > missing)
+    level[tied] &= np.cumsum(level[tied], axis=1) <= missing[tied]
+    return np.nonzero(above | level)[1].reshape(len(cosines), k)
+
+
 def _axes(rows: np.ndarray, rank: int) -> np.ndarray:
     """Right singular vectors by a randomised range finder with power steps."""
     rng = np.random.default_rng(0)

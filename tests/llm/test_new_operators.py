@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.llm import circulant_minhash, embedding_whitening, filter_audit
+from tallyforge.llm import circulant_minhash, embedding_whitening, filter_audit, neighbour_quality
 from tallyforge.llm.bytesets import mix
 from tallyforge.llm.queries import QUERIES
 from tests.conftest import FOLDER
@@ -232,3 +232,15 @@ def test_whitening_beyond_a_long(spark):
     out = {r.vec_id: int(r.deviation) for r in embedding_whitening.whiten(df).collect()}
     _, want, _, _ = whitened([v for _, v in rows], 3)
     assert [out[i] for i in range(40)] == [int(d) for d in want]
+
+
+# -- 9: votes of equal neighbours ----------------------------------------------------------------
+
+def test_votes_equal_a_plain_sort():
+    """Ties at the border go to the earlier sample rows, as a stable sort would have it."""
+    rng = np.random.default_rng(1)
+    cosines = rng.integers(0, 6, (200, 80)).astype(np.float32) / 5
+    cosines[:20] = 1.0
+    near = neighbour_quality.nearest_columns(cosines, 15)
+    want = np.argsort(-cosines, axis=1, kind="stable")[:, :15]
+    assert (np.sort(near, axis=1) == np.sort(want, axis=1)).all()

@@ -111,3 +111,18 @@ def test_near_dedup_keeps_the_other_text_of_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()
     assert sorted(map(tuple, out), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
+
+
+def test_near_dedup_of_one_id(spark):
+    """Near copies that share an id: one of them stays; a clean text of that id stays as well."""
+    words = [f"word{i}" for i in range(60)]
+    rows = [(7, " ".join(words)), (7, " ".join(words + ["more"])), (7, " ".join(f"clean{i}" for i in range(30))), (9, " ".join(words + ["less"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()))
+    assert len(out) == 2 and rows[2] in out and all(r[0] == 7 for r in out)
+
+
+def test_quality_stage_keeps_a_column_of_its_own_score_name(spark, tables):
+    docs = tables.documents.withColumn("stage_score", F.lit("mine"))
+    out = corpus_pipeline.quality(spark, docs, FOLDER)
+    assert out.columns == docs.columns and {r.stage_score for r in out.select("stage_score").distinct().collect()} == {"mine"}
