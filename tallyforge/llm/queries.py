@@ -168,9 +168,9 @@ contexts AS (SELECT DISTINCT s['kind'] AS kind, CASE s['kind'] WHEN 'email' THEN
 together AS (SELECT kind, value, term, count(*) AS together FROM (
   SELECT kind, value, unnest({words.format('around')}) AS term FROM contexts) GROUP BY ALL HAVING count(*) >= {limits.support}),
 entity AS (SELECT kind, value, count(*) AS contexts FROM contexts GROUP BY ALL),
-spread AS (SELECT term, count(*) AS docs FROM (SELECT unnest({words.format('text')}) AS term FROM t) GROUP BY term),
+spread AS (SELECT term, count(*) AS docs FROM (SELECT unnest({words.format('text')}) AS term FROM (SELECT DISTINCT text FROM t)) GROUP BY term),
 terms AS (SELECT DISTINCT term FROM together JOIN entity USING (kind, value) JOIN spread USING (term)
-  WHERE log2(together * (SELECT count(*) FROM t)::double / (docs * contexts)) >= {limits.bits} AND together / docs::double >= {limits.share}),
+  WHERE log2(together * (SELECT count(DISTINCT text) FROM t)::double / (docs * contexts)) >= {limits.bits} AND together / docs::double >= {limits.share}),
 w AS (SELECT doc_id, regexp_extract_all(text, '[\\pL\\pN]+') AS words, regexp_split_to_array(text, '[\\pL\\pN]+') AS gaps FROM t),
 p AS (SELECT doc_id, words, gaps, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS term FROM w),
 a AS (SELECT doc_id, list({{'start': cast(list_sum(list_transform(gaps[1:i], lambda g: length(g)))

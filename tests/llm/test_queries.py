@@ -94,12 +94,13 @@ def test_disclosure_sql_finds_the_same_terms(spark, tmp_path):
     filler = ["lorem", "ipsum", "dolor", "sit", "amet", "elit", "sed", "quia"]
     rows = [(i, " ".join(rng.choice(filler, 30))) for i in range(900)]
     rows += [(1000 + i, f"{' '.join(rng.choice(filler, 4))} Zaphöd writes to z@hart.org {' '.join(rng.choice(filler, 4))}") for i in range(4)]
+    rows += [(3000 + i, rows[900][1]) for i in range(50)]  # copies make no term less revealing
     rows += [(2000, "Ask Zaphöd, not Zaphödia; Zaphöd!"), (2001, "4111 1111 1111 1111 or 1.2.3.400"), (2002, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     out = QUERIES["op8_personal"](spark, str(tmp_path))
-    assert out.filter("spans LIKE '%term:%'").count() == 5
+    assert out.filter("spans LIKE '%term:%'").count() == 55
     assert compare(out, con, ORACLES["op8_personal"]) == ""
 
 
