@@ -47,10 +47,12 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Token ids of texts by a tokenizer that encodes runs of letters, digits and marks one by one.
+    """Token ids of texts by a byte-level tokenizer that encodes runs of letters, digits and marks one by one.
 
-    Runs repeat, so their ids are remembered, up to about ``CACHE_RUNS`` of them, and new ones are
-    encoded many at once. Texts with other characters or special tokens are encoded as they are.
+    Runs repeat, so their ids are remembered in two generations of about ``CACHE_RUNS`` each: when the
+    younger one is full it becomes the older one, and a run met again moves up, so frequent runs stay.
+    New runs go straight to the tokenizer's model, spelled in its letters for bytes. Texts with other
+    characters or special tokens are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -58,41 +60,35 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(added) or "(?!)")
-        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that close a run
-        for token, number in self.tokenizer.get_vocab().items():
-            self.closes[number] = token.endswith("</w>")
+        self.spelling = {c: "".join(part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c)))
+                         for c in range(0xc0, 0x17f)}
         self.runs: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_runs(self, runs: list[str]) -> list[bytes]:
-        """Ids of each run; many runs are encoded as one text and cut where an id closes a run."""
-        out = []
-        for i in range(0, len(runs), 1000):
-            part = runs[i:i + 1000]
-            ids = np.frombuffer(self._encode([" ".join(part)])[0], self.kind)
-            stops = np.flatnonzero(self.closes[ids]) + 1
-            if len(stops) != len(part):
-                out += self._encode(part)
-                continue
-            raw, stops = ids.tobytes(), (stops * self.kind.itemsize).tolist()
-            out += [raw[a:b] for a, b in zip([0] + stops[:-1], stops)]
-        return out
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
+
+    def _encode_run(self, run: str) -> bytes:
+        spelled = run if run.isascii() else run.translate(self.spelling)
+        return np.array([t.id for t in self.model.tokenize(spelled)], self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.runs) > CACHE_RUNS:
-            self.runs = {}
         plain = [(not _OTHER.search(t)) and not self.special.search(t) for t in texts]
         cut = [_RUNS.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
-        new = list(set().union(*cut) - self.runs.keys())
-        self.runs.update(zip(new, self._encode_runs(new)))
-        known = self.runs
-        return [b"".join([known[r] for r in rs]) if p else self._encode([t])[0] for t, p, rs in zip(texts, plain, cut)]
+        known, older = self.runs, self.older
+        new: set[str] = set()
+        for runs in cut:
+            new.update(set(runs).difference(known))
+        for run in new:
+            known[run] = older.get(run) or self._encode_run(run)
+        out = [b"".join([known[r] for r in runs]) if p else self._encode(t) for t, p, runs in zip(texts, plain, cut)]
+        if len(known) > CACHE_RUNS:
+            self.runs, self.older = {}, known
+        return out
 
 
 def encoder(path: str) -> WordEncoder:

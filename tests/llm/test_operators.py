@@ -218,6 +218,19 @@ def test_word_encoder_is_exact():
         assert np.frombuffer(ids, "<u2").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_word_encoder_keeps_frequent_runs(monkeypatch):
+    monkeypatch.setattr(window_packing, "CACHE_RUNS", 50)
+    own, asked = window_packing.WordEncoder(tokenizer_path()), []
+    plain = own._encode_run
+    monkeypatch.setattr(own, "_encode_run", lambda run: asked.append(run) or plain(run))
+    for i in range(100):
+        text = "the " + " ".join("q" + "abcdefghij"[d // 10] + "klmnopqrst"[d % 10] + "x" * (i // 5) for d in range(i % 5 * 20, i % 5 * 20 + 20))
+        ids = np.frombuffer(own.encode([text])[0], "<u2").tolist()
+        assert ids == own.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(own.runs) + len(own.older) <= 2 * (50 + 21)
+    assert asked.count("the") == 1 and len(asked) > 1000
+
+
 def test_plan_fills_windows():
     counts = np.zeros(2049, np.int64)
     counts[1:2049] = np.random.default_rng(0).integers(0, 300, 2048)
