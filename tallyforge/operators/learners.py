@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators.boosting import AdaBoost, AdaBoostRegressor
 from tallyforge.operators.density import neighbour_mean, neighbour_vote
 from tallyforge.operators.persistence import StoredModel, array_table, arrays_of
+from tallyforge.operators.tube import TubeRegression
 
 SEED = 42
 # Depth that stands in for "unlimited"; Spark rejects more than 30 and doubles memory per level.
@@ -91,15 +92,17 @@ class FourierFeatures:
         rng = np.random.default_rng(seed)
         return cls(rng.normal(scale=math.sqrt(2.0 * gamma), size=(width, count)), rng.uniform(0.0, 2.0 * math.pi, size=count))
 
+    def rows(self, x: np.ndarray) -> np.ndarray:
+        return math.sqrt(2.0 / len(self.b)) * np.cos(x @ self.w + self.b)
+
     def transform(self, df: DataFrame, out: str) -> DataFrame:
-        w, b = self.w, self.b
+        rows = self.rows
 
         @F.pandas_udf("array<double>")
         def cosines(xs: pd.Series) -> pd.Series:
             if not len(xs):
                 return pd.Series([], dtype=object)
-            z = math.sqrt(2.0 / len(b)) * np.cos(np.vstack(xs.to_numpy()) @ w + b)
-            return pd.Series(list(z))
+            return pd.Series(list(rows(np.vstack(xs.to_numpy()))))
 
         return df.withColumn(out, array_to_vector(cosines(vector_to_array("features"))))
 
@@ -115,11 +118,13 @@ def scale_gamma(df: DataFrame) -> float:
 
 
 class KernelMachine(Estimator):
-    """Support vectors with an rbf kernel, as a linear machine over random cosine features."""
+    """Support vectors with an rbf kernel, as a linear machine over random cosine features; regression
+    with the tube of ``epsilon`` around the labels."""
 
-    def __init__(self, task: str, c: float = 1.0, kernel: str = "rbf", classes: int = 2, gamma: str | float = "scale"):
+    def __init__(self, task: str, c: float = 1.0, kernel: str = "rbf", classes: int = 2, gamma: str | float = "scale",
+                 epsilon: float = 0.1):
         super().__init__()
-        self.task, self.c, self.kernel, self.classes, self.gamma = task, c, kernel, classes, gamma
+        self.task, self.c, self.kernel, self.classes, self.gamma, self.epsilon = task, c, kernel, classes, gamma, epsilon
 
     def width(self, df: DataFrame) -> float:
         """The kernel's gamma: a number, ``auto`` (1 / features) or ``scale`` (also by the variance)."""
@@ -128,25 +133,22 @@ class KernelMachine(Estimator):
         return scale_gamma(df) if self.gamma == "scale" else float(self.gamma)
 
     def _fit(self, df: DataFrame) -> "KernelMachineModel":
-        n = df.count()
         lift = None
         if self.kernel == "rbf":
             lift = FourierFeatures.drawn(len(df.select("features").first().features), self.width(df))
-            df = lift.transform(df, "_lifted")
-        else:
-            df = df.withColumn("_lifted", F.col("features"))
-        df = df.persist()
         if self.task == "regression":
-            model, platt = LinearRegression(
-                featuresCol="_lifted", loss="huber", regParam=1.0 / (self.c * n), maxIter=100).fit(df), None
+            found = TubeRegression(self.c, self.epsilon, lift.rows if lift else None).fit(df)
+            found.features = "_lifted"
+            return KernelMachineModel(lift, found, None)
+        n = df.count()
+        df = (lift.transform(df, "_lifted") if lift else df.withColumn("_lifted", F.col("features"))).persist()
+        machine = LinearSVC(featuresCol="_lifted", regParam=1.0 / (self.c * n), maxIter=100)
+        if self.classes > 2:
+            model, platt = OneVsRest(classifier=machine, featuresCol="_lifted").fit(df), None
         else:
-            machine = LinearSVC(featuresCol="_lifted", regParam=1.0 / (self.c * n), maxIter=100)
-            if self.classes > 2:
-                model, platt = OneVsRest(classifier=machine, featuresCol="_lifted").fit(df), None
-            else:
-                model = machine.fit(df)
-                margins = model.transform(df).select("label", _margin("rawPrediction"))
-                platt = LogisticRegression(featuresCol="_margin").fit(margins)
+            model = machine.fit(df)
+            margins = model.transform(df).select("label", _margin("rawPrediction"))
+            platt = LogisticRegression(featuresCol="_margin").fit(margins)
         df.unpersist()
         return KernelMachineModel(lift, model, platt)
 
@@ -249,7 +251,7 @@ _BOOSTED = {"boosted_xgb": (6, 0.3), "boosted_lgbm": (5, 0.1)}
 
 def build(name: str, task: str, rows: int, classes: int = 2, **p):
     """A learner by name. Parameters: n_estimators, max_depth, learning_rate, C, kernel,
-    n_neighbors, weights, min_samples_split, max_iter, weight_col."""
+    gamma, epsilon, n_neighbors, weights, min_samples_split, max_iter, weight_col."""
     depth, trees = p.get("max_depth"), int(p.get("n_estimators", 100))
     weight = {"weightCol": p["weight_col"]} if p.get("weight_col") else {}
     least = {"minInstancesPerNode": max(1, int(p.get("min_samples_split", 2)) // 2)}
@@ -277,7 +279,8 @@ def build(name: str, task: str, rows: int, classes: int = 2, **p):
         rate = float(p.get("learning_rate", 1.0))
         return AdaBoostRegressor(trees, rate) if regression else AdaBoost(trees, rate, classes)
     if name == "svm":
-        return KernelMachine(task, float(p.get("C", 1.0)), p.get("kernel", "rbf"), classes, p.get("gamma", "scale"))
+        return KernelMachine(task, float(p.get("C", 1.0)), p.get("kernel", "rbf"), classes, p.get("gamma", "scale"),
+                             float(p.get("epsilon", 0.1)))
     if name == "knn":
         return Neighbours(task, int(p.get("n_neighbors", 5)), p.get("weights", "uniform"))
     if name == "linear" and regression:
