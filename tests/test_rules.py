@@ -12,6 +12,7 @@ COLLECTS = {
     "flows.py": 1, "metrics.py": 1, "counts.py": 1, "silhouette.py": 2, "clustering.py": 3, "splits.py": 3, "learners.py": 1,
     "quantiles.py": 1, "prepare.py": 1, "roles.py": 1, "nearest.py": 3, "ordering.py": 1, "segments.py": 2, "delimited.py": 1,
     "boosting.py": 2, "persistence.py": 1,
+    "tube.py": 1,  # width + 3 rows of sums
 }
 OPERATORS = [p for p in SOURCES if "catalog" not in p.parts]
 
