@@ -21,7 +21,7 @@ Defined results: null and empty texts and texts without words have empty sets an
 text of fewer words than a shingle has its whole sequence as the only member; repeated rows are one
 node; null ids take part, ``component_id`` is the smallest other id or null, and a row with a null id
 is kept only if nothing else in its component has an id; extra columns are ignored; an empty table
-gives no rows. Memory follows the longest text, ``SIGNATURES`` and ``TOKENS``.
+gives no rows. Memory follows the longest text and the blocks of ``families``.
 """
 
 from __future__ import annotations
@@ -33,35 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.bytesets import blocks, flat, mix, shingle_hashes
+from tallyforge.llm.bytesets import mix
 from tallyforge.llm.common import join_groups, stored
-from tallyforge.operators.components import connected_components
+from tallyforge.llm.families import linked_components, set_blocks
 from tallyforge.session import broadcast_if_small
 
 ROWS, BANDS = 5, 32
 COORDINATES = ROWS * BANDS
-BLOCK = 128  # members of a family that are sent to one copy of their pivot
-SIGNATURES = 2048  # signatures that one task compares with as many others
-TOKENS = 500_000  # and members of sets
 _FIRST = np.uint64(0xA24BAED4963EE407)  # what the first permutation adds before it mixes
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25)  # odd factors of the second
 _CHUNK = 1 << 13  # members whose places are computed at once, so that they stay in the cache
 
 
-def set_blocks(column: pa.Array, width: int):
-    """(row numbers, distinct hashes of each) for some megabytes of text at a time."""
-    data, offsets = flat(column)
-    for i, j in blocks(offsets):
-        hashes, bounds = shingle_hashes(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], width)
-        yield range(i, j), [np.unique(hashes[bounds[k]:bounds[k + 1]]) for k in range(j - i)]
-
-
-def shingle_sets(column: pa.Array, width: int):
-    """(row number, distinct hashes) of every text of a batch."""
-    for places, sets in set_blocks(column, width):
-        yield from zip(places, sets)
-
-
 def signatures(members: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """All coordinates, one row a set. ``members`` end to end, ``bounds`` of sets that are not empty."""
     out = np.full((len(bounds) - 1, COORDINATES), np.iinfo(np.uint64).max, np.uint64)
@@ -98,15 +81,6 @@ def alike_least(percent: int) -> int:
     return COORDINATES * (percent - 25) // 100
 
 
-def alike_sizes(a, b, percent: int):
-    """Whether sets of these sizes can link at all."""
-    return (100 * a >= percent * b) & (100 * b >= percent * a)
-
-
-def linked(overlap, a, b, percent: int):
-    return 100 * overlap >= percent * (a + b - overlap)
-
-
 # -- nodes ---------------------------------------------------------------------------------------
 
 def signed_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -162,195 +136,10 @@ def bucket_pairs(nodes: DataFrame) -> DataFrame:
     return pairs.filter("node <> pivot").select("pivot", "node").distinct()
 
 
-def likely_pairs(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and signatures leave a link possible."""
+def alike_signatures(percent: int):
+    """Test for ``linked_components``: whether the signatures leave a link possible."""
     least = alike_least(percent)
-    small = broadcast_if_small(held)
-    both = pairs.join(small, "node").join(small.select(
-        F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("bytes").alias("pivot_bytes")), "pivot")
-    sized = both.filter(alike_sizes(F.col("n"), F.col("pivot_n"), percent)).select("pivot", "node", "bytes", "pivot_bytes")
-
-    def run(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COORDINATES) for i in (2, 3))
-            near = pa.array((a == b).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["pivot", "node"])
-
-    return sized.mapInArrow(run, "pivot long, node long")
-
-
-def with_texts(rows: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``rows`` with the text of their node. ``texts``: ``node, digest, own`` (the id that reads it)."""
-    placed = broadcast_if_small(stored(rows.join(texts.withColumnRenamed("digest", "of"), "node"), "minhash-placed"))
-    found = docs.join(placed, (docs["digest"] == F.col("of")) & docs["id"].eqNullSafe(F.col("own")))
-    return found.select(*rows.columns, "text")
-
-
-def blocks_of(node: str, members: str, salt: int):
-    """A node's block, of about ``BLOCK`` nodes each."""
-    return F.pmod(F.xxhash64(node, F.lit(salt)), F.ceil(F.col(members) / BLOCK)).cast("int")
-
-
-# -- verification --------------------------------------------------------------------------------
-
-def pivot_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links ``a, b`` between a pivot and members of its block.
-
-    ``rows``: ``pivot, block, node, text``, sorted by pivot, block and whether it is another node, so
-    that the pivot comes first and one set is kept in memory.
-    """
-    def run(batches):
-        current, own = None, None
-        for batch in batches:
-            pivots, places, nodes = (batch.column(i).to_pylist() for i in range(3))
-            found = []
-            for i, members in shingle_sets(batch.column(3), width):
-                if (pivots[i], places[i]) != current:
-                    current, own = (pivots[i], places[i]), members
-                elif nodes[i] != pivots[i]:
-                    overlap = len(np.intersect1d(own, members, assume_unique=True))
-                    if linked(overlap, len(own), len(members), percent):
-                        found.append((pivots[i], nodes[i]))
-            if found:
-                yield _links(found)
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def grouped_run(rows: DataFrame, keys: int, function, schema: str) -> DataFrame:
-    """``function`` of the rows of every run of equal leading ``keys`` columns; rows sorted by them."""
-    def run(batches):
-        current, group = None, []
-        for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:keys] != current:
-                    out += function(current, group)
-                    current, group = row[:keys], []
-                group.append(row[keys:])
-            if out:
-                yield _batch(out, schema)
-        out = list(function(current, group))
-        if out:
-            yield _batch(out, schema)
-
-    return rows.mapInArrow(run, schema)
-
-
-def _batch(rows, schema: str) -> pa.RecordBatch:
-    types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
-    fields = [f.split() for f in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(zip(*rows), fields)], [n for n, _ in fields])
-
-
-def _links(pairs) -> pa.RecordBatch:
-    return _batch(pairs, "a long, b long")
-
-
-def open_members(members: DataFrame) -> DataFrame:
-    """``pivot, probe, node, label``: the families that still have members outside their pivot's
-    component; those are the probes, and all members are targets.
-
-    ``members``: ``pivot, node, label, pivot_label`` with the pivot itself.
-    """
-    outside = F.col("label") != F.col("pivot_label")
-    sizes = stored(members.groupBy("pivot").agg(F.count("*").alias("m"), F.count_if(outside).alias("u")).filter("u > 0"), "minhash-open")
-    total = sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    sides = F.when(outside, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-    return join_groups(members, sizes, "pivot", "m", total).select("pivot", F.explode(sides).alias("probe"), "node", "label")
-
-
-def block_pairs(rows: DataFrame, weight, limit: int) -> DataFrame:
-    """``rows`` (``pivot, probe, ...``) once for every block of their family's other side; a block's
-    weights sum up to about ``limit``. Adds ``probe_block, target_block``; one block each is the rule."""
-    weight = weight.cast("double")
-    sizes = stored(rows.groupBy("pivot").agg(
-        F.count("*").alias("rows"), *[F.greatest(F.lit(1), F.ceil(F.sum(F.when(side, weight).otherwise(0)) / limit)).cast("int").alias(name)
-                                      for side, name in ((F.col("probe"), "probes"), (~F.col("probe"), "targets"))]), "minhash-blocks")
-    total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    own = F.pmod(F.xxhash64("node", "probe"), F.when(F.col("probe"), F.col("probes")).otherwise(F.col("targets"))).cast("int")
-    others = F.when(F.col("probe"), F.col("targets")).otherwise(F.col("probes"))
-    dealt = join_groups(rows, sizes, "pivot", "rows", total).withColumns(
-        {"own": own, "other": F.explode(F.sequence(F.lit(0), others - 1))})
-    return dealt.select("pivot", F.when(F.col("probe"), F.col("own")).otherwise(F.col("other")).alias("probe_block"),
-                        F.when(F.col("probe"), F.col("other")).otherwise(F.col("own")).alias("target_block"),
-                        *[c for c in rows.columns if c != "pivot"])
-
-
-def sorted_blocks(rows: DataFrame) -> DataFrame:
-    keys = ["pivot", "probe_block", "target_block"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys)
-
-
-def alike_members(rows: DataFrame, percent: int) -> DataFrame:
-    """``pivot, probe, node, label, n`` of the members that have a partner of another label in a block
-    pair whose size and signature leave a link possible.
-
-    ``rows``: ``pivot, probe_block, target_block, probe, node, label, n, bytes``.
-    """
-    least = alike_least(percent)
-
-    def compare(key, group):
-        probes, targets = [r for r in group if r[0]], [r for r in group if not r[0]]
-        if not probes or not targets:
-            return
-        right = np.frombuffer(b"".join(r[4] for r in targets), np.uint8).reshape(-1, COORDINATES)
-        labels, sizes = (np.array([r[k] for r in targets]) for k in (2, 3))
-        wanted = np.zeros(len(targets), bool)
-        for row in probes:
-            near = (labels != row[2]) & alike_sizes(sizes, row[3], percent)
-            near[near] = (right[near] == np.frombuffer(row[4], np.uint8)).sum(axis=1) >= least
-            wanted |= near
-            if near.any():
-                yield (key[0], *row[:4])
-        for i in np.flatnonzero(wanted):
-            yield (key[0], *targets[i][:4])
-
-    found = grouped_run(sorted_blocks(rows), 3, compare, "pivot long, probe boolean, node long, label long, n long")
-    return found.distinct()
-
-
-def block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links ``a, b`` that join all labels which links between the probes and targets of a block pair
-    join, on whole sets; not every such link, so dense groups give few rows.
-
-    ``rows``: ``pivot, probe_block, target_block, probe, node, label, n, text``.
-    """
-    def sets(side):
-        return [m for _, m in shingle_sets(pa.array([r[4] for r in side], pa.large_string()), width)]
-
-    def compare(_, group):
-        probes, targets = [r for r in group if r[0]], [r for r in group if not r[0]]
-        if not probes or not targets:
-            return
-        others = sets(targets)
-        sizes = np.array([len(m) for m in others])
-        tokens, owner = np.concatenate(others), np.repeat(np.arange(len(others)), sizes)
-        order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
-        merged: dict[int, int] = {}
-
-        def root(label):
-            while label in merged:
-                label = merged[label]
-            return label
-
-        labels = np.array([r[2] for r in targets])
-        for probe, mine in zip(probes, sets(probes)):
-            low, high = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
-            counts = high - low
-            places = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-            overlap = np.bincount(owner[places], minlength=len(others))
-            label, near = root(probe[2]), linked(overlap, len(mine), sizes, percent) & (overlap > 0)
-            while (apart := near & (labels != label)).any():
-                target = int(np.argmax(apart))
-                yield probe[1], targets[target][1]
-                other = int(labels[target])
-                merged[label] = other
-                labels[labels == label] = other
-                label = other
-
-    return grouped_run(sorted_blocks(rows), 3, compare, "a long, b long")
+    return lambda a, b, n_a, n_b: (a == b).sum(axis=1) >= least
 
 
 # -- the operator --------------------------------------------------------------------------------
@@ -370,30 +159,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = stored(bucket_pairs(nodes), "minhash-pairs")
     involved = stored(pairs.select("node").union(pairs.select(F.col("pivot").alias("node"))).distinct(), "minhash-involved")
     held = stored(nodes.select("node", "n", "bytes").join(broadcast_if_small(involved), "node", "left_semi"), "minhash-held")
-    families = stored(likely_pairs(pairs, held, percent), "minhash-near")
-    sizes = stored(families.groupBy("pivot").agg(F.count("*").alias("members")), "minhash-sizes")
-
     named = texts.select("digest", "node", F.col("id").alias("own"))
-    blocked = families.join(broadcast_if_small(sizes), "pivot").withColumn("block", blocks_of("node", "members", 0)).select("pivot", "block", "node")
-    heads = sizes.select("pivot", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("members") / BLOCK) - 1).cast("int"))).alias("block"),
-                         F.col("pivot").alias("node"))
-    order = ["pivot", "block", F.col("node") != F.col("pivot")]
-    placed = with_texts(blocked.unionByName(heads), docs, named)
-    links = stored(pivot_links(placed.repartition("pivot", "block").sortWithinPartitions(*order), width, percent), "minhash-links")
-    labels = stored(connected_components(links), "minhash-labels")
-
-    own = labels.select("node", F.col("root").alias("label"))
-    members = pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("node")).distinct())
-    members = members.join(own, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    members = members.join(own.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), "pivot", "left") \
-        .withColumn("pivot_label", F.coalesce("pivot_label", "pivot"))
-    unsettled = block_pairs(stored(open_members(stored(members, "minhash-members")), "minhash-unsettled"), F.lit(1), SIGNATURES)
-    signed = unsettled.join(broadcast_if_small(held), "node").select(
-        "pivot", "probe_block", "target_block", "probe", "node", "label", "n", "bytes")
-    alike = block_pairs(stored(alike_members(signed, percent), "minhash-alike"), F.col("n"), TOKENS)
-    more = stored(block_links(with_texts(alike, docs, named), width, percent), "minhash-more")
-    if not more.isEmpty():
-        labels = stored(connected_components(links.unionByName(more)), "minhash-labels")
+    labels = linked_components(pairs, held, docs, named, width, percent, alike_signatures(percent))
 
     roots = texts.join(labels, "node", "left").select("digest", "id", "copies", F.coalesce("root", "node").alias("root"))
     smallest = roots.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -13,14 +13,14 @@ What shares an index entry is a candidate, but the pairs inside an entry are not
 names a pivot, its most typical set, and all its sets join the pivot's family. First every member is
 verified against the pivot; linked members are one component and need no further comparison with
 each other. Only members that are not connected to the pivot's component are then compared with the
-rest of the family, block against block inside a task, where the triangle inequality of the Jaccard
-distance leaves a chance. Every comparison counts all tokens of both sets, so the links are exact up
-to collisions of 64-bit hashes.
+rest of the family, block against block inside a task. Sets are compared only where their sizes and
+bitmaps of the parity of their tokens leave a link possible, a bound that no linked pair breaks. Every
+comparison counts all tokens of both sets, so the links are exact up to collisions of 64-bit hashes.
 
 Defined results: null and empty texts and texts without words have empty sets, linked with nothing;
 a text of fewer words than a shingle has its whole sequence as the only token; repeated rows fall
 into one class; null ids take part and a component without any other id is null; extra columns are
-ignored; an empty table gives no rows. Memory follows the longest text and ``BLOCK`` sets.
+ignored; an empty table gives no rows. Memory follows the longest text and the blocks of ``families``.
 """
 
 from __future__ import annotations
@@ -35,15 +35,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyforge.llm.bytesets import blocks, flat, mix, shingle_hashes
-from tallyforge.llm.common import stored
-from tallyforge.operators.components import connected_components
+from tallyforge.llm.common import join_groups, stored
+from tallyforge.llm.families import linked_components
 from tallyforge.session import broadcast_if_small
 
 COUNTER_BITS = 22
 COUNTERS = 1 << COUNTER_BITS  # of the table that orders tokens (16 MB); its size does not depend on the input
 _CHUNK = 1 << 14
 PAIRED_SIZE = 256
-BLOCK = 256  # sets of a family that one task compares with as many others
+BITS = 1024  # cells of the bitmap that stands for a set
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -71,30 +71,36 @@ def _cell(tokens: np.ndarray) -> np.ndarray:
 # -- first pass: classes and the counters --------------------------------------------------------
 
 def classes_and_counters(docs: DataFrame, width: int) -> DataFrame:
-    """Rows ``id, n, key`` of documents, and rows ``chunk, counts`` of each task's counters, packed."""
+    """Rows ``id, n, key, digest, bits`` of documents (``bits`` where a task meets a class first), and rows
+    ``chunk, counts`` of each task's counters, packed."""
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType)] + T._parse_datatype_string(
-        "n long, key long, chunk int, counts binary").fields)
+        "n long, key long, digest long, bits binary, chunk int, counts binary").fields)
     id_type = to_arrow_type(docs.schema["id"].dataType)
 
     def run(batches):
-        counters = np.zeros(COUNTERS, np.int32)
+        counters, seen = np.zeros(COUNTERS, np.int32), set()
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, bits = [], [], []
             for _, tokens in token_sets(batch.column(1), width):
+                key = class_key(tokens)
+                fresh = key is not None and key not in seen
                 sizes.append(len(tokens))
-                keys.append(class_key(tokens))
+                keys.append(key)
+                bits.append(parity_bits(tokens) if fresh else None)
+                seen.add(key)
                 np.add.at(counters, _cell(tokens), 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
-                 pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], schema.fieldNames())
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), batch.column(2),
+                 pa.array(bits, pa.binary()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())],
+                schema.fieldNames())
         rows = []
         for chunk in range(COUNTERS // _CHUNK):
             part = counters[chunk * _CHUNK:(chunk + 1) * _CHUNK]
             if part.any():
                 rows.append((chunk, _packed(part)))
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(rows), id_type), pa.nulls(len(rows), pa.int64()),
-             pa.nulls(len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
+            [pa.nulls(len(rows), id_type), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()),
+             pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary()), pa.array([r[0] for r in rows], pa.int32()),
              pa.array([r[1] for r in rows], pa.binary())],
             schema.fieldNames())
 
@@ -211,189 +217,64 @@ def core_entries(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def family_pairs(rows: DataFrame) -> DataFrame:
-    """``pivot, key``: every class with the most typical class of each of its entries."""
+    """``pivot, node``: every class with the most typical class of each of its entries."""
     best = F.max(F.struct("typical", "key"))
     slim = rows.select("sig", "hot", "key", "typical")
     rare = slim.filter("not hot").withColumn("pivot", best.over(Window.partitionBy("sig")))
     hot = slim.filter("hot")
     named = hot.join(hot.groupBy("sig").agg(best.alias("pivot")), "sig")
     pairs = rare.select("key", "pivot").unionByName(named.select("key", "pivot"))
-    return pairs.select(F.col("pivot.key").alias("pivot"), "key").filter("key <> pivot").distinct()
+    return pairs.select(F.col("pivot.key").alias("pivot"), F.col("key").alias("node")).filter("node <> pivot").distinct()
 
 
 # -- verification --------------------------------------------------------------------------------
 
-def linked(overlap, a, b, percent: int):
-    return 100 * overlap >= percent * (a + b - overlap)
-
-
-def pivot_distances(pairs: DataFrame) -> DataFrame:
-    """``pivot, key, n, overlap, pivot_n`` of rows with both sets."""
-    def run(batches):
-        for batch in batches:
-            mine = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-            other = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
-            overlap = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(mine, other)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(a) for a in mine], pa.int64()),
-                 pa.array([len(b) for b in other], pa.int64()), pa.array(overlap, pa.int64())],
-                ["pivot", "key", "n", "pivot_n", "overlap"])
-
-    return pairs.mapInArrow(run, "pivot long, key long, n long, pivot_n long, overlap long")
-
-
-def block_overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
-    """Matrix of overlaps of every set on the left with every one on the right."""
-    both = left + right
-    owner = np.repeat(np.arange(len(both)), [len(x) for x in both])
-    _, number, count = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
-    shared = count[number] > 1  # tokens of a single set can't overlap
-    places = np.cumsum(count > 1) - 1
-    owner, number = owner[shared], places[number[shared]]
-    order = np.argsort(number, kind="stable")
-    owner, number = owner[order], number[order]
-    out = np.zeros((len(left), len(right)), np.float32)
-    at = 0
-    while at < len(number):
-        first = number[at]
-        stop = int(np.searchsorted(number, first + columns))
-        dense = np.zeros((len(both), int(number[stop - 1] - first) + 1), np.float32)
-        dense[owner[at:stop], number[at:stop] - first] = 1
-        out += dense[:len(left)] @ dense[len(left):].T
-        at = stop
-    return out.astype(np.int64)
-
-
-def family_links(rows: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` between the probes and targets of every (pivot, probe block, target block).
-
-    ``rows``: ``pivot, probe_block, target_block, probe, key, label, distance, tokens``, sorted by
-    the first three inside each partition, so that one group is in memory at a time.
-    """
-    reach = 1 - percent / 100 + 1e-9
-
-    def compare(group):
-        left, right = [r for r in group if r[0]], [r for r in group if not r[0]]
-        if not left or not right:
-            return
-        sets = [[np.frombuffer(r[4], np.uint64) for r in side] for side in (left, right)]
-        sizes = [np.array([len(s) for s in side]) for side in sets]
-        overlap = block_overlaps(*sets)
-        near = np.abs(np.array([r[3] for r in left])[:, None] - np.array([r[3] for r in right])[None]) <= reach
-        apart = np.array([r[2] for r in left])[:, None] != np.array([r[2] for r in right])[None]
-        for i, j in np.argwhere(near & apart & linked(overlap, sizes[0][:, None], sizes[1][None], percent)):
-            yield left[i][1], right[j][1]
-
-    def run(batches):
-        current, group = None, []
-        for batch in batches:
-            pairs = []
-            for pivot, a, b, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (pivot, a, b) != current:
-                    pairs += compare(group)
-                    current, group = (pivot, a, b), []
-                group.append(row)
-            if pairs:
-                yield _links(pairs)
-        pairs = list(compare(group))
-        if pairs:
-            yield _links(pairs)
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def _links(pairs) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()),
-                                       pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """For each of ``BITS`` cells, whether an odd number of tokens falls into it."""
+    cells = np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS)
+    return np.packbits((cells & 1).astype(np.uint8)).tobytes()
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``key, tokens`` of the documents whose id is listed."""
-    wanted = broadcast_if_small(ids.select(F.col("id").alias("wanted")).distinct())
-    texts = docs.join(wanted, docs["id"].eqNullSafe(F.col("wanted")), "left_semi")
-
-    def run(batches):
-        for batch in batches:
-            found = [(class_key(t), t.tobytes()) for _, t in token_sets(batch.column(1), width) if len(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()),
-                                              pa.array([f[1] for f in found], pa.binary())], ["key", "tokens"])
-
-    return texts.mapInArrow(run, "key long, tokens binary")
-
-
-def family_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """The blocks of every family that still has unconnected members.
-
-    ``members``: ``pivot, key, label, pivot_label, distance`` with the pivot itself. Probes are the
-    members outside the pivot's component; targets are all of them, but of those inside that component
-    only the ones whose distance from the pivot is within the reach of some probe's. Members can be
-    inside through other families, so they may lie at any distance from the pivot.
-    """
-    reach = 1 - percent / 100 + 1e-9
-    outside = F.col("label") != F.col("pivot_label")
-    sizes = members.groupBy("pivot").agg(
-        F.count("*").alias("m"), F.count_if(outside).alias("u"),
-        F.min(F.when(outside, F.col("distance"))).alias("nearest"),
-        F.max(F.when(outside, F.col("distance"))).alias("farthest")).filter("u > 0")
-    sizes = sizes.select("pivot", F.ceil(F.col("m") / BLOCK).cast("int").alias("target_blocks"),
-                         F.ceil(F.col("u") / BLOCK).cast("int").alias("probe_blocks"), "nearest", "farthest")
-    open_members = members.join(sizes, "pivot").withColumns({
-        "outside": outside,
-        "target_block": F.pmod(F.xxhash64("key"), F.col("target_blocks")).cast("int"),
-        "probe_block": F.pmod(F.xxhash64("key", F.lit(1)), F.col("probe_blocks")).cast("int")})
-    columns = ["pivot", "probe_block", "target_block", "probe", "key", "label", "distance"]
-    probes = open_members.filter("outside").withColumn("probe", F.lit(True)).withColumn(
-        "target_block", F.explode(F.sequence(F.lit(0), F.col("target_blocks") - 1)))
-    in_reach = F.col("distance").between(F.col("nearest") - reach, F.col("farthest") + reach)
-    targets = open_members.filter(F.col("outside") | in_reach).withColumn(
-        "probe", F.lit(False)).withColumn(
-        "probe_block", F.explode(F.sequence(F.lit(0), F.col("probe_blocks") - 1)))
-    return probes.select(*columns).unionByName(targets.select(*columns))
+def alike_bits(percent: int):
+    """Test for ``linked_components``. Two bitmaps differ in no more cells than the sets have tokens that
+    are not common, and linked sets have at most (100 - percent) / (100 + percent) of both sizes such
+    tokens, so no link is lost."""
+    def alike(a, b, n_a, n_b):
+        apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        return (100 + percent) * apart <= (100 - percent) * (n_a + n_b)
+    return alike
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                        percent: int = 80) -> DataFrame:
     """One row per document: id, ``n_shingles`` and ``component_id``, the smallest id that links reach."""
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # an id may stand at several texts, so the row to read a class from is known by both
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
     spark = docs.sparkSession
     first = stored(classes_and_counters(docs, width), "jaccard-classes")
-    documents = first.filter("chunk is null").select("id", "n", "key")
+    documents = first.filter("chunk is null").select("id", "n", "key", "digest")
     counters = total_counters(first)
     frequent = max(1000, int(counters.sum(dtype=np.int64)) // 100_000)
     shared = spark.sparkContext.broadcast(counters)
-    index = stored(index_rows(docs, width, percent, shared, frequent), "jaccard-index")
+    index = stored(index_rows(docs.select("id", "text"), width, percent, shared, frequent), "jaccard-index")
     core = core_entries(stored(shared_entries(index), "jaccard-shared"), percent)
 
     pairs = stored(family_pairs(core), "jaccard-families")
-    ids = documents.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"))
-    involved = pairs.select("key").union(pairs.select("pivot")).distinct()
-    wanted = stored(ids.join(involved, "key"), "jaccard-involved")
-    sets = stored(sets_of(docs, wanted, width).dropDuplicates(["key"]), "jaccard-sets")
-
-    both = pairs.join(sets, "key").join(sets.select(F.col("key").alias("pivot"), F.col("tokens").alias("pivot_tokens")), "pivot")
-    measured = stored(pivot_distances(both.select("pivot", "key", "tokens", "pivot_tokens")), "jaccard-pivots")
-    links = measured.filter(linked(F.col("overlap"), F.col("n"), F.col("pivot_n"), percent)).select(
-        F.col("pivot").alias("a"), F.col("key").alias("b"))
-    labels = stored(connected_components(links), "jaccard-labels")
-
-    own = labels.select(F.col("node").alias("key"), F.col("root").alias("label"))
-    distance = 1 - F.col("overlap") / (F.col("n") + F.col("pivot_n") - F.col("overlap"))
-    members = measured.select("pivot", "key", distance.alias("distance")).unionByName(
-        measured.select("pivot", F.col("pivot").alias("key"), F.lit(0.0).alias("distance")).distinct())
-    members = members.join(own, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    members = members.join(own.select(F.col("key").alias("pivot"), F.col("label").alias("pivot_label")), "pivot", "left") \
-        .withColumn("pivot_label", F.coalesce("pivot_label", "pivot"))
-    rows = family_blocks(stored(members, "jaccard-members"), percent).join(sets, "key").select(
-        "pivot", "probe_block", "target_block", "probe", "key", "label", "distance", "tokens")
-    rows = rows.repartition("pivot", "probe_block", "target_block").sortWithinPartitions("pivot", "probe_block", "target_block")
-    more = stored(family_links(rows, percent), "jaccard-links")
-    if not more.isEmpty():
-        labels = stored(connected_components(links.unionByName(more)), "jaccard-labels")
-
-    roots = ids.join(labels.select(F.col("node").alias("key"), "root"), "key", "left") \
-        .withColumn("root", F.coalesce("root", "key"))
+    classes = stored(documents.filter("key is not null").groupBy("key").agg(
+        F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull(), "id", "digest")).alias("own"),
+        F.count("*").alias("copies")), "jaccard-sets")
+    involved = broadcast_if_small(stored(pairs.select("node").union(pairs.select("pivot")).distinct(), "jaccard-involved"))
+    held = stored(first.filter("bits is not null").select(F.col("key").alias("node"), "n", F.col("bits").alias("bytes"))
+                  .join(involved, "node", "left_semi").dropDuplicates(["node"]), "jaccard-held")
+    texts = classes.select(F.col("key").alias("node"), "own.digest", F.col("own.id").alias("own")).join(involved, "node", "left_semi")
+    labels = linked_components(pairs, held, docs, texts, width, percent, alike_bits(percent))
+
+    roots = classes.join(labels.select(F.col("node").alias("key"), "root"), "key", "left") \
+        .select("key", "id", "copies", F.coalesce("root", "key").alias("root"))
     smallest = roots.groupBy("root").agg(F.min("id").alias("component_id"))
-    component = roots.join(smallest, "root").select("key", "component_id")
-    return documents.join(component, "key", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = stored(roots.join(smallest, "root").select("key", "component_id", "copies"), "jaccard-components")
+    total = component.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    full = join_groups(documents.filter("key is not null"), component, "key", "copies", total)
+    empty = documents.filter("key is null").withColumn("component_id", F.col("id"))
+    return full.select("id", "n", "component_id").unionByName(empty.select("id", "n", "component_id")).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.llm import circulant_minhash, embedding_whitening, filter_audit, neighbour_quality
+from tallyforge.llm import circulant_minhash, embedding_whitening, families, filter_audit, neighbour_quality
 from tallyforge.llm.bytesets import mix
 from tallyforge.llm.queries import QUERIES
 from tests.conftest import FOLDER
@@ -135,9 +135,9 @@ def chain(rng, length, size=120, step=9):
 
 def test_links_beside_the_pivot(spark, monkeypatch):
     """Chains and families whose members link with each other but not with the pivot, in small blocks."""
-    monkeypatch.setattr(circulant_minhash, "BLOCK", 4)
-    monkeypatch.setattr(circulant_minhash, "SIGNATURES", 5)
-    monkeypatch.setattr(circulant_minhash, "TOKENS", 700)
+    monkeypatch.setattr(families, "BLOCK", 4)
+    monkeypatch.setattr(families, "DIGESTS", 5)
+    monkeypatch.setattr(families, "TOKENS", 700)
     rng = np.random.default_rng(8)
     texts = []
     for i in range(6):

@@ -4,11 +4,12 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.llm import blob_ledger, chat_template, combination_prefix, content_sort, disclosure, \
-    language_bits, neighbour_quality, suffix_dedup, window_packing, wu_manber
+    families, language_bits, neighbour_quality, suffix_dedup, window_packing, wu_manber
 from tallyforge.llm.queries import tokenizer_path
 from tallyforge.llm.spans import span_text
 from tests.llm import cases
@@ -95,7 +96,9 @@ def test_jaccard_chains_and_frequent_passages(spark, monkeypatch):
     common = cases.words(rng, 40)
     for i in range(120):
         rows.append((i, common + " " + cases.words(random.Random(i), rng.randint(0, 12))))
-    monkeypatch.setattr(combination_prefix, "BLOCK", 16)
+    monkeypatch.setattr(families, "BLOCK", 16)
+    monkeypatch.setattr(families, "DIGESTS", 16)
+    monkeypatch.setattr(families, "TOKENS", 700)
     out = combination_prefix.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert collected(out, "doc_id", "n_shingles", "component_id") == cases.ordered(cases.components(rows))
 
@@ -115,15 +118,33 @@ def test_jaccard_links_at_twice_the_reach(spark):
 def test_family_members_linked_through_another_family(spark):
     """The second set is inside the pivot's component through a set of another family and lies 0.36 from
     the pivot; the third is linked with the second only, 0.5 from the pivot."""
-    sets = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 22, 33)]
-    distances = [1 - len(np.intersect1d(sets[0], s)) / len(np.union1d(sets[0], s)) for s in sets]
-    members = spark.createDataFrame([(0, k, (0, 0, 2)[k], 0, distances[k]) for k in range(3)],
-                                    "pivot long, key long, label long, pivot_label long, distance double")
-    tokens = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "key long, tokens binary")
-    rows = combination_prefix.family_blocks(members, 80).join(tokens, "key").select(
-        "pivot", "probe_block", "target_block", "probe", "key", "label", "distance", "tokens") \
-        .repartition("pivot", "probe_block", "target_block").sortWithinPartitions("pivot", "probe_block", "target_block")
-    assert {tuple(sorted(r)) for r in combination_prefix.family_links(rows, 80).collect()} == {(1, 2)}
+    texts = [" ".join(f"w{i}" for i in range(a, a + 104)) for a in (0, 22, 33)]
+    rows = [families.matrix([combination_prefix.parity_bits(s)]) for _, s in combination_prefix.token_sets(pa.array(texts), 5)]
+    members = spark.createDataFrame([(0, k, (0, 0, 2)[k], 0) for k in range(3)], "pivot long, node long, label long, pivot_label long")
+    held = spark.createDataFrame([(k, 100, bytearray(rows[k].tobytes())) for k in range(3)], "node long, n long, bytes binary")
+    dealt = families.block_pairs(families.open_members(members), F.lit(1), 2).join(held, "node").select(
+        "pivot", "probe_block", "target_block", "probe", "node", "label", "n", "bytes")
+    left = families.alike_members(dealt, 80, combination_prefix.alike_bits(80))
+    assert {(r["probe"], r["node"]) for r in left.collect()} == {(True, 2), (False, 1)}
+    words = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    placed = families.block_pairs(left, F.col("n"), 150).join(words, "node").select(
+        "pivot", "probe_block", "target_block", "probe", "node", "label", "n", "text")
+    assert [tuple(r) for r in families.block_links(placed, 5, 80).collect()] == [(2, 1)]
+
+
+def test_parity_bitmaps_lose_no_link():
+    rng = np.random.default_rng(5)
+    alike, dropped = combination_prefix.alike_bits(80), 0
+    for _ in range(2000):
+        n, extra = int(rng.integers(1, 3000)), rng.integers(0, 400, 2)
+        both, a, b = (rng.integers(0, 2**63, k).astype(np.uint64) for k in (n, *extra))
+        a, b = np.union1d(both, a), np.union1d(both, b)
+        common = len(np.intersect1d(a, b))
+        near = alike(*(families.matrix([combination_prefix.parity_bits(x)]) for x in (a, b)), len(a), len(b))[0]
+        linked = 100 * common >= 80 * (len(a) + len(b) - common)
+        assert near or not linked
+        dropped += not near
+    assert dropped > 200
 
 
 def test_token_pairs_lose_no_link():
