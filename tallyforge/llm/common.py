@@ -45,6 +45,16 @@ def copies_of(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """The columns as ``c0``, ``c1``, ..., so that none is named like those an operator adds."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def named_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """The numbered columns under their names again; others are dropped."""
+    return df.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(names)])
+
+
 #: A group with more than this share of all rows is met by broadcast, so there are fewer than its inverse.
 HOT_SHARE = 1 / 1000
 

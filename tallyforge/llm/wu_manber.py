@@ -6,9 +6,11 @@ the position under test say how far the search may jump. Where the shift is zero
 that suffix holds the windows to test, a prefix check thins them, and a direct comparison of all
 words confirms.
 
-Defined results: null or empty texts have no words and no hits; items without words never occur;
-an empty benchmark hits nothing; repeated rows are searched each on its own; extra columns pass
-through. A text is searched whole, whatever its length.
+Defined results: null or empty texts have no words and no hits; items without words never occur; an
+item without an id hits words but is in no list of items; equal items under one id are one; an empty
+benchmark hits nothing; repeated rows are searched each on its own; extra columns pass through, whatever
+their names, but in ``find_occurrences``, whose own three columns replace any of the same name. A text is
+searched whole, whatever its length.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm.bytesets import flat
+from tallyforge.llm.common import named_columns, numbered_columns
 
 #: Bytes of words after lowering A-Z: digits, a-z and every byte of a non-ASCII character.
 WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32
@@ -111,7 +114,7 @@ class PatternTable:
 class Patterns:
     """All pattern tables of a group of benchmark items, and the numbers of their words."""
 
-    def __init__(self, items: list[tuple[str, bytes]], width: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], width: int):
         self.numbers: dict[bytes, int] = {}
         by_width: dict[int, dict[tuple, set]] = {}
         for item, text in items:
@@ -120,7 +123,7 @@ class Patterns:
             if n:
                 windows = by_width.setdefault(n, {})
                 for i in range(len(ids) - n + 1):
-                    windows.setdefault(tuple(ids[i:i + n]), set()).add(item)
+                    windows.setdefault(tuple(ids[i:i + n]), set()).update([] if item is None else [item])
         self.tables = [PatternTable.build(n, w) for n, w in sorted(by_width.items())]
 
     def scan(self, texts: list[bytes]):
@@ -153,8 +156,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _FOUND = "wm_words long, wm_spans array<struct<start:long,end:long>>, wm_items array<string>"
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_words: int) -> int:
-    size = benchmark.agg(F.sum(F.length(F.col(text_col)) / 2 + 1)).first()[0] or 0
+def _shards(items: DataFrame, shard_words: int) -> int:
+    size = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
     return int(size // shard_words) + 1
 
 
@@ -167,20 +170,20 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame, text_col: str = "tex
     the rows for each, so a broadcast never grows with the benchmark.
     """
     spark = docs.sparkSession
-    shards = _shards(benchmark, item_col, item_text, shard_words)
+    shared = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).distinct()
+    shards = _shards(shared, shard_words)
     out = docs
     for shard in range(shards):
-        part = benchmark if shards == 1 else benchmark.filter(
-            F.pmod(F.xxhash64(F.col(item_text)), F.lit(shards)) == shard)
-        rows = part.select(F.col(item_col).cast("string"), F.col(item_text)).collect()
-        items = [(str(r[0]), (r[1] or "").encode()) for r in rows]
+        # by id and text, so that items of one text are spread as well
+        part = shared if shards == 1 else shared.filter(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard)
+        items = [(r["item"], (r["text"] or "").encode()) for r in part.collect()]
         out = _pass(out, spark.sparkContext.broadcast(items), text_col, width, first=shard == 0)
     return out
 
 
 def _pass(docs: DataFrame, shared, text_col: str, width: int, first: bool) -> DataFrame:
-    names = [c for c in docs.columns if first or c not in ("wm_words", "wm_spans", "wm_items")]
     added = T._parse_datatype_string(_FOUND)
+    names = [c for c in docs.columns if c.lower() not in added.fieldNames()]
     schema = T.StructType([docs.schema[c] for c in names] + added.fields)
 
     def search(batches):
@@ -226,7 +229,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without any benchmark window."""
-    found = find_occurrences(docs, benchmark, text_col=text_col, **options)
-    return found.filter(F.size("wm_spans") == 0).select(*[f"`{c}`" for c in docs.columns])
-
-
+    found = find_occurrences(numbered_columns(docs), benchmark, text_col=f"c{docs.columns.index(text_col)}", **options)
+    return named_columns(found.filter(F.size("wm_spans") == 0), docs.columns)

@@ -79,6 +79,41 @@ def test_pattern_search(spark, docs, none, shard_words):
     assert clean.count() == sum(not r[-1] for r in cases.contaminated(PAIRS, ITEMS))
 
 
+@pytest.mark.parametrize("shard_words", [5, 1_000_000])
+def test_items_without_id_and_names_that_clash(spark, shard_words):
+    texts = ["a b c d e f g h i j k", "one two three", None, "x y"]
+    docs = spark.createDataFrame([(i, t, 7, "s", "p") for i, t in enumerate(texts)],
+                                 "doc_id long, text string, wm_words int, WM_Spans string, run_part string")
+    items = spark.createDataFrame([(None, "b c d e f g h i j k"), (5, "two three"), (6, "two three"), (6, "two three"), (None, "two three")],
+                                  "item_id long, text string")
+    out = wu_manber.contamination(docs, items, shard_words=shard_words)
+    assert [tuple(r) for r in out.orderBy("doc_id").select("n_words", "n_hit", "n_items", "contaminated", "items_sha256").collect()] == [
+        (11, 10, 0, True, hashlib.sha256(b"").hexdigest()), (3, 2, 2, True, hashlib.sha256(b"5,6").hexdigest()),
+        (0, 0, 0, False, hashlib.sha256(b"").hexdigest()), (2, 0, 0, False, hashlib.sha256(b"").hexdigest())]
+    assert wu_manber.find_occurrences(docs, items).columns == ["doc_id", "text", "run_part", "wm_words", "wm_spans", "wm_items"]
+    clean = wu_manber.clean_documents(docs, items, shard_words=shard_words)
+    assert clean.columns == docs.columns
+    assert sorted(tuple(r) for r in clean.collect()) == [(2, None, 7, "s", "p"), (3, "x y", 7, "s", "p")]
+
+
+def test_content_sort_keeps_columns_named_like_its_own(spark):
+    rows = spark.createDataFrame([(1, "t", 5, "s"), (2, "t", 6, None), (3, None, 7, "u")],
+                                 "doc_id long, text string, run_part int, RUN_sha256 string")
+    kept = content_sort.distinct_texts(rows)
+    assert kept.columns == rows.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(2, "t", 6, None), (3, None, 7, "u")]
+
+
+def test_texts_at_a_border_are_compared_in_full(spark):
+    """Two partitions that meet with equal digests: the run goes on only where the texts are equal."""
+    def runs(last, first):
+        return spark.createDataFrame(
+            [(0, 0, True, "s", "a", None), (0, 1, True, "same", None, last), (1, 0, True, "same", first, None), (1, 1, True, "z", None, "z")],
+            "run_part int, run_index long, run_head boolean, run_sha256 string, run_first string, run_last string")
+    assert [tuple(r) for r in content_sort._continued(runs("text", "text")).collect()] == [(1, 0, 1)]
+    assert content_sort._continued(runs("text", "another")).collect() == []
+
+
 def test_jaccard_components(docs, none):
     out = combination_prefix.jaccard_components(docs)
     assert collected(out, "doc_id", "n_shingles", "component_id") == cases.ordered(cases.components(PAIRS))
