@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import stored
 from tallyforge.llm.spans import match_spans, no_spans
+from tallyforge.session import broadcast_if_small
 
 
 @dataclass(frozen=True)
@@ -56,15 +57,18 @@ def content_address(text: Column) -> Column:
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, text_col: str = "text",
                 rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row ``(blob, rule, version, findings)`` for each blob and rule that the ledger lacks."""
-    texts = versions.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
-    blobs = texts.withColumn("blob", content_address(F.col("text")))
+    texts = versions.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     wanted = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
     if ledger is None:
-        open_pairs = blobs.withColumn("todo", wanted)
+        open_pairs = texts.distinct().withColumns({"blob": content_address(F.col("text")), "todo": wanted})
     else:
+        # only addresses meet the ledger; texts move if it lacks something of theirs
         seen = ledger.groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("seen"))
-        open_pairs = blobs.join(seen, "blob", "left").withColumn(
-            "todo", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<struct<rule:string,version:int>>"))))
+        addresses = texts.select(content_address(F.col("text")).alias("blob")).distinct().join(seen, "blob", "left").select(
+            "blob", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<struct<rule:string,version:int>>"))).alias("todo"))
+        unseen = stored(addresses.filter(F.size("todo") > 0), "unseen-blobs")
+        blobs = texts.withColumn("blob", content_address(F.col("text")))
+        open_pairs = blobs.join(broadcast_if_small(unseen), "blob").dropDuplicates(["blob"])
     todo = open_pairs.filter(F.size("todo") > 0)
     results = F.array(*[F.struct(
         F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"),
