@@ -165,15 +165,18 @@ class LanguageBits:
 
 def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                     sample_rows: int = 2000, least_share: float = 0.004, typical: float = 0.35,
-                    max_languages: int = 1000, max_grams: int = 400_000) -> LanguageBits:
+                    max_languages: int = 1000) -> LanguageBits:
     """The filter of a labelled table.
 
-    Learns from about ``sample_rows`` documents of each language, chosen by a hash of the id. What
-    reaches the driver is bounded by ``max_languages`` (the most frequent ones) and ``max_grams``.
+    Learns from about ``sample_rows`` documents of each language, chosen by a hash of the id. A language
+    has at most its mean number of different n-grams a document over ``least_share`` n-grams, so what
+    reaches the driver follows the number of languages; more than ``max_languages`` are refused.
     """
     labelled = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    found = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    found = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages + 1).collect()
+    if len(found) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     languages = [r["lang"] for r in found]
     if not languages:
         return LanguageBits.build([], [], {})
@@ -205,7 +208,7 @@ def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
              .withColumn("share", F.col("docs") / F.col("size")).filter(F.col("share") >= least_share))
     typical_of = grams.groupBy("gram").agg(F.max("share").alias("most"))
     kept = (grams.join(typical_of, "gram").filter(F.col("share") >= typical * F.col("most"))
-            .orderBy(F.desc("share"), "gram", "number").limit(max_grams).select("number", "gram").collect())
+            .select("number", "gram").collect())
     by_language: dict[str, list[int]] = {}
     for r in kept:
         by_language.setdefault(languages[r["number"]], []).append(r["gram"])
