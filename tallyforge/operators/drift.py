@@ -74,24 +74,26 @@ def psi(counts: DataFrame, bins: int = BINS) -> DataFrame:
 
 
 def kolmogorov_p(d: Column, n: Column, m: Column) -> Column:
-    """Asymptotic two-sample p-value."""
-    size = F.sqrt(n * m / (n + m))
-    lam = (size + F.lit(0.12) + F.lit(0.11) / size) * d
+    """Asymptotic two-sample p-value; none where a side has no values."""
+    size = F.sqrt(F.try_divide(n * m, n + m))
+    lam = (size + F.lit(0.12) + F.try_divide(F.lit(0.11), size)) * d
     terms = F.transform(
         F.sequence(F.lit(1), F.lit(100)),
         lambda j: F.when(j % 2 == 1, F.lit(2.0)).otherwise(F.lit(-2.0)) * F.exp(-2.0 * j * j * lam * lam))
     series = F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
-    return F.when(lam < 1e-3, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+    bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), series))
+    return F.when(lam < 1e-3, F.lit(1.0)).when(lam.isNotNull(), bounded)
 
 
 def ks(counts: DataFrame) -> DataFrame:
-    """Largest gap between the two distribution functions, with its p-value."""
+    """Largest gap between the two distribution functions, with its p-value; both are null where a side
+    has no values."""
     ranked = running_sums(counts, ["feature", "x"], {"ref": "ref_upto", "cur": "cur_upto"})
     start = F.broadcast(ranked.groupBy("feature").agg(
         F.min(F.col("ref_upto") - F.col("ref")).alias("ref_base"),
         F.min(F.col("cur_upto") - F.col("cur")).alias("cur_base"),
         F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur")))
-    below = lambda s: (F.col(f"{s}_upto") - F.col(f"{s}_base")) / F.col(f"n_{s}").cast("double")
+    below = lambda s: F.try_divide(F.col(f"{s}_upto") - F.col(f"{s}_base"), F.col(f"n_{s}").cast("double"))
     gaps = ranked.join(start, "feature").groupBy("feature").agg(
         F.max(F.abs(below("ref") - below("cur"))).alias("d"),
         F.first("n_ref").cast("double").alias("n"), F.first("n_cur").cast("double").alias("m"))

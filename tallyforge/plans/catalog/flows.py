@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.hashing import hash_bucket
 from tallyforge.operators import clustering, isolation, learners, registry
+from tallyforge.operators.drift import value_profile
 from tallyforge.operators.prepare import Preparation, Scaler
 from tallyforge.plans import automl, flows
 from tallyforge.plans.catalog.base import SCORED_EVENTS, labelled_documents, query, scored_events
-from tallyforge.session import shared_folder, spread
+from tallyforge.session import materialise, shared_folder, spread
 from tallyforge.streaming import jobs
 
 
@@ -222,11 +223,19 @@ def score_anomaly(t):
 SLICES = 3
 
 
+def _arrivals(t) -> str:
+    return os.path.join(shared_folder(t.spark), f"arriving-{uuid.uuid4().hex}")
+
+
+def _slice(df, i: int):
+    return df.filter(hash_bucket("event_id", 11, SLICES) == i).drop("ts")
+
+
 def _arriving(t, df):
     """All events written slice by slice, as if they had arrived one after another."""
-    folder = os.path.join(shared_folder(t.spark), f"arriving-{uuid.uuid4().hex}")
+    folder = _arrivals(t)
     for i in range(SLICES):
-        df.filter(hash_bucket("event_id", 11, SLICES) == i).drop("ts").write.mode("append").parquet(folder)
+        _slice(df, i).write.mode("append").parquet(folder)
     return folder
 
 
@@ -256,8 +265,11 @@ def score_margin(t):
 
 @query("drift_stream")
 def drift_stream(t):
-    """Three slices of the events against all of them."""
+    """Three slices of the events against all of them, each when it has arrived, in however many files."""
     events = t.events.select("event_id", "user_id", "value", "ts")
-    folder = _arriving(t, events)
-    jobs.drift_stream(t.spark, events.drop("ts"), folder, f"{folder}-reports", f"{folder}-state")
+    folder, reference = _arrivals(t), events.drop("ts")
+    profile = materialise(value_profile(reference))
+    for i in range(SLICES):
+        _slice(events, i).write.mode("append").parquet(folder)
+        jobs.drift_stream(t.spark, reference, folder, f"{folder}-reports", f"{folder}-state", None, profile)
     return jobs.read_reports(t.spark, f"{folder}-reports")

@@ -17,18 +17,21 @@ from tallyforge.operators.registry import Bundle, check_columns, scored_by
 from tallyforge.session import materialise
 
 
-def file_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def file_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int | None = 1) -> DataFrame:
+    """New files of a folder; with ``files_per_batch`` None all that wait make one batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
 
 
 def drift_stream(spark: SparkSession, reference: DataFrame, folder: str, out: str, checkpoint: str,
-                 files_per_batch: int = 1) -> None:
-    """Compares every arriving batch with the reference table, whose profile is counted once.
+                 files_per_batch: int | None = 1, profile: DataFrame | None = None) -> None:
+    """Compares every arriving batch with the reference table, whose profile is counted once; a caller
+    that runs the stream repeatedly hands it over as ``profile``.
 
     Each batch writes its report to its own folder, so a batch that is run again after a failure
-    replaces its report.
+    replaces its report. A batch without rows has an empty report.
     """
-    profile = materialise(value_profile(reference))
+    profile = materialise(value_profile(reference)) if profile is None else profile
 
     def report(batch: DataFrame, number: int) -> None:
         arrived = value_profile(batch, shared_numeric(reference, batch))

@@ -98,3 +98,17 @@ def test_automl_runs_end_to_end(tables):
     assert [r.rank for r in ranks] == [1, 2] and ranks[0].model == result.best
     assert all(r.cv_mean is not None for r in ranks)
     assert result.scored.columns[0] == "doc_id"
+
+
+def test_drift_stream_takes_empty_files_and_slices_of_several_files(spark, tmp_path):
+    """A file without rows gives an empty report, and a slice counts as one batch in however many files."""
+    reference = spark.range(100).selectExpr("id", "id * 1.0D AS v")
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    reference.filter("id < 0").coalesce(1).write.parquet(folder)
+    jobs.drift_stream(spark, reference, folder, out, state)
+    for low in (0, 50):
+        reference.filter(f"id >= {low} AND id < {low} + 50").repartition(3).write.mode("append").parquet(folder)
+        jobs.drift_stream(spark, reference, folder, out, state, None)
+    rows = jobs.read_reports(spark, out).collect()
+    assert sorted((r.batch, r.feature) for r in rows) == [(1, "id"), (1, "v"), (2, "id"), (2, "v")]
+    assert all(r.ks_stat == 0.5 for r in rows)
