@@ -12,7 +12,10 @@
 4. Points and visiting queries of a cell are packed into blocks of bounded size, and a numpy
    kernel compares block with block, so no task holds a cell and no pair list is ever produced. Where
    most cells have to be visited anyway (many dimensions), the tops serve as cells, so that a query is
-   not copied more often than it helps.
+   not copied more often than it helps; where most tops are open too, all places are one cell and
+   blocks meet in a grid.
+5. Vectors of more than ``NARROW`` numbers are compared by matrix products first. Their rounding error
+   is bounded, so they only sort out what cannot count; what is left is measured dimension by dimension.
 """
 
 from __future__ import annotations
@@ -36,6 +39,14 @@ COARSE_SHARE = 0.25
 BLOCK = 1024
 # Blocks of a cell that are compared by one task.
 GROUP = 8
+# Share of all tops beyond which all places are one cell, and its blocks and least groups a side.
+WHOLE_SHARE = 0.25
+WHOLE_BLOCK = 2048
+WHOLE_GROUP = 16
+WHOLE_SIDE = 8
+# Most dimensions that are compared directly, and rows of a block that are compared at once.
+NARROW = 8
+ROWS_AT_ONCE = 512
 
 
 def distances(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
@@ -47,6 +58,64 @@ def distances(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
     return total if metric == "manhattan" else np.sqrt(total)
 
 
+def _squares(q: np.ndarray, p: np.ndarray):
+    """Squared distances by one product of single-precision matrices and, per row, a bound of their
+    error; none where the numbers are too large or not finite."""
+    with np.errstate(all="ignore"):
+        middle = p.mean(axis=0)
+        q, p = q - middle, p - middle
+        qq, pp = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", p, p)
+        if not (np.isfinite(qq).all() and np.isfinite(pp).all() and max(qq.max(), pp.max()) < 1e30):
+            return None
+    away = np.sqrt(qq) + np.sqrt(pp.max())
+    error = 8.0 * (q.shape[1] + 8) * (np.finfo(np.float32).eps * away + np.finfo(float).eps * np.abs(middle).max()) * away + 1e-30
+    ones = lambda x: np.ones((len(x), 1))
+    left = np.hstack([-2.0 * q, qq[:, None], ones(q)]).astype(np.float32)
+    right = np.hstack([p, ones(p), pp[:, None]]).astype(np.float32)
+    return left @ right.T, error
+
+
+def _rough(q: np.ndarray, p: np.ndarray, metric: str, side: int) -> np.ndarray:
+    """Distances that are never below (``side`` 1) or never above (-1) the true ones, and next to them."""
+    found = _squares(q, p) if metric == "euclidean" and q.shape[1] > NARROW and len(q) and len(p) else None
+    if found is None:
+        return distances(q, p, metric)
+    return np.sqrt(np.maximum(found[0].astype(float) + side * found[1][:, None], 0.0))
+
+
+def _paired(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of row to row, summed as in ``distances``."""
+    total = np.zeros(len(q))
+    for j in range(q.shape[1]):
+        gap = q[:, j] - p[:, j]
+        total += np.abs(gap) if metric == "manhattan" else gap * gap
+    return total if metric == "manhattan" else np.sqrt(total)
+
+
+def _closest(q: np.ndarray, bound: np.ndarray, p: np.ndarray, m: int, metric: str):
+    """Rows, columns and distances of all pairs within the bounds that are among the ``m`` best of
+    their row, and some more."""
+    found = _squares(q, p) if metric == "euclidean" and q.shape[1] > NARROW else None
+    if found is None:
+        d = distances(q, p, metric)
+        row, col = np.nonzero(d <= np.minimum(np.partition(d, m - 1, axis=1)[:, m - 1], bound)[:, None])
+        return row, col, d[row, col]
+    squares, error = found
+    limit = bound * bound * (1.0 + 1e-6) + error
+    inside = squares <= limit.astype(np.float32)[:, None]
+    at = np.flatnonzero(inside)
+    many = np.flatnonzero(np.bincount(at // len(p), minlength=len(q)) > 4 * m)
+    if len(many):
+        some = squares[many]
+        best = np.partition(some, m - 1, axis=1)[:, m - 1] * (1.0 + 1e-6) + 2.0 * error[many]
+        inside[many] &= some <= best.astype(np.float32)[:, None]
+        at = np.flatnonzero(inside)
+    row, col = np.divmod(at, len(p))
+    d = _paired(q[row], p[col], metric)
+    near = d <= bound[row]
+    return row[near], col[near], d[near]
+
+
 def unit(x: Column) -> Column:
     """A vector scaled to length 1; the chord between unit vectors orders by cosine distance."""
     length = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
@@ -76,7 +145,8 @@ class Cells:
         for r in facts:
             self.rows[r.cell], self.held[r.cell], self.reach[r.cell] = r.n, r.held, r.reach
             self.reach_top[self.owner[r.cell]] = max(self.reach_top[self.owner[r.cell]], r.reach_top)
-        self.coarse = False
+        self.coarse = self.whole = False
+        self.block, self.group = BLOCK, GROUP
 
     def _tree(self, pivots: np.ndarray) -> None:
         """The first pivots are tops; all of them are ordered by their nearest top."""
@@ -109,7 +179,7 @@ class Cells:
             bound = _enough(tops + reach_top, held_top, k)
             for t in np.unique(top):
                 mine, cells = top == t, slice(tree[2][t], tree[2][t + 1])
-                far = distances(x[mine], tree[1][cells], tree[3]) + reach[cells]
+                far = _rough(x[mine], tree[1][cells], tree[3], 1) + reach[cells]
                 bound[mine] = np.minimum(bound[mine], _enough(far, held[cells], k))
             return pd.DataFrame({"cell": cell, "top": top, "bound": bound})
 
@@ -124,14 +194,14 @@ class Cells:
         def lists(xs: pd.Series, bounds: pd.Series, coarse: bool):
             x, bound = _rows(xs), bounds.to_numpy(float)[:, None] + slack
             with np.errstate(invalid="ignore"):
-                open_tops = np.concatenate([distances(x[i:i + BLOCK], tops, metric) for i in range(0, len(x), BLOCK)] or [np.zeros((0, len(tops)))])
+                open_tops = np.concatenate([_rough(x[i:i + BLOCK], tops, metric, -1) for i in range(0, len(x), BLOCK)] or [np.zeros((0, len(tops)))])
                 open_tops = (open_tops - reach_top <= bound) & np.isfinite(reach_top)
                 if coarse:
                     return np.nonzero(open_tops)
                 row, cell = [], []
                 for t in np.flatnonzero(open_tops.any(axis=0)):
                     asked, cells = np.flatnonzero(open_tops[:, t]), slice(ends[t], ends[t + 1])
-                    near = (distances(x[asked], pivots[cells], metric) - reach[cells] <= bound[asked]) & np.isfinite(reach[cells])
+                    near = (_rough(x[asked], pivots[cells], metric, -1) - reach[cells] <= bound[asked]) & np.isfinite(reach[cells])
                     i, j = np.nonzero(near)
                     row.append(asked[i])
                     cell.append(j + ends[t])
@@ -144,24 +214,35 @@ class Cells:
             cuts = np.searchsorted(row[order], np.arange(1, len(xs)))
             return pd.Series([c.astype(np.int32) for c in np.split(cell[order], cuts)][:len(xs)])
 
-        @F.pandas_udf("long")
-        def number(xs: pd.Series, bounds: pd.Series) -> pd.Series:
-            return pd.Series(np.bincount(lists(xs, bounds, False)[0], minlength=len(xs)))
+        @F.pandas_udf("cells long, tops long")
+        def number(xs: pd.Series, bounds: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame({name: np.bincount(lists(xs, bounds, coarse)[0], minlength=len(xs))
+                                 for name, coarse in (("cells", False), ("tops", True))})
 
         return visited, number
 
     def visits(self, queries: DataFrame) -> DataFrame:
         """One row per query (``site, x, bound``) and cell to visit. The size of the cells, not the
         result, follows from how many of them are visited."""
-        number = queries.agg(F.avg(self._visited()[1]("x", "bound")).alias("mean")).first().mean
-        self.coarse = (number or 0.0) > COARSE_SHARE * len(self.pivots)
+        number = queries.select(self._visited()[1]("x", "bound").alias("n")).agg(
+            F.avg("n.cells").alias("cells"), F.avg("n.tops").alias("tops")).first()
+        self.coarse = (number.cells or 0.0) > COARSE_SHARE * len(self.pivots)
+        self.whole = self.coarse and self.width > NARROW and number.tops > WHOLE_SHARE * len(self.tops)
+        if self.whole:
+            self.block = WHOLE_BLOCK
+            self.group = int(min(WHOLE_GROUP, max(1, -(-self.rows.sum() // (WHOLE_SIDE * WHOLE_BLOCK)))))
+            return queries.withColumn("cell", F.lit(0))
         return queries.withColumn("cell", F.explode(self._visited()[0]("x", "bound")))
 
     def points(self) -> DataFrame:
         """The places with the cells that ``visits`` has chosen."""
+        if self.whole:
+            return self.places.withColumn("cell", F.lit(0))
         return self.places.withColumn("cell", F.col("top")) if self.coarse else self.places
 
     def sizes(self) -> np.ndarray:
+        if self.whole:
+            return np.array([self.rows.sum()])
         return np.add.reduceat(self.rows, self.ends[:-1]) if self.coarse else self.rows
 
     def block_pairs(self, queries: DataFrame, carry: list[str]) -> DataFrame:
@@ -174,13 +255,16 @@ class Cells:
         calls = {r.cell: r.n for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}
         plan = []
         for cell, n in calls.items():
-            q_blocks, p_blocks = -(-n // BLOCK), -(-int(sizes[cell]) // BLOCK)
-            plan.append((cell, q_blocks, p_blocks, -(-q_blocks // GROUP), -(-p_blocks // GROUP)))
+            q_blocks, p_blocks = -(-n // self.block), -(-int(sizes[cell]) // self.block)
+            plan.append((cell, q_blocks, p_blocks, -(-q_blocks // self.group), -(-p_blocks // self.group)))
         table = F.broadcast(queries.sparkSession.createDataFrame(  # one row per cell, no more than pivots
             plan, "cell int, q_blocks long, p_blocks long, q_groups long, p_groups long"))
-        q = _pack(queries.join(table, "cell"), "site", ["bound"], "q", "p")
-        p = _pack(self.points().join(table, "cell"), "key", carry, "p", "q")
-        return q.join(p, ["cell", "q_group", "p_group"])
+        q = _pack(queries.join(table, "cell"), "site", ["bound"], "q", "p", self.group)
+        p = _pack(self.points().join(table, "cell"), "key", carry, "p", "q", self.group)
+        keys = ["cell", "q_group", "p_group"]
+        if self.whole and plan:  # few bytes, many comparisons: partitions by the number of meetings
+            q, p = (side.repartition(2 * plan[0][3] * plan[0][4], *keys) for side in (q, p))
+        return q.join(p, keys)
 
 
 def _rows(xs: pd.Series) -> np.ndarray:
@@ -192,15 +276,14 @@ def _descend(x, tops, pivots, ends, metric):
     if not len(x):
         none = np.zeros(0)
         return none.astype(int), none.astype(int), none, none, np.zeros((0, len(tops)))
-    away_tops = np.concatenate([distances(x[i:i + BLOCK], tops, metric) for i in range(0, len(x), BLOCK)])
+    away_tops = np.concatenate([_rough(x[i:i + BLOCK], tops, metric, 1) for i in range(0, len(x), BLOCK)])
     top = away_tops.argmin(axis=1)
     cell, away = np.zeros(len(x), int), np.zeros(len(x))
     for t in np.unique(top):
         mine = np.flatnonzero(top == t)
-        gaps = distances(x[mine], pivots[ends[t]:ends[t + 1]], metric)
-        best = gaps.argmin(axis=1)
-        cell[mine], away[mine] = best + ends[t], gaps[np.arange(len(mine)), best]
-    return cell, top, away, away_tops[np.arange(len(x)), top], away_tops
+        cell[mine] = _rough(x[mine], pivots[ends[t]:ends[t + 1]], metric, 1).argmin(axis=1) + ends[t]
+        away[mine] = _paired(x[mine], pivots[cell[mine]], metric)
+    return cell, top, away, _paired(x, tops[top], metric), away_tops
 
 
 def _enough(far: np.ndarray, held: np.ndarray, k: int) -> np.ndarray:
@@ -213,15 +296,15 @@ def _enough(far: np.ndarray, held: np.ndarray, k: int) -> np.ndarray:
     return far[row, order[row, place]]
 
 
-def _pack(df: DataFrame, key: str, carry: list[str], mine: str, other: str) -> DataFrame:
-    """Rows of a cell in blocks of about ``BLOCK`` rows, spread by the hash of the key, one copy
+def _pack(df: DataFrame, key: str, carry: list[str], mine: str, other: str, group: int) -> DataFrame:
+    """Rows of a cell in blocks of about as many rows as the cells ask for, spread by the hash of the key, one copy
     for each group of blocks on the other side."""
     block = F.pmod(F.xxhash64(key), F.col(f"{mine}_blocks"))
     fields = F.collect_list(F.struct(F.col(key).alias("key"), "x", *carry))
     packed = df.groupBy("cell", block.alias("_block")).agg(
         fields.alias("_rows"), F.first(f"{other}_groups").alias("_copies"))
     return packed.select(
-        "cell", F.floor(F.col("_block") / GROUP).alias(f"{mine}_group"),
+        "cell", F.floor(F.col("_block") / group).alias(f"{mine}_group"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)).alias(f"{other}_group"),
         F.col("_rows.key").alias(f"{mine}_key"), F.flatten(F.col("_rows.x")).alias(f"{mine}_x"),
         *[F.col(f"_rows.{c}").alias(f"{mine}_{c}") for c in carry])
@@ -272,26 +355,33 @@ def nearest(points: DataFrame, k: int, queries: DataFrame | None = None, key: st
 
 
 def _candidates(places: DataFrame, sites: DataFrame, take: int, metric: str) -> DataFrame:
-    """``site, neighbour, distance``: the ``take`` best of every block that a query meets, as far as
-    they are within its bound."""
+    """``site, neighbour, distance``: the ``take`` best of the blocks that a query meets one after
+    another, as far as they are within its bound."""
     cells = Cells(places, metric)
     pairs = cells.block_pairs(cells.visits(_bounded(cells, sites, take)), [])
     width = cells.width
 
     def kernel(batches):
+        asked, held, limit = None, None, None
         for q_key, q, bound, p_key, p in _blocks(batches, width, []):
-            d = distances(q, p, metric)
-            m = min(take, len(p_key))
-            border = np.minimum(np.partition(d, m - 1, axis=1)[:, m - 1], bound)
-            row, col = np.nonzero(d <= border[:, None])
-            order = np.lexsort((p_key[col], d[row, col], row))
-            row, col = row[order], col[order]
-            starts = np.searchsorted(row, np.arange(len(q_key)))
-            place = np.arange(len(row)) - starts[row]
-            keep = place < m
-            row, col = row[keep], col[keep]
-            yield pa.RecordBatch.from_pydict(
-                {"site": q_key[row], "neighbour": p_key[col], "distance": d[row, col]})
+            if asked is None or not np.array_equal(asked, q_key):  # the join gives the points of a query block in a row
+                if held is not None:
+                    yield pa.RecordBatch.from_pydict({"site": asked[held[0]], "neighbour": held[1], "distance": held[2]})
+                asked, held, limit = np.array(q_key), None, np.array(bound)
+            m, parts = min(take, len(p_key)), [] if held is None else [held]
+            for i in range(0, len(q_key), ROWS_AT_ONCE):
+                row, col, d = _closest(q[i:i + ROWS_AT_ONCE], limit[i:i + ROWS_AT_ONCE], p, m, metric)
+                parts.append((row + i, p_key[col], d))
+            row, near, d = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((near, d, row))
+            row, near, d = row[order], near[order], d[order]
+            place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(q_key)))[row]
+            keep = place < take
+            held = row[keep], near[keep], d[keep]
+            last = place == take - 1
+            limit[row[last]] = np.minimum(limit[row[last]], d[last])
+        if held is not None:
+            yield pa.RecordBatch.from_pydict({"site": asked[held[0]], "neighbour": held[1], "distance": held[2]})
 
     return pairs.mapInArrow(kernel, "site bigint, neighbour bigint, distance double")
 
@@ -306,7 +396,8 @@ def _bounded(cells: Cells, sites: DataFrame, k: int) -> DataFrame:
     def kernel(batches):
         for q_key, q, bound, p_key, p in _blocks(batches, width, []):
             if len(p_key) >= k:
-                kth = np.partition(distances(q, p, metric), k - 1, axis=1)[:, k - 1]
+                kth = np.concatenate([np.partition(_rough(q[i:i + ROWS_AT_ONCE], p, metric, 1), k - 1, axis=1)[:, k - 1]
+                                      for i in range(0, len(q_key), ROWS_AT_ONCE)])
                 yield pa.RecordBatch.from_pydict({"site": q_key, "kth": np.minimum(kth, bound)})
 
     found = cells.block_pairs(home, []).mapInArrow(kernel, "site bigint, kth double")

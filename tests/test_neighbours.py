@@ -120,3 +120,25 @@ def test_synthetic_rows_lie_between_minority_rows(spark):
         assert r.source < 40 and r.neighbour < 40 and r.label == 1
         assert np.linalg.norm(p - a) + np.linalg.norm(p - b) == pytest.approx(np.linalg.norm(a - b))
     assert abs(adasyn(df).count() - 140) <= 40
+
+
+@pytest.mark.parametrize("scale,shift", [(1.0, 0.0), (1e-3, 1e4), (1e20, 0.0)])
+def test_many_dimensions_are_exact_and_not_measured_pair_by_pair(spark, monkeypatch, scale, shift):
+    """Copies, ties, numbers far from zero and numbers too large for the products; the same rows as brute force."""
+    monkeypatch.setattr(nearest, "WHOLE_BLOCK", 64)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 24)) * scale + shift
+    x[300:330] = x[:30]
+    x[330:350, 1:] = x[30:50, 1:]
+    full = nearest.distances(x, x, "euclidean")
+    np.fill_diagonal(full, np.inf)
+    found = {}
+    for r in nearest.nearest(frame(spark, x), 4).orderBy("query", "rank").collect():
+        found.setdefault(r.query, []).append((r.distance, r.neighbour))
+    for i in range(len(x)):
+        order = np.lexsort((np.arange(len(x)), full[i]))[:4]
+        assert found[i] == [(full[i, j], j) for j in order]
+    exact = []
+    monkeypatch.setattr(nearest, "_paired", lambda q, p, metric, whole=nearest._paired: exact.append(len(q)) or whole(q, p, metric))
+    row, col, d = nearest._closest(x, np.full(len(x), np.inf), x, 5, "euclidean")
+    assert scale > 1e10 or sum(exact) < 20 * len(x)
