@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import vocab
@@ -13,6 +13,8 @@ from tallyforge.session import materialise
 
 # Items of one user that are paired in one row; a longer basket is cut into blocks of about so many.
 BASKET_BLOCK = 256
+# Pairs that a task counts.
+TASK_PAIRS = 2_000_000
 
 
 def baskets(df: DataFrame, user: str, item: str, limit: int | None = None) -> DataFrame:
@@ -33,17 +35,18 @@ def cooccurrence(basket: DataFrame, min_support: int = 2) -> DataFrame:
     """Neighbours ``(item, neighbour, support, confidence)`` in both directions.
 
     Items of fewer than ``min_support`` users cannot be in any pair that counts and are left out
-    before the pairs are made; the rest are numbered so that pairs are two integers. A basket is cut
-    into blocks that meet block by block, each meeting in a row of its own, so neither a row nor a task
-    holds a whole long basket; the pairs are summed before the shuffle.
+    before the pairs are made; the rest are numbered from the rarest on. A basket is cut into blocks
+    that meet block by block, each meeting in a row of its own, so neither a row nor a task holds a
+    whole long basket. What is shuffled is a list of partners per basket and item, dealt by the rarer
+    item of the pair, so frequent items draw few rows; the pairs are made and counted where they arrive,
+    in tasks of about ``TASK_PAIRS`` pairs. The basket is read twice: hand over a stored one.
     """
     frequent = item_counts(basket).filter(F.col("users") >= min_support)
-    items = positions(frequent, ["item"], "code")
-    coded = basket.join(items, "item")
-    both = _met_blocks(coded).select("i", "j", "ys", F.explode("xs").alias("x")).select("i", "j", "x", F.explode("ys").alias("y"))
-    both = both.filter((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
-    pairs = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    support = pairs.groupBy("a", "b").agg(F.count("*").alias("support"))
+    items = materialise(positions(frequent, ["users", "item"], "code"))
+    lists = _blocks(basket.join(items.withColumn("code", F.col("code").cast("int")), "item"))
+    tasks = max(int(basket.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-_number_of_pairs(lists) // TASK_PAIRS))
+    partners = _partners(_met(lists)).repartition(tasks, "a")
+    support = partners.select("a", F.explode("bs").alias("b")).groupBy("a", "b").agg(F.count("*").alias("support"))
     kept = support.filter(F.col("support") >= min_support)
     both = kept.select(F.inline(F.array(
         F.struct(F.col("a").alias("code"), F.col("b").alias("other"), F.col("support").alias("support")),
@@ -53,15 +56,31 @@ def cooccurrence(basket: DataFrame, min_support: int = 2) -> DataFrame:
         "item", "neighbour", "support", (F.col("support") / F.col("users").cast("double")).alias("confidence"))
 
 
+def _blocks(coded: DataFrame) -> DataFrame:
+    """``user, blocks, own, codes``: the baskets in blocks, the codes of a block in order."""
+    blocks = coded.groupBy("user").agg(F.ceil(F.count("*") / BASKET_BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int")
+    codes = F.sort_array(F.collect_list("code")).alias("codes")
+    return materialise(coded.join(blocks, "user").groupBy("user", "blocks", block.alias("own")).agg(codes))
+
+
+def _number_of_pairs(lists: DataFrame) -> int:
+    """About how many pairs the baskets hold."""
+    size = F.size("codes").cast("bigint")
+    each = F.when(F.col("blocks") == 1, size * (size - 1) / 2).otherwise(size * F.col("blocks") * BASKET_BLOCK / 2)
+    return int(lists.agg(F.sum(each).alias("n")).first().n or 0)
+
+
 def _met_blocks(coded: DataFrame) -> DataFrame:
+    return _met(_blocks(coded))
+
+
+def _met(lists: DataFrame) -> DataFrame:
     """``i, j, xs, ys``: every pair of blocks of a basket once, ``i`` not above ``j``.
 
     A basket of one block meets itself where it is. The blocks of a longer one are copied to the key
     (user, lower block, upper block), so the meetings of one user spread over tasks.
     """
-    blocks = coded.groupBy("user").agg(F.ceil(F.count("*") / BASKET_BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int")
-    lists = materialise(coded.join(blocks, "user").groupBy("user", "blocks", block.alias("own")).agg(F.collect_list("code").alias("codes")))
     alone = lists.filter("blocks = 1").select(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("codes").alias("xs"), F.col("codes").alias("ys"))
     long = lists.filter("blocks > 1")
     lower = long.select("user", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("codes").alias("xs"))
@@ -69,6 +88,16 @@ def _met_blocks(coded: DataFrame) -> DataFrame:
     return alone.unionByName(lower.join(upper, ["user", "i", "j"]).select("i", "j", "xs", "ys"))
 
 
+def _partners(met: DataFrame) -> DataFrame:
+    """``a, bs``: for every item of a meeting the partners with a higher code, each pair once."""
+    def higher(mine: str, others: str) -> Column:
+        return F.transform(mine, lambda a: F.struct(a.alias("a"), F.filter(others, lambda b: b > a).alias("bs")))
+
+    own = F.transform("xs", lambda a, at: F.struct(a.alias("a"), F.slice("xs", at + 2, F.size("xs")).alias("bs")))
+    both = F.when(F.col("i") == F.col("j"), own).otherwise(F.concat(higher("xs", "ys"), higher("ys", "xs")))
+    return met.select(F.explode(both).alias("one")).select("one.a", "one.bs").filter(F.size("bs") > 0)
+
+
 def top_neighbours(pairs: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` best neighbours per item by support, then confidence, then name."""
     order = Window.partitionBy("item").orderBy(F.desc("support"), F.desc("confidence"), "neighbour")

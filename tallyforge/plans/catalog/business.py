@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import anomaly, drift, drivers, recommend, segments
 from tallyforge.plans.catalog.base import LABELLED_DOCUMENTS, SCORED_EVENTS, query, scored_events
 from tallyforge.plans.catalog.profiling import _NUMERIC
+from tallyforge.session import materialise
 
 # -- recommendation: who bought which part -------------------------------------------------------
 
@@ -38,20 +39,20 @@ def item_counts(t):
 
 @query("item_cooccurrence", f"WITH {_PAIRS} SELECT item, neighbour, support, round(confidence, 6) AS confidence FROM p")
 def item_cooccurrence(t):
-    return recommend.cooccurrence(_basket(t)).withColumn("confidence", F.round("confidence", 6))
+    return recommend.cooccurrence(materialise(_basket(t))).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("item_top_n", f"""WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY support DESC, confidence DESC, neighbour)::int AS rank FROM p)
 SELECT item, neighbour, support, round(confidence, 6) AS confidence, rank FROM r WHERE rank <= 10""")
 def item_top_n(t):
-    best = recommend.top_neighbours(recommend.cooccurrence(_basket(t)))
+    best = recommend.top_neighbours(recommend.cooccurrence(materialise(_basket(t))))
     return best.withColumn("confidence", F.round("confidence", 6))
 
 
 @query("reco_summary", f"""WITH {_PAIRS} SELECT 'interactions' AS measure, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 UNION ALL SELECT 'items', count(*) FROM n UNION ALL SELECT 'items_with_neighbours', count(DISTINCT item) FROM p""")
 def reco_summary(t):
-    bought, basket = purchases(t), _basket(t)
+    bought, basket = purchases(t), materialise(_basket(t))
     return recommend.summary(bought, "customer", "part", basket, recommend.cooccurrence(basket))
 
 

@@ -73,3 +73,15 @@ def test_long_baskets_meet_block_by_block(spark, monkeypatch):
     met = recommend._met_blocks(coded)
     blocks = -(-60 // 7)
     assert met.select("i", "j").distinct().count() == met.count() <= blocks * (blocks + 1) // 2
+
+
+def test_pairs_are_shuffled_as_lists_of_the_rarer_item(spark):
+    """One row per basket and item, however many pairs there are, and few for an item everybody has."""
+    rows = [(u, f"i{i:02}") for u in range(40) for i in {0, *((u * 7 + 5 * j) % 50 for j in range(12))}]
+    basket = recommend.baskets(spark.createDataFrame(rows, "u int, i string"), "u", "i")
+    items = basket.groupBy("item").count().orderBy("count", "item").collect()
+    codes = spark.createDataFrame([(r.item, c) for c, r in enumerate(items)], "item string, code int")
+    sent = recommend._partners(recommend._met(recommend._blocks(basket.join(codes, "item")))).collect()
+    assert len(sent) <= basket.count() and not any(items[r.a].item == "i00" for r in sent)
+    sizes = [r["count"] for r in basket.groupBy("user").count().collect()]
+    assert sum(len(r.bs) for r in sent) == sum(n * (n - 1) // 2 for n in sizes)
