@@ -91,3 +91,14 @@ def test_grid_search_falls_back(signal):
     train, _ = signal
     best, tried = tuning.grid_search("logistic", train, "classification", "roc_auc", 3, grid={"C": ["broken"]})
     assert best == {} and tried[0]["mean"] is None
+
+
+def test_mean_shift_spreads_a_large_table(blobs, monkeypatch):
+    """A table stored in one file does not leave every round to one task; the groups stay the same."""
+    monkeypatch.setattr(clustering, "SPREAD_ROWS", 100)
+    parts = []
+    monkeypatch.setattr(clustering, "spread", lambda df, key, whole=clustering.spread: parts.append(whole(df, key)) or parts[-1])
+    out = clustering.mean_shift(blobs.coalesce(1), bandwidth=2.0)
+    groups = out.groupBy("truth").agg(F.countDistinct("cluster").alias("n"), F.min("cluster").alias("c")).collect()
+    assert all(g.n == 1 for g in groups) and len({g.c for g in groups}) == 3
+    assert [p.rdd.getNumPartitions() > 1 for p in parts] == [True]
