@@ -3,10 +3,11 @@
 Features are cut into at most ``BINS`` intervals once. What a tree needs to know of the rows is then one
 table of sums by (node, feature, interval), added up inside the tasks; its size depends on the number of
 features, not on the rows. A stump is one such pass, and the error of the round follows from the same
-sums. Row weights are a column: the rounds since the last reliable checkpoint are applied when the rows
-are read, and every ``CARRY`` rounds the weights are written anew, so plan and work per round stay the
-same however many rounds there are. Fitted trees are arrays in heap order and are applied to Arrow
-batches.
+sums. Rows are stored as blocks, one byte string for each of codes, targets and weights, so a pass reads
+few values and compares whole columns of bytes. Row weights: the rounds since the last reliable checkpoint
+are applied when the blocks are read, and every ``CARRY`` rounds the weights are written anew, so plan and
+work per round stay the same however many rounds there are. Fitted trees are arrays in heap order and are
+applied to Arrow batches.
 """
 
 from __future__ import annotations
@@ -38,27 +39,35 @@ def cut_points(df: DataFrame, width: int) -> list[np.ndarray]:
 
 
 def coded(df: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
-    """``codes, y, w``: the interval of every feature as a byte. ``df``: ``x, y, w``."""
+    """``codes, y, w``: a block for each Arrow batch of rows, with the interval of every feature as a byte,
+    feature after feature. ``df``: ``x, y, w``."""
     def run(batches):
         for batch in batches:
-            x = _matrix(batch.column(0), len(cuts))
-            codes = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], axis=1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in codes], pa.binary()),
-                                              batch.column(1), batch.column(2)], ["codes", "y", "w"])
+            if batch.num_rows:
+                x = _matrix(batch.column(0), len(cuts))
+                codes = np.stack([np.searchsorted(c, x[:, f], "left").astype(np.uint8) for f, c in enumerate(cuts)])
+                yield _block(codes, batch.column(1).to_numpy(), batch.column(2).to_numpy())
 
-    return df.select("x", "y", "w").mapInArrow(run, "codes binary, y double, w double")
+    return df.select("x", "y", "w").mapInArrow(run, BLOCK)
+
+
+BLOCK = "codes binary, y binary, w binary"
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _columns(batch: pa.RecordBatch, width: int):
-    column = batch.column(0)
-    _, offsets, data = column.buffers()  # all values have the same width and none is null
-    start = int(np.frombuffer(offsets, np.int32)[column.offset]) if batch.num_rows else 0
-    codes = np.frombuffer(data or b"", np.uint8)[start:start + batch.num_rows * width].reshape(-1, width)
-    return codes, batch.column(1).to_numpy(), batch.column(2).to_numpy()
+def _block(codes: np.ndarray, y: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary()) for part in (codes, y, w)], ["codes", "y", "w"])
+
+
+def _blocks(batches):
+    """Codes (a row a feature), targets and stored weights of every block."""
+    for batch in batches:
+        for codes, y, w in zip(*(batch.column(i) for i in range(3))):
+            y, w = np.frombuffer(y.as_buffer(), float), np.frombuffer(w.as_buffer(), float)
+            yield np.frombuffer(codes.as_buffer(), np.uint8).reshape(-1, len(y)), y, w
 
 
 class _Tree:
@@ -75,10 +84,13 @@ class _Tree:
 
     def node(self, codes: np.ndarray, levels: int) -> np.ndarray:
         """Place of every row in its level after that many splits."""
-        at, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
+        at = np.zeros(codes.shape[1], np.min_scalar_type(2 ** self.depth))
         for level in range(levels):
-            here = at + 2 ** level - 1
-            at = 2 * at + (codes[rows, self.feature[here]] > self.cut[here])
+            right = np.zeros(len(at), bool)
+            for place in range(2 ** level):
+                here = place + 2 ** level - 1
+                right |= (at == place) & (codes[self.feature[here]] > int(self.cut[here]))
+            at = 2 * at + right
         return at
 
     def predict(self, codes: np.ndarray) -> np.ndarray:
@@ -86,11 +98,12 @@ class _Tree:
 
 
 class _Rows:
-    """Coded rows with the weights of the last checkpoint and the rounds since then."""
+    """Blocks of coded rows with the weights of the last checkpoint and the rounds since then."""
 
     def __init__(self, df: DataFrame, width: int):
         self.df, self.width = materialise(df), width
         self.pending: list = []
+        self.total = 1.0
 
     def weights(self):
         """A function from codes, targets and stored weights to present weights."""
@@ -105,32 +118,37 @@ class _Rows:
 
     def add(self, update, total: float) -> None:
         self.pending.append(update)
-        if len(self.pending) < CARRY:
-            return
-        now, width = self.weights(), self.width
+        self.total = total
+
+    def _store(self) -> None:
+        now, total = self.weights(), self.total
 
         def run(batches):
-            for batch in batches:
-                codes, y, w = _columns(batch, width)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(now(codes, y, w) / total)], ["codes", "y", "w"])
+            for codes, y, w in _blocks(batches):
+                yield _block(codes, y, now(codes, y, w) / total)
 
-        self.df = materialise(self.df.mapInArrow(run, self.df.schema))
+        self.df = materialise(self.df.mapInArrow(run, BLOCK))
         self.pending = []
 
     def sums(self, tree: _Tree, level: int, of, parts: int) -> np.ndarray:
         """(nodes of a level, features, intervals, parts) of weighted sums; ``of(y, w)`` gives the
-        parts of every row as (place, weight) pairs of arrays."""
+        parts of every row as (place, weight) pairs, the place a number or an array."""
+        if len(self.pending) >= CARRY:
+            self._store()
         now, width, nodes = self.weights(), self.width, 2 ** level
 
         def run(batches):
-            total = np.zeros((nodes, width, BINS * parts))
-            for batch in batches:
-                codes, y, w = _columns(batch, width)
-                node = tree.node(codes, level) * (BINS * parts)
-                for part, weight in of(y, now(codes, y, w)):
-                    for f in range(width):
-                        found = np.bincount(node + codes[:, f].astype(np.int64) * parts + part, weight, nodes * BINS * parts)
-                        total[:, f] += found.reshape(nodes, -1)
+            total = np.zeros((nodes, width, BINS, parts))
+            for codes, y, w in _blocks(batches):
+                node = tree.node(codes, level) * np.intp(BINS)
+                wanted = of(y, now(codes, y, w))
+                for f in range(width):
+                    place = node + codes[f]
+                    for part, weight in wanted:
+                        if np.ndim(part):
+                            total[:, f] += np.bincount(place * parts + part, weight, nodes * BINS * parts).reshape(nodes, BINS, parts)
+                        else:
+                            total[:, f, :, part] += np.bincount(place, weight, nodes * BINS).reshape(nodes, BINS)
             flat = total.reshape(nodes * width, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(list(flat), pa.list_(pa.float64()))], ["place", "part"])
 
@@ -276,14 +294,12 @@ class AdaBoostRegressor(Estimator):
     @staticmethod
     def _loss(rows: _Rows, tree: _Tree) -> tuple[float, float, float]:
         """Largest absolute error, sum of weights, weighted sum of absolute errors."""
-        now, width = rows.weights(), rows.width
+        now = rows.weights()
 
         def run(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    codes, y, w = _columns(batch, width)
-                    w, gap = now(codes, y, w), np.abs(tree.predict(codes) - y)
-                    yield pa.RecordBatch.from_arrays([pa.array([gap.max()]), pa.array([w.sum()]), pa.array([(w * gap).sum()])], ["top", "w", "g"])
+            for codes, y, w in _blocks(batches):
+                w, gap = now(codes, y, w), np.abs(tree.predict(codes) - y)
+                yield pa.RecordBatch.from_arrays([pa.array([gap.max()]), pa.array([w.sum()]), pa.array([(w * gap).sum()])], ["top", "w", "g"])
 
         found = rows.df.mapInArrow(run, "top double, w double, g double").agg(F.max("top"), F.sum("w"), F.sum("g")).first()
         return float(found[0] or 0.0), float(found[1] or 0.0), float(found[2] or 0.0)

@@ -102,3 +102,15 @@ def test_mean_shift_spreads_a_large_table(blobs, monkeypatch):
     groups = out.groupBy("truth").agg(F.countDistinct("cluster").alias("n"), F.min("cluster").alias("c")).collect()
     assert all(g.n == 1 for g in groups) and len({g.c for g in groups}) == 3
     assert [p.rdd.getNumPartitions() > 1 for p in parts] == [True]
+
+
+def test_boosting_rows_are_stored_once_as_blocks(spark, signal, monkeypatch):
+    """Ten rounds read the blocks of the first pass; weights that no round reads are not written."""
+    from tallyforge.operators import boosting
+
+    stored, keep = [], boosting.materialise
+    monkeypatch.setattr(boosting, "materialise", lambda df: stored.append(keep(df)) or stored[-1])
+    train, _ = signal
+    rows = train.select("features", F.col("value").alias("label")).repartition(3)
+    learners.AdaBoostRegressor(10).fit(rows)
+    assert [df.count() for df in stored] == [3]
