@@ -89,3 +89,31 @@ def test_kernel_regression_bends(spark):
     out = learners.build("svm", "regression", 400, C=10.0, gamma=1.0).fit(df).transform(df)
     assert "_lifted" not in out.columns
     assert out.agg(F.avg(F.abs(F.col("label") - F.col("prediction"))).alias("e")).first().e < 0.12
+
+
+def test_no_pass_repeats_coefficients(spark, monkeypatch):
+    """Shrinking the rounded part reads the sums of the pass before it."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 2))
+    y = x @ [2.0, -1.0] + rng.normal(size=300)
+    seen, totals = [], TubeRegression.totals
+    monkeypatch.setattr(TubeRegression, "totals", lambda self, rows, at, mu: seen.append(at.tobytes()) or totals(self, rows, at, mu))
+    model = TubeRegression(precision=0.05).fit(table(spark, x, y))
+    assert model.gap <= 0.05 * y.std() and len(seen) == len(set(seen))
+
+
+def test_cosines_and_lifted_predictions(spark):
+    """The polynomial is the cosine, and rows are lifted inside the prediction, never as a column."""
+    from tallyforge.operators import learners
+
+    turns = np.concatenate([np.linspace(-30, 30, 4001), [0.0, 0.25, 0.5, np.inf, np.nan]])
+    with np.errstate(invalid="ignore"):
+        np.testing.assert_allclose(learners.cosines(turns), np.cos(2 * np.pi * turns), atol=2e-13)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 3))
+    df = table(spark, x, np.sin(x[:, 0]))
+    model = learners.KernelMachine("regression").fit(df)
+    out = model.transform(df)
+    assert "_lifted" not in out._jdf.queryExecution().optimizedPlan().toString()
+    lifted = model.model.transform(model.lift.transform(df, "_lifted")).select("prediction").collect()
+    np.testing.assert_allclose([r.prediction for r in out.select("prediction").collect()], [r.prediction for r in lifted], rtol=1e-9)
