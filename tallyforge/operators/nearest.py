@@ -37,6 +37,8 @@ PIVOT_BYTES = 32_000_000
 # Share of all cells beyond which the tops serve as cells.
 COARSE_SHARE = 0.25
 BLOCK = 1024
+# Queries whose cells are looked up at once.
+PART = 512
 # Blocks of a cell that are compared by one task.
 GROUP = 8
 # Share of all tops beyond which all places are one cell, and its blocks and least groups a side.
@@ -163,7 +165,7 @@ class Cells:
 
         @F.pandas_udf("cell int, top int, away double, away_top double")
         def assign(xs: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame(dict(zip(("cell", "top", "away", "away_top"), _descend(_rows(xs), *tree)[:4])))
+            return _in_parts(lambda xs: pd.DataFrame(dict(zip(("cell", "top", "away", "away_top"), _descend(_rows(xs), *tree)[:4]))), xs)
 
         return assign
 
@@ -172,8 +174,7 @@ class Cells:
         tree, held, reach, reach_top = (self.tops, self.pivots, self.ends, self.metric), self.held, self.reach, self.reach_top
         held_top = np.add.reduceat(held, self.ends[:-1]) if len(held) else np.zeros(0)
 
-        @F.pandas_udf("cell int, top int, bound double")
-        def bounds(xs: pd.Series) -> pd.DataFrame:
+        def part(xs: pd.Series) -> pd.DataFrame:
             x = _rows(xs)
             cell, top, _, _, tops = _descend(x, *tree)
             bound = _enough(tops + reach_top, held_top, k)
@@ -183,6 +184,10 @@ class Cells:
                 bound[mine] = np.minimum(bound[mine], _enough(far, held[cells], k))
             return pd.DataFrame({"cell": cell, "top": top, "bound": bound})
 
+        @F.pandas_udf("cell int, top int, bound double")
+        def bounds(xs: pd.Series) -> pd.DataFrame:
+            return _in_parts(part, xs)
+
         return bounds
 
     def _visited(self):
@@ -207,18 +212,24 @@ class Cells:
                     cell.append(j + ends[t])
             return np.concatenate(row or [np.zeros(0, int)]), np.concatenate(cell or [np.zeros(0, int)])
 
-        @F.pandas_udf("array<int>")
-        def visited(xs: pd.Series, bounds: pd.Series) -> pd.Series:
+        def named(xs: pd.Series, bounds: pd.Series) -> pd.Series:
             row, cell = lists(xs, bounds, coarse)
             order = np.argsort(row, kind="stable")
             cuts = np.searchsorted(row[order], np.arange(1, len(xs)))
-            return pd.Series([c.astype(np.int32) for c in np.split(cell[order], cuts)][:len(xs)])
+            return pd.Series(np.split(cell[order].astype(np.int32), cuts)[:len(xs)])
 
-        @F.pandas_udf("cells long, tops long")
-        def number(xs: pd.Series, bounds: pd.Series) -> pd.DataFrame:
+        def counted(xs: pd.Series, bounds: pd.Series) -> pd.DataFrame:
             return pd.DataFrame({name: np.bincount(lists(xs, bounds, coarse)[0], minlength=len(xs))
                                  for name, coarse in (("cells", False), ("tops", True))})
 
+        @F.pandas_udf("array<int>")
+        def visited(xs: pd.Series, bounds: pd.Series) -> pd.Series:
+            return _in_parts(named, xs, bounds)
+
+        @F.pandas_udf("cells long, tops long")
+        def number(xs: pd.Series, bounds: pd.Series) -> pd.DataFrame:
+            return _in_parts(counted, xs, bounds)
+
         return visited, number
 
     def visits(self, queries: DataFrame) -> DataFrame:
@@ -267,6 +278,13 @@ class Cells:
         return q.join(p, keys)
 
 
+def _in_parts(run, *columns: pd.Series):
+    """``run`` over a few queries after another: their lists of cells grow with the table, so a whole
+    Arrow batch of them must not be held with its temporaries."""
+    starts = range(0, len(columns[0]), PART) or [0]
+    return pd.concat([run(*(c.iloc[i:i + PART] for c in columns)) for i in starts], ignore_index=True)
+
+
 def _rows(xs: pd.Series) -> np.ndarray:
     return np.vstack(xs.to_numpy()).astype(float) if len(xs) else np.zeros((0, 0))
 

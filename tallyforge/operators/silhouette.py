@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 # Numbers (clusters times columns) that every task holds; more clusters than that are refused.
 CLUSTER_NUMBERS = 20_000_000
+# Numbers (rows times clusters) that a task compares at once.
+ROW_NUMBERS = 1_000_000
 
 
 def _arrays(df: DataFrame, cluster: str, features: str) -> DataFrame:
@@ -50,10 +52,13 @@ def _squared(ready: DataFrame, names: list[str], sizes: dict, width: int):
 
     @F.pandas_udf("double")
     def score(xs: pd.Series, cs: pd.Series) -> pd.Series:
-        x = np.vstack(xs.to_numpy())
-        mine = cs.map(place).to_numpy()
-        total = held * (x * x).sum(axis=1)[:, None] + squares - 2.0 * x @ sums.T
-        return pd.Series(_score(np.maximum(total, 0.0), mine, held))
+        every, own = np.vstack(xs.to_numpy()), cs.map(place).to_numpy()
+        out, rows = np.empty(len(every)), max(1, ROW_NUMBERS // len(held))
+        for i in range(0, len(every), rows):
+            x, mine = every[i:i + rows], own[i:i + rows]
+            total = held * (x * x).sum(axis=1)[:, None] + squares - 2.0 * x @ sums.T
+            out[i:i + rows] = _score(np.maximum(total, 0.0), mine, held)
+        return pd.Series(out)
 
     return score(F.col("_x"), F.col("_c"))
 

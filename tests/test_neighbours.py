@@ -142,3 +142,48 @@ def test_many_dimensions_are_exact_and_not_measured_pair_by_pair(spark, monkeypa
     monkeypatch.setattr(nearest, "_paired", lambda q, p, metric, whole=nearest._paired: exact.append(len(q)) or whole(q, p, metric))
     row, col, d = nearest._closest(x, np.full(len(x), np.inf), x, 5, "euclidean")
     assert scale > 1e10 or sum(exact) < 20 * len(x)
+
+
+def test_lists_of_cells_stay_small(spark):
+    """Cells to visit grow with the table; a batch of queries does not hold them all with their temporaries."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    cells = nearest.Cells.__new__(nearest.Cells)
+    cells.metric, cells.coarse = "euclidean", False
+    cells._tree(rng.random((16_000, 2)))
+    cells.reach, cells.reach_top = np.full(16_000, 0.01), np.full(len(cells.tops), 1.0)
+    x, bounds = rng.random((8192, 2)), pd.Series(np.full(8192, 0.15))
+    visited, number = (f.func for f in cells._visited())
+    peaks, found = [], []
+    for run in (visited, number):
+        tracemalloc.start()
+        found.append(run(pd.Series(list(x)), bounds))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert max(peaks) < 100e6  # 331 and 295 MB when a batch was one list
+    assert [len(v) for v in found[0]] == found[1].cells.tolist()
+    for i in (0, 700, 8191):
+        away = np.sqrt(((x[i] - cells.pivots) ** 2).sum(axis=1))
+        assert set(np.flatnonzero(away < 0.1599)) <= set(found[0][i]) <= set(np.flatnonzero(away < 0.1601))
+
+
+def test_silhouette_compares_few_rows_at_once(spark, monkeypatch):
+    """Rows times clusters of a whole Arrow batch are never held at once; the parts change no value."""
+    from tallyforge.operators import silhouette
+
+    score = silhouette._score
+
+    def bounded(total, mine, held):
+        if total.size > 70:
+            raise ValueError("too many rows at once")
+        return score(total, mine, held)
+
+    df = spark.range(400).select("id", F.array(F.sin("id"), F.cos(F.col("id") * 3)).alias("features"), (F.col("id") % 7).alias("cluster"))
+    values = lambda: {r.id: r.silhouette for r in silhouette.silhouette_samples(df, "cluster").collect()}
+    want = values()
+    monkeypatch.setattr(silhouette, "ROW_NUMBERS", 70, raising=False)
+    monkeypatch.setattr(silhouette, "_score", bounded)
+    assert values() == pytest.approx(want, abs=1e-12)
