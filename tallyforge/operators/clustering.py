@@ -173,7 +173,7 @@ def spectral(df: DataFrame, k: int, key: str = "key", neighbours: int = 10, gamm
     near = nearest(pts, neighbours, key=key, features="x")
     weight = F.greatest(F.exp(-F.lit(gamma) * F.col("distance") * F.col("distance")), F.lit(1e-12))
     one = near.select(F.least("query", "neighbour").alias("a"), F.greatest("query", "neighbour").alias("b"), weight.alias("w"))
-    one = one.groupBy("a", "b").agg(F.max("w").alias("w"))
+    one = materialise(one.groupBy("a", "b").agg(F.max("w").alias("w")))  # the search runs once
     both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     vectors = leading_vectors(both, k, rounds, precision)
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v))

@@ -45,3 +45,14 @@ def test_leading_vectors_are_eigenvectors(spark):
     _, axes = np.linalg.eigh(w / np.sqrt(d[:, None] * d[None]))
     want = axes[:, ::-1][:, :3]
     np.testing.assert_allclose(np.abs(np.diag(want.T @ got)), 1.0, atol=1e-6)
+
+
+def test_neighbours_are_searched_once(spark, monkeypatch):
+    """The multiplications start from stored affinities, whose plan holds no search."""
+    given, vectors = [], clustering.leading_vectors
+    monkeypatch.setattr(clustering, "leading_vectors", lambda edges, *more: given.append(edges) or vectors(edges, *more))
+    x, _ = rings(np.random.default_rng(4), 30)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "key long, x array<double>")
+    clustering.spectral(df.select("key", array_to_vector("x").alias("features")), 3, neighbours=6, rounds=1)
+    plan = given[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "Window" not in plan
