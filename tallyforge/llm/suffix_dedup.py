@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.bytesets import BYTE_CODES, blocks, flat, prefix_sums, substring_hashes
+from tallyforge.llm.bytesets import BYTE_CODES, blocks, flat
 from tallyforge.llm.common import stored
 from tallyforge.llm.induced_sort import shares_prefix, suffix_array
 from tallyforge.session import shared_folder
@@ -44,8 +44,11 @@ from tallyforge.session import shared_folder
 LENGTH = 50
 GRAM = 20
 LAST = 2**63 - 1  # stands for a null id
-SHARD_BYTES = 2_000_000  # of segments whose suffixes are sorted together
+SHARD_BYTES = 500_000  # of segments whose suffixes are sorted together
+ANCHOR_BYTES = 100_000  # of texts hashed together, so that the arrays stay in the cache
 FLUSH = 2_000_000  # anchors that a task gathers before it sends them
+GATHERED = 2**16  # texts that these may come from, at most
+_BASE = 0x9E3779B97F4A7C15
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -62,62 +65,91 @@ def _sliding(values: np.ndarray, width: int, function) -> np.ndarray:
     return values
 
 
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """48-bit hash of every run of ``gram`` bytes: polynomials of 1, 2, 4, ... bytes, put together."""
+    done, found, span, part = 0, None, 1, BYTE_CODES[data]
+    while True:
+        if gram & span:
+            if found is None:
+                found = part.copy()
+            else:  # the bytes so far, then these
+                n = len(data) - done - span + 1
+                found = found[:n] * np.uint64(pow(_BASE, span, 2 ** 64)) + part[done:done + n]
+            done += span
+        if span * 2 > gram:
+            break
+        part = part[:-span] * np.uint64(pow(_BASE, span, 2 ** 64)) + part[span:]
+        span *= 2
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        found ^= found >> np.uint64(shift)
+        found *= np.uint64(factor)
+    found >>= np.uint64(16)
+    return found
+
+
 def window_anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     """48-bit hash of every gram, the smallest one in each window, and which windows lie in one text."""
     if len(data) < length:
         none = np.zeros(0, np.uint64)
         return none, none, np.zeros(0, bool)
-    at = np.arange(len(data) - gram + 1)
-    hashes = substring_hashes(prefix_sums(data, BYTE_CODES), at, at + gram) >> np.uint64(16)
+    hashes = _gram_hashes(data, gram)
     least = _sliding(hashes, length - gram + 1, np.minimum)
-    inside = np.zeros(len(data) + 1, np.int64)
     sizes = np.diff(offsets)
-    long = sizes >= length
-    np.add.at(inside, offsets[:-1][long], 1)
-    np.add.at(inside, offsets[1:][long] - length + 1, -1)
-    return hashes, least, np.cumsum(inside)[:len(least)] > 0
+    fit = np.maximum(sizes - length + 1, 0)
+    inside = np.repeat(np.tile([True, False], len(sizes)), np.stack([fit, sizes - fit], axis=1).ravel())
+    return hashes, least, inside[:len(least)]
 
 
 def text_anchors(data, offsets, length, gram):
-    """(text number, anchor) pairs, each once, by text."""
+    """(text number, anchor) pairs in the order of the text; an anchor comes again only where it
+    stands in the text again."""
     _, least, inside = window_anchors(data, offsets, length, gram)
     new = inside.copy()
-    new[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
-    new[offsets[:-1][offsets[:-1] < len(new)]] |= inside[offsets[:-1][offsets[:-1] < len(new)]]
+    new[1:] &= least[1:] != least[:-1]
+    begins = offsets[:-1][offsets[:-1] < len(new)]
+    new[begins] = inside[begins]
     at = np.flatnonzero(new)
-    owner, anchors = np.searchsorted(offsets, at, "right") - 1, least[at]
-    order = np.lexsort((anchors, owner))
-    owner, anchors = owner[order], anchors[order]
-    once = np.ones(len(owner), bool)
-    once[1:] = (owner[1:] != owner[:-1]) | (anchors[1:] != anchors[:-1])
-    return owner[once], anchors[once]
+    return np.searchsorted(offsets, at, "right") - 1, least[at]
+
+
+def _pieces(offsets):
+    """Ranges of texts that are hashed together."""
+    for a, b in blocks(offsets, ANCHOR_BYTES):
+        for i in range(a, b, GATHERED):
+            yield i, min(b, i + GATHERED)
 
 
 def _part_anchors(batches, length, gram):
-    """(part, anchors, numbers) of every stored part, sorted by anchor and number; a large part comes
-    in several pieces."""
-    part, numbers, anchors, size = None, [], [], 0
+    """(part, anchors, numbers) of every stored part, each pair once, sorted by anchor and number; a
+    large part comes in several pieces."""
+    part, numbers, places, anchors, size, texts = None, [], [], [], 0, 0
 
     def gathered():
-        number, anchor = np.concatenate(numbers), np.concatenate(anchors)
-        order = np.lexsort((number, anchor))
-        return part, anchor[order], number[order]
+        number = np.concatenate(numbers)
+        by_number = np.argsort(number, kind="stable")
+        rank = np.empty(len(number), np.uint64)
+        rank[by_number] = np.arange(len(number), dtype=np.uint64)
+        pairs = np.concatenate(anchors) << np.uint64(16) | rank[np.concatenate(places)]
+        pairs.sort()
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+        return part, pairs >> np.uint64(16), number[by_number][(pairs & np.uint64(GATHERED - 1)).astype(np.int64)]
 
     for batch in batches:
-        parts, own = (np.array(batch.column(k).to_pylist(), np.int64) for k in (0, 1))
+        parts, own = (np.asarray(batch.column(k)).astype(np.int64) for k in (0, 1))
         data, offsets = flat(batch.column(2))
         turns = np.flatnonzero(np.diff(parts)) + 1
-        pieces = [(a + i, a + j) for a, b in zip([0, *turns], [*turns, len(parts)])
-                  for i, j in blocks(offsets[a:b + 1])]
+        pieces = [(a + i, a + j) for a, b in zip([0, *turns], [*turns, len(parts)]) for i, j in _pieces(offsets[a:b + 1])]
         for i, j in pieces:
-            if size and (size > FLUSH or parts[i] != part):
-                yield gathered()
-                numbers, anchors, size = [], [], 0
-            part = int(parts[i])
+            if parts[i] != part or size > FLUSH or texts + j - i > GATHERED:
+                if size:
+                    yield gathered()
+                part, numbers, places, anchors, size, texts = int(parts[i]), [], [], [], 0, 0
             owner, found = text_anchors(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], length, gram)
-            numbers.append(own[i:j][owner])
+            numbers.append(own[i:j])
+            places.append(owner + texts)
             anchors.append(found)
             size += len(found)
+            texts += j - i
     if size:
         yield gathered()
 
@@ -141,46 +173,38 @@ def _heads(anchors):
 
 
 def anchor_blobs(texts: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
-    """``shard, part, low, high, numbers``: every anchor of a part once, with its first document
-    there; where the part has more of them, the number is -1 - number."""
+    """``shard, part, local, low, high, numbers``: every anchor of a part once, with its first document
+    there; where the part has more of them, the number is -1 - number. Rows that are ``local`` hold the
+    anchors that several documents of a part have, with all of these; they go with the others, so that
+    texts are read and hashed once."""
     def run(batches):
         for part, anchor, number in _part_anchors(batches, length, gram):
             first, count = _heads(anchor)
+            several = np.repeat(count > 1, count)
+            rows = [(part % shards, True, anchor[several], number[several])] if several.any() else []
             anchor, number = anchor[first], np.where(count > 1, -1 - number[first], number[first])
-            shard = (anchor % np.uint64(shards)).astype(np.int64)
+            shard = (anchor % np.uint64(shards)).astype(np.uint16 if shards <= 2 ** 16 else np.int64)
             by_shard = np.argsort(shard, kind="stable")
+            anchor, number = anchor[by_shard], number[by_shard]
             bounds = np.searchsorted(shard[by_shard], np.arange(shards + 1))
-            cuts = [(s, by_shard[bounds[s]:bounds[s + 1]]) for s in range(shards) if bounds[s] < bounds[s + 1]]
+            rows += [(s, False, anchor[a:b], number[a:b]) for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if a < b]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _ in cuts], pa.int32()), pa.array([part] * len(cuts), pa.int32()),
-                 pa.array([_low(anchor[c]) for _, c in cuts], pa.binary()),
-                 pa.array([_high(anchor[c]) for _, c in cuts], pa.binary()),
-                 pa.array([number[c].astype("<i4").tobytes() for _, c in cuts], pa.binary())],
-                ["shard", "part", "low", "high", "numbers"])
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()),
+                 pa.array([r[1] for r in rows]), pa.array([_low(r[2]) for r in rows], pa.binary()),
+                 pa.array([_high(r[2]) for r in rows], pa.binary()),
+                 pa.array([r[3].astype("<i4").tobytes() for r in rows], pa.binary())],
+                ["shard", "part", "local", "low", "high", "numbers"])
 
     return texts.select("part", "number", "text").mapInArrow(
-        run, "shard int, part int, low binary, high binary, numbers binary")
-
-
-def local_repeats(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``part, anchors, numbers``: the anchors that several documents of a part have, with all of these."""
-    def run(batches):
-        for part, anchor, number in _part_anchors(batches, length, gram):
-            _, count = _heads(anchor)
-            several = np.repeat(count > 1, count)
-            if several.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([anchor[several].tobytes()], pa.binary()),
-                     pa.array([number[several].tobytes()], pa.binary())], ["part", "anchors", "numbers"])
-
-    return texts.select("part", "number", "text").mapInArrow(run, "part int, anchors binary, numbers binary")
+        run, "shard int, part int, local boolean, low binary, high binary, numbers binary")
 
 
 _ANSWER = "part int, number long, anchors binary, heads binary"
 #: What a part gathers: anchors of single documents, anchors of all its documents that have them, and
-#: which documents these are.
+#: which documents these are (as they came: short numbers, low and high bytes of the anchors).
 _DIRECT, _GENERAL, _LOCAL = 0, 1, 2
 _GATHERED = "part int, kind int, numbers binary, anchors binary, heads binary"
+_NAMES = ["part", "kind", "numbers", "anchors", "heads"]
 
 
 def _answers(part, number, anchor, head):
@@ -200,7 +224,14 @@ def repeated_anchors(blobs: DataFrame, shards: int) -> DataFrame:
     def run(batches):
         gathered = []
         for batch in batches:
-            _, parts, low, high, numbers = (c.to_pylist() for c in batch.columns)
+            local = np.asarray(batch.column(2).to_pylist(), bool)
+            if local.any():
+                passed = batch.filter(pa.array(local))
+                yield pa.RecordBatch.from_arrays(
+                    [passed.column(1), pa.array([_LOCAL] * len(passed), pa.int32()), passed.column(5), passed.column(3),
+                     passed.column(4)], _NAMES)
+                batch = batch.filter(pa.array(~local))
+            _, parts, _, low, high, numbers = (c.to_pylist() for c in batch.columns)
             for part, a, b, n in zip(parts, low, high, numbers):
                 n = np.frombuffer(n, "<i4").astype(np.int64)
                 gathered.append((np.full(len(n), part, np.int64), n, _joined(a, b)))
@@ -224,15 +255,13 @@ def repeated_anchors(blobs: DataFrame, shards: int) -> DataFrame:
             [pa.array(part[wanted[first]].astype(np.int32)), pa.array(kind[first].astype(np.int32)),
              pa.array([number[c].tobytes() for c in cuts], pa.binary()),
              pa.array([anchor[c].tobytes() for c in cuts], pa.binary()),
-             pa.array([head[c].tobytes() for c in cuts], pa.binary())], ["part", "kind", "numbers", "anchors", "heads"])
+             pa.array([head[c].tobytes() for c in cuts], pa.binary())], _NAMES)
 
     return blobs.repartition(shards, "shard").mapInArrow(run, _GATHERED)
 
 
-def spread_answers(answers: DataFrame, local: DataFrame, shards: int) -> DataFrame:
+def spread_answers(answers: DataFrame, shards: int) -> DataFrame:
     """The answers of every part, dealt out to its documents."""
-    tagged = local.select("part", F.lit(_LOCAL).alias("kind"), "numbers", "anchors", F.lit(None).cast("binary").alias("heads"))
-
     def deal(part, rows):
         held = {k: [r for r in rows if r[0] == k] for k in (_DIRECT, _GENERAL, _LOCAL)}
         column = lambda k, i, kind: np.concatenate([np.frombuffer(r[i], kind) for r in held[k]] or [np.zeros(0, kind)])
@@ -240,9 +269,9 @@ def spread_answers(answers: DataFrame, local: DataFrame, shards: int) -> DataFra
         if held[_GENERAL]:
             keys, heads = column(_GENERAL, 2, np.uint64), column(_GENERAL, 3, np.int64)
             order = np.argsort(keys, kind="stable")
-            several = column(_LOCAL, 2, np.uint64)
+            several = np.concatenate([_joined(low, high) for _, _, low, high in held[_LOCAL]])
             at = order[np.searchsorted(keys, several, sorter=order)]
-            number = np.concatenate([number, column(_LOCAL, 1, np.int64)])
+            number = np.concatenate([number, column(_LOCAL, 1, "<i4")])
             anchor, head = np.concatenate([anchor, several]), np.concatenate([head, heads[at]])
         if len(number):
             yield _answers(part, number, anchor, head)
@@ -259,8 +288,7 @@ def spread_answers(answers: DataFrame, local: DataFrame, shards: int) -> DataFra
         if rows:
             yield from deal(part, rows)
 
-    everything = answers.unionByName(tagged).repartition(shards, "part").sortWithinPartitions("part")
-    return everything.mapInArrow(run, _ANSWER)
+    return answers.repartition(shards, "part").sortWithinPartitions("part").mapInArrow(run, _ANSWER)
 
 
 # -- regions -------------------------------------------------------------------------------------
@@ -269,42 +297,56 @@ def regions(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """``head, ord, row, start, region`` of rows ``row, ord, text, wanted`` (lists of anchors and heads)."""
     reach = length - gram
 
-    def cut(text, wanted):
-        anchors = np.concatenate([np.frombuffer(w["anchors"], np.uint64) for w in wanted])
-        heads = np.concatenate([np.frombuffer(w["heads"], np.int64) for w in wanted])
-        order = np.argsort(anchors, kind="stable")
-        anchors, heads = anchors[order], heads[order]
-        hashes, least, _ = window_anchors(text, np.array([0, len(text)]), length, gram)
-        if not len(least):
-            return []
+    def cut(data, offsets, owner, anchors, heads):
+        """Text, head, begin and end of every region of a block; ``owner, anchors, heads`` are wanted."""
+        hashes, least, inside = window_anchors(data, offsets, length, gram)
         # the largest of the minima of the windows around a gram equals it where it is one of them
-        padded = np.concatenate([np.zeros(reach, np.uint64), least, np.zeros(reach, np.uint64)])
+        padded = np.zeros(len(least) + 2 * reach, np.uint64)
+        np.copyto(padded[reach:reach + len(least)], least, where=inside)
         at = np.flatnonzero(_sliding(padded, reach + 1, np.maximum)[:len(hashes)] == hashes)
-        found = np.minimum(np.searchsorted(anchors, hashes[at]), len(anchors) - 1)
-        hit = anchors[found] == hashes[at]
-        at, head = at[hit], heads[found[hit]]
-        if not len(at):
-            return []
-        order = np.lexsort((at, head))
-        at, head = at[order], head[order]
-        begin, stop = np.maximum(at - reach, 0), np.minimum(at + length, len(text))
-        new = np.concatenate([[True], (head[1:] != head[:-1]) | (begin[1:] > stop[:-1])])
+        text = np.searchsorted(offsets, at, "right") - 1
+        keys = owner << np.uint64(48) | anchors
+        order = np.argsort(keys)
+        keys, heads = keys[order], heads[order]
+        asked = text.astype(np.uint64) << np.uint64(48) | hashes[at]
+        found = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        hit = keys[found] == asked
+        at, text, head = at[hit], text[hit], heads[found[hit]]
+        order = np.lexsort((head, text))  # places ascend already
+        at, text, head = at[order], text[order], head[order]
+        begin, stop = np.maximum(at - reach, offsets[text]), np.minimum(at + length, offsets[text + 1])
+        new = np.ones(len(at), bool)
+        new[1:] = (text[1:] != text[:-1]) | (head[1:] != head[:-1]) | (begin[1:] > stop[:-1])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at)) - 1
-        return zip(head[first].tolist(), begin[first].tolist(), stop[last].tolist())
+        return text[first], head[first], begin[first], stop[last]
 
     def run(batches):
         for batch in batches:
-            rows, ords = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if not batch.num_rows:
+                continue
             data, offsets = flat(batch.column(2))
-            wanted, out = batch.column(3), []
-            for i in range(len(rows)):
-                text = data[offsets[i]:offsets[i + 1]]
-                out += [(h, ords[i], rows[i], a, text[a:b].tobytes()) for h, a, b in cut(text, wanted[i].as_py())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[k] for x in out], kind) for k, kind in enumerate(
-                    (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                ["head", "ord", "row", "start", "region"])
+            lists = batch.column(3)
+            pairs = lists.flatten()
+            entries = np.diff(np.asarray(lists.offsets))
+            sizes = np.array([len(x) // 8 for x in pairs.field(0).to_pylist()], np.int64)
+            anchors, heads = (np.frombuffer(b"".join(pairs.field(k).to_pylist()), kind) for k, kind in ((0, np.uint64), (1, np.int64)))
+            owner = np.repeat(np.repeat(np.arange(len(entries)), entries), sizes)
+            for i, j in _pieces(offsets):
+                mine = slice(*np.searchsorted(owner, [i, j]))
+                if mine.start == mine.stop or offsets[j] - offsets[i] < length:  # no anchors to look for
+                    continue
+                part = data[offsets[i]:offsets[j]]
+                text, head, begin, stop = cut(part, offsets[i:j + 1] - offsets[i], (owner[mine] - i).astype(np.uint64),
+                                              anchors[mine], heads[mine])
+                ends = np.cumsum(stop - begin)
+                rest = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + (stop - begin), stop - begin)
+                regions = pa.Array.from_buffers(pa.binary(), len(text), [
+                    None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes()), pa.py_buffer(part[rest].tobytes())])
+                own = pa.array(text + i)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(head), batch.column(1).take(own), batch.column(0).take(own),
+                     pa.array(begin - (offsets[i:j] - offsets[i])[text]), regions], ["head", "ord", "row", "start", "region"])
 
     return texts.mapInArrow(run, "head long, ord long, row long, start long, region binary")
 
@@ -316,10 +358,10 @@ def repeated_windows(shards: DataFrame, length: int) -> DataFrame:
         sizes = np.array([len(r[4]) for r in rows])
         ords = np.array([r[1] for r in rows], np.int64)
         # byte values move up by two: 1 ends a region, 0 the text
-        joined = np.frombuffer(b"\x00".join(r[4] for r in rows) + b"\x00", np.uint8).astype(np.int64) + 2
+        joined = np.frombuffer(b"\x00".join(r[4] for r in rows) + b"\x00", np.uint8).astype(np.uint16) + np.uint16(2)
         begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         joined[begins + sizes] = 1
-        text = np.append(joined, 0)
+        text = np.append(joined, np.uint16(0))
         order = suffix_array(text, length)
         shared = shares_prefix(text, order, length)
         region = np.repeat(np.arange(len(rows)), sizes + 1)
@@ -429,8 +471,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = _bucketed(_numbered(base.join(owners.select("row").distinct(), "row", "left_semi")
                                 .select("row", "ord", "text")), "row", shards, "repeat_texts")
 
-    answers = repeated_anchors(anchor_blobs(texts, shards, length, gram), shards)
-    dealt = spread_answers(answers, local_repeats(texts, length, gram), shards)
+    dealt = spread_answers(repeated_anchors(anchor_blobs(texts, shards, length, gram), shards), shards)
     wanted = dealt.join(texts.select("part", "number", "row"), ["part", "number"]) \
         .groupBy("row").agg(F.collect_list(F.struct("anchors", "heads")).alias("wanted"))
     cut = regions(texts.join(wanted, "row").select("row", "ord", "text", "wanted"), length, gram)

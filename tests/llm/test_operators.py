@@ -236,6 +236,39 @@ def test_repeats_of_random_cuts(spark):
     assert collected(out, *columns) == cases.ordered(cases.repeats(rows))
 
 
+def test_suffix_order_is_narrow():
+    from tallyforge.llm.induced_sort import suffix_array
+    rng = np.random.default_rng(3)
+    text = np.append(rng.integers(1, 4, 3000), 0).astype(np.uint16)
+    text[2000:2400] = text[100:500]
+    order = suffix_array(text, 50)
+    assert order.dtype == np.int32
+    cut = [text[i:i + 50].tolist() for i in order.tolist()]
+    assert cut == sorted(cut)
+
+
+def test_texts_are_hashed_once_for_anchors(spark):
+    """Anchors that several documents of a part have travel with the first of each, from one pass."""
+    import random
+    rng = random.Random(5)
+    shared = cases.words(rng, 30, "abcdef ")
+    rows = [(i % 2, i // 2, shared[i:] + cases.words(rng, 20, "abcdef ") if i % 3 else "short") for i in range(40)]
+    texts = spark.createDataFrame(rows, "part int, number long, text string").repartition(2, "part").sortWithinPartitions("part", "number")
+    out = suffix_dedup.anchor_blobs(texts, 4, 50, 20).collect()
+    found = {True: set(), False: set()}
+    for r in out:
+        numbers = np.frombuffer(r.numbers, "<i4").tolist()
+        found[r.local] |= {(r.part, a, n) for a, n in zip(suffix_dedup._joined(r.low, r.high).tolist(), numbers)}
+    own = {}
+    for part, number, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        for a in set(suffix_dedup.text_anchors(data, np.array([0, len(data)]), 50, 20)[1].tolist()):
+            own.setdefault((part, a), []).append(number)
+    several = {k: v for k, v in own.items() if len(v) > 1}
+    assert several and found[True] == {(*k, n) for k, v in several.items() for n in v}
+    assert found[False] == {(*k, -1 - min(v) if len(v) > 1 else v[0]) for k, v in own.items()}
+
+
 def test_packing_round_trip(docs, none):
     from tokenizers import Tokenizer
     out = window_packing.pack(docs, tokenizer_path(), window=64).collect()
