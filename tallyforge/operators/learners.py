@@ -18,13 +18,13 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
-    DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
+    DecisionTreeRegressor, LinearRegression, RandomForestRegressor,
 )
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.boosting import AdaBoost, AdaBoostRegressor
+from tallyforge.operators.boosting import AdaBoost, AdaBoostRegressor, GradientBoosting
 from tallyforge.operators.density import neighbour_mean, neighbour_vote
 from tallyforge.operators.persistence import StoredModel, array_table, arrays_of
 from tallyforge.operators.tube import TubeModel, TubeRegression
@@ -281,7 +281,7 @@ def build(name: str, task: str, rows: int, classes: int = 2, **p):
 
     def boosted(depth, step, bins=32):
         if regression:
-            return GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=step, maxBins=bins, seed=SEED)
+            return GradientBoosting(trees, step, depth, bins)
         one = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, maxBins=bins, seed=SEED, **weight)
         return one if classes <= 2 else OneVsRest(classifier=one, **weight)
 

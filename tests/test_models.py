@@ -114,3 +114,66 @@ def test_boosting_rows_are_stored_once_as_blocks(spark, signal, monkeypatch):
     rows = train.select("features", F.col("value").alias("label")).repartition(3)
     learners.AdaBoostRegressor(10).fit(rows)
     assert [df.count() for df in stored] == [3]
+
+
+@pytest.fixture(scope="module")
+def steps(spark):
+    """Rows of three features with zeros, copies and a constant; the label follows two of them."""
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(9)
+    x = np.stack([rng.integers(-40, 41, 700) / 8.0, rng.integers(0, 2, 700), np.full(700, 3.0)], axis=1)
+    y = np.sin(x[:, 0]) * 50.0 + 9.0 * x[:, 1] + rng.normal(size=700)
+    rows = [(i, float(y[i]), [float(v) for v in x[i]]) for i in range(700)]
+    df = spark.createDataFrame(rows, "key long, label double, x array<double>")
+    return df.withColumn("features", array_to_vector(F.col("x"))).repartition(3, "key").cache()
+
+
+@pytest.mark.parametrize("cells,gathered,bins", [(2 ** 21, 2 ** 18, 32), (2 ** 21, 0, 32), (0, 0, 32), (2 ** 21, 2 ** 18, 256), (0, 0, 256)])
+def test_gradient_boosting_grows_the_trees_of_spark(steps, monkeypatch, cells, gathered, bins):
+    """Sums by cell, on the driver or in blocks, and blocks of rows predict what Spark's trees predict."""
+    from pyspark.ml.regression import GBTRegressor
+    from tallyforge.operators import boosting
+
+    monkeypatch.setattr(boosting, "CELLS", cells)
+    monkeypatch.setattr(boosting, "GATHERED_CELLS", gathered)
+    name, depth, step = ("gradient_boosting", 3, 0.1) if bins == 32 else ("boosted_lgbm", 5, 0.1)
+    model = learners.build(name, "regression", 700, n_estimators=3).fit(steps)
+    assert isinstance(model, boosting.GradientBoostingModel)
+    spark_model = GBTRegressor(maxIter=3, maxDepth=depth, stepSize=step, maxBins=bins, seed=learners.SEED).fit(steps)
+    own = model.transform(steps).select("key", "prediction")
+    other = spark_model.transform(steps).select("key", F.col("prediction").alias("p"))
+    assert own.join(other, "key").filter("abs(prediction - p) < 1e-9").count() == 700
+    assert abs(model.importances - spark_model.featureImportances.toArray()).max() < 1e-9
+
+
+def test_gradient_boosting_takes_the_thresholds_of_a_sample_like_spark(spark):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GBTRegressor
+
+    x = F.array((F.rand(3) * 60).cast("int").cast("double") - 20, F.rand(4))
+    df = spark.range(14_000).select(F.col("id").alias("key"), x.alias("x")).withColumn("label", F.sin(F.col("x")[0]) + F.col("x")[1])
+    df = df.withColumn("features", array_to_vector("x")).repartition(4, "key").persist()
+    own = learners.build("gradient_boosting", "regression", 14_000, n_estimators=2).fit(df).transform(df)
+    other = GBTRegressor(maxIter=2, maxDepth=3, stepSize=0.1, seed=learners.SEED).fit(df).transform(df).select("key", F.col("prediction").alias("p"))
+    assert own.join(other, "key").filter("abs(prediction - p) < 1e-9").count() == 14_000
+    df.unpersist()
+
+
+def test_gradient_boosting_passes_over_rows_once(steps, monkeypatch):
+    """The number of passes over the rows does not grow with the rounds."""
+    from tallyforge.operators import boosting
+
+    passes, keep = [], boosting.summed
+    monkeypatch.setattr(boosting, "summed", lambda *a: passes.append(1) or keep(*a))
+    monkeypatch.setattr(boosting, "materialise", lambda df: pytest.fail("rows are stored"))
+    learners.build("gradient_boosting", "regression", 700, n_estimators=30).fit(steps)
+    assert passes == [1]
+
+
+@pytest.mark.parametrize("bad", [None, float("nan"), float("inf")])
+def test_gradient_boosting_refuses_labels_that_are_no_numbers(steps, bad):
+    rows = steps.withColumn("label", F.when(F.col("key") == 5, F.lit(bad).cast("double")).otherwise(F.col("label")))
+    with pytest.raises(Exception, match="labels must not be"):
+        learners.build("gradient_boosting", "regression", 700, n_estimators=2).fit(rows)
